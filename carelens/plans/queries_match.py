@@ -1,0 +1,3 @@
+"""Matching, extraction, normalization, similarity, report, model and streaming queries."""
+
+from __future__ import annotations
