@@ -1,3 +1,409 @@
-"""Matching, extraction, normalization, similarity, report, model and streaming queries."""
+"""Matching, extraction, normalization, similarity, report and model queries."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.patterns import WORD
+from ..functions.text import clean_term
+from ..operators import classify, entities, infer, keywords, lexicon, normalize, report, semantic
+from ..sources import views
+from ..sources.tables import table
+from .flagship import flagship
+from .queries import lit, q, r6
+
+# ======================================================================== M1 keyword spans
+KEYWORDS = ["the", "of the", "and", "tion", "src1", "example.com", "Tamiflu", "ing"]
+
+
+@q("keyword_spans")
+def keyword_spans(spark, sf):
+    """M1: (id, keyword, start, end) for every keyword hit in the post texts (whole words,
+    case-insensitive, longest first, no overlap).  Look-arounds: checked in pytest."""
+    p = views.posts(spark, sf).select("id", "text")
+    k = keywords.keyword_search(p, "text", KEYWORDS)
+    e = k.select("id", F.explode("keywords_text").alias("k"))
+    return e.select("id", F.col("k.keyword").alias("keyword"), F.col("k.start").alias("start"),
+                    F.col("k.end").alias("end"))
+
+
+# ======================================================================== M2 lexicon
+TOK = lit(WORD + "+")
+
+LEX_CTES = f"""
+lx0 AS (SELECT DISTINCT trim(replace("Symptom", chr(65279), '')) AS concept,
+                        trim(replace("CUI", chr(65279), '')) AS code,
+                        lower(trim(replace("LexicalExpression", chr(65279), ''))) AS expression FROM lexicon),
+lx AS (SELECT concept, code, expression, regexp_extract_all(expression, {TOK}) AS et FROM lx0),
+lxx AS (SELECT * FROM lx WHERE len(et) > 0),
+dt AS (SELECT doc_id, regexp_extract_all(lower(text), {TOK}) AS toks FROM documents),
+pos AS (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM dt)"""
+
+
+@q("lexicon_hits", f"""
+WITH {LEX_CTES}
+SELECT p.doc_id, CAST(p.i - 1 AS INTEGER) AS start, CAST(len(x.et) AS INTEGER) AS width,
+       x.expression, x.concept, x.code
+FROM pos p JOIN lxx x ON p.toks[p.i] = x.et[1]
+WHERE p.toks[p.i : p.i + len(x.et) - 1] = x.et""", ("lexicon",))
+def lexicon_hits(spark, sf):
+    """M2 before overlap removal: every occurrence of every lexicon expression in the
+    documents (token positions)."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return lexicon.lexicon_hits(docs, views.passage_lexicon(spark, sf))
+
+
+@q("lexicon_matches")
+def lexicon_matches(spark, sf):
+    """M2: leftmost-longest non-overlapping matches (greedy fold: checked in pytest against
+    a brute-force model)."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return lexicon.lexicon_matches(docs, views.passage_lexicon(spark, sf))
+
+
+@q("lexicon_concepts")
+def lexicon_concepts(spark, sf):
+    """M2 report: mentions and texts per concept after overlap removal."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return lexicon.concept_counts(lexicon.lexicon_matches(docs, views.passage_lexicon(spark, sf)))
+
+
+@q("flagship_concepts")
+def flagship_concepts(spark, sf):
+    """The end-to-end slice: banned filter, mention hashing, cleaning, de-duplication,
+    lexicon extraction, concept counts (the ``entry`` query on any scale)."""
+    return flagship(spark, sf)
+
+
+# ======================================================================== M3-M6, A1
+@q("entity_strings", """
+SELECT doc, string_agg(text, ', ' ORDER BY event_id) AS entity_texts,
+       string_agg(type, ', ' ORDER BY event_id) AS entity_types
+FROM ents GROUP BY doc""", ("ents",))
+def entity_strings(spark, sf):
+    """M3: entities and their types per text as ', '-joined strings ('N/A' when none)."""
+    return entities.entity_strings(views.entity_lists(spark, sf)).select("doc", "entity_texts", "entity_types")
+
+
+@q("entity_split", """
+SELECT doc, string_agg(text, '|' ORDER BY event_id) FILTER (WHERE type = 'PROBLEM') AS symptoms,
+       string_agg(text, '|' ORDER BY event_id) FILTER (WHERE type = 'TREATMENT') AS treatments
+FROM ents GROUP BY doc""", ("ents",))
+def entity_split(spark, sf):
+    """M4: symptoms (PROBLEM) and treatments (TREATMENT) per text, NULL when none."""
+    e = entities.split_symptoms_treatments(views.entity_lists(spark, sf))
+    return e.select("doc", F.array_join("symptoms", "|").alias("symptoms"),
+                    F.array_join("treatments", "|").alias("treatments"))
+
+
+@q("entity_columns", """
+SELECT doc,
+  coalesce(string_agg(text, '|' ORDER BY event_id) FILTER (WHERE type = 'PROBLEM'), '') AS symptoms,
+  coalesce(string_agg(text, '|' ORDER BY event_id) FILTER (WHERE type = 'TEST'), '') AS tests,
+  coalesce(string_agg(text, '|' ORDER BY event_id) FILTER (WHERE type = 'TREATMENT'), '') AS treatments
+FROM ents GROUP BY doc""", ("ents",))
+def entity_columns(spark, sf):
+    """M5: Symptoms, Tests, Treatments lists per text (empty when none)."""
+    e = entities.extract_entity_columns(views.entity_lists(spark, sf))
+    return e.select("doc", F.array_join("Symptoms", "|").alias("symptoms"),
+                    F.array_join("Tests", "|").alias("tests"),
+                    F.array_join("Treatments", "|").alias("treatments"))
+
+
+@q("entity_frequency", """
+SELECT type, text, count(*) AS frequency FROM ents
+WHERE type IN ('PROBLEM', 'TREATMENT', 'TEST') GROUP BY type, text""", ("ents",))
+def entity_frequency(spark, sf):
+    """A1: frequency per (entity type, raw text)."""
+    return entities.entity_frequency(views.entity_rows(spark, sf))
+
+
+@q("subword_merge", """
+SELECT doc_id,
+  CASE WHEN len(tokens) > 0 THEN array_to_string(list_transform(starts, lambda s, j:
+         tokens[s] || array_to_string(list_transform(tokens[s + 1 : coalesce(starts[j + 1], len(tokens) + 1) - 1],
+                                                     lambda x: replace(x, '##', '')), '')), ' ') END AS merged
+FROM (SELECT doc_id, tokens,
+             list_filter(range(1, len(tokens) + 1), lambda i: i = 1 OR NOT starts_with(tokens[i], '##')) AS starts
+      FROM toks) z""", ("toks",))
+def subword_merge(spark, sf):
+    """M6: word pieces glued back into words, joined by blanks (NULL when no tokens)."""
+    t = views.subword_tokens(spark, sf)
+    return t.select("doc_id", F.array_join(entities.merge_subwords("tokens"), " ").alias("merged"))
+
+
+# ======================================================================== M9-M11
+@q("model_score", "SELECT doc_id, length(text) AS prediction FROM documents")
+def model_score(spark, sf):
+    """M9: a batch predictor over Arrow batches (stand-in model: character count)."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    parts = spark.sparkContext.defaultParallelism
+    return infer.score_batches(d, lambda: infer.CharCountPredictor("text", "prediction"),
+                               "doc_id long, prediction long", partitions=parts)
+
+
+LABELS = ["report", "symptom"]
+THRESHOLDS = {"report": 0.28, "symptom": 0.27}
+
+
+@q("label_best", """
+SELECT doc_id, CASE WHEN s_symptom > s_report THEN 1 ELSE 0 END AS best FROM scores""", ("scores",))
+def label_best(spark, sf):
+    """Index of the best-scoring candidate label (first on ties)."""
+    s = views.label_scores(spark, sf)
+    return s.select("doc_id", classify.best_label_index("scores", LABELS).alias("best"))
+
+
+@q("label_vote", f"""
+SELECT doc_id, CASE WHEN s_report > {THRESHOLDS['report']} AND s_symptom > {THRESHOLDS['symptom']}
+                    THEN 1 ELSE 0 END AS vote FROM scores""", ("scores",))
+def label_vote(spark, sf):
+    """1 when every label score is strictly above its threshold."""
+    s = views.label_scores(spark, sf)
+    return s.select("doc_id", classify.threshold_vote("scores", THRESHOLDS).alias("vote"))
+
+
+# ======================================================================== M12, M13, A9
+def _clean_sql(x: str) -> str:
+    from .queries import _term_clean_sql
+    return _term_clean_sql(x)
+
+
+NORM_CTES = f"""
+rm AS (SELECT DISTINCT {_clean_sql('p_name')} AS t FROM part WHERE {_clean_sql('p_name')} LIKE 'new %'),
+mp AS (SELECT symptoms AS k, min(abr_symptoms) AS v FROM dict GROUP BY symptoms),
+ex AS (SELECT l_orderkey, unnest(symptoms) AS raw FROM terms),
+cl AS (SELECT l_orderkey, {_clean_sql('raw')} AS t FROM ex),
+nj AS (SELECT cl.l_orderkey, rm.t IS NULL AS keep, mp.v, cl.t FROM cl LEFT JOIN rm ON rm.t = cl.t
+       LEFT JOIN mp ON mp.k = cl.t)"""
+
+
+def _normalized(spark, sf):
+    terms = views.term_lists(spark, sf)
+    d = views.concept_dictionary(spark, sf)
+    part = table(spark, sf, "part").select(clean_term("p_name").alias("t"))
+    remove = part.filter(F.col("t").startswith("new ")).distinct()
+    mapping = d.groupBy("symptoms").agg(F.min("abr_symptoms").alias("abr"))
+    return normalize.normalize_terms(terms, "l_orderkey", "symptoms", mapping, remove)
+
+
+@q("normalize_terms", f"""
+WITH {NORM_CTES}
+SELECT l_orderkey,
+  array_to_string(list_sort(list_distinct(list(CASE WHEN keep THEN replace(coalesce(v, t), ' ', '_') END))), ' ')
+    AS normalized_symptom_str,
+  coalesce(bool_or(keep AND v IS NOT NULL AND v <> t), false) AS replaced
+FROM nj GROUP BY l_orderkey""", ("terms", "dict"))
+def normalize_terms(spark, sf):
+    """Cleaned, filtered, mapped, de-duplicated term lists per order; ``replaced``."""
+    return _normalized(spark, sf).select("l_orderkey", "normalized_symptom_str", "replaced")
+
+
+@q("vocabulary", f"""
+WITH {NORM_CTES}
+SELECT DISTINCT replace(coalesce(v, t), ' ', '_') AS term FROM nj WHERE keep""", ("terms", "dict"))
+def vocabulary(spark, sf):
+    """The vocabulary of normalized terms."""
+    return normalize.vocabulary(_normalized(spark, sf), "normalized_symptom_list")
+
+
+@q("normalize_treatments", f"""
+WITH {NORM_CTES}
+SELECT l_orderkey,
+  array_to_string(list_sort(list_distinct(list(CASE WHEN keep THEN replace(coalesce(v, t), ' ', '_') END))), ' ')
+    AS normalized_treatment_str
+FROM nj GROUP BY l_orderkey""", ("terms", "dict"))
+def normalize_treatments(spark, sf):
+    """The same normalization without the ``replaced`` flag."""
+    terms = views.term_lists(spark, sf)
+    d = views.concept_dictionary(spark, sf)
+    part = table(spark, sf, "part").select(clean_term("p_name").alias("t"))
+    remove = part.filter(F.col("t").startswith("new ")).distinct()
+    mapping = d.groupBy("symptoms").agg(F.min("abr_symptoms").alias("abr"))
+    n = normalize.normalize_terms(terms, "l_orderkey", "symptoms", mapping, remove,
+                                  out_prefix="normalized_treatment", with_replaced=False)
+    return n.select("l_orderkey", "normalized_treatment_str")
+
+
+# ======================================================================== M7 dense
+@q("semantic_best", """
+SELECT term, concept, round(score, 6) AS score FROM (
+  SELECT q.term, c.concept, list_cosine_similarity(q.vector, c.vector) AS score,
+         row_number() OVER (PARTITION BY q.term ORDER BY list_cosine_similarity(q.vector, c.vector) DESC,
+                                                       c.concept) AS rn
+  FROM qvec q CROSS JOIN cvec c) z WHERE rn = 1""", ("qvec", "cvec"))
+def semantic_best(spark, sf):
+    """M7 + J7: best dictionary concept per term vector by cosine."""
+    b = semantic.best_concepts_dense(views.query_vectors(spark, sf), views.concept_vectors(spark, sf), k=1)
+    return b.select("term", "concept", r6(F.col("score")).alias("score"))
+
+
+@q("semantic_top3", """
+SELECT term, CAST(rn AS INTEGER) AS rank, concept, round(score, 6) AS score FROM (
+  SELECT q.term, c.concept, list_cosine_similarity(q.vector, c.vector) AS score,
+         row_number() OVER (PARTITION BY q.term ORDER BY list_cosine_similarity(q.vector, c.vector) DESC,
+                                                       c.concept) AS rn
+  FROM qvec q CROSS JOIN cvec c) z WHERE rn <= 3""", ("qvec", "cvec"))
+def semantic_top3(spark, sf):
+    """O3: top-3 concepts per term (the reference keeps rank 1)."""
+    b = semantic.best_concepts_dense(views.query_vectors(spark, sf), views.concept_vectors(spark, sf), k=3)
+    return b.select("term", "rank", "concept", r6(F.col("score")).alias("score"))
+
+
+# ======================================================================== M7 sparse, M8, A2-A8, E1
+BOW_CTES = f"""
+qt AS (SELECT term, len(tk) AS nq, unnest(tk) AS tok FROM (
+  SELECT term, list_distinct(regexp_extract_all(lower(term), {TOK})) AS tk
+  FROM (SELECT DISTINCT symptom_adjusted AS term FROM mentions WHERE symptom_adjusted IS NOT NULL) a) b),
+ct AS (SELECT key, label, len(tk) AS nc, unnest(tk) AS tok FROM (
+  SELECT symptoms AS key, abr_symptoms AS label, list_distinct(regexp_extract_all(lower(symptoms), {TOK})) AS tk
+  FROM dict) c),
+pr AS (SELECT term, key, label, CAST(count(*) AS DOUBLE) / sqrt(CAST(nq * nc AS DOUBLE)) AS score
+       FROM qt JOIN ct USING (tok) GROUP BY term, key, label, nq, nc),
+best AS (SELECT term, label AS semantics, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, key) AS rn FROM pr) r WHERE rn = 1)"""
+
+MAP_CTES = BOW_CTES + """,
+freq AS (SELECT symptom_adjusted, count(*) AS frequency FROM mentions WHERE symptom_adjusted IS NOT NULL GROUP BY 1),
+cut AS (SELECT f.symptom_adjusted, f.frequency, b.semantics, b.score FROM freq f
+        JOIN best b ON b.term = f.symptom_adjusted WHERE b.score > 0.45 AND b.semantics <> ''),
+mapped AS (SELECT semantics, sum(frequency) AS frequency FROM cut GROUP BY semantics),
+dim AS (SELECT DISTINCT abr_symptoms AS abr, categories AS category FROM dict),
+mcat AS (SELECT m.semantics AS symptom, d.category AS lancet_category FROM mapped m LEFT JOIN dim d ON d.abr = m.semantics),
+enr AS (SELECT mn.*, c.semantics, c.score FROM mentions mn LEFT JOIN cut c ON c.symptom_adjusted = mn.symptom_adjusted),
+enr2 AS (SELECT e.*, mc.symptom, mc.lancet_category FROM enr e LEFT JOIN mcat mc ON mc.symptom = e.semantics),
+f4 AS (SELECT symptom, count(*) AS frequency FROM enr2 WHERE symptom IS NOT NULL GROUP BY symptom),
+c4 AS (SELECT f4.symptom, f4.frequency, d.category AS lancet_category FROM f4 LEFT JOIN dim d ON d.abr = f4.symptom),
+k4 AS (SELECT * FROM c4 WHERE lancet_category IS NULL OR lancet_category NOT IN ('Noise')),
+tot AS (SELECT CAST(sum(frequency) AS DOUBLE) AS t FROM k4),
+cats AS (SELECT DISTINCT lancet_category FROM k4),
+fin AS (SELECT e.* FROM enr2 e WHERE EXISTS (
+  SELECT 1 FROM cats c WHERE c.lancet_category IS NOT DISTINCT FROM e.lancet_category))"""
+
+
+def _best_bow(spark, sf):
+    m = views.mentions(spark, sf)
+    terms = m.select(F.col("symptom_adjusted").alias("term")).filter(F.col("term").isNotNull()).distinct()
+    d = views.concept_dictionary(spark, sf)
+    return semantic.best_concepts_sparse(terms.withColumn("text", F.col("term")),
+                                         d.select(F.col("symptoms").alias("key"),
+                                                  F.col("abr_symptoms").alias("label"),
+                                                  F.col("symptoms").alias("text")))
+
+
+def _enriched(spark, sf):
+    return semantic.map_mentions(views.mentions(spark, sf), _best_bow(spark, sf),
+                                 views.concept_dictionary(spark, sf))
+
+
+def _shares(spark, sf, enriched=None):
+    e = enriched if enriched is not None else _enriched(spark, sf)
+    return report.concept_share(e, views.concept_dictionary(spark, sf))
+
+
+@q("semantic_bow", f"WITH {BOW_CTES} SELECT term, semantics, round(score, 6) AS score FROM best",
+   ("mentions", "dict"))
+def semantic_bow(spark, sf):
+    """M7 (sparse): best dictionary entry per distinct term by bag-of-words cosine."""
+    return _best_bow(spark, sf).select("term", "semantics", r6(F.col("score")).alias("score"))
+
+
+@q("term_frequency", """
+SELECT symptom_adjusted, count(*) AS frequency FROM mentions WHERE symptom_adjusted IS NOT NULL GROUP BY 1""",
+   ("mentions",))
+def term_frequency(spark, sf):
+    """A2: frequency per extracted term."""
+    return report.term_frequency(views.mentions(spark, sf))
+
+
+@q("semantic_concepts", f"WITH {MAP_CTES} SELECT semantics, sum(frequency) AS count FROM cut GROUP BY semantics",
+   ("mentions", "dict"))
+def semantic_concepts(spark, sf):
+    """F10 + A3: summed term frequency per mapped concept above the cut-off."""
+    freq = report.term_frequency(views.mentions(spark, sf))
+    b = _best_bow(spark, sf).withColumnRenamed("term", "symptom_adjusted")
+    return semantic.semantic_frequency(freq.join(b, "symptom_adjusted"))
+
+
+@q("map_mentions", f"""
+WITH {MAP_CTES}
+SELECT l_orderkey, l_linenumber, symptom, lancet_category, round(score, 6) AS score FROM enr2""",
+   ("mentions", "dict"))
+def map_mentions(spark, sf):
+    """M8 + J4-J6: every mention with its mapped concept, category and score."""
+    e = _enriched(spark, sf)
+    return e.select("l_orderkey", "l_linenumber", "symptom", "lancet_category", r6(F.col("score")).alias("score"))
+
+
+@q("concept_share", f"""
+WITH {MAP_CTES}
+SELECT symptom, frequency, lancet_category, round(CAST(100 AS DOUBLE) * frequency / (SELECT t FROM tot), 6) AS perc
+FROM k4""", ("mentions", "dict"))
+def concept_share(spark, sf):
+    """A4 + F11: concept frequency, category, percent of the total after noise removal."""
+    s = _shares(spark, sf)
+    return s.select("symptom", "frequency", "lancet_category", r6(F.col("perc")).alias("perc"))
+
+
+@q("category_share", f"""
+WITH {MAP_CTES}
+SELECT lancet_category, sum(frequency) AS count,
+       round(CAST(100 AS DOUBLE) * sum(frequency) / (SELECT t FROM tot), 6) AS perc
+FROM k4 WHERE lancet_category IS NOT NULL AND lancet_category NOT IN ('uncategorized', 'noise')
+GROUP BY lancet_category""", ("mentions", "dict"))
+def category_share(spark, sf):
+    """A5: category share over the A4 total."""
+    c = report.category_share(_shares(spark, sf))
+    return c.select("lancet_category", "count", r6(F.col("perc")).alias("perc"))
+
+
+@q("uncategorized_top", f"""
+WITH {MAP_CTES}
+SELECT symptom, frequency, round(CAST(100 AS DOUBLE) * frequency / (SELECT t FROM tot), 6) AS perc
+FROM k4 WHERE lancet_category = 'uncategorized' ORDER BY frequency DESC, symptom LIMIT 16""",
+   ("mentions", "dict"))
+def uncategorized_top(spark, sf):
+    """A6 + O2: the 16 most frequent uncategorized concepts (a top-k report)."""
+    u = report.uncategorized_top(_shares(spark, sf), 16)
+    return u.select("symptom", "frequency", r6(F.col("perc")).alias("perc"))
+
+
+@q("country_share", f"""
+WITH {MAP_CTES}
+SELECT country, count(*) AS count, round(count(*) / (SELECT t FROM tot), 6) AS perc
+FROM fin WHERE country IS NOT NULL GROUP BY country""", ("mentions", "dict"))
+def country_share(spark, sf):
+    """A7 + F13: mentions per country among the reported categories, fraction of the total."""
+    e = _enriched(spark, sf)
+    c = report.country_share(e, _shares(spark, sf, e))
+    return c.select("country", "count", r6(F.col("perc")).alias("perc"))
+
+
+@q("category_country", f"""
+WITH {MAP_CTES},
+bm AS (SELECT lancet_category AS category, sum(frequency) AS bm FROM k4 GROUP BY 1),
+g AS (SELECT lancet_category AS category, country, count(*) AS n FROM fin WHERE country IS NOT NULL GROUP BY 1, 2),
+x AS (SELECT g.category, g.country, CAST(100 AS DOUBLE) * g.n / bm.bm AS perc
+      FROM g JOIN bm ON g.category IS NOT DISTINCT FROM bm.category)
+SELECT category, country, round(perc, 6) AS perc FROM x WHERE perc >= 1""", ("mentions", "dict"))
+def category_country(spark, sf):
+    """A8 (long form): percent of a category's mentions per country, cells under 1 dropped."""
+    e = _enriched(spark, sf)
+    c = report.category_country_long(e, _shares(spark, sf, e))
+    return c.select("category", "country", r6(F.col("perc")).alias("perc"))
+
+
+@q("category_country_matrix")
+def category_country_matrix(spark, sf):
+    """A8 as the pivoted category x country matrix (one column per country)."""
+    e = _enriched(spark, sf)
+    return report.category_country_matrix(e, _shares(spark, sf, e))
+
+
+@q("month_trend", f"""
+WITH {MAP_CTES}
+SELECT strftime(CAST(created_date AS DATE), '%Y-%m') AS month, symptom AS concept, count(*) AS count
+FROM enr2 WHERE symptom IS NOT NULL GROUP BY 1, 2""", ("mentions", "dict"))
+def month_trend(spark, sf):
+    """Mapped-concept mentions per month."""
+    return report.month_trend(_enriched(spark, sf), "created_date")

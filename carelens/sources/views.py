@@ -257,19 +257,23 @@ SCORES_SQL = """scores AS (
 
 # ---------------------------------------------------------------- entity stand-ins
 def entity_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """events -> one extracted entity per row (event_id, doc, text, type)."""
+    """events -> one extracted entity per row (event_id, doc, text, type).
+
+    A text's entities are 8 consecutive events, so every text holds a bounded list,
+    as model output per text does.
+    """
     e = table(spark, sf, "events")
     typ = (F.when(F.col("event_type") == "error", F.lit("PROBLEM"))
            .when(F.col("event_type") == "purchase", F.lit("TREATMENT"))
            .when(F.col("event_type") == "click", F.lit("TEST"))
            .otherwise(F.upper("event_type")))
-    return e.select("event_id", F.col("user_id").alias("doc"),
+    return e.select("event_id", F.floor(F.col("event_id") / 8).cast("bigint").alias("doc"),
                     F.concat(F.lit("term "), F.get_json_object("props", "$.k")).alias("text"),
                     typ.alias("type"))
 
 
 ENTITY_SQL = """ents AS (
-  SELECT event_id, user_id AS doc, 'term ' || json_extract_string(props, '$.k') AS text,
+  SELECT event_id, CAST(floor(event_id / 8) AS BIGINT) AS doc, 'term ' || json_extract_string(props, '$.k') AS text,
          CASE event_type WHEN 'error' THEN 'PROBLEM' WHEN 'purchase' THEN 'TREATMENT'
                          WHEN 'click' THEN 'TEST' ELSE upper(event_type) END AS type
   FROM events)"""
@@ -318,23 +322,27 @@ TERMS_SQL = """terms AS (
 def passage_lexicon(spark: SparkSession, sf: str) -> DataFrame:
     """benchmark -> lexicon rows (Symptom, CUI, LexicalExpression).
 
-    Each sentence of each benchmark passage is one lexical expression of the concept
-    ``passage <item_id>``; documents quote whole passages, so expressions of 1 to ~40 words
-    occur in the texts and overlap each other.
+    Every sentence of a benchmark passage, and every comma-separated clause of it, is a
+    lexical expression of the concept ``passage <item_id>``.  Documents quote whole
+    passages, so expressions of 1 to ~35 words occur in the texts, clauses nest inside
+    their sentences, and short clauses also match elsewhere: overlaps are common.
     """
     b = table(spark, sf, "benchmark")
-    s = b.select("item_id", F.explode(F.split(F.col("text"), r"[.\n]")).alias("expr"))
-    return s.select(
+    s = b.select("item_id", F.explode(F.array_union(F.split(F.col("text"), r"[.\n]"),
+                                                    F.split(F.col("text"), r"[.,\n]"))).alias("expr"))
+    out = s.select(
         F.concat(F.lit("passage "), _s("item_id")).alias("Symptom"),
         F.concat(F.lit("B"), _s("item_id")).alias("CUI"),
         F.trim(F.col("expr")).alias("LexicalExpression"),
-    ).filter(F.col("LexicalExpression") != "")
+    )
+    return out.filter(F.col("LexicalExpression") != "")
 
 
 LEXICON_SQL = """lexicon AS (
-  SELECT 'passage ' || CAST(item_id AS VARCHAR) AS "Symptom", 'B' || CAST(item_id AS VARCHAR) AS "CUI",
+  SELECT DISTINCT 'passage ' || CAST(item_id AS VARCHAR) AS "Symptom", 'B' || CAST(item_id AS VARCHAR) AS "CUI",
          trim(e) AS "LexicalExpression"
-  FROM (SELECT item_id, unnest(regexp_split_to_array(text, '[.\\n]')) AS e FROM benchmark) z
+  FROM (SELECT item_id, unnest(list_concat(regexp_split_to_array(text, '[.\n]'),
+                                           regexp_split_to_array(text, '[.,\n]'))) AS e FROM benchmark) z
   WHERE trim(e) <> '')"""
 
 
