@@ -407,3 +407,40 @@ FROM enr2 WHERE symptom IS NOT NULL GROUP BY 1, 2""", ("mentions", "dict"))
 def month_trend(spark, sf):
     """Mapped-concept mentions per month."""
     return report.month_trend(_enriched(spark, sf), "created_date")
+
+
+# ======================================================================== streaming
+from ..streaming import stream  # noqa: E402
+from .queries import ORACLE as _ORACLE  # noqa: E402
+
+
+@q("stream_clean")
+def stream_clean(spark, sf):
+    """ST1 + ST2: the shipped cleaning chain as a file-stream query (availableNow, checkpointed)."""
+    out = stream.run_to_parquet(stream.clean_post_stream(spark, sf, bits=256), "stream-clean")
+    return out.select("created_utc", "text", F.col("user.username").alias("username"),
+                      F.col("user.description").alias("description"), F.col("user.location").alias("location"))
+
+
+_ORACLE["stream_clean"] = _ORACLE["pass_chain"]
+
+
+@q("stream_unique", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_unique(spark, sf):
+    """ST3: watermark de-duplication of (user, event type) over the event stream."""
+    out = stream.run_to_parquet(stream.unique_events_stream(spark, sf), "stream-unique")
+    return out.select("user_id", "event_type")
+
+
+@q("stream_unique_text", "SELECT DISTINCT sha256(text) AS text_sha FROM documents")
+def stream_unique_text(spark, sf):
+    """ST3 / F8 across micro-batches: one row per distinct document text."""
+    out = stream.run_to_parquet(stream.unique_text_stream(spark, sf), "stream-unique-text")
+    return out.select("text_sha")
+
+
+@q("stream_daily", """
+SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS count FROM events GROUP BY 1, 2""")
+def stream_daily(spark, sf):
+    """E1 streaming: events per day and type, complete-mode windowed aggregate."""
+    return stream.run_to_parquet(stream.daily_counts_stream(spark, sf), "stream-daily", "complete")

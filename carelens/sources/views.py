@@ -34,8 +34,13 @@ def posts(spark: SparkSession, sf: str) -> DataFrame:
     page URL and an HTML entity when a page shares the document's id, and by a banned
     product name for two of the languages (once inside a sentence, once at the very end).
     """
-    d = table(spark, sf, "documents")
-    p = table(spark, sf, "pages").select("page_id", "url")
+    return posts_from(table(spark, sf, "documents"), table(spark, sf, "pages"))
+
+
+def posts_from(documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """The posts view over given documents (batch or streaming) and a static pages table."""
+    d = documents
+    p = pages.select("page_id", "url")
     j = d.join(p, d.doc_id == p.page_id, "left")
     text = F.concat(
         F.lit("@"), F.col("source"), F.lit(" "), F.col("text"),
