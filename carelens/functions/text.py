@@ -78,25 +78,46 @@ def remove_stopwords(c: ColumnOrName, stopwords: list[str] | None = None) -> Col
 
 
 def expand_contractions(c: ColumnOrName) -> Column:
-    """Expand English contractions with the library's own table (whole words first)."""
-    x = _c(c)
+    """Expand English contractions with the library's own table (whole words first).
+
+    The replacement passes only run on rows that contain an apostrophe; every other row
+    passes through after one substring test.
+    """
+    src = _c(c)
     # curly apostrophes count as apostrophes
-    x = F.regexp_replace(x, "’", "'")
+    x = F.regexp_replace(src, "’", "'")
     for word, full in CONTRACTION_WORDS:
         x = F.regexp_replace(x, f"(?i)(?<![A-Za-z0-9_']){escape_literal(word)}(?![A-Za-z0-9_'])", full)
     for suffix, full in CONTRACTION_SUFFIXES:
         x = F.regexp_replace(x, f"(?i)(?<=[A-Za-z]){escape_literal(suffix)}(?![A-Za-z0-9_'])", full)
-    return x
+    return F.when(src.contains("'") | src.contains("’"), x).otherwise(src)
 
 
 # T8 pattern: a mention of ASCII letters/digits, any character that is not an ASCII
-# letter, digit, blank or tab, or a URL-like token; each becomes a blank.
+# letter, digit, blank or tab, or a URL-like token; each becomes a blank.  This is the
+# reference form (used by the SQL oracle, whose engine is linear-time).
 TERM_NOISE = r"(@[A-Za-z0-9]+)|([^0-9A-Za-z \t])|(" + WORD + r"+://" + NON_SPACE + "+)"
+# Same matches for a backtracking engine: a URL token can only begin where no word
+# character precedes it or right where the previous match ended (``\G``): at any other
+# position inside a word the scan already tried the URL from the word's first
+# unconsumed character.  Without the anchor every suffix of every word is rescanned.
+# Runs of noise characters are replaced at once (the blanks are collapsed afterwards
+# anyway); ``@`` stays out of the run so the mention branch keeps its turn at every ``@``.
+TERM_NOISE_FAST = (r"(@[A-Za-z0-9]+)|([^0-9A-Za-z \t@]+)|(@)|((?:(?<!" + WORD + r")|\G)" + WORD
+                   + r"++://" + NON_SPACE + "+)")
+TERM_NOISE_NO_URL = r"(@[A-Za-z0-9]+)|([^0-9A-Za-z \t@]+)|(@)"
 
 
 def clean_term(c: ColumnOrName) -> Column:
-    """Term cleaner: noise to blank, white space collapsed, lower case."""
-    return F.lower(collapse_ws(F.regexp_replace(_c(c), TERM_NOISE, " ")))
+    """Term cleaner: noise to blank, white space collapsed, lower case.
+
+    Texts without ``://`` cannot hold the URL alternative, so they use the two-branch
+    pattern; the others use the anchored form.
+    """
+    x = _c(c)
+    noise = F.when(x.contains("://"), F.regexp_replace(x, TERM_NOISE_FAST, " ")).otherwise(
+        F.regexp_replace(x, TERM_NOISE_NO_URL, " "))
+    return F.lower(collapse_ws(noise))
 
 
 def epoch_to_utc_date(c: ColumnOrName) -> Column:

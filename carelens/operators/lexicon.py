@@ -77,7 +77,10 @@ def _raw_hits(docs: DataFrame, norm: DataFrame, id_col: str, text: str,
     if is_small(anchors, broadcast_rows):
         anchors = F.broadcast(anchors)
     t = docs.select(F.col(id_col).alias("__id"), tokenize(text).alias("__toks"))
-    ex = t.select("__id", "__toks", F.posexplode("__toks").alias("__pos", "__tok"))
+    # the outer form keeps Catalyst from inferring a size(tokens) > 0 filter that it would
+    # push below the scan's exchange, tokenizing every text twice
+    ex = t.select("__id", "__toks", F.posexplode_outer("__toks").alias("__pos", "__tok"))
+    ex = ex.filter(F.col("__tok").isNotNull())
     j = ex.join(anchors, F.col("__tok") == F.col("anchor"))
     start = F.col("__pos") - F.col("anchor_k")
     fits = (start >= 0) & (start + F.col("width") <= F.size("__toks"))
@@ -106,13 +109,24 @@ def lexicon_hits(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", te
 def resolve_overlaps(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Leftmost-longest, non-overlapping selection per text.
 
-    Groups the verified matches of a text (bounded by the text's length), sorts them by
-    (start, longer first) and folds left to right keeping a span when it starts at or
-    after the end of the last kept span.  Input needs (id, start, width, etokens);
-    returns the kept rows with the same columns.
+    Greedy rule: walk spans by (start, longer first) and keep a span when it starts at or
+    after the end of the last kept span.  The walk is split into independent clusters:
+    a span that starts at or after the end of *every* earlier span is kept whatever came
+    before, so it opens a new cluster (running maximum of earlier ends, one window per
+    text).  Only spans inside a cluster - a run of mutually overlapping matches - are
+    folded sequentially, so the cost stays linear in the number of matches instead of
+    quadratic per text.  Clusters are grouped under the text's partitioning (the window's
+    shuffle is reused), so the matches cross the network once.  Input needs (id, start,
+    width, etokens) with unique text ids (each distinct token sequence has one anchor, so
+    a span is proposed once); returns the kept rows.
     """
-    spans = hits.select(id_col, "start", "width", "etokens").distinct()
-    g = spans.groupBy(id_col).agg(
+    spans = hits.select(id_col, "start", "width", "etokens")
+    w = Window.partitionBy(id_col).orderBy(F.col("start"), F.col("width").desc())
+    prev_end = F.max(F.col("start") + F.col("width")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    head = (prev_end.isNull() | (F.col("start") >= prev_end)).cast("int")
+    spans = spans.withColumn("__head", head)
+    spans = spans.withColumn("__cl", F.sum("__head").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    g = spans.groupBy(id_col, "__cl").agg(
         F.array_sort(F.collect_list(F.struct(F.col("start").alias("s"), (-F.col("width")).alias("nw"),
                                              F.col("etokens").alias("t")))).alias("c"))
     init = F.struct(F.lit(-1).cast("int").alias("end"),

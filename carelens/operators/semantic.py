@@ -135,10 +135,12 @@ def best_concepts_sparse(terms: DataFrame, dictionary: DataFrame, term: str = "t
     smaller ``key``.  Terms sharing no token with any entry get no row.
     """
     qt = terms.select(F.col(term).alias("term"), F.array_distinct(tokenize(text)).alias("tk"))
-    qt = qt.select("term", F.size("tk").alias("nq"), F.explode("tk").alias("tok"))
+    qt = qt.select("term", F.size("tk").alias("nq"), F.explode_outer("tk").alias("tok")).filter(
+        F.col("tok").isNotNull())
     ct = dictionary.select(F.col(key).alias("key"), F.col(label).alias("label"),
                            F.array_distinct(tokenize(text)).alias("tk"))
-    ct = ct.select("key", "label", F.size("tk").alias("nc"), F.explode("tk").alias("tok"))
+    ct = ct.select("key", "label", F.size("tk").alias("nc"), F.explode_outer("tk").alias("tok")).filter(
+        F.col("tok").isNotNull())
     if is_small(ct, broadcast_rows):
         ct = F.broadcast(ct)
     pairs = qt.join(ct, "tok").groupBy("term", "key", "label", "nq", "nc").agg(

@@ -102,3 +102,14 @@ def test_link_and_truncate(spark):
 def test_banned_list_shape():
     assert len(BANNED_TERMS) == 142
     assert len(set(BANNED_TERMS)) == 135
+
+
+def test_term_clean_random_against_python(spark):
+    import random
+    rnd = random.Random(11)
+    alphabet = ["a", "é", "_", "@", ":", "/", " ", "h", "t", "p", "1", "://", "http://", "\t", "\n", "Ü", "x",
+                "@@", ".", "@a", "é://", "a.b"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 30))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(T.clean_term("t")).collect()]
+    assert got == [py_term(t) for t in texts]
