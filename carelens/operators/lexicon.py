@@ -71,10 +71,14 @@ def anchor_table(norm: DataFrame) -> DataFrame:
 
 
 def _raw_hits(docs: DataFrame, norm: DataFrame, id_col: str, text: str,
-              broadcast_rows: int) -> DataFrame:
-    """Verified occurrences (id, start, width, etokens), overlaps included."""
+              small: bool) -> DataFrame:
+    """Verified occurrences (id, start, width, etokens), overlaps included.
+
+    ``small``: the lexicon passed the size check, so its anchor table (at most one row
+    per expression) is broadcast; otherwise the anchor join is a shuffle join on tokens.
+    """
     anchors = anchor_table(norm)
-    if is_small(anchors, broadcast_rows):
+    if small:
         anchors = F.broadcast(anchors)
     t = docs.select(F.col(id_col).alias("__id"), tokenize(text).alias("__toks"))
     # the outer form keeps Catalyst from inferring a size(tokens) > 0 filter that it would
@@ -89,9 +93,9 @@ def _raw_hits(docs: DataFrame, norm: DataFrame, id_col: str, text: str,
         F.col("__id").alias(id_col), start.alias("start"), "width", "etokens")
 
 
-def _names(norm: DataFrame, broadcast_rows: int) -> DataFrame:
+def _names(norm: DataFrame, small: bool) -> DataFrame:
     names = norm.select(F.col("tokens").alias("etokens"), "expression", "concept", "code")
-    return F.broadcast(names) if is_small(names, broadcast_rows) else names
+    return F.broadcast(names) if small else names
 
 
 def lexicon_hits(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text: str = "text",
@@ -101,9 +105,10 @@ def lexicon_hits(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", te
     Returns (id, start, width, expression, concept, code); ``start`` is the 0-based token
     position.
     """
+    small = is_small(lexicon, broadcast_rows)     # one bounded count bounds both derived tables
     norm = lexicon if normalized else normalize_lexicon(lexicon)
-    hits = _raw_hits(docs, norm, id_col, text, broadcast_rows)
-    return hits.join(_names(norm, broadcast_rows), "etokens").drop("etokens")
+    hits = _raw_hits(docs, norm, id_col, text, small)
+    return hits.join(_names(norm, small), "etokens").drop("etokens")
 
 
 def resolve_overlaps(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -146,9 +151,10 @@ def lexicon_matches(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
                     broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """M2: non-overlapping matches with their concepts: (id, start, width, expression,
     concept, code).  An expression listed under several concepts gives one row each."""
+    small = is_small(lexicon, broadcast_rows)
     norm = normalize_lexicon(lexicon)
-    kept = resolve_overlaps(_raw_hits(docs, norm, id_col, text, broadcast_rows), id_col)
-    return kept.join(_names(norm, broadcast_rows), "etokens").drop("etokens")
+    kept = resolve_overlaps(_raw_hits(docs, norm, id_col, text, small), id_col)
+    return kept.join(_names(norm, small), "etokens").drop("etokens")
 
 
 def concept_counts(matches: DataFrame, id_col: str = "doc_id") -> DataFrame:

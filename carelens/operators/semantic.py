@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import SEMANTIC_CUTOFF
 from .lexicon import tokenize
 from .select import similarity_cutoff
-from .sizing import DEFAULT_BROADCAST_ROWS, bounded_count, is_small
+from .sizing import DEFAULT_BROADCAST_ROWS, bounded_count, is_small, sized_broadcast
 
 # Dictionary rows broadcast as one matrix (x dimension x 8 bytes must fit executors).
 DENSE_BROADCAST_ROWS = 200_000
@@ -174,11 +174,12 @@ def map_mentions(mentions: DataFrame, best: DataFrame, dictionary: DataFrame,
     b = best.select(F.col("term").alias(term), "semantics", "score")
     cut = similarity_cutoff(freq.join(b, term), "score", "semantics", cutoff)
     mapped = cut.groupBy("semantics").agg(F.sum("frequency").alias("frequency"))
-    dim = F.broadcast(distinct_dictionary(dictionary, abr, category))
+    dim = sized_broadcast(distinct_dictionary(dictionary, abr, category))
     mapped_cat = mapped.join(dim, F.col("semantics") == F.col("abr"), "left").select(
         F.col("semantics").alias("symptom"), F.col("category").alias("lancet_category"))
-    enriched = mentions.join(cut.select(term, "semantics", "score"), term, "left")
-    enriched = enriched.join(F.broadcast(mapped_cat), F.col("semantics") == F.col("symptom"), "left")
+    # one row per distinct term: broadcast after the check, so a hot term is no hot partition
+    enriched = mentions.join(sized_broadcast(cut.select(term, "semantics", "score")), term, "left")
+    enriched = enriched.join(sized_broadcast(mapped_cat), F.col("semantics") == F.col("symptom"), "left")
     return enriched.drop("semantics")
 
 

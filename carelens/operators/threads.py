@@ -13,11 +13,21 @@ def merge_threads(subs: DataFrame, comments: DataFrame, check_unique: bool = Fal
     link id (drop ``t3_``) and left join: every submission, with each of its comments.
 
     ``check_unique`` runs Q2 and raises on a duplicate (sub_id, comm_id).
+
+    Written as (submissions JOIN comments) UNION ALL (submissions without comments) rather
+    than one left join: a submission holding a large share of all comments is a hot key
+    on the comment side, and adaptive skew handling can split both sides of an inner join
+    but only the preserved side of a left join.  The anti join reads only the distinct
+    comment keys (partially aggregated before the shuffle), so the hot key shrinks to one row.
     """
     s = subs.select(*[F.col(c).alias("sub_" + c) for c in subs.columns])
     c = comments.select(*[F.col(x).alias("comm_" + x) for x in comments.columns])
     c = c.withColumn("comm_sub_id", link_parent_id("comm_link_id"))
-    out = s.join(c, F.col("sub_id") == F.col("comm_sub_id"), "left")
+    matched = s.join(c, F.col("sub_id") == F.col("comm_sub_id"), "inner")
+    keys = c.select(F.col("comm_sub_id").alias("__k")).filter(F.col("__k").isNotNull()).distinct()
+    lonely = s.join(keys, F.col("sub_id") == F.col("__k"), "left_anti")
+    lonely = lonely.select(*s.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in c.schema.fields])
+    out = matched.unionByName(lonely)
     if check_unique:
         from .quality import duplicate_keys
         if duplicate_keys(out, ["sub_id", "comm_id"]).limit(1).count():

@@ -10,7 +10,7 @@ from ..operators import classify, entities, infer, keywords, lexicon, normalize,
 from ..sources import views
 from ..sources.tables import table
 from .flagship import flagship
-from .queries import lit, q, r6
+from .queries import ORACLE, lit, q, r6
 
 # ======================================================================== M1 keyword spans
 KEYWORDS = ["the", "of the", "and", "tion", "src1", "example.com", "Tamiflu", "ing"]
@@ -296,9 +296,15 @@ def _enriched(spark, sf):
                                  views.concept_dictionary(spark, sf))
 
 
-def _shares(spark, sf, enriched=None):
-    e = enriched if enriched is not None else _enriched(spark, sf)
-    return report.concept_share(e, views.concept_dictionary(spark, sf))
+def _cube(spark, sf):
+    """Mentions aggregated once to (symptom, category, country, month) counts and written to
+    the shared checkpoint folder; every report below reads this small table."""
+    return report.mention_cube(_enriched(spark, sf)).checkpoint(eager=True)
+
+
+def _shares(spark, sf, cube=None):
+    c = cube if cube is not None else _cube(spark, sf)
+    return report.concept_share(c, views.concept_dictionary(spark, sf), count_col="n").checkpoint(eager=True)
 
 
 @q("semantic_bow", f"WITH {BOW_CTES} SELECT term, semantics, round(score, 6) AS score FROM best",
@@ -374,8 +380,8 @@ SELECT country, count(*) AS count, round(count(*) / (SELECT t FROM tot), 6) AS p
 FROM fin WHERE country IS NOT NULL GROUP BY country""", ("mentions", "dict"))
 def country_share(spark, sf):
     """A7 + F13: mentions per country among the reported categories, fraction of the total."""
-    e = _enriched(spark, sf)
-    c = report.country_share(e, _shares(spark, sf, e))
+    cube = _cube(spark, sf)
+    c = report.country_share(cube, _shares(spark, sf, cube), count_col="n")
     return c.select("country", "count", r6(F.col("perc")).alias("perc"))
 
 
@@ -388,16 +394,24 @@ x AS (SELECT g.category, g.country, CAST(100 AS DOUBLE) * g.n / bm.bm AS perc
 SELECT category, country, round(perc, 6) AS perc FROM x WHERE perc >= 1""", ("mentions", "dict"))
 def category_country(spark, sf):
     """A8 (long form): percent of a category's mentions per country, cells under 1 dropped."""
-    e = _enriched(spark, sf)
-    c = report.category_country_long(e, _shares(spark, sf, e))
+    cube = _cube(spark, sf)
+    c = report.category_country_long(cube, _shares(spark, sf, cube), count_col="n")
     return c.select("category", "country", r6(F.col("perc")).alias("perc"))
 
 
-@q("category_country_matrix")
+@q("category_country_matrix", f"""
+WITH {MAP_CTES},
+bm AS (SELECT lancet_category AS category, sum(frequency) AS bm FROM k4 GROUP BY 1),
+g AS (SELECT lancet_category AS category, country, count(*) AS n FROM fin WHERE country IS NOT NULL GROUP BY 1, 2),
+x AS (SELECT g.category, g.country, CAST(100 AS DOUBLE) * g.n / bm.bm AS perc
+      FROM g JOIN bm ON g.category IS NOT DISTINCT FROM bm.category),
+x2 AS (SELECT category, country, round(perc, 6) AS perc FROM x WHERE perc >= 1)
+SELECT * FROM (PIVOT x2 ON country USING first(perc) GROUP BY category) p""", ("mentions", "dict"))
 def category_country_matrix(spark, sf):
-    """A8 as the pivoted category x country matrix (one column per country)."""
-    e = _enriched(spark, sf)
-    return report.category_country_matrix(e, _shares(spark, sf, e))
+    """A8 as the pivoted category x country matrix (one column per country with a cell >= 1)."""
+    cube = _cube(spark, sf)
+    m = report.category_country_matrix(cube, _shares(spark, sf, cube), count_col="n")
+    return m.select("category", *[r6(F.col(f"`{c}`")).alias(c) for c in m.columns if c != "category"])
 
 
 @q("month_trend", f"""
@@ -406,7 +420,7 @@ SELECT strftime(CAST(created_date AS DATE), '%Y-%m') AS month, symptom AS concep
 FROM enr2 WHERE symptom IS NOT NULL GROUP BY 1, 2""", ("mentions", "dict"))
 def month_trend(spark, sf):
     """Mapped-concept mentions per month."""
-    return report.month_trend(_enriched(spark, sf), "created_date")
+    return report.month_trend(_cube(spark, sf), "month", count_col="n", is_month=True)
 
 
 # ======================================================================== streaming
@@ -444,3 +458,142 @@ SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS count FROM event
 def stream_daily(spark, sf):
     """E1 streaming: events per day and type, complete-mode windowed aggregate."""
     return stream.run_to_parquet(stream.daily_counts_stream(spark, sf), "stream-daily", "complete")
+
+
+# ======================================================================== sources and sinks
+from .. import schemas  # noqa: E402
+from ..operators import select as SEL  # noqa: E402
+from ..operators import users as USERS  # noqa: E402
+from ..functions import text as TXT  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources import readers, sinks  # noqa: E402
+
+
+@q("json_roundtrip", "SELECT id, author_id, text FROM posts", ("posts",))
+def json_roundtrip(spark, sf):
+    """S9 + S1 + S10: posts written as JSON (refusing to overwrite), appended with sorted
+    keys, and read back with the explicit post schema."""
+    p = views.posts(spark, sf).select("id", "author_id", "text", "lang")
+    path = scratch_path(spark, "posts-json")
+    sinks.append_json_sorted(p, path)
+    back = readers.read_posts(spark, path, schemas.POST, multiline=False)
+    return back.select("id", "author_id", "text")
+
+
+@q("csv_roundtrip", """
+SELECT symptom_adjusted, count(*) AS frequency FROM mentions WHERE symptom_adjusted IS NOT NULL GROUP BY 1""",
+   ("mentions",))
+def csv_roundtrip(spark, sf):
+    """S11 + S8: the mention table written as CSV with a header and read back (all strings,
+    as a sheet export is), then counted per term (A2)."""
+    path = scratch_path(spark, "mentions-csv")
+    sinks.write_table(views.mentions(spark, sf), path, fmt="csv")
+    back = readers.read_delimited(spark, path)
+    return report.term_frequency(back)
+
+
+@q("entity_sink", """
+SELECT type, text, count(*) AS frequency FROM ents
+WHERE type IN ('PROBLEM', 'TREATMENT', 'TEST') GROUP BY type, text""", ("ents",))
+def entity_sink(spark, sf):
+    """Entity frequencies written as one table partitioned by entity type, read back."""
+    path = scratch_path(spark, "entity-freq")
+    sinks.write_entity_frequencies(entities.entity_frequency(views.entity_rows(spark, sf)), path)
+    return spark.read.parquet(path).select("type", "text", "frequency")
+
+
+@q("lexicon_file", f"""
+WITH {LEX_CTES}
+SELECT concept, count(*) AS expressions FROM lxx GROUP BY concept""", ("lexicon",))
+def lexicon_file(spark, sf):
+    """The lexicon written as a tab-separated file with a header (and a byte-order mark
+    in a data row, as the shipped file has), read back and normalized."""
+    lex = views.passage_lexicon(spark, sf)
+    lex = lex.withColumn("Symptom", F.concat(F.lit("﻿"), F.col("Symptom")))
+    path = scratch_path(spark, "lexicon-tsv")
+    lex.write.option("header", True).option("sep", "\t").csv(path)
+    norm = lexicon.normalize_lexicon(readers.read_lexicon(spark, path))
+    return norm.groupBy("concept").agg(F.count(F.lit(1)).alias("expressions"))
+
+
+@q("stage_output", "SELECT id, lang FROM posts WHERE lang = 'en'", ("posts",))
+def stage_output(spark, sf):
+    """S14 (batch): a stage output written to the shared folder and read back (lineage cut)."""
+    p = views.posts(spark, sf).filter(F.col("lang") == "en").select("id", "lang")
+    return sinks.stage_output(p, scratch_path(spark, "stage"))
+
+
+# ======================================================================== more selection / reports
+FIELDS_CFG = SEL.CollectConfig(include=("the", "and"), language=("en",), fields=("text", "created_at"))
+
+
+@q("collect_fields", f"""
+SELECT p.id, p.text, CAST(p.created_at AS VARCHAR) AS created_at, u.id AS user_id
+FROM posts p LEFT JOIN users u ON u.id = p.author_id
+WHERE p.lang = 'en' AND regexp_matches(lower(p.text), {lit(SEL.word_set_pattern(FIELDS_CFG.include))})""",
+   ("posts", "users"))
+def collect_fields(spark, sf):
+    """F1 + F3: posts with either phrase, projected to the configured fields plus the user record."""
+    p = USERS.attach_users(views.posts(spark, sf), views.users(spark, sf))
+    out = SEL.collect(p, FIELDS_CFG, time_col=None)
+    return out.select("id", "text", F.col("created_at").cast("string").alias("created_at"),
+                      F.col("user.id").alias("user_id"))
+
+
+@q("first_texts", "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 100")
+def first_texts(spark, sf):
+    """process only the first n texts (n = 100 here; -1 keeps all)."""
+    d = table(spark, sf, "documents").select("doc_id", "n_chars")
+    return SEL.first_n(d, 100, "doc_id")
+
+
+@q("concept_share_over1", f"""
+WITH {MAP_CTES}
+SELECT symptom, round(CAST(100 AS DOUBLE) * frequency / (SELECT t FROM tot), 6) AS perc FROM k4
+WHERE lancet_category IS NULL OR lancet_category NOT IN ('uncategorized', 'noise')""", ("mentions", "dict"))
+def concept_share_over1(spark, sf):
+    """F11 + F12: plotted concepts: categorized rows of A4 whose share is above 1 %."""
+    s = SEL.exclude_categories(_shares(spark, sf), "lancet_category", ["uncategorized", "noise"])
+    s = SEL.share_filter(s, "perc", 1.0)
+    return s.select("symptom", r6(F.col("perc")).alias("perc"))
+
+
+ORACLE["concept_share_over1"] = ORACLE["concept_share_over1"].replace(
+    "WHERE lancet_category IS NULL OR lancet_category NOT IN ('uncategorized', 'noise')",
+    "WHERE (lancet_category IS NULL OR lancet_category NOT IN ('uncategorized', 'noise')) "
+    "AND CAST(100 AS DOUBLE) * frequency / (SELECT t FROM tot) > 1")
+
+
+@q("user_demographics", "SELECT id, length(username) AS prediction FROM users", ("users",))
+def user_demographics(spark, sf):
+    """J2 + M9: per-user predictions from a batch predictor joined back to the users
+    (stand-in predictor: length of the user name)."""
+    u = views.users(spark, sf)
+    pred = infer.score_batches(u.select("id", "username"),
+                               lambda: infer.CharCountPredictor("username", "prediction"),
+                               "id string, prediction long")
+    out = USERS.attach_predictions(u, pred, "id")
+    return out.select("id", F.col("demographic_info.prediction").alias("prediction"))
+
+
+@q("default_clean")
+def default_clean(spark, sf):
+    """Default cleaning order (contractions, special characters) on the posts."""
+    return views.posts(spark, sf).select("id", TXT.default_clean("text").alias("text"))
+
+
+@q("vocabulary_size", f"""
+WITH {NORM_CTES}
+SELECT count(DISTINCT replace(coalesce(v, t), ' ', '_')) AS n_terms FROM nj WHERE keep""", ("terms", "dict"))
+def vocabulary_size(spark, sf):
+    """Number of distinct normalized terms."""
+    return normalize.vocabulary_size(_normalized(spark, sf), "normalized_symptom_list")
+
+
+@q("term_totals", """
+SELECT sum(frequency) AS total, count(*) AS n_terms FROM (
+  SELECT symptom_adjusted, count(*) AS frequency FROM mentions WHERE symptom_adjusted IS NOT NULL GROUP BY 1) z""",
+   ("mentions",))
+def term_totals(spark, sf):
+    """A2: total term occurrences and number of distinct terms."""
+    return report.frequency_totals(report.term_frequency(views.mentions(spark, sf)))

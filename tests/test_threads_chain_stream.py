@@ -55,9 +55,10 @@ def test_pass_chain_rejects_non_callables():
 
 
 def test_stream_equals_batch(spark):
-    streamed = Q.QUERIES["stream_clean"](spark, SF001)
-    batch = Q.QUERIES["pass_chain"](spark, SF001)
+    qs = Q.registry()[0]
+    streamed = qs["stream_clean"](spark, SF001)
+    batch = qs["pass_chain"](spark, SF001)
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
-    u = Q.QUERIES["stream_unique"](spark, SF001)
+    u = qs["stream_unique"](spark, SF001)
     ev = spark.read.parquet(f"{SF001}/events.parquet").select("user_id", "event_type").distinct()
     assert u.count() == ev.count() and u.exceptAll(ev).count() == 0
