@@ -103,9 +103,12 @@ TERM_NOISE = r"(@[A-Za-z0-9]+)|([^0-9A-Za-z \t])|(" + WORD + r"+://" + NON_SPACE
 # unconsumed character.  Without the anchor every suffix of every word is rescanned.
 # Runs of noise characters are replaced at once (the blanks are collapsed afterwards
 # anyway); ``@`` stays out of the run so the mention branch keeps its turn at every ``@``.
-TERM_NOISE_FAST = (r"(@[A-Za-z0-9]+)|([^0-9A-Za-z \t@]+)|(@)|((?:(?<!" + WORD + r")|\G)" + WORD
+# The run class is written as the explicit complement of [0-9A-Za-z blank tab @]: the
+# JVM engine evaluates this positive form about 20x faster than the negated one.
+NOISE_RUN = r"[\x00-\x08\x0a-\x1f!-/:-?\[-`{-\x{10FFFF}]+"
+TERM_NOISE_FAST = (r"(@[A-Za-z0-9]+)|(" + NOISE_RUN + r")|(@)|((?:(?<!" + WORD + r")|\G)" + WORD
                    + r"++://" + NON_SPACE + "+)")
-TERM_NOISE_NO_URL = r"(@[A-Za-z0-9]+)|([^0-9A-Za-z \t@]+)|(@)"
+TERM_NOISE_NO_URL = r"(@[A-Za-z0-9]+)|(" + NOISE_RUN + r")|(@)"
 
 
 def clean_term(c: ColumnOrName) -> Column:

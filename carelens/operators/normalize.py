@@ -2,8 +2,8 @@
 
 Per term: clean (T8), drop if in the remove list, replace through the mapping table if
 present, blanks to underscores; per row the distinct results.  The mapping and remove
-list are tables joined on the cleaned term (broadcast after a size check), so they can
-be arbitrarily large; the per-row regrouping is keyed by the row's unique key, so no key
+list are tables joined on the cleaned term (broadcast by Spark when their measured size
+is small, shuffle joins otherwise), so they can be arbitrarily large; the per-row regrouping is keyed by the row's unique key, so no key
 is hot.  Rows whose list ends up empty keep an empty list.  The reference's set order
 is arbitrary, so lists come out sorted.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_term
-from .sizing import DEFAULT_BROADCAST_ROWS, sized_broadcast
+from .sizing import DEFAULT_BROADCAST_ROWS
 
 
 def normalize_terms(df: DataFrame, key: str, list_col: str, mapping: DataFrame,
@@ -30,13 +30,13 @@ def normalize_terms(df: DataFrame, key: str, list_col: str, mapping: DataFrame,
                    .alias("__raw"))
     ex = ex.withColumn("__t", clean_term("__raw"))
     if remove is not None:
-        r = sized_broadcast(remove.select(F.col(remove.columns[0]).alias("__rm")).distinct(), broadcast_rows)
+        r = remove.select(F.col(remove.columns[0]).alias("__rm")).distinct()
         ex = ex.join(r, F.col("__t") == F.col("__rm"), "left").withColumn(
             "__keep", F.col("__raw").isNotNull() & F.col("__rm").isNull()).drop("__rm")
     else:
         ex = ex.withColumn("__keep", F.col("__raw").isNotNull())
     m = mapping.select(F.col(mapping.columns[0]).alias("__mk"), F.col(mapping.columns[1]).alias("__mv"))
-    m = sized_broadcast(m.dropDuplicates(["__mk"]), broadcast_rows)
+    m = m.dropDuplicates(["__mk"])
     ex = ex.join(m, F.col("__t") == F.col("__mk"), "left")
     norm = F.replace(F.coalesce(F.col("__mv"), F.col("__t")), F.lit(" "), F.lit("_"))
     ex = ex.select(key, F.when(F.col("__keep"), norm).alias("__n"),

@@ -8,6 +8,9 @@ The report functions accept either one row per mention or a pre-aggregated table
 count column (``count_col``).  ``mention_cube`` aggregates the mention table once to
 (concept, category, country, month) counts; all shares, pivots and trends then read that
 small table instead of scanning the mentions again for every total.
+
+Joins carry no broadcast hints: their small sides (dictionary, category lists) are
+broadcast by Spark after it measures them (adaptive execution), without an extra job.
 """
 
 from __future__ import annotations
@@ -18,7 +21,6 @@ from pyspark.sql import functions as F
 from ..functions.constants import NOISE_CATEGORIES, REPORT_EXCLUDED_CATEGORIES, UNCATEGORIZED
 from .select import exclude_categories
 from .semantic import distinct_dictionary
-from .sizing import sized_broadcast
 
 
 def _n(count_col: str | None) -> Column:
@@ -73,7 +75,7 @@ def concept_share(enriched: DataFrame, dictionary: DataFrame, concept: str = "sy
     """
     f = enriched.filter(F.col(concept).isNotNull()).groupBy(F.col(concept).alias("symptom")).agg(
         _n(count_col).alias("frequency"))
-    dim = sized_broadcast(distinct_dictionary(dictionary, abr, category))
+    dim = distinct_dictionary(dictionary, abr, category)
     c = f.join(dim, F.col("symptom") == F.col("abr"), "left").select(
         "symptom", "frequency", F.col("category").alias("lancet_category"))
     c = exclude_categories(c, "lancet_category", noise)
@@ -98,7 +100,7 @@ def uncategorized_top(shares: DataFrame, n: int = 16, category: str = UNCATEGORI
 def _in_share_categories(enriched: DataFrame, shares: DataFrame) -> DataFrame:
     """mentions whose category occurs in A4 (NULL matches NULL, as pandas ``isin``)."""
     cats = shares.select(F.col("lancet_category").alias("__c")).distinct()
-    return enriched.join(sized_broadcast(cats), F.col("lancet_category").eqNullSafe(F.col("__c")), "left_semi")
+    return enriched.join(cats, F.col("lancet_category").eqNullSafe(F.col("__c")), "left_semi")
 
 
 def country_share(enriched: DataFrame, shares: DataFrame, country: str = "country",
@@ -126,7 +128,7 @@ def category_country_long(enriched: DataFrame, shares: DataFrame, country: str =
     f = _in_share_categories(enriched, shares).filter(F.col(country).isNotNull())
     g = f.groupBy(F.col("lancet_category").alias("category"), F.col(country).alias("country")).agg(
         _n(count_col).alias("n"))
-    j = g.join(sized_broadcast(bm), g.category.eqNullSafe(bm.category)).select(
+    j = g.join(bm, g.category.eqNullSafe(bm.category)).select(
         g.category, "country", (F.lit(100.0) * F.col("n") / F.col("bm")).alias("perc"))
     return j.filter(F.col("perc") >= minimum)
 

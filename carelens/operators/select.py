@@ -197,8 +197,7 @@ def in_categories(df: DataFrame, categories: DataFrame, col: str, cat_col: str |
     """left-semi join on the category values of a (small) category table."""
     cat_col = cat_col or col
     cats = categories.select(F.col(cat_col).alias("__cat")).distinct()
-    from .sizing import sized_broadcast
-    return df.join(sized_broadcast(cats), F.col(col) == F.col("__cat"), "left_semi")
+    return df.join(cats, F.col(col) == F.col("__cat"), "left_semi")
 
 
 def combine_title_body(df: DataFrame, title: str = "title", body: str = "selftext",

@@ -9,8 +9,8 @@ Two exact kernels for "best dictionary concept per term by cosine":
   (term block, dictionary block) pair is one bounded ``cogroup`` task, and the per-block
   winners are reduced per term.  Both paths give the same exact top-k.
 * ``best_concepts_sparse`` - bag-of-words vectors: an inverted-index join on shared
-  tokens (dictionary side broadcast when small) and a per-(term, entry) count, so only
-  pairs that share a token are ever formed.
+  tokens (the dictionary side is broadcast by Spark once measured small) and a
+  per-(term, entry) count, so only pairs that share a token are ever formed.
 
 Ties are broken by the dictionary key (smaller first), which the original leaves to the
 tensor library.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import SEMANTIC_CUTOFF
 from .lexicon import tokenize
 from .select import similarity_cutoff
-from .sizing import DEFAULT_BROADCAST_ROWS, bounded_count, is_small, sized_broadcast
+from .sizing import DEFAULT_BROADCAST_ROWS, bounded_count
 
 # Dictionary rows broadcast as one matrix (x dimension x 8 bytes must fit executors).
 DENSE_BROADCAST_ROWS = 200_000
@@ -141,8 +141,6 @@ def best_concepts_sparse(terms: DataFrame, dictionary: DataFrame, term: str = "t
                            F.array_distinct(tokenize(text)).alias("tk"))
     ct = ct.select("key", "label", F.size("tk").alias("nc"), F.explode_outer("tk").alias("tok")).filter(
         F.col("tok").isNotNull())
-    if is_small(ct, broadcast_rows):
-        ct = F.broadcast(ct)
     pairs = qt.join(ct, "tok").groupBy("term", "key", "label", "nq", "nc").agg(
         F.count(F.lit(1)).alias("dot"))
     pairs = pairs.withColumn("score", F.col("dot") / F.sqrt(F.col("nq") * F.col("nc")))
@@ -174,12 +172,13 @@ def map_mentions(mentions: DataFrame, best: DataFrame, dictionary: DataFrame,
     b = best.select(F.col("term").alias(term), "semantics", "score")
     cut = similarity_cutoff(freq.join(b, term), "score", "semantics", cutoff)
     mapped = cut.groupBy("semantics").agg(F.sum("frequency").alias("frequency"))
-    dim = sized_broadcast(distinct_dictionary(dictionary, abr, category))
+    dim = distinct_dictionary(dictionary, abr, category)
     mapped_cat = mapped.join(dim, F.col("semantics") == F.col("abr"), "left").select(
         F.col("semantics").alias("symptom"), F.col("category").alias("lancet_category"))
-    # one row per distinct term: broadcast after the check, so a hot term is no hot partition
-    enriched = mentions.join(sized_broadcast(cut.select(term, "semantics", "score")), term, "left")
-    enriched = enriched.join(sized_broadcast(mapped_cat), F.col("semantics") == F.col("symptom"), "left")
+    # one row per distinct term: Spark broadcasts it once measured small, so a hot term
+    # makes no hot partition; beyond the threshold the skew join splits a hot term
+    enriched = mentions.join(cut.select(term, "semantics", "score"), term, "left")
+    enriched = enriched.join(mapped_cat, F.col("semantics") == F.col("symptom"), "left")
     return enriched.drop("semantics")
 
 

@@ -22,18 +22,21 @@ def latest_per_key(df: DataFrame, key: str, order: str | None) -> DataFrame:
 
 def attach_users(posts: DataFrame, users: DataFrame, author_key: str = "author_id",
                  user_key: str = "id", user_order: str | None = None, into: str = "user",
-                 strict: bool = False, broadcast_rows: int = 2_000_000) -> DataFrame:
+                 strict: bool = False, broadcast_rows: int | None = None) -> DataFrame:
     """Post.author_id -> user record, nested as the ``user`` struct.
 
     Users are made unique by id first (last by ``user_order`` wins).  A left join keeps
     posts without a user (``user`` NULL); ``strict=True`` counts those and raises, as the
-    original's dictionary lookup would.  The user side is broadcast only after a bounded
-    count proves it small; otherwise Spark plans a shuffle join on the key.
+    original's dictionary lookup would.  No broadcast hint: Spark broadcasts the user side
+    when its measured size is under the threshold (adaptive execution re-checks at run
+    time with real sizes) and otherwise shuffles both sides on the key, splitting a hot
+    author's partition (skew join).  ``broadcast_rows`` forces a checked broadcast.
     """
     u = latest_per_key(users, user_key, user_order)
     fields = u.columns
     u = u.select(F.col(user_key).alias("__uk"), F.struct(*[F.col(c) for c in fields]).alias(into))
-    u = sized_broadcast(u, broadcast_rows)
+    if broadcast_rows:
+        u = sized_broadcast(u, broadcast_rows)
     out = posts.join(u, posts[author_key] == F.col("__uk"), "left").drop("__uk")
     if strict:
         missing = out.filter(F.col(into).isNull() & F.col(author_key).isNotNull()).limit(1).count()

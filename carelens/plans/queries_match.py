@@ -304,7 +304,7 @@ def _cube(spark, sf):
 
 def _shares(spark, sf, cube=None):
     c = cube if cube is not None else _cube(spark, sf)
-    return report.concept_share(c, views.concept_dictionary(spark, sf), count_col="n").checkpoint(eager=True)
+    return report.concept_share(c, views.concept_dictionary(spark, sf), count_col="n")
 
 
 @q("semantic_bow", f"WITH {BOW_CTES} SELECT term, semantics, round(score, 6) AS score FROM best",
