@@ -16,10 +16,36 @@ from .queries import ORACLE, lit, q, r6
 KEYWORDS = ["the", "of the", "and", "tion", "src1", "example.com", "Tamiflu", "ing"]
 
 
-@q("keyword_spans")
+def _keyword_sql(kws) -> str:
+    canon = {}
+    for k in kws:
+        canon[k.lower()] = k
+    values = ", ".join(f"({lit(k)}, {lit(v)})" for k, v in canon.items())
+    # every boundary-valid occurrence, the longest per start, then the greedy walk over
+    # ASOF links (first candidate starting at or after the end of the current one)
+    return f"""
+WITH RECURSIVE kw(k, name) AS (VALUES {values}),
+lt AS (SELECT id, lower(text) AS t FROM posts),
+pos AS (SELECT id, t, unnest(range(1, length(t) + 1)) AS i FROM lt),
+cand0 AS (SELECT p.id, p.i - 1 AS s, p.i - 1 + length(kw.k) AS e, kw.name
+          FROM pos p JOIN kw ON substring(p.t, p.i, length(kw.k)) = kw.k
+          WHERE (p.i = 1 OR NOT regexp_matches(substring(p.t, p.i - 1, 1), '[A-Za-z0-9_]'))
+            AND (p.i + length(kw.k) > length(p.t)
+                 OR NOT regexp_matches(substring(p.t, p.i + length(kw.k), 1), '[A-Za-z0-9_]'))),
+cand AS (SELECT id, s, max(e) AS e, arg_max(name, e) AS name FROM cand0 GROUP BY id, s),
+nxt AS (SELECT a.id, a.s, a.e, a.name, b.s AS ns FROM cand a ASOF LEFT JOIN cand b ON a.id = b.id AND b.s >= a.e),
+walk AS (
+  SELECT id, s, e, name, ns FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s) AS rn FROM nxt) z
+  WHERE rn = 1
+  UNION ALL
+  SELECT n.id, n.s, n.e, n.name, n.ns FROM walk w JOIN nxt n ON n.id = w.id AND n.s = w.ns)
+SELECT id, name AS keyword, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM walk"""
+
+
+@q("keyword_spans", _keyword_sql(KEYWORDS), ("posts",))
 def keyword_spans(spark, sf):
     """M1: (id, keyword, start, end) for every keyword hit in the post texts (whole words,
-    case-insensitive, longest first, no overlap).  Look-arounds: checked in pytest."""
+    case-insensitive, longest first, no overlap)."""
     p = views.posts(spark, sf).select("id", "text")
     k = keywords.keyword_search(p, "text", KEYWORDS)
     e = k.select("id", F.explode("keywords_text").alias("k"))
@@ -30,22 +56,39 @@ def keyword_spans(spark, sf):
 # ======================================================================== M2 lexicon
 TOK = lit(WORD + "+")
 
-LEX_CTES = f"""
+def lex_ctes(source: str = "documents", id_col: str = "doc_id") -> str:
+    """Oracle CTEs: normalized lexicon (lxx) and token positions (pos) of ``source``."""
+    return f"""
 lx0 AS (SELECT DISTINCT trim(replace("Symptom", chr(65279), '')) AS concept,
                         trim(replace("CUI", chr(65279), '')) AS code,
                         lower(trim(replace("LexicalExpression", chr(65279), ''))) AS expression FROM lexicon),
 lx AS (SELECT concept, code, expression, regexp_extract_all(expression, {TOK}) AS et FROM lx0),
 lxx AS (SELECT * FROM lx WHERE len(et) > 0),
-dt AS (SELECT doc_id, regexp_extract_all(lower(text), {TOK}) AS toks FROM documents),
-pos AS (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM dt)"""
+dt AS (SELECT {id_col} AS doc_id, regexp_extract_all(lower(text), {TOK}) AS toks FROM {source}),
+pos AS (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM dt),
+hits AS (SELECT p.doc_id, p.i - 1 AS s, len(x.et) AS w, x.expression, x.concept, x.code
+         FROM pos p JOIN lxx x ON p.toks[p.i] = x.et[1]
+         WHERE p.toks[p.i : p.i + len(x.et) - 1] = x.et),
+best AS (SELECT doc_id, s, max(w) AS w FROM hits GROUP BY doc_id, s),
+nxt AS (SELECT a.doc_id, a.s, a.w, b.s AS ns FROM best a ASOF LEFT JOIN best b
+        ON a.doc_id = b.doc_id AND b.s >= a.s + a.w),
+walk AS (
+  SELECT doc_id, s, w, ns FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS rn FROM nxt) z
+  WHERE rn = 1
+  UNION ALL
+  SELECT n.doc_id, n.s, n.w, n.ns FROM walk k JOIN nxt n ON n.doc_id = k.doc_id AND n.s = k.ns),
+kept AS (SELECT h.* FROM hits h JOIN walk k ON k.doc_id = h.doc_id AND k.s = h.s AND k.w = h.w)"""
+
+
+# greedy leftmost-longest in SQL: each best span links to the first span starting at or
+# after its end (ASOF join); the recursive walk follows those links from the first span
+LEX_CTES = lex_ctes()
 
 
 @q("lexicon_hits", f"""
-WITH {LEX_CTES}
-SELECT p.doc_id, CAST(p.i - 1 AS INTEGER) AS start, CAST(len(x.et) AS INTEGER) AS width,
-       x.expression, x.concept, x.code
-FROM pos p JOIN lxx x ON p.toks[p.i] = x.et[1]
-WHERE p.toks[p.i : p.i + len(x.et) - 1] = x.et""", ("lexicon",))
+WITH RECURSIVE {LEX_CTES}
+SELECT doc_id, CAST(s AS INTEGER) AS start, CAST(w AS INTEGER) AS width, expression, concept, code
+FROM hits""", ("lexicon",))
 def lexicon_hits(spark, sf):
     """M2 before overlap removal: every occurrence of every lexicon expression in the
     documents (token positions)."""
@@ -53,22 +96,42 @@ def lexicon_hits(spark, sf):
     return lexicon.lexicon_hits(docs, views.passage_lexicon(spark, sf))
 
 
-@q("lexicon_matches")
+@q("lexicon_matches", f"""
+WITH RECURSIVE {LEX_CTES}
+SELECT doc_id, CAST(s AS INTEGER) AS start, CAST(w AS INTEGER) AS width, expression, concept, code
+FROM kept""", ("lexicon",))
 def lexicon_matches(spark, sf):
-    """M2: leftmost-longest non-overlapping matches (greedy fold: checked in pytest against
-    a brute-force model)."""
+    """M2: leftmost-longest non-overlapping matches (also checked in pytest against a
+    brute-force model)."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return lexicon.lexicon_matches(docs, views.passage_lexicon(spark, sf))
 
 
-@q("lexicon_concepts")
+@q("lexicon_concepts", f"""
+WITH RECURSIVE {LEX_CTES}
+SELECT concept, code, count(*) AS mentions, count(DISTINCT doc_id) AS texts FROM kept GROUP BY concept, code""",
+   ("lexicon",))
 def lexicon_concepts(spark, sf):
     """M2 report: mentions and texts per concept after overlap removal."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return lexicon.concept_counts(lexicon.lexicon_matches(docs, views.passage_lexicon(spark, sf)))
 
 
-@q("flagship_concepts")
+def _flagship_sql() -> str:
+    from .queries import BANNED_RE, _hash_mentions_sql, _special_sql, _urls_sql
+    # the cleaning step removes the hashed mentions, so the 256-bit hash gives the same result
+    return f"""
+WITH RECURSIVE
+fp AS (SELECT id, created_utc, {_hash_mentions_sql('text', '@')} AS text FROM posts
+       WHERE NOT coalesce(regexp_matches(lower(text), {lit(BANNED_RE)}), false)),
+fc AS (SELECT id, created_utc, {_special_sql(_urls_sql('text'))} AS text FROM fp),
+fu AS (SELECT id, text FROM (
+  SELECT *, row_number() OVER (PARTITION BY text ORDER BY created_utc) AS rn FROM fc) z WHERE rn = 1),
+{lex_ctes('fu', 'id')}
+SELECT concept, code, count(*) AS mentions, count(DISTINCT doc_id) AS texts FROM kept GROUP BY concept, code"""
+
+
+@q("flagship_concepts", _flagship_sql(), ("posts", "lexicon"))
 def flagship_concepts(spark, sf):
     """The end-to-end slice: banned filter, mention hashing, cleaning, de-duplication,
     lexicon extraction, concept counts (the ``entry`` query on any scale)."""
@@ -503,7 +566,7 @@ def entity_sink(spark, sf):
 
 
 @q("lexicon_file", f"""
-WITH {LEX_CTES}
+WITH RECURSIVE {LEX_CTES}
 SELECT concept, count(*) AS expressions FROM lxx GROUP BY concept""", ("lexicon",))
 def lexicon_file(spark, sf):
     """The lexicon written as a tab-separated file with a header (and a byte-order mark
@@ -576,7 +639,12 @@ def user_demographics(spark, sf):
     return out.select("id", F.col("demographic_info.prediction").alias("prediction"))
 
 
-@q("default_clean")
+def _default_clean_sql() -> str:
+    from .queries import _contractions_sql, _special_sql
+    return f"SELECT id, {_special_sql(_contractions_sql('text'))} AS text FROM posts"
+
+
+@q("default_clean", _default_clean_sql(), ("posts",))
 def default_clean(spark, sf):
     """Default cleaning order (contractions, special characters) on the posts."""
     return views.posts(spark, sf).select("id", TXT.default_clean("text").alias("text"))

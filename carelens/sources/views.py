@@ -9,6 +9,8 @@ a Spark builder (used by ``queries()``) and a DuckDB CTE (used by ``oracle_sql()
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -365,8 +367,10 @@ def with_views(sql: str, *names: str) -> str:
         return sql
     head = "WITH " + ",\n".join(VIEW_SQL[n] for n in names)
     body = sql.lstrip()
-    if body[:15].upper() == "WITH RECURSIVE ":
-        return "WITH RECURSIVE " + head[5:] + ",\n" + body[15:]
-    if body[:5].upper() == "WITH ":
-        return head + ",\n" + body[5:]
+    m = re.match(r"WITH\s+RECURSIVE\s+", body, re.IGNORECASE)
+    if m:
+        return "WITH RECURSIVE " + head[5:] + ",\n" + body[m.end():]
+    m = re.match(r"WITH\s+", body, re.IGNORECASE)
+    if m:
+        return head + ",\n" + body[m.end():]
     return head + "\n" + body
