@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from ..functions import privacy as P
 from ..functions import text as T
 from ..functions.patterns import py_classes
-from ..operators import banned, classify, entities, infer, keywords, lexicon, normalize
+from ..operators import banned
 from ..operators import privacy as OP
-from ..operators import quality, report, select, semantic, threads, users
+from ..operators import quality, select, threads, users
 from ..operators.nested import clean_nested
 from ..plans.chain import forum_chain, post_chain
 from ..sources import paging, views

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schemas
+from ..functions import text as TXT
 from ..functions.patterns import WORD
 from ..functions.text import clean_term
 from ..operators import classify, entities, infer, keywords, lexicon, normalize, report, semantic
-from ..sources import views
+from ..operators import select as SEL
+from ..operators import users as USERS
+from ..session import scratch_path
+from ..sources import readers, sinks, views
 from ..sources.tables import table
+from ..streaming import stream
 from .flagship import flagship
 from .queries import ORACLE, lit, q, r6
 
@@ -487,8 +493,6 @@ def month_trend(spark, sf):
 
 
 # ======================================================================== streaming
-from ..streaming import stream  # noqa: E402
-from .queries import ORACLE as _ORACLE  # noqa: E402
 
 
 @q("stream_clean")
@@ -499,7 +503,7 @@ def stream_clean(spark, sf):
                       F.col("user.description").alias("description"), F.col("user.location").alias("location"))
 
 
-_ORACLE["stream_clean"] = _ORACLE["pass_chain"]
+ORACLE["stream_clean"] = ORACLE["pass_chain"]
 
 
 @q("stream_unique", "SELECT DISTINCT user_id, event_type FROM events")
@@ -524,12 +528,6 @@ def stream_daily(spark, sf):
 
 
 # ======================================================================== sources and sinks
-from .. import schemas  # noqa: E402
-from ..operators import select as SEL  # noqa: E402
-from ..operators import users as USERS  # noqa: E402
-from ..functions import text as TXT  # noqa: E402
-from ..session import scratch_path  # noqa: E402
-from ..sources import readers, sinks  # noqa: E402
 
 
 @q("json_roundtrip", "SELECT id, author_id, text FROM posts", ("posts",))
@@ -665,3 +663,38 @@ SELECT sum(frequency) AS total, count(*) AS n_terms FROM (
 def term_totals(spark, sf):
     """A2: total term occurrences and number of distinct terms."""
     return report.frequency_totals(report.term_frequency(views.mentions(spark, sf)))
+
+
+@q("top_terms", """
+SELECT symptom_adjusted, count(*) AS frequency FROM mentions WHERE symptom_adjusted IS NOT NULL
+GROUP BY 1 ORDER BY frequency DESC, symptom_adjusted LIMIT 10""", ("mentions",))
+def top_terms(spark, sf):
+    """O1 + O2: the ten most frequent extracted terms (a top-k report; ties by term)."""
+    return report.top_n(report.term_frequency(views.mentions(spark, sf)), 10, "frequency", "symptom_adjusted")
+
+
+@q("top_concepts_per_country", f"""
+WITH {MAP_CTES},
+cc AS (SELECT country, symptom, count(*) AS count FROM enr2 WHERE symptom IS NOT NULL AND country IS NOT NULL
+       GROUP BY 1, 2)
+SELECT country, symptom, count, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY country ORDER BY count DESC, symptom) AS rank FROM cc) z
+WHERE rank <= 3""", ("mentions", "dict"))
+def top_concepts_per_country(spark, sf):
+    """O2 per group: the three most frequent mapped concepts of every country."""
+    cube = _cube(spark, sf)
+    cc = (cube.filter(F.col("symptom").isNotNull() & F.col("country").isNotNull())
+          .groupBy("country", "symptom").agg(F.sum("n").alias("count")))
+    top = report.top_n_per_group(cc, "country", 3, [F.col("count").desc(), F.col("symptom")])
+    return top.select("country", "symptom", "count", F.col("rank").cast("int").alias("rank"))
+
+
+@q("country_coverage", f"""
+WITH {MAP_CTES}
+SELECT round((SELECT count(*) FROM fin WHERE country IS NOT NULL) / (SELECT t FROM tot), 6) AS covered""",
+   ("mentions", "dict"))
+def country_coverage(spark, sf):
+    """Fraction of the reported mentions that carry a country."""
+    cube = _cube(spark, sf)
+    c = report.country_coverage(cube, _shares(spark, sf, cube), count_col="n")
+    return c.select(r6(F.col("covered")).alias("covered"))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from carelens.operators import privacy, quality, threads, users
 from carelens.plans.chain import PassChain
 from carelens.plans import queries as Q
-from carelens.sources import views
 from tests.conftest import SF001
 
 
