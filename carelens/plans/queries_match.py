@@ -11,7 +11,7 @@ from ..functions.text import clean_term
 from ..operators import classify, entities, infer, keywords, lexicon, normalize, report, semantic
 from ..operators import select as SEL
 from ..operators import users as USERS
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import readers, sinks, views
 from ..sources.tables import table
 from ..streaming import stream
@@ -368,7 +368,7 @@ def _enriched(spark, sf):
 def _cube(spark, sf):
     """Mentions aggregated once to (symptom, category, country, month) counts and written to
     the shared checkpoint folder; every report below reads this small table."""
-    return report.mention_cube(_enriched(spark, sf)).checkpoint(eager=True)
+    return cut_lineage(report.mention_cube(_enriched(spark, sf)))
 
 
 def _shares(spark, sf, cube=None):

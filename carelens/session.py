@@ -39,14 +39,22 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a local one only if unset."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="carelens-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", current)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(current)
-    return current
+    """Return the session's checkpoint folder.
+
+    Uses the folder the cluster names in ``spark.checkpoint.dir`` (or one already set on
+    the context); only when neither exists (local runs, tests) is a local folder created.
+    ``spark.checkpoint.dir`` is a core setting that cannot be changed at run time, so the
+    folder is installed with ``SparkContext.setCheckpointDir``.
+    """
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf:
+        conf = tempfile.mkdtemp(prefix="carelens-ckpt-", dir="/tmp")
+    sc.setCheckpointDir(conf)
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
