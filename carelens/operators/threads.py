@@ -47,25 +47,40 @@ def concat_threads(subs: DataFrame, comments: DataFrame, body: str = "body") ->
 
 
 def reply_depth(comments: DataFrame, id_col: str = "id", parent_col: str = "parent",
-                max_depth: int = 1000) -> DataFrame:
+                max_rounds: int = 64) -> DataFrame:
     """Depth of each reply from parent links: top-level replies (no parent) have
     depth 0, a reply to a depth-d reply has depth d + 1.
 
-    A recursive CTE: each iteration is one join of the frontier with the reply edges, so
-    the work is (number of replies) x (thread depth) with no driver loop.  Replies whose
-    parent chain never reaches a top-level reply get no depth.
+    Pointer jumping: every unresolved reply keeps (ancestor, distance) and each round
+    replaces its ancestor by the ancestor's ancestor, adding the distances, so the
+    jump length doubles.  A thread of depth d resolves in about log2(d) rounds; each round
+    is one join (the hot key of a large thread sits on one side only, so adaptive skew
+    handling can split it) plus a reliable checkpoint that cuts the lineage.  The loop on
+    the driver runs over rounds, not over data.  Replies whose parent chain leaves the
+    table (or loops) get no depth.  A recursive CTE would hit Spark's recursion row limit
+    on a real comment table.
     """
-    spark = comments.sparkSession
-    edges = comments.select(F.col(id_col).alias("cid"), F.col(parent_col).alias("pid"))
-    return spark.sql(
-        f"""
-        WITH RECURSIVE d (cid, depth) AS (
-          SELECT cid, 0 FROM {{edges}} WHERE pid IS NULL
-          UNION ALL
-          SELECT e.cid, d.depth + 1 FROM {{edges}} e JOIN d ON e.pid = d.cid
-          WHERE d.depth < {int(max_depth)}
-        )
-        SELECT cid AS {id_col}, depth FROM d
-        """,
-        edges=edges,
-    )
+    from ..session import cut_lineage
+    st = comments.select(F.col(id_col).alias("cid"), F.col(parent_col).alias("anc"))
+    st = st.withColumn("dist", F.when(F.col("anc").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long"))
+    st = cut_lineage(st.withColumn("ok", F.col("anc").isNull()))
+    n = st.count()                       # a real chain is never longer than the table
+    parts = max(st.rdd.getNumPartitions(), st.sparkSession.sparkContext.defaultParallelism)
+    for _ in range(max_rounds):
+        pending = st.filter(F.col("anc").isNotNull())
+        if pending.limit(1).count() == 0:
+            break
+        b = st.select(F.col("cid").alias("bid"), F.col("anc").alias("banc"),
+                      F.col("dist").alias("bdist"), F.col("ok").alias("bok"))
+        j = pending.join(b, F.col("anc") == F.col("bid"), "left")
+        # parent missing from the table, or a loop (distance beyond the table size): no depth
+        dead = F.col("bid").isNull() | (F.col("dist") + F.col("bdist") > n)
+        step = j.select(
+            "cid",
+            F.when(dead, F.lit(None)).otherwise(F.col("banc")).alias("anc"),
+            F.when(dead, F.lit(None)).otherwise(F.col("dist") + F.col("bdist")).alias("dist"),
+            F.when(dead, F.lit(False)).otherwise(F.col("bok")).alias("ok"))
+        # the union would add the join's partitions every round: coalesce back (no shuffle)
+        st = cut_lineage(st.filter(F.col("anc").isNull()).unionByName(step).coalesce(parts))
+    done = st.filter(F.col("anc").isNull() & F.col("ok") & F.col("dist").isNotNull())
+    return done.select(F.col("cid").alias(id_col), F.col("dist").cast("int").alias("depth"))

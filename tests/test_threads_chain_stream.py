@@ -61,3 +61,14 @@ def test_stream_equals_batch(spark):
     u = qs["stream_unique"](spark, SF001)
     ev = spark.read.parquet(f"{SF001}/events.parquet").select("user_id", "event_type").distinct()
     assert u.count() == ev.count() and u.exceptAll(ev).count() == 0
+
+
+def test_reply_depth_deep_chain_orphans_and_cycles(spark):
+    n = 300                                   # deeper than a recursive CTE's level limit
+    rows = [("r0", None)] + [(f"r{i}", f"r{i-1}") for i in range(1, n)]
+    rows += [("o1", "missing"), ("o2", "o1"), ("x1", "x2"), ("x2", "x1"), ("t", None), ("t1", "t")]
+    df = spark.createDataFrame(rows, "id string, parent string")
+    d = {r["id"]: r["depth"] for r in threads.reply_depth(df).collect()}
+    assert all(d[f"r{i}"] == i for i in range(n))
+    assert d["t"] == 0 and d["t1"] == 1
+    assert not {"o1", "o2", "x1", "x2"} & set(d)
