@@ -33,10 +33,11 @@ def score_batches(df: DataFrame, factory: Callable[[], Callable[[pd.DataFrame],
                   schema: str, partitions: int | None = None) -> DataFrame:
     """Apply ``factory()`` to every Arrow batch of ``df``.
 
-    A single large input file can arrive as one partition; ``partitions`` spreads it
-    out first (a round-robin shuffle) so the model runs on all cores.
+    A single large input file can arrive as one partition; when the input has fewer
+    partitions than ``partitions`` it is spread out first (a round-robin shuffle) so the
+    model runs on all cores.  A large input is never shuffled into fewer partitions.
     """
-    if partitions:
+    if partitions and df.rdd.getNumPartitions() < partitions:
         df = df.repartition(partitions)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -31,8 +31,9 @@ from .lexicon import tokenize
 from .select import similarity_cutoff
 from .sizing import DEFAULT_BROADCAST_ROWS, bounded_count
 
-# Dictionary rows broadcast as one matrix (x dimension x 8 bytes must fit executors).
+# Bounds of the dictionary broadcast as one float64 matrix: rows, and bytes (rows x dim x 8).
 DENSE_BROADCAST_ROWS = 200_000
+DENSE_BROADCAST_BYTES = 256 * 1024 * 1024
 
 
 def _topk(q: np.ndarray, m: np.ndarray, mnorm: np.ndarray, k: int):
@@ -55,7 +56,7 @@ OUT_SCHEMA = "term string, rank int, concept string, score double"
 def best_concepts_dense(terms: DataFrame, dictionary: DataFrame, k: int = 1,
                         term: str = "term", tvec: str = "vector", concept: str = "concept",
                         cvec: str = "vector", broadcast_rows: int = DENSE_BROADCAST_ROWS,
-                        block_rows: int = 50_000) -> DataFrame:
+                        block_rows: int = 50_000, broadcast_bytes: int = DENSE_BROADCAST_BYTES) -> DataFrame:
     """M7 + O3: top-``k`` dictionary concepts per term by cosine: (term, rank, concept, score).
 
     Rank 1 is the reference's choice.  Terms should already be distinct (the caller
@@ -65,9 +66,12 @@ def best_concepts_dense(terms: DataFrame, dictionary: DataFrame, k: int = 1,
     spark = terms.sparkSession
     t = terms.select(F.col(term).alias("term"), F.col(tvec).alias("v"))
     d = dictionary.select(F.col(concept).alias("concept"), F.col(cvec).alias("v"))
-    n = bounded_count(d, broadcast_rows)
-    if n <= broadcast_rows:
-        rows = d.orderBy("concept").collect()          # bounded by the check above
+    first = d.select(F.size("v").alias("dim")).limit(1).collect()
+    dim = max(first[0]["dim"], 1) if first else 1
+    limit = min(broadcast_rows, max(broadcast_bytes // (8 * dim), 1))
+    n = bounded_count(d, limit)
+    if n <= limit:
+        rows = d.orderBy("concept").collect()          # bounded in rows and bytes by the check above
         names = np.array([r["concept"] for r in rows], dtype=object)
         mat = _stack([r["v"] for r in rows]) if rows else np.zeros((0, 0))
         bc = spark.sparkContext.broadcast((names, mat, np.linalg.norm(mat, axis=1) if rows else mat))

@@ -66,15 +66,19 @@ def clean_post_stream(spark: SparkSession, sf_dir: str, bits: int = 224,
 
 
 def unique_events_stream(spark: SparkSession, sf_dir: str, keys=("user_id", "event_type"),
-                         delay: str = "31 days") -> DataFrame:
-    """ST3: drop repeated keys within the watermark delay (event time ``ts``)."""
+                         delay: str = "1 day") -> DataFrame:
+    """ST3: drop repeated keys within the watermark delay (event time ``ts``).
+
+    State per key lives until the watermark passes its event time plus ``delay``, so
+    state stays bounded.  Within one micro-batch every repeat is dropped."""
     ev = table_stream(spark, sf_dir, "events")
     ev = ev.withColumn("ts", F.col("ts").cast("timestamp"))   # parquet TIMESTAMP_NTZ -> TIMESTAMP
     return ev.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def unique_text_stream(spark: SparkSession, sf_dir: str, delay: str = "3650 days") -> DataFrame:
-    """ST3 on texts (F8 across micro-batches): one row per text hash within the delay."""
+def unique_text_stream(spark: SparkSession, sf_dir: str, delay: str = "1 day") -> DataFrame:
+    """ST3 on texts (F8 across micro-batches): one row per text hash within the delay;
+    the state holds 64-character hashes, not texts."""
     docs = table_stream(spark, sf_dir, "documents")
     posts = docs.select(F.sha2("text", 256).alias("text_sha"),
                         F.timestamp_seconds(F.lit(views.EPOCH0) + F.col("doc_id") * views.HOUR).alias("t"))

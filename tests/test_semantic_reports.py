@@ -82,3 +82,11 @@ def test_mapping_chain_and_reports(spark):
     assert t == {("2021-01", "A"): 1, ("2021-02", "A"): 1, ("2021-02", "B"): 1, ("2021-02", "N"): 1}
     top = report.uncategorized_top(report.concept_share(e, dic), 16).collect()
     assert [r["symptom"] for r in top] == ["B"]
+
+
+def test_dense_byte_bound_switches_to_blocks(vecs):
+    terms, corpus, t, c = vecs
+    exp = sorted((a, b, cc, round(d, 9)) for a, b, cc, d in brute(terms, corpus, 2))
+    # 8 dims x 8 bytes = 64 bytes per row: a 500-byte budget allows 7 rows < 26 -> blocked path
+    got = semantic.best_concepts_dense(t, c, k=2, broadcast_bytes=500, block_rows=6)
+    assert _rows(got) == exp
