@@ -28,15 +28,26 @@ def _n(count_col: str | None) -> Column:
 
 
 def mention_cube(enriched: DataFrame, date_col: str | None = "created_date", concept: str = "symptom",
-                 category: str = "lancet_category", country: str = "country") -> DataFrame:
+                 category: str = "lancet_category", country: str = "country",
+                 count_col: str | None = None, is_month: bool = False) -> DataFrame:
     """Counts per (symptom, lancet_category, country[, month]) over all mention rows (NULLs kept
     as their own groups); map-side partial aggregation keeps the shuffle at the size of the
-    result, not of the mentions."""
+    result, not of the mentions.  ``count_col`` sums an existing count instead of counting."""
     keys = [F.col(concept).alias("symptom"), F.col(category).alias("lancet_category"),
             F.col(country).alias("country")]
+    if date_col is not None:
+        month = F.col(date_col) if is_month else F.date_format(F.col(date_col).cast("date"), "yyyy-MM")
+        keys.append(month.alias("month"))
+    return enriched.groupBy(*keys).agg(_n(count_col).alias("n"))
+
+
+def term_cube(mentions: DataFrame, term: str = "symptom_adjusted", country: str = "country",
+              date_col: str | None = "created_date") -> DataFrame:
+    """Mentions pre-aggregated by (term, country, month) before any mapping join."""
+    keys = [F.col(term).alias(term), F.col(country).alias(country)]
     if date_col is not None:
         keys.append(F.date_format(F.col(date_col).cast("date"), "yyyy-MM").alias("month"))
-    return enriched.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return mentions.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
 def term_frequency(df: DataFrame, col: str = "symptom_adjusted") -> DataFrame:

@@ -164,15 +164,21 @@ def distinct_dictionary(dictionary: DataFrame, abr: str = "abr_symptoms",
 
 def map_mentions(mentions: DataFrame, best: DataFrame, dictionary: DataFrame,
                  term: str = "symptom_adjusted", cutoff: float = SEMANTIC_CUTOFF,
-                 abr: str = "abr_symptoms", category: str = "categories") -> DataFrame:
+                 abr: str = "abr_symptoms", category: str = "categories",
+                 count_col: str | None = None) -> DataFrame:
     """M8: attach the mapped concept and its category to every mention row.
 
     ``best`` is (term, semantics, score) from M7.  Steps: term frequency (A2), cut-off
     (F10), frequency per mapped concept (A3), mention x best match (J5), mapped concept
     x dictionary (J4), mention x mapped concept (J6).  Adds ``score``, ``symptom`` and
     ``lancet_category`` to each mention; unmapped mentions keep NULLs.
+
+    ``count_col``: ``mentions`` is already aggregated (one row per term and other keys
+    with a count); the mapping depends on the term only, so mapping the aggregate is exact
+    and the joins then touch one row per key instead of one per mention.
     """
-    freq = mentions.filter(F.col(term).isNotNull()).groupBy(term).agg(F.count(F.lit(1)).alias("frequency"))
+    n = F.count(F.lit(1)) if count_col is None else F.sum(count_col)
+    freq = mentions.filter(F.col(term).isNotNull()).groupBy(term).agg(n.alias("frequency"))
     b = best.select(F.col("term").alias(term), "semantics", "score")
     cut = similarity_cutoff(freq.join(b, term), "score", "semantics", cutoff)
     mapped = cut.groupBy("semantics").agg(F.sum("frequency").alias("frequency"))

@@ -366,9 +366,14 @@ def _enriched(spark, sf):
 
 
 def _cube(spark, sf):
-    """Mentions aggregated once to (symptom, category, country, month) counts and written to
-    the shared checkpoint folder; every report below reads this small table."""
-    return cut_lineage(report.mention_cube(_enriched(spark, sf)))
+    """Mentions aggregated once to (term, country, month) counts, mapped to concepts and
+    categories on that aggregate (the mapping depends on the term only), rolled up to
+    (symptom, category, country, month) and written to the shared checkpoint folder; every
+    report below reads this small table."""
+    terms = report.term_cube(views.mentions(spark, sf))
+    mapped = semantic.map_mentions(terms, _best_bow(spark, sf), views.concept_dictionary(spark, sf),
+                                   count_col="n")
+    return cut_lineage(report.mention_cube(mapped, "month", count_col="n", is_month=True))
 
 
 def _shares(spark, sf, cube=None):
