@@ -109,7 +109,8 @@ def date_range(df: DataFrame, col: str, start: str | None, end: str | None) -> D
 
 def collect(df: DataFrame, cfg: CollectConfig, text: str = "text", lang: str = "lang",
             time_col: str | None = "created_at", flags: dict[str, str] | None = None) -> DataFrame:
-    """F1 + F2 + F3: filter, then keep the configured fields (plus user description and image)."""
+    """F1 + F2 + F3: date range, predicate, then ``id``, the configured fields that exist and
+    the nested ``user`` record (which carries description and image URL when present)."""
     out = df
     if time_col is not None and (cfg.start or cfg.end):
         out = date_range(out, time_col, cfg.start, cfg.end)

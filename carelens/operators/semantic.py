@@ -3,9 +3,9 @@
 Two exact kernels for "best dictionary concept per term by cosine":
 
 * ``best_concepts_dense`` - dense vectors (from any encoder, e.g. ``infer.score_batches``).
-  A dictionary that passes a size check is broadcast once as a normalized matrix and each
-  Arrow batch of terms is scored with one matrix product in ``mapInPandas``; there is no
-  join at all.  A larger dictionary is split into blocks and terms into blocks; every
+  A dictionary that passes a size check (rows and bytes) is broadcast once as a matrix
+  with its row norms and each Arrow batch of terms is scored with one matrix product in
+  ``mapInPandas``; there is no join at all.  A larger dictionary is split into blocks and terms into blocks; every
   (term block, dictionary block) pair is one bounded ``cogroup`` task, and the per-block
   winners are reduced per term.  Both paths give the same exact top-k.
 * ``best_concepts_sparse`` - bag-of-words vectors: an inverted-index join on shared

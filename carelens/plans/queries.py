@@ -3,9 +3,10 @@
 Each query takes (spark, sf_dir), reads the driver tables through the stand-in views of
 ``sources.views`` and returns a DataFrame; its oracle is DuckDB SQL over the same views.
 Result columns are plain (arrays are joined to text) and doubles rounded to 6 digits so
-both engines can be compared by value.  Where SQL cannot express an operator exactly
-(look-around keyword spans, greedy overlap removal, streaming), no oracle is given and
-pytest checks the operator against a brute-force model on small fixtures instead.
+both engines can be compared by value.  Every query has an oracle; where the Spark form
+uses something DuckDB lacks (look-arounds, a greedy fold, streaming), the SQL is an
+independent formulation of the same result (boundary capture, an ASOF-linked recursive
+walk, the batch query), and pytest also checks the operator against brute-force models.
 """
 
 from __future__ import annotations

@@ -243,9 +243,8 @@ CVEC_SQL = """cvec AS (
 def label_scores(spark: SparkSession, sf: str) -> DataFrame:
     """documents -> (doc_id, scores map): a deterministic stub scorer in place of a model.
 
-    ``report`` = share of words that are ``I``/``my``-like first-person markers is too rare in
-    the invented prose, so the stub uses letter statistics: share of ``th`` digraphs per
-    word and share of words ending in a vowel.
+    ``report`` = ``th`` digraphs per blank-separated word, ``symptom`` = words ending in a
+    vowel per word (letter statistics of the lower-cased text).
     """
     d = table(spark, sf, "documents")
     words = F.greatest(F.size(F.split(F.col("text"), " ")), F.lit(1))
