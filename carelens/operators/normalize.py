@@ -3,9 +3,11 @@
 Per term: clean (T8), drop if in the remove list, replace through the mapping table if
 present, blanks to underscores; per row the distinct results.  The mapping and remove
 list are tables joined on the cleaned term (broadcast by Spark when their measured size
-is small, shuffle joins otherwise), so they can be arbitrarily large; the per-row regrouping is keyed by the row's unique key, so no key
-is hot.  Rows whose list ends up empty keep an empty list.  The reference's set order
-is arbitrary, so lists come out sorted.
+is small, shuffle joins otherwise), so they can be arbitrarily large.  The input is
+hash-partitioned on its unique row key once; the exploded terms, their regrouping and the
+join back to the rows all reuse that partitioning, so the rows cross the network once and
+no key is hot.  Rows whose list ends up empty keep an empty list.  The original's set
+order is arbitrary, so lists come out sorted.
 """
 
 from __future__ import annotations
@@ -14,20 +16,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_term
-from .sizing import DEFAULT_BROADCAST_ROWS
 
 
 def normalize_terms(df: DataFrame, key: str, list_col: str, mapping: DataFrame,
                     remove: DataFrame | None = None, out_prefix: str = "normalized_symptom",
-                    with_replaced: bool = True, broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                    with_replaced: bool = True) -> DataFrame:
     """M12 (``with_replaced=True``) / M13.
 
     ``mapping`` has columns (term, mapped); ``remove`` has one column (term) of cleaned
     terms.  Adds ``<prefix>_list`` (sorted distinct array), ``<prefix>_str`` (joined by
     blanks) and, for M12, ``replaced`` (some mapped value differs from its cleaned term).
     """
-    ex = df.select(key, F.explode_outer(F.coalesce(F.col(list_col), F.array().cast("array<string>")))
-                   .alias("__raw"))
+    base = df.repartition(key)
+    ex = base.select(key, F.explode_outer(F.coalesce(F.col(list_col), F.array().cast("array<string>")))
+                     .alias("__raw"))
     ex = ex.withColumn("__t", clean_term("__raw"))
     if remove is not None:
         r = remove.select(F.col(remove.columns[0]).alias("__rm")).distinct()
@@ -47,7 +49,7 @@ def normalize_terms(df: DataFrame, key: str, list_col: str, mapping: DataFrame,
         aggs.append(F.coalesce(F.max("__rep"), F.lit(False)).alias("replaced"))
     g = ex.groupBy(key).agg(*aggs).withColumn(out_prefix + "_str",
                                               F.array_join(F.col(out_prefix + "_list"), " "))
-    return df.join(g, key, "left")
+    return base.join(g, key, "left")
 
 
 def vocabulary(df: DataFrame, list_col: str) -> DataFrame:
