@@ -62,13 +62,15 @@ def word_set_pattern(terms, prefix: str = "") -> str:
 
 
 def collect_predicate(cfg: CollectConfig, text: str = "text", lang: str = "lang",
-                      flags: dict[str, str] | None = None) -> Column:
+                      flags: dict[str, str] | None = None, hashtag_col: str | None = None) -> Column:
     """F1 as a Column: (any pre-requisite word) AND (any hashtag OR any exact phrase)
     AND NOT any excluded word or flag AND language.
 
-    Matching is case-insensitive (both sides lower-cased) and whole-word.  Excluded
-    operators ``is:retweet``, ``is:reply``, ``is:quote``, ``is:nullcast`` test boolean
-    columns named in ``flags`` (default ``is_retweet`` ...); a missing flag column is false.
+    Matching is case-insensitive (both sides lower-cased) and whole-word.  Hashtags are
+    matched as ``#tag`` words in the text, or, when ``hashtag_col`` names an array of
+    parsed tags (e.g. ``entities.hashtags.tag``), against that array.  Excluded
+    operators ``is:retweet``, ``is:reply``, ``is:quote``, ``is:nullcast`` test the boolean
+    columns named in ``flags``; an operator without a column is not applied.
     """
     hashtags = [h for h in cfg.hashtags if h]
     phrases = [p for p in cfg.include if p]
@@ -76,7 +78,11 @@ def collect_predicate(cfg: CollectConfig, text: str = "text", lang: str = "lang"
         raise ValueError("Must specify a hashtag or an exact match")
     t = F.lower(_c(text))
     any_of = []
-    if hashtags:
+    if hashtags and hashtag_col is not None:
+        tags = F.transform(_c(hashtag_col), lambda x: F.lower(x))
+        wanted = F.array(*[F.lit(h.lower()) for h in hashtags])
+        any_of.append(F.coalesce(F.arrays_overlap(tags, wanted), F.lit(False)))
+    elif hashtags:
         any_of.append(t.rlike(word_set_pattern(hashtags, prefix="#")))
     if phrases:
         any_of.append(t.rlike(word_set_pattern(phrases)))
@@ -108,13 +114,14 @@ def date_range(df: DataFrame, col: str, start: str | None, end: str | None) -> D
 
 
 def collect(df: DataFrame, cfg: CollectConfig, text: str = "text", lang: str = "lang",
-            time_col: str | None = "created_at", flags: dict[str, str] | None = None) -> DataFrame:
+            time_col: str | None = "created_at", flags: dict[str, str] | None = None,
+            hashtag_col: str | None = None) -> DataFrame:
     """F1 + F2 + F3: date range, predicate, then ``id``, the configured fields that exist and
     the nested ``user`` record (which carries description and image URL when present)."""
     out = df
     if time_col is not None and (cfg.start or cfg.end):
         out = date_range(out, time_col, cfg.start, cfg.end)
-    out = out.filter(collect_predicate(cfg, text, lang, flags))
+    out = out.filter(collect_predicate(cfg, text, lang, flags, hashtag_col))
     if cfg.fields:
         keep = ["id"] + [f for f in cfg.fields if f in df.columns and f != "id"]
         if "user" in df.columns:

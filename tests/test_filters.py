@@ -80,3 +80,12 @@ def test_category_filters(spark):
     df = spark.createDataFrame([("Noise",), (None,), ("x",)], "c string")
     assert sorted([r[0] for r in select.exclude_categories(df, "c", ["Noise"]).collect()],
                   key=str) == [None, "x"]
+
+
+def test_collect_predicate_hashtag_array(spark):
+    cfg = select.CollectConfig(hashtags=("LongCovid",), include=("long haul",), language=("en",))
+    rows = [("nothing here", "en", ["longcovid"]), ("nothing", "en", ["other"]), ("a long haul", "en", None),
+            ("x", "en", None)]
+    df = spark.createDataFrame(rows, "text string, lang string, tags array<string>")
+    got = [r[0] for r in df.select(select.collect_predicate(cfg, hashtag_col="tags")).collect()]
+    assert got == [True, False, True, False]
