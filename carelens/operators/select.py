@@ -160,6 +160,15 @@ def regex_tag(df: DataFrame, patterns: list[str], text: str = "text",
     return df
 
 
+def self_report_rows(triples: DataFrame, patterns: list[str], text: str = "text",
+                     location: str = "location", created_at: str = "created_at") -> DataFrame:
+    """F7 output contract: (report_text, regex_matched, geo, timestamp); every row kept,
+    ``'N/A'`` when no pattern matches, ``'NA'`` when the timestamp is missing."""
+    tagged = regex_tag(triples, patterns, text)
+    return tagged.select(F.col(text).alias("report_text"), "regex_matched", F.col(location).alias("geo"),
+                         F.coalesce(F.col(created_at).cast("string"), F.lit("NA")).alias("timestamp"))
+
+
 # ----------------------------------------------------------------------------- F8, F9
 def unique_first(df: DataFrame, key: str, order: str) -> DataFrame:
     """F8: one row per distinct ``key`` value: the row with the smallest ``order``.

@@ -703,3 +703,30 @@ def country_coverage(spark, sf):
     cube = _cube(spark, sf)
     c = report.country_coverage(cube, _shares(spark, sf, cube), count_col="n")
     return c.select(r6(F.col("covered")).alias("covered"))
+
+
+def _self_report_sql() -> str:
+    from .queries import TAG_PATTERNS, _special_sql, _urls_sql
+    from ..functions.patterns import py_classes
+    cases = ", ".join(f"CASE WHEN regexp_matches(text, {lit(py_classes(p))}) THEN {lit(p)} END"
+                      for p in TAG_PATTERNS)
+    return f"""
+WITH t AS (SELECT p.created_utc, {_special_sql(_urls_sql('p.text'))} AS text, coalesce(u.location, '') AS geo,
+                  CAST(p.created_at AS VARCHAR) AS ts
+           FROM posts p LEFT JOIN users u ON u.id = p.author_id),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY created_utc) AS rn FROM t) z
+      WHERE rn = 1)
+SELECT text AS report_text, coalesce(nullif(concat_ws(', ', {cases}), ''), 'N/A') AS regex_matched,
+       geo, coalesce(ts, 'NA') AS timestamp FROM f"""
+
+
+@q("self_reports", _self_report_sql(), ("posts", "users"))
+def self_reports(spark, sf):
+    """The extraction entry chain: post triples (S2) -> cleaning (T3) -> first occurrence
+    per text (F8) -> regex self-report table (F7): report_text, regex_matched, geo, timestamp."""
+    from ..sources.readers import post_triples
+    from .queries import TAG_PATTERNS
+    p = USERS.attach_users(views.posts(spark, sf), views.users(spark, sf))
+    t = post_triples(p.withColumn("text", TXT.clean_post_text("text")), keep=("created_utc",))
+    u = SEL.unique_first(t, "text", "created_utc")
+    return SEL.self_report_rows(u, TAG_PATTERNS)

@@ -16,14 +16,16 @@ def read_posts(spark: SparkSession, path: str, schema: StructType = schemas.POST
     return spark.read.schema(schema).option("multiLine", multiline).json(path)
 
 
-def post_triples(df: DataFrame, text: str = "text", list_text: bool = False) -> DataFrame:
+def post_triples(df: DataFrame, text: str = "text", list_text: bool = False,
+                 keep: tuple[str, ...] = ()) -> DataFrame:
     """(text, location, created_at); location ``''`` when the user has none.
 
-    ``list_text`` joins a text stored as a list of strings with blanks.
+    ``list_text`` joins a text stored as a list of strings with blanks; ``keep`` carries
+    extra columns (e.g. an order key for the first-occurrence de-duplication).
     """
     t = F.array_join(F.col(text), " ") if list_text else F.col(text)
     loc = F.coalesce(F.col("user.location"), F.lit("")) if "user" in df.columns else F.lit("")
-    return df.select(t.alias("text"), loc.alias("location"), F.col("created_at"))
+    return df.select(t.alias("text"), loc.alias("location"), F.col("created_at"), *keep)
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", header: bool = True,
