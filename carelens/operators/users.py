@@ -22,7 +22,8 @@ def latest_per_key(df: DataFrame, key: str, order: str | None) -> DataFrame:
 
 def attach_users(posts: DataFrame, users: DataFrame, author_key: str = "author_id",
                  user_key: str = "id", user_order: str | None = None, into: str = "user",
-                 strict: bool = False, broadcast_rows: int | None = None) -> DataFrame:
+                 strict: bool = False, broadcast_rows: int | None = None,
+                 users_unique: bool = False) -> DataFrame:
     """Post.author_id -> user record, nested as the ``user`` struct.
 
     Users are made unique by id first (last by ``user_order`` wins).  A left join keeps
@@ -30,9 +31,10 @@ def attach_users(posts: DataFrame, users: DataFrame, author_key: str = "author_i
     original's dictionary lookup would.  No broadcast hint: Spark broadcasts the user side
     when its measured size is under the threshold (adaptive execution re-checks at run
     time with real sizes) and otherwise shuffles both sides on the key, splitting a hot
-    author's partition (skew join).  ``broadcast_rows`` forces a checked broadcast.
+    author's partition (skew join).  ``broadcast_rows`` forces a checked broadcast;
+    ``users_unique`` skips the de-duplication (the caller already made ids unique).
     """
-    u = latest_per_key(users, user_key, user_order)
+    u = users if users_unique else latest_per_key(users, user_key, user_order)
     fields = u.columns
     u = u.select(F.col(user_key).alias("__uk"), F.struct(*[F.col(c) for c in fields]).alias(into))
     if broadcast_rows:

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.chain import post_chain
-from ..operators.users import attach_users
-from ..session import scratch_path
+from ..operators.users import attach_users, latest_per_key
+from ..session import cut_lineage, scratch_path
 from ..sources import views
 from ..sources.tables import table
 
@@ -58,10 +58,15 @@ def run_to_parquet(df: DataFrame, name: str, output_mode: str = "append") -> Dat
 
 def clean_post_stream(spark: SparkSession, sf_dir: str, bits: int = 224,
                       max_files_per_trigger: int | None = None) -> DataFrame:
-    """ST1: streaming posts x static users -> banned filter -> drop fields -> hash ids."""
+    """ST1: streaming posts x static users -> banned filter -> drop fields -> hash ids.
+
+    The static side of a stream-static join is re-evaluated for every micro-batch, so the
+    de-duplicated user table is materialized once (reliable checkpoint in the shared
+    folder) before the stream starts."""
     docs = table_stream(spark, sf_dir, "documents", max_files_per_trigger)
     posts = views.posts_from(docs, table(spark, sf_dir, "pages"))
-    with_users = attach_users(posts, views.users(spark, sf_dir))
+    users = cut_lineage(latest_per_key(views.users(spark, sf_dir), "id", None))
+    with_users = attach_users(posts, users, users_unique=True)
     return post_chain(bits=bits)(with_users)
 
 
