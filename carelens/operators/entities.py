@@ -62,14 +62,18 @@ def explode_entities(df: DataFrame, key: str, entities: str = "entities") -> Dat
         key, "pos", F.col("e.text").alias("text"), F.col("e.type").alias("type"))
 
 
-def merge_subwords(tokens: str | Column) -> Column:
+def merge_subwords(tokens: str) -> Column:
     """M6: glue word pieces: a token starting with ``##`` joins the previous word with every
     ``##`` removed; a leading ``##`` token starts a word as is.  NULL when nothing is left.
 
     Linear in the number of tokens: word starts are found with one ``filter`` and each
-    word is assembled from its slice.
+    word is assembled from its slice.  ``tokens`` names a column: the lambdas read it, and
+    a column is an O(1) read there while an inline expression would be re-evaluated per
+    element.
     """
-    t = _c(tokens)
+    if not isinstance(tokens, str):
+        raise TypeError("merge_subwords takes the name of an array<string> column")
+    t = F.col(tokens)
     n = F.size(t)
     starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
                       lambda i: (i == 1) | ~F.element_at(t, i).startswith("##"))

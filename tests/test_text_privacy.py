@@ -113,3 +113,12 @@ def test_term_clean_random_against_python(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(T.clean_term("t")).collect()]
     assert got == [py_term(t) for t in texts]
+
+
+def test_prefix_sum_blocks(spark):
+    import itertools
+    from carelens.functions.arrays import prefix_sum
+    arrs = [[], [5], list(range(1, 300)), [1] * 129, [3, 0, 2] * 50]
+    df = spark.createDataFrame([(a,) for a in arrs], "a array<int>")
+    got = [r[0] for r in df.select(prefix_sum("a", block=16)).collect()]
+    assert got == [list(itertools.accumulate(a)) for a in arrs]
