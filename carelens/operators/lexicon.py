@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import WORD
+from ..session import cut_lineage
 from .sizing import DEFAULT_BROADCAST_ROWS, is_small
 
 TOKEN = WORD + "+"
@@ -111,19 +112,22 @@ def lexicon_hits(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", te
     return hits.join(_names(norm, small), "etokens").drop("etokens")
 
 
-def resolve_overlaps(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def resolve_overlaps(hits: DataFrame, id_col: str = "doc_id", fold_limit: int = 256) -> DataFrame:
     """Leftmost-longest, non-overlapping selection per text.
 
     Greedy rule: walk spans by (start, longer first) and keep a span when it starts at or
     after the end of the last kept span.  The walk is split into independent clusters:
     a span that starts at or after the end of *every* earlier span is kept whatever came
     before, so it opens a new cluster (running maximum of earlier ends, one window per
-    text).  Only spans inside a cluster - a run of mutually overlapping matches - are
-    folded sequentially, so the cost stays linear in the number of matches instead of
-    quadratic per text.  Clusters are grouped under the text's partitioning (the window's
-    shuffle is reused), so the matches cross the network once.  Input needs (id, start,
-    width, etokens) with unique text ids (each distinct token sequence has one anchor, so
-    a span is proposed once); returns the kept rows.
+    text).  Only spans inside a cluster - a run of mutually overlapping matches - need a
+    sequential walk.  Clusters of up to ``fold_limit`` spans (at sf0.1 the largest has 24)
+    are walked by a JVM fold; Spark copies a fold's state on every step, so that is only
+    used where the state is bounded.  Larger clusters (a repeated phrase whose
+    expressions chain-overlap can make a whole text one cluster) are walked in a grouped
+    pandas task, linear in the cluster.  The matches with their cluster ids are written
+    once to the shared checkpoint folder (both walks read them; the text pipeline never
+    runs twice, and a lost executor does not send it back to the texts).  Input needs (id, start, width, etokens)
+    with unique text ids; returns the kept rows.
     """
     spans = hits.select(id_col, "start", "width", "etokens")
     w = Window.partitionBy(id_col).orderBy(F.col("start"), F.col("width").desc())
@@ -131,7 +135,12 @@ def resolve_overlaps(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     head = (prev_end.isNull() | (F.col("start") >= prev_end)).cast("int")
     spans = spans.withColumn("__head", head)
     spans = spans.withColumn("__cl", F.sum("__head").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = spans.groupBy(id_col, "__cl").agg(
+    spans = spans.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(id_col, "__cl")))
+    # the two walks below both read the matches: write them once to the shared folder
+    spans = cut_lineage(spans)
+
+    small = spans.filter(F.col("__n") <= fold_limit)
+    g = small.groupBy(id_col, "__cl").agg(
         F.array_sort(F.collect_list(F.struct(F.col("start").alias("s"), (-F.col("width")).alias("nw"),
                                              F.col("etokens").alias("t")))).alias("c"))
     init = F.struct(F.lit(-1).cast("int").alias("end"),
@@ -142,9 +151,28 @@ def resolve_overlaps(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
                  F.concat(acc["keep"], F.array(F.struct(x["s"].alias("s"), (-x["nw"]).alias("w"),
                                                         x["t"].alias("t")))).alias("keep")))
         .otherwise(acc))
-    kept = g.select(id_col, F.explode(fold["keep"]).alias("k"))
-    return kept.select(id_col, F.col("k.s").alias("start"), F.col("k.w").alias("width"),
-                       F.col("k.t").alias("etokens"))
+    kept_small = g.select(id_col, F.explode(fold["keep"]).alias("k")).select(
+        id_col, F.col("k.s").alias("start"), F.col("k.w").alias("width"), F.col("k.t").alias("etokens"))
+
+    large = spans.filter(F.col("__n") > fold_limit).select(id_col, "__cl", "start", "width", "etokens")
+    id_type = hits.schema[id_col].dataType.simpleString()
+    schema = f"{id_col} {id_type}, __cl long, start int, width int, etokens array<string>"
+    kept_large = large.groupBy(id_col, "__cl").applyInPandas(_walk_cluster, schema).drop("__cl")
+    return kept_small.unionByName(kept_large)
+
+
+def _walk_cluster(pdf):
+    """Greedy leftmost-longest walk over one large cluster (pandas, linear)."""
+    pdf = pdf.sort_values(["start", "width"], ascending=[True, False], kind="stable")
+    starts = pdf["start"].to_numpy()
+    ends = starts + pdf["width"].to_numpy()
+    keep = []
+    end = -1
+    for i in range(len(starts)):
+        if starts[i] >= end:
+            keep.append(i)
+            end = ends[i]
+    return pdf.iloc[keep]
 
 
 def lexicon_matches(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text: str = "text",

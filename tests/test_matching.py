@@ -110,3 +110,19 @@ def test_lexicon_normalization(spark):
     n = lexicon.normalize_lexicon(lex).collect()
     assert all("﻿" not in r["concept"] for r in n)
     assert len([r for r in n if r["expression"] == "very tired"]) == 1
+
+
+def test_overlap_removal_large_cluster_path(spark):
+    """A repeated phrase whose expressions chain-overlap makes one big cluster: the pandas
+    walk (fold_limit=4 forces it) must agree with the brute-force greedy model."""
+    from carelens.operators.lexicon import _raw_hits, normalize_lexicon, resolve_overlaps
+    texts = ["the cat sat " * 40, "the cat the cat sat sat the", "x"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    lex = [("A", "1", "the"), ("B", "2", "the cat"), ("C", "3", "cat sat the"), ("D", "4", "sat")]
+    norm = normalize_lexicon(spark.createDataFrame(lex, "Symptom string, CUI string, LexicalExpression string"))
+    hits = _raw_hits(docs, norm, "doc_id", "text", True)
+    for limit in (4, 256):
+        kept = resolve_overlaps(hits, "doc_id", fold_limit=limit).collect()
+        for i, t in enumerate(texts):
+            exp = greedy(model_lexicon(t, lex))
+            assert {(r["start"], r["width"]) for r in kept if r["doc_id"] == i} == exp
