@@ -56,7 +56,8 @@ OUT_SCHEMA = "term string, rank int, concept string, score double"
 def best_concepts_dense(terms: DataFrame, dictionary: DataFrame, k: int = 1,
                         term: str = "term", tvec: str = "vector", concept: str = "concept",
                         cvec: str = "vector", broadcast_rows: int = DENSE_BROADCAST_ROWS,
-                        block_rows: int = 50_000, broadcast_bytes: int = DENSE_BROADCAST_BYTES) -> DataFrame:
+                        block_rows: int = 50_000, broadcast_bytes: int = DENSE_BROADCAST_BYTES,
+                        dict_block_rows: int | None = None) -> DataFrame:
     """M7 + O3: top-``k`` dictionary concepts per term by cosine: (term, rank, concept, score).
 
     Rank 1 is the reference's choice.  Terms should already be distinct (the caller
@@ -91,20 +92,23 @@ def best_concepts_dense(terms: DataFrame, dictionary: DataFrame, k: int = 1,
                 })
 
         return t.mapInPandas(run, schema=OUT_SCHEMA)
-    return _blocked_dense(t, d, k, block_rows)
+    return _blocked_dense(t, d, k, block_rows, dict_block_rows or limit)
 
 
-def _blocked_dense(t: DataFrame, d: DataFrame, k: int, block_rows: int) -> DataFrame:
+def _blocked_dense(t: DataFrame, d: DataFrame, k: int, term_block_rows: int,
+                   dict_block_rows: int) -> DataFrame:
     """Exact top-k for dictionaries too large to broadcast: blocked all-pairs product.
 
     Terms go to ``tb`` blocks and dictionary entries to ``db`` blocks by hash; each term
     block meets each dictionary block in one ``cogroup`` task (both sides bounded), and
-    the per-block top-k lists are merged per term.
+    the per-block top-k lists are merged per term.  Every term row is shuffled ``db``
+    times and every dictionary row ``tb`` times, so dictionary blocks are as large as the
+    broadcast bound allows (fewest copies of the usually larger term side).
     """
     n_d = d.count()
     n_t = t.count()
-    db = max(1, math.ceil(n_d / block_rows))
-    tb = max(1, math.ceil(n_t / block_rows))
+    db = max(1, math.ceil(n_d / max(dict_block_rows, 1)))
+    tb = max(1, math.ceil(n_t / max(term_block_rows, 1)))
     dd = d.withColumn("db", F.pmod(F.xxhash64("concept"), F.lit(db)).cast("int"))
     dd = dd.select("concept", "v", F.explode(F.sequence(F.lit(0), F.lit(tb - 1))).alias("tb"), "db")
     tt = t.withColumn("tb", F.pmod(F.xxhash64("term"), F.lit(tb)).cast("int"))
@@ -112,7 +116,8 @@ def _blocked_dense(t: DataFrame, d: DataFrame, k: int, block_rows: int) -> DataF
 
     def pair(tp: pd.DataFrame, dp: pd.DataFrame) -> pd.DataFrame:
         if len(tp) == 0 or len(dp) == 0:
-            return pd.DataFrame({"term": [], "rank": [], "concept": [], "score": []})
+            return pd.DataFrame({"term": pd.Series([], dtype=object), "rank": pd.Series([], dtype="int32"),
+                                 "concept": pd.Series([], dtype=object), "score": pd.Series([], dtype="float64")})
         dp = dp.sort_values("concept", kind="stable")
         m = _stack(dp["v"])
         idx, sc = _topk(_stack(tp["v"]), m, np.linalg.norm(m, axis=1), k)

@@ -41,7 +41,7 @@ def test_dense_broadcast_and_blocked_agree(vecs):
     terms, corpus, t, c = vecs
     exp = sorted((a, b, cc, round(d, 9)) for a, b, cc, d in brute(terms, corpus, 3))
     assert _rows(semantic.best_concepts_dense(t, c, k=3)) == exp
-    blocked = semantic.best_concepts_dense(t, c, k=3, broadcast_rows=5, block_rows=7)
+    blocked = semantic.best_concepts_dense(t, c, k=3, broadcast_rows=5, block_rows=7, dict_block_rows=4)
     assert _rows(blocked) == exp
 
 
@@ -88,5 +88,5 @@ def test_dense_byte_bound_switches_to_blocks(vecs):
     terms, corpus, t, c = vecs
     exp = sorted((a, b, cc, round(d, 9)) for a, b, cc, d in brute(terms, corpus, 2))
     # 8 dims x 8 bytes = 64 bytes per row: a 500-byte budget allows 7 rows < 26 -> blocked path
-    got = semantic.best_concepts_dense(t, c, k=2, broadcast_bytes=500, block_rows=6)
+    got = semantic.best_concepts_dense(t, c, k=2, broadcast_bytes=500, block_rows=6)   # dictionary blocks of 7
     assert _rows(got) == exp
