@@ -564,8 +564,9 @@ WHERE type IN ('PROBLEM', 'TREATMENT', 'TEST') GROUP BY type, text""", ("ents",)
 def entity_sink(spark, sf):
     """Entity frequencies written as one table partitioned by entity type, read back."""
     path = scratch_path(spark, "entity-freq")
-    sinks.write_entity_frequencies(entities.entity_frequency(views.entity_rows(spark, sf)), path)
-    return spark.read.parquet(path).select("type", "text", "frequency")
+    freq = entities.entity_frequency(views.entity_rows(spark, sf))
+    sinks.write_entity_frequencies(freq, path)
+    return spark.read.schema(freq.schema).parquet(path).select("type", "text", "frequency")
 
 
 @q("lexicon_file", f"""

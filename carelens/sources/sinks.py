@@ -35,5 +35,5 @@ def stage_output(df: DataFrame, path: str) -> DataFrame:
     """S14 (batch form): write a stage's output and read it back, cutting the lineage so a
     lost executor recomputes nothing before this point."""
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -53,7 +53,8 @@ def run_to_parquet(df: DataFrame, name: str, output_mode: str = "append") -> Dat
     qy.awaitTermination()
     if qy.exception() is not None:
         raise RuntimeError(str(qy.exception()))
-    return spark.read.parquet(sink)
+    # the stream's own schema: a sink that received no rows has no file to infer it from
+    return spark.read.schema(df.schema).parquet(sink)
 
 
 def clean_post_stream(spark: SparkSession, sf_dir: str, bits: int = 224,

@@ -59,3 +59,12 @@ def test_comment_author_and_projection(spark):
     assert select.project_submissions(sub).columns == ["id", "selftext", "title", "score"]
     with pytest.raises(ValueError):
         select.project_submissions(sub, strict=True)
+
+
+def test_empty_outputs_read_back(spark):
+    from carelens.streaming import stream
+    empty = spark.createDataFrame([], "id string, n long")
+    assert sinks.stage_output(empty, scratch_path(spark, "empty-stage")).count() == 0
+    ev = stream.table_stream(spark, "/root/testdata/sf0.001", "events").filter(F.col("value") < -1e9)
+    out = stream.run_to_parquet(ev.select("event_id", "user_id"), "empty-stream")
+    assert out.count() == 0 and out.columns == ["event_id", "user_id"]
