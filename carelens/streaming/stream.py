@@ -47,6 +47,9 @@ def run_to_parquet(df: DataFrame, name: str, output_mode: str = "append") -> Dat
     if output_mode == "append":
         qy = w.format("parquet").outputMode("append").start(sink)
     else:
+        # an input with no data runs no batch: start from an empty table of the right schema
+        spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(sink)
+
         def write(batch: DataFrame, _epoch: int) -> None:
             batch.write.mode("overwrite").parquet(sink)
         qy = w.outputMode(output_mode).foreachBatch(write).start()
