@@ -350,8 +350,10 @@ fin AS (SELECT e.* FROM enr2 e WHERE EXISTS (
   SELECT 1 FROM cats c WHERE c.lancet_category IS NOT DISTINCT FROM e.lancet_category))"""
 
 
-def _best_bow(spark, sf):
-    m = views.mentions(spark, sf)
+def _best_bow(spark, sf, source=None):
+    """Best dictionary entry per distinct term; ``source`` is any table with the term
+    column (the mentions view by default, or an aggregate of it)."""
+    m = views.mentions(spark, sf) if source is None else source
     terms = m.select(F.col("symptom_adjusted").alias("term")).filter(F.col("term").isNotNull()).distinct()
     d = views.concept_dictionary(spark, sf)
     return semantic.best_concepts_sparse(terms.withColumn("text", F.col("term")),
@@ -371,7 +373,9 @@ def _cube(spark, sf):
     (symptom, category, country, month) and written to the shared checkpoint folder; every
     report below reads this small table."""
     terms = report.term_cube(views.mentions(spark, sf))
-    mapped = semantic.map_mentions(terms, _best_bow(spark, sf), views.concept_dictionary(spark, sf),
+    # distinct terms come from the same aggregate (its exchange is reused), not from a
+    # second evaluation of the mention joins
+    mapped = semantic.map_mentions(terms, _best_bow(spark, sf, terms), views.concept_dictionary(spark, sf),
                                    count_col="n")
     return cut_lineage(report.mention_cube(mapped, "month", count_col="n", is_month=True))
 
