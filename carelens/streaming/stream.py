@@ -2,8 +2,9 @@
 
 Posts arrive as files; each micro-batch is joined with the static user table, passed
 through the cleaning chain and appended to a parquet sink.  The checkpoint and the sink
-live under the cluster's shared ``spark.checkpoint.dir``, so a restarted query (or a lost
-executor) resumes exactly once from the last committed batch.  ``max_files_per_trigger``
+live under the cluster's shared ``spark.checkpoint.dir``, so a lost executor only re-runs
+the current micro-batch, and a query restarted on the same paths resumes exactly once
+from the last committed batch.  ``max_files_per_trigger``
 bounds a micro-batch, which replaces the original's periodic CSV snapshots (ST2).
 
 De-duplication in a stream only holds within the watermark delay: state older than the
@@ -34,15 +35,18 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str,
     return r.load(sf_dir)
 
 
-def run_to_parquet(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
+def run_to_parquet(df: DataFrame, name: str, output_mode: str = "append",
+                   sink: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Run a streaming DataFrame until all available input is processed; return the sink.
 
     Append-mode results go to a parquet file sink (exactly once through the checkpoint);
-    complete-mode aggregates are rewritten per batch through ``foreachBatch``.
+    complete-mode aggregates are rewritten per batch through ``foreachBatch``.  Pass
+    stable ``sink`` and ``checkpoint`` paths to resume a deployment where it stopped;
+    by default each call gets fresh paths under the shared checkpoint folder.
     """
     spark = df.sparkSession
-    sink = scratch_path(spark, f"{name}-out")
-    ckpt = scratch_path(spark, f"{name}-ckpt")
+    sink = sink or scratch_path(spark, f"{name}-out")
+    ckpt = checkpoint or scratch_path(spark, f"{name}-ckpt")
     w = df.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
     if output_mode == "append":
         qy = w.format("parquet").outputMode("append").start(sink)

@@ -72,3 +72,13 @@ def test_reply_depth_deep_chain_orphans_and_cycles(spark):
     assert all(d[f"r{i}"] == i for i in range(n))
     assert d["t"] == 0 and d["t1"] == 1
     assert not {"o1", "o2", "x1", "x2"} & set(d)
+
+
+def test_stream_resumes_on_stable_paths(spark):
+    """A second run on the same checkpoint finds no new input and adds nothing."""
+    from carelens.session import scratch_path
+    from carelens.streaming import stream
+    sink, ck = scratch_path(spark, "resume-out"), scratch_path(spark, "resume-ckpt")
+    first = stream.run_to_parquet(stream.unique_events_stream(spark, SF001), "r", sink=sink, checkpoint=ck).count()
+    again = stream.run_to_parquet(stream.unique_events_stream(spark, SF001), "r", sink=sink, checkpoint=ck).count()
+    assert first == again > 0
