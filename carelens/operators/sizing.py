@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows a dimension side may hold to be broadcast by the library (a few MB of keys).
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# Rows a dimension side may hold to be broadcast by the library.  A lexicon anchor row
+# (token sequence, anchor token, offsets) is ~100-200 bytes, so the bound keeps the
+# broadcast to ~100-200 MB per executor; a larger side is joined by shuffle instead
+# (adaptive skew handling splits hot tokens).
+DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
 def bounded_count(df: DataFrame, bound: int) -> int:
