@@ -126,3 +126,15 @@ def test_overlap_removal_large_cluster_path(spark):
         for i, t in enumerate(texts):
             exp = greedy(model_lexicon(t, lex))
             assert {(r["start"], r["width"]) for r in kept if r["doc_id"] == i} == exp
+
+
+def test_lexicon_shuffle_join_path(spark):
+    """broadcast_rows=1 fails the size check, so the anchor join is a shuffle join."""
+    texts = ["I am Very tired, short of breath and have brain fog", "chest pain chest pain", "tired tired"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    lex = spark.createDataFrame(LEX, "Symptom string, CUI string, LexicalExpression string")
+    norm_lex = [(c.replace("﻿", "").strip(), k, e) for c, k, e in LEX]
+    got = lexicon.lexicon_matches(docs, lex, broadcast_rows=1).collect()
+    for i, t in enumerate(texts):
+        exp = model_lexicon(t, norm_lex)
+        assert {(r["start"], r["width"]) for r in got if r["doc_id"] == i} == greedy(exp)
