@@ -57,7 +57,9 @@ def posts_from(documents: DataFrame, pages: DataFrame) -> DataFrame:
         _s(F.regexp_extract("source", r"(\d+)$", 1).cast("bigint") + 1).alias("author_id"),
         F.col("source").alias("author"),
         created.cast("bigint").alias("created_utc"),
-        F.timestamp_seconds(created).alias("created_at"),
+        # UTC wall time as TIMESTAMP_NTZ: the same value in every session time zone
+        (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+         + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), created)).alias("created_at"),
         F.col("lang"),
         text.alias("text"),
     )

@@ -98,9 +98,21 @@ def unique_text_stream(spark: SparkSession, sf_dir: str, delay: str = "1 day") -
     return posts.withWatermark("t", delay).dropDuplicatesWithinWatermark(["text_sha"])
 
 
+def utc_instant(ntz):
+    """The instant of a TIMESTAMP_NTZ wall time read as UTC, whatever the session time zone
+    (a plain cast would read it in the session zone)."""
+    c = F.col(ntz) if isinstance(ntz, str) else ntz
+    return F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c),
+                            F.second(c).cast("decimal(8,6)"), F.lit("UTC"))
+
+
 def daily_counts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E1 streaming form: events per UTC day and type (a windowed aggregate)."""
-    ev = table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    g = ev.withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day"), "event_type").agg(
-        F.count(F.lit(1)).alias("count"))
-    return g.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "count")
+    """E1 streaming form: events per UTC day and type (a windowed aggregate).
+
+    Windows are aligned to UTC days on the UTC instant of the event time; the day label
+    is the date of the stored wall time, so neither depends on the session time zone."""
+    ev = table_stream(spark, sf_dir, "events").withColumn("t", utc_instant("ts"))
+    g = ev.withWatermark("t", "1 day").groupBy(
+        F.window("t", "1 day"), F.date_format(F.to_date("ts"), "yyyy-MM-dd").alias("day"), "event_type"
+    ).agg(F.count(F.lit(1)).alias("count"))
+    return g.select("day", "event_type", "count")
