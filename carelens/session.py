@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,7 +45,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder.
 
     Uses the folder the cluster names in ``spark.checkpoint.dir`` (or one already set on
-    the context); only when neither exists (local runs, tests) is a local folder created.
+    the context); only when neither exists is a local folder created, and only for a local master.
     ``spark.checkpoint.dir`` is a core setting that cannot be changed at run time, so the
     folder is installed with ``SparkContext.setCheckpointDir``.
     """
@@ -54,11 +55,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf = tempfile.mkdtemp(prefix="carelens-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Put this package on the executors' Python path (once per Spark application)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_carelens_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory() as folder:
+        archive = os.path.join(folder, "carelens.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for where, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(where, name)
+                        z.write(path, os.path.relpath(path, os.path.dirname(root)))
+        sc.addPyFile(archive)
+    sc._carelens_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder (never a machine-local temp dir)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
