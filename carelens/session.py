@@ -68,15 +68,15 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(sc, "_carelens_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    with tempfile.TemporaryDirectory() as folder:
-        archive = os.path.join(folder, "carelens.zip")
-        with zipfile.ZipFile(archive, "w") as z:
-            for where, _, names in os.walk(root):
-                for name in names:
-                    if name.endswith(".py"):
-                        path = os.path.join(where, name)
-                        z.write(path, os.path.relpath(path, os.path.dirname(root)))
-        sc.addPyFile(archive)
+    # the driver serves this file to late executors too, so it stays while the session lives
+    archive = os.path.join(tempfile.mkdtemp(prefix="carelens-"), "carelens.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for where, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(where, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(archive)
     sc._carelens_shipped = True
 
 
