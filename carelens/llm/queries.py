@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import sql
+from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 
 
@@ -18,7 +19,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures of every text and the verdict of the line-frequency rules per source."""
+    return quality_rules(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "n_kept_words", "kept")
+
+
 def registry() -> tuple[dict, dict]:
-    queries = {f.__name__: f for f in (op1_substring_dedup,)}
-    oracles = {"op1_substring_dedup": sql.OP1}
+    queries = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules)}
+    oracles = {"op1_substring_dedup": sql.OP1, "op2_quality_rules": sql.OP2}
     return queries, oracles
