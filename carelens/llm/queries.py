@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import sql
+from .decontaminate import benchmark_overlaps
+from .order_minhash import near_duplicates
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 
@@ -26,7 +28,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "n_kept_words", "kept")
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document, with its number of links."""
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verified overlaps of documents with benchmark items."""
+    return benchmark_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def registry() -> tuple[dict, dict]:
-    queries = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules)}
+    queries = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op4_order_minhash,
+                                        op8_decontaminate)}
     oracles = {"op1_substring_dedup": sql.OP1, "op2_quality_rules": sql.OP2}
     return queries, oracles
