@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import scratch_path
 from . import sql
 from .decontaminate import benchmark_overlaps
 from .order_minhash import near_duplicates
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
+from .token_records import ids_crc32, read_tokens, write_tokens
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +36,14 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text, written as framed records and read back."""
+    import public_tokenizers
+    folder = scratch_path(spark, "token-records")
+    write_tokens(read(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_tokens(spark, folder, ids_crc32, (("ids_crc32", "long", pa.int64()),))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verified overlaps of documents with benchmark items."""
     return benchmark_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -40,6 +51,6 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> tuple[dict, dict]:
     queries = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op4_order_minhash,
-                                        op8_decontaminate)}
+                                        op6_token_records, op8_decontaminate)}
     oracles = {"op1_substring_dedup": sql.OP1, "op2_quality_rules": sql.OP2}
     return queries, oracles
