@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import scratch_path
 from . import sql
 from .decontaminate import benchmark_overlaps
+from .line_templates import line_dedup
 from .order_minhash import near_duplicates
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
@@ -49,8 +50,15 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates dropped from every document but the first."""
+    kept = line_dedup(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def registry() -> tuple[dict, dict]:
     queries = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op4_order_minhash,
-                                        op6_token_records, op8_decontaminate)}
+                                        op6_token_records, op8_decontaminate,
+                                        op9_line_templates)}
     oracles = {"op1_substring_dedup": sql.OP1, "op2_quality_rules": sql.OP2}
     return queries, oracles

@@ -46,6 +46,7 @@ class Words:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data = data
         lo, hi = int(offsets[0]), int(offsets[-1])
+        self.text_start, self.text_end = offsets[:-1], hi
         inside = ~SPACE[data[lo:hi]]
         n = len(inside)
         begins, ends = inside.copy(), inside.copy()
