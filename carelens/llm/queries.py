@@ -10,6 +10,7 @@ from . import sql
 from .decontaminate import benchmark_overlaps
 from .line_templates import line_dedup
 from .order_minhash import near_duplicates
+from .packing import best_fit_pack, document_items
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 from .token_records import ids_crc32, read_tokens, write_tokens
@@ -45,6 +46,11 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder, ids_crc32, (("ids_crc32", "long", pa.int64()),))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of 2048 words; no two documents of one source or equal text share a bin."""
+    return best_fit_pack(document_items(read(spark, sf_dir, "documents")), 2048)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verified overlaps of documents with benchmark items."""
     return benchmark_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -58,7 +64,7 @@ def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> tuple[dict, dict]:
     queries = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op4_order_minhash,
-                                        op6_token_records, op8_decontaminate,
+                                        op6_token_records, op7_best_fit_packing, op8_decontaminate,
                                         op9_line_templates)}
     oracles = {"op1_substring_dedup": sql.OP1, "op2_quality_rules": sql.OP2}
     return queries, oracles
