@@ -14,6 +14,7 @@ from .packing import best_fit_pack, document_items
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 from .token_records import ids_crc32, read_tokens, write_tokens
+from .url_filter import filter_urls
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,7 +35,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate class of every document, with its number of links."""
+    """Near-duplicate class of every document."""
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
@@ -62,9 +63,14 @@ def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and the n-gram model on every page's URL."""
+    return filter_urls(read(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 def registry() -> tuple[dict, dict]:
     queries = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op4_order_minhash,
                                         op6_token_records, op7_best_fit_packing, op8_decontaminate,
-                                        op9_line_templates)}
+                                        op9_line_templates, op10_url_filter)}
     oracles = {"op1_substring_dedup": sql.OP1, "op2_quality_rules": sql.OP2}
     return queries, oracles
