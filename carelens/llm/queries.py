@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
 from . import sql
@@ -14,6 +14,7 @@ from .packing import best_fit_pack, document_items
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 from .token_records import ids_crc32, read_tokens, write_tokens
+from .toxicity import learn, score
 from .url_filter import filter_urls
 
 
@@ -39,6 +40,18 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def _held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every text, learned from the rows that are not held out."""
+    docs = read(spark, sf_dir, "documents")
+    model = learn(docs, read(spark, sf_dir, "labels").filter(~_held_out()))
+    return score(docs, model).select("doc_id", _held_out().alias("held_out"), "score",
+                                     (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text, written as framed records and read back."""
     import public_tokenizers
@@ -69,7 +82,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> tuple[dict, dict]:
-    queries = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op4_order_minhash,
+    queries = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op4_order_minhash, op5_toxicity,
                                         op6_token_records, op7_best_fit_packing, op8_decontaminate,
                                         op9_line_templates, op10_url_filter)}
     oracles = {"op1_substring_dedup": sql.OP1, "op2_quality_rules": sql.OP2}
