@@ -11,6 +11,7 @@ from .decontaminate import benchmark_overlaps
 from .line_templates import line_dedup
 from .order_minhash import near_duplicates
 from .packing import best_fit_pack, document_items
+from .quality_classifier import fit_evidence, quality_scores
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 from .token_records import ids_crc32, read_tokens, write_tokens
@@ -35,6 +36,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "n_kept_words", "kept")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, its site's rate as prior."""
+    docs = read(spark, sf_dir, "documents")
+    model = fit_evidence(docs, read(spark, sf_dir, "labels").filter(~_held_out()))
+    return quality_scores(docs, model)
+
+
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     return near_duplicates(read(spark, sf_dir, "documents"))
@@ -82,8 +90,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> tuple[dict, dict]:
-    queries = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op4_order_minhash, op5_toxicity,
-                                        op6_token_records, op7_best_fit_packing, op8_decontaminate,
+    queries = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_quality_classifier,
+                                        op4_order_minhash, op5_toxicity, op6_token_records,
+                                        op7_best_fit_packing, op8_decontaminate,
                                         op9_line_templates, op10_url_filter)}
     oracles = {"op1_substring_dedup": sql.OP1, "op2_quality_rules": sql.OP2}
     return queries, oracles
