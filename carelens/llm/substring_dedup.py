@@ -21,8 +21,11 @@ among equal anchors only, and consecutive windows with one anchor make one row (
    only those of the first document of each stretch.
 
 Windows and stretches are compared by two independent 64-bit names (anchor and content).
-All groups are aggregates with map-side partial results or joins, so a passage that a
-third of all rows share is never gathered in one task.
+Every task first settles the equal rows it holds itself and sends on only those of its
+smallest document (``gone`` marks the others), so a passage that a third of all documents
+share is shuffled once per task, not once per document.  An anchor that stands in many
+different surroundings stays frequent; its join reads two written tables, which adaptive
+execution can split.
 """
 
 from __future__ import annotations
@@ -35,8 +38,9 @@ from ..session import scratch_path
 from .words import Rolling, join_names, mix, signed, steps
 
 _FAR = np.int64(1) << np.int64(40)
-ANCHORS = "anchor long, stretch long, doc_id long, at int, n int"
-WINDOWS = "anchor long, content long, doc_id long, at int"
+ROWS = "anchor long, content long, doc_id long, at int, n int, gone boolean"
+#: Rows that a task holds to settle equal ones among them.
+SETTLED_ROWS = 1_000_000
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string"
 
 
@@ -163,16 +167,40 @@ def _rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
 
 
-_ANCHOR_SCHEMA = pa.schema([("anchor", pa.int64()), ("stretch", pa.int64()), ("doc_id", pa.int64()),
-                            ("at", pa.int32()), ("n", pa.int32())])
-_WINDOW_SCHEMA = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()),
-                            ("at", pa.int32())])
+_ROW_SCHEMA = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()),
+                         ("at", pa.int32()), ("n", pa.int32()), ("gone", pa.bool_())])
 _RESULT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
                             ("kept_text", pa.string())])
 
 
+def _settle(parts: list) -> pa.RecordBatch:
+    """Rows (anchor, content, doc_id, at, n) with ``gone``: a smaller document here has it."""
+    anchor, content, doc, at, n = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((doc, content, anchor))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (np.diff(anchor[order]) != 0) | (np.diff(content[order]) != 0)
+    begin = np.flatnonzero(fresh)
+    least = np.repeat(doc[order][begin], np.diff(np.append(begin, len(order))))
+    gone = np.empty(len(order), bool)
+    gone[order] = doc[order] > least
+    return _rows(_ROW_SCHEMA, anchor, content, doc, at.astype(np.int32), n.astype(np.int32), gone)
+
+
+def _settled(parts):
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= SETTLED_ROWS:
+            yield _settle(held)
+            held, size = [], 0
+    if size:
+        yield _settle(held)
+
+
 def _anchor_task(width: int):
-    def run(batches):
+    """Stretches of windows with one anchor: ``at`` is the first window, ``n`` how many."""
+    def rows(batches):
         for batch, words in steps(batches):
             roll, starts, anchor, fresh = _window_names(words, width)
             if not len(fresh):
@@ -180,27 +208,24 @@ def _anchor_task(width: int):
             n = np.diff(np.append(fresh, len(starts)))
             at = starts[fresh]
             doc = np.searchsorted(words.first, at, side="right") - 1
-            ids = batch.column("doc_id").take(pa.array(doc))
-            yield _rows(_ANCHOR_SCHEMA, signed(anchor[fresh]),
-                        signed(roll.of(at, at + n + (width - 1))), ids,
-                        (at - words.first[doc]).astype(np.int32), n.astype(np.int32))
-    return run
+            yield (signed(anchor[fresh]), signed(roll.of(at, at + n + (width - 1))),
+                   batch.column("doc_id").to_numpy()[doc], at - words.first[doc], n)
+    return lambda batches: _settled(rows(batches))
 
 
 def _window_task(width: int):
-    """Windows of the listed stretches: rows carry ``spans`` = [(at, n)]."""
-    def run(batches):
+    """Single windows of the listed stretches: rows carry ``spans`` = [(at, n)]."""
+    def rows(batches):
         for batch, words in steps(b.filter(b.column("spans").is_valid()) for b in batches):
             roll, starts, anchor, _ = _window_names(words, width)
-            listed = batch.column("spans")
-            for row, spans in enumerate(listed.to_pylist()):
+            for row, spans in enumerate(batch.column("spans").to_pylist()):
                 base = words.first[row]
                 at = np.unique(np.concatenate([np.arange(s["at"], s["at"] + s["n"]) for s in spans])) + base
                 i = np.searchsorted(starts, at)
-                yield _rows(_WINDOW_SCHEMA, signed(anchor[i]), signed(roll.of(at, at + width)),
-                            np.full(len(at), batch.column("doc_id")[row].as_py(), np.int64),
-                            (at - base).astype(np.int32))
-    return run
+                yield (signed(anchor[i]), signed(roll.of(at, at + width)),
+                       np.full(len(at), batch.column("doc_id")[row].as_py(), np.int64),
+                       at - base, np.full(len(at), width))
+    return lambda batches: _settled(rows(batches))
 
 
 def _cut_task(batches):
@@ -238,25 +263,35 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id",
     Repeats inside one document stay.  Further columns are ignored.
     """
     spark = docs.sparkSession
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    anchors = (texts.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-               .mapInArrow(_anchor_task(width), ANCHORS))
-    shared = (anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-              .filter("a <> b").select("anchor"))
-    path = scratch_path(spark, "recompression")
-    anchors.join(shared, "anchor").write.parquet(path)
-    live = spark.read.parquet(path)
-
-    first = live.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("first_doc"))
-    kinds = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    judged = live.join(first, ["anchor", "stretch"]).join(kinds, "anchor")
-    whole = (judged.filter("first_doc < doc_id")
-             .select("doc_id", "at", (F.col("n") + (width - 1)).alias("n")))
-    single = judged.filter("first_doc = doc_id AND kinds > 1").select("doc_id", "at", "n")
-
-    windows = texts.join(_per_document(single), "doc_id", "left").mapInArrow(_window_task(width), WINDOWS)
-    earliest = windows.groupBy("anchor", "content").agg(F.min("doc_id").alias("first_doc"))
-    alone = (windows.join(earliest, ["anchor", "content"]).filter("first_doc < doc_id")
-             .select("doc_id", "at", F.lit(width).alias("n")))
-    cuts = _per_document(whole.unionByName(alone))
+    stretches = stored(texts.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+                       .mapInArrow(_anchor_task(width), ROWS), "stretches")
+    last = F.lit(width - 1)
+    cut_early = stretches.filter("gone").select("doc_id", "at", (F.col("n") + last).alias("n"))
+
+    open_ = stretches.filter("NOT gone").drop("gone")
+    shared = stored(open_.groupBy("anchor").agg(
+        F.min("doc_id").alias("a"), F.max("doc_id").alias("b"),
+        (F.min("content") != F.max("content")).alias("several")).filter("a <> b").drop("a", "b"), "anchors")
+    live = stored(open_.join(shared, "anchor"), "shared-stretches")
+    first = live.groupBy("anchor", "content").agg(F.min("doc_id").alias("first_doc"))
+    judged = live.join(first, ["anchor", "content"])
+    cut_whole = judged.filter("first_doc < doc_id").select("doc_id", "at", (F.col("n") + last).alias("n"))
+    single = judged.filter("first_doc = doc_id AND several").select("doc_id", "at", "n")
+
+    # rows already settled need no partner: each gets a key of its own, found nowhere
+    windows = texts.join(_per_document(single), "doc_id", "left").mapInArrow(_window_task(width), ROWS)
+    earliest = (windows.filter("NOT gone").groupBy("anchor", "content")
+                .agg(F.min("doc_id").alias("first_doc")))
+    spread = windows.withColumn("anchor", F.when(F.col("gone"), F.xxhash64("doc_id", "at"))
+                                .otherwise(F.col("anchor")))
+    cut_single = (spread.join(earliest, ["anchor", "content"], "left")
+                  .filter("gone OR first_doc < doc_id").select("doc_id", "at", "n"))
+    cuts = _per_document(cut_early.unionByName(cut_whole).unionByName(cut_single))
     return texts.join(cuts, "doc_id", "left").mapInArrow(_cut_task, RESULT)
