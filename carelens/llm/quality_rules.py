@@ -21,18 +21,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 SPACES = r"[ \x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\f\r"
+NO_BLANK = r"[^ \x09-\x0D]"
+SYMBOLS = "[#*$%&|<>]+"
 
 
 def word_array(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda w: w != "")
 
 
-def line_hash(line: Column) -> Column:
-    """64-bit hex hash of the normalised line; null if nothing but signs is left."""
-    norm = F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"\p{N}", "0"), r"[^\p{L}0]+", " "))
-    return F.when(norm != "", F.substring(F.md5(norm), 1, 16))
+def line_hashes(text: Column) -> Column:
+    """64-bit hex hashes of the normalised lines; null where nothing but signs is left."""
+    norm = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]", "0"), r"[^\p{L}0\n]+", " ")
+    return F.transform(F.split(norm, "\n"), lambda x: F.when(
+        F.trim(x) != "", F.substring(F.md5(F.trim(x)), 1, 16)))
 
 
 def base_figures(docs: DataFrame, text: str, window: int = 8) -> DataFrame:
@@ -42,12 +43,12 @@ def base_figures(docs: DataFrame, text: str, window: int = 8) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumns({
         "__words": word_array(t),
-        "__rows": F.filter(F.split(t, "\n"), lambda x: F.translate(x, BLANKS, "") != ""),
-        "word_chars": F.length(F.translate(t, BLANKS, "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+        "__rows": F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit(NO_BLANK))),
+        "n_symbols": (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("long"),
     })
     out = out.withColumns({
         "n_words": F.size("__words").cast("long"),
+        "word_chars": F.length(F.array_join("__words", "")).cast("long"),
         "n_dup_lines": (F.size("__rows") - F.size(F.array_distinct("__rows"))).cast("long"),
         "__h": F.transform("__words", lambda w: F.xxhash64(w)),
     }).drop("__words", "__rows")
@@ -92,34 +93,36 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             "base_failed", "n_kept_words", "kept", "kept_text")
     keys = {"__id": F.col(id_col), "__text": F.xxhash64(F.col(text_col)),
             "__host": F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit(""))}
-    line = F.struct
-    listed = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"),
-                         lambda x: line(line_hash(x).alias("h"), F.size(word_array(x)).alias("w")))
-    keyed = docs.withColumns(keys).withColumn("__lines", F.filter(listed, lambda x: x["h"].isNotNull()))
-    lines = (keyed.select("__id", "__text", "__host", F.transform("__lines", lambda x: x["h"]).alias("hs"))
-             .withColumn("who", F.array_min("hs"))
-             .select("__id", "__text", "__host", "who", F.explode(F.array_distinct("hs")).alias("h")))
+    keyed = docs.withColumns(keys)
+    hashes = keyed.filter(F.col(text_col).isNotNull()).select(
+        "__id", "__text", "__host", F.col(text_col).alias("__t"), line_hashes(F.col(text_col)).alias("hs"))
+    counted = (hashes.select("__id", "__host", F.filter("hs", lambda h: h.isNotNull()).alias("hs"))
+               .select("__id", "__host", F.array_min("hs").alias("who"), F.explode(F.array_distinct("hs")).alias("h")))
+    placed = (hashes.select("__id", "__text", "__host", F.array_min(F.filter("hs", lambda h: h.isNotNull())).alias("who"),
+                            F.posexplode(F.arrays_zip("hs", F.transform(
+                                F.split("__t", "\n"), lambda x: F.size(word_array(x))).alias("w"))))
+              .select("__id", "__text", "__host", "who", "pos", F.col("col.hs").alias("h"), F.col("col.w").alias("w"))
+              .filter("h IS NOT NULL"))
 
     per_host = docs.select(keys["__host"].alias("__host")).groupBy("__host").agg(F.count(F.lit(1)).alias("docs"))
-    common = (lines.groupBy("__host", "h", "who").agg(F.min("__id").alias("first_id"))
+    common = (counted.groupBy("__host", "h", "who").agg(F.min("__id").alias("first_id"))
               .groupBy("__host", "h").agg(F.count(F.lit(1)).alias("n"),
                                           F.min(F.struct("first_id", "who"))["who"].alias("first"))
               .filter(F.col("n") > line_docs)
               .join(per_host, "__host").filter(F.col("n") * 100 > F.col("docs") * line_pct)
               .select("__host", "h", "first"))
-    gone = (lines.join(common, ["__host", "h"]).filter("who <> first")
-            .groupBy("__id", "__text").agg(F.collect_set("h").alias("__gone")))
+    gone = (placed.join(common, ["__host", "h"]).filter("who <> first")
+            .groupBy("__id", "__text").agg(F.collect_set(F.struct("pos", "w")).alias("__gone")))
 
     judged = base_figures(keyed, text_col).join(gone, ["__id", "__text"], "left")
-    left = F.filter("__lines", lambda x: ~F.array_contains(F.col("__gone"), x["h"]))
-    judged = judged.withColumn("n_kept_words", F.when(F.col("__gone").isNull(), F.col("n_words")).otherwise(
-        F.aggregate(left, F.lit(0).cast("long"), lambda a, x: a + x["w"])))
+    lost = F.aggregate("__gone", F.lit(0).cast("long"), lambda a, x: a + x["w"])
+    judged = judged.withColumn("n_kept_words", F.col("n_words") - F.coalesce(lost, F.lit(0)))
     judged = judged.withColumn("base_failed", (F.col("n_words") < min_words)
                                | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_pct))
     judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("n_kept_words") >= min_kept_words)
                                & (F.col("n_kept_words") * 100 >= F.col("n_words") * min_kept_pct))
     clean = F.array_join(F.filter(
         F.split(F.col(text_col), "\n"),
-        lambda x: ~F.coalesce(F.array_contains(F.col("__gone"), line_hash(x)), F.lit(False))), "\n")
+        lambda x, i: ~F.array_contains(F.transform("__gone", lambda g: g["pos"]), i)), "\n")
     judged = judged.withColumn("kept_text", F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(clean))
     return judged.select(*[c for c in docs.columns if c not in made], *made)

@@ -29,7 +29,7 @@ rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, w)
 cov AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) FROM rep)
         GROUP BY doc_id),
 l0 AS (SELECT doc_id, source, unnest(lines) AS line FROM d),
-l1 AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(line), '\p{{N}}', '0', 'g'),
+l1 AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'),
                                                   '[^\p{{L}}0]+', ' ', 'g')) AS norm,
               len(list_filter(regexp_split_to_array(line, '[ \x09-\x0D]+'), lambda x: x <> '')) AS w
        FROM l0),
@@ -42,13 +42,11 @@ common AS (SELECT c2.source, h, first FROM c2 JOIN hosts ON c2.source IS NOT DIS
            WHERE n > 20 AND n * 100 > docs * 2),
 lost AS (SELECT l3.doc_id, sum(w) AS lost FROM l3 JOIN common c
          ON l3.source IS NOT DISTINCT FROM c.source AND l3.h = c.h AND who <> first GROUP BY 1),
--- with a line removed, words on lines of signs only do not count as kept
-sound AS (SELECT doc_id, sum(w) AS w FROM l2 GROUP BY 1),
 fig AS (SELECT d.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
                length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
                len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
-               CASE WHEN lost IS NULL THEN len(words) ELSE sound.w - lost END AS n_kept_words
-        FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN lost USING (doc_id) LEFT JOIN sound USING (doc_id)),
+               len(words) - coalesce(lost, 0) AS n_kept_words
+        FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN lost USING (doc_id)),
 base AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM fig)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
        n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
