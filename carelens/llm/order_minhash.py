@@ -10,17 +10,18 @@ Texts that share a bucket are compared by a banded alignment of their k-mer sequ
 similarity is aligned / (n + m - aligned) k-mers, the order-aware Jaccard index, and pairs
 of ``similarity`` or more are linked.  Classes are the connected components of the links.
 
-Nothing is compared pair by pair within a group:
+Groups are not expanded into pairs:
 
 - equal texts are one text (an aggregate over their digest) before anything else;
-- in a bucket every text is compared with one *centre*, its least id.  Texts that match no
-  centre so far supply the next centre, which is compared with the whole bucket, until all
-  members match a centre or were one.  Two texts of a bucket that are linked are then in
-  one class: either one of them was a centre and they were compared, or both match centres,
-  and if these differ the later one was compared with all members.  A bucket of near copies
-  costs one comparison per text.
-
-Every round reads and writes tables in the shared folder.
+- in a bucket every text is compared with the *centre*, its least id: one comparison per
+  text, and most near copies are classed by it;
+- texts that do not match a centre are compared with the others of its buckets in blocks:
+  a block of such texts meets a block of the centre's texts in one task, counts common
+  k-mers through an inverted index of the block, and aligns a pair only if it has enough
+  of them and is not yet in one class there.  A task returns only links that join two
+  classes.  Every pair that shares a bucket shares that bucket's centre, so none is lost.
+
+Every step reads and writes tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from __future__ import annotations
 import bisect
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -67,24 +69,21 @@ def _labelled(names: np.ndarray) -> np.ndarray:
 def sketch(names: np.ndarray, sketches: int, order: int) -> np.ndarray:
     """One bucket per hash function; texts with fewer k-mers than ``order`` use them all."""
     x = _labelled(names)
-    n = len(x)
-    out = np.zeros(sketches, np.uint64)
+    order = min(order, len(x))
     salts = mix(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    # about 4 * order k-mers pass the limit, so few are sorted
-    limit = np.uint64(min((1 << 64) - 1, (1 << 64) * 4 * order // max(n, 1)))
-    for i, salt in enumerate(salts):
-        h = x * salt
+    out = []
+    step = max(1, (1 << 20) // len(x))                   # hash functions at a time
+    for i in range(0, sketches, step):
+        v = salts[i:i + step]
+        h = x * v[:, None]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
-        near = np.flatnonzero(h <= limit)
-        if len(near) < order:
-            near = np.arange(n)
-        pick = np.sort(near[np.argsort(h[near], kind="stable")[:order]])
-        v = salt
-        for name in x[pick]:
-            v = mix(v + name)
-        out[i] = v
-    return out
+        pick = np.argpartition(h, order - 1, axis=1)[:, :order]
+        pick.sort(axis=1)                                # text order
+        for j in range(order):
+            v = mix(v + x[pick[:, j]])
+        out.append(v)
+    return np.concatenate(out)
 
 
 def _sketch_task(k, sketches, order):
@@ -181,8 +180,65 @@ def _verify_task(similarity):
     return run
 
 
-def near_links(texts: DataFrame, buckets: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(a, b) linked texts; ``buckets`` has (bucket, doc_id), ``texts`` (doc_id, text)."""
+def _find(parent: list[int], i: int) -> int:
+    while parent[i] != i:
+        parent[i] = parent[parent[i]]
+        i = parent[i]
+    return i
+
+
+def block_links(lone: list, others: list, matched: list[bool], similarity: float):
+    """Yield (i, j): lone[i] links to others[j], where these are not joined by earlier links.
+
+    ``lone`` and ``others`` are lists of (id, k-mer names); others marked ``matched`` are of
+    one class (the centre's) from the start.
+    """
+    sets = [np.sort(_labelled(x.astype(np.uint64))) for _, x in others]
+    size = np.array([len(x) for x in sets])
+    names = np.concatenate(sets)
+    order = np.argsort(names, kind="stable")
+    names, owner = names[order], np.repeat(np.arange(len(sets)), size)[order]
+    at = {key: j for j, (key, _) in enumerate(others)}
+    parent = list(range(len(others) + len(lone)))
+    for j, same in enumerate(matched):
+        if same:
+            parent[j] = matched.index(True)
+    share = similarity / (1 + similarity)
+    for i, (key, x) in enumerate(lone):
+        u = _labelled(x.astype(np.uint64))
+        lo = np.searchsorted(names, u, side="left")
+        n = np.searchsorted(names, u, side="right") - lo
+        hit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        common = np.bincount(owner[hit], minlength=len(sets))
+        least = np.ceil(share * (len(x) + size) - 1e-9).astype(np.int64)
+        me = at.get(key, len(others) + i)
+        for j in np.flatnonzero(common >= least).tolist():
+            if j != me and _find(parent, j) != _find(parent, me) and aligned(x, others[j][1], int(least[j])):
+                parent[_find(parent, j)] = _find(parent, me)
+                yield i, j
+
+
+def _block_task(similarity: float):
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("doc_id", kind="stable")
+        sides = []
+        for rows in (part[part["lone"]], part[~part["lone"]]):
+            sides.append([(d, np.frombuffer(x, "<u4")) for d, x in zip(rows["doc_id"], rows["shingles"])])
+        out = []
+        if sides[0] and sides[1]:
+            matched = part.loc[~part["lone"], "similar"].tolist()
+            out = [(sides[0][i][0], sides[1][j][0]) for i, j in block_links(*sides, matched, similarity)]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    return run
+
+
+def near_links(texts: DataFrame, buckets: DataFrame, k: int, similarity: float,
+               block: int = 4096) -> DataFrame:
+    """(a, b): links whose components are the near-duplicate classes.
+
+    ``buckets`` has (bucket, doc_id), ``texts`` (doc_id, text).  ``block`` is the number of
+    texts that one side of a block holds, about.
+    """
     spark = texts.sparkSession
 
     def stored(df, name):
@@ -190,43 +246,46 @@ def near_links(texts: DataFrame, buckets: DataFrame, k: int, similarity: float)
         df.write.parquet(path)
         return spark.read.parquet(path)
 
-    shared = buckets.groupBy("bucket").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
-    members = stored(buckets.join(shared.filter("x <> y").select("bucket"), "bucket"), "members")
-    ids = members.select("doc_id").distinct()
+    centres = stored(buckets.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last"))
+                     .filter("centre <> last").select("bucket", "centre"), "centres")
+    pairs = stored(buckets.join(centres, "bucket").filter("doc_id <> centre")
+                   .select("doc_id", "centre").distinct(), "pairs")
+    ids = stored(pairs.select("doc_id").unionByName(pairs.select(F.col("centre").alias("doc_id"))).distinct(), "ids")
     shingles = stored(texts.join(ids, "doc_id", "left_semi")
                       .mapInArrow(_shingle_task(k), "doc_id long, shingles binary"), "shingles")
-    verdicts = None                      # (a, b, similar) with a > b
-    left = members                       # members that match no centre yet
-    pair = F.greatest("doc_id", "centre").alias("a"), F.least("doc_id", "centre").alias("b")
-    while True:
-        centres = left.groupBy("bucket").agg(F.min("doc_id").alias("centre"))
-        pairs = members.join(centres, "bucket").filter("doc_id <> centre").select(*pair).distinct()
-        if verdicts is not None:
-            pairs = pairs.join(verdicts, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        fresh = stored(
-            pairs.join(shingles.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(shingles.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-            .mapInArrow(_verify_task(similarity), "a long, b long, similar boolean"), "verdicts")
-        verdicts = fresh if verdicts is None else verdicts.unionByName(fresh)
-        links = verdicts.filter("similar").select("a", "b")
-        left = (left.join(centres, "bucket").filter("doc_id <> centre").select("bucket", "doc_id", *pair)
-                .join(links, ["a", "b"], "left_anti").select("bucket", "doc_id"))
-        left = stored(left, "left")
-        if left.isEmpty():
-            return links
+    verdicts = stored(
+        pairs.join(shingles.select("doc_id", F.col("shingles").alias("sa")), "doc_id")
+        .join(shingles.select(F.col("doc_id").alias("centre"), F.col("shingles").alias("sb")), "centre")
+        .select(F.col("doc_id").alias("a"), F.col("centre").alias("b"), "sa", "sb")
+        .mapInArrow(_verify_task(similarity), "a long, b long, similar boolean"), "verdicts")
+
+    mates = verdicts.select(F.col("a").alias("doc_id"), F.col("b").alias("centre"), "similar")
+    sizes = stored(mates.groupBy("centre").agg(
+        F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"),
+        F.ceil(F.count_if(~F.col("similar")) / block).cast("int").alias("lone_blocks"))
+        .filter("lone_blocks > 0"), "blocks")
+    mates = mates.join(sizes, "centre").join(shingles, "doc_id")
+    mine = F.xxhash64("doc_id")
+    dealt = mates.select(
+        "doc_id", "centre", "similar", "shingles", F.lit(False).alias("lone"),
+        F.pmod(mine, "blocks").cast("int").alias("x"),
+        F.explode(F.sequence(F.lit(0), F.col("lone_blocks") - 1)).alias("u")).unionByName(
+        mates.filter("NOT similar").select(
+            "doc_id", "centre", "similar", "shingles", F.lit(True).alias("lone"),
+            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"),
+            F.pmod(mine, "lone_blocks").cast("int").alias("u")))
+    rest = dealt.groupBy("centre", "x", "u").applyInPandas(_block_task(similarity), "a long, b long")
+    return verdicts.filter("similar").select("a", "b").unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
                     similarity: float = 0.8, sketches: int = 24, order: int = 4) -> DataFrame:
-    """(doc_id, class_id, n_links): one row per row of ``docs``; class_id is the least id.
+    """(doc_id, class_id): one row per row of ``docs``; class_id is the least id of the class.
 
-    Copies (equal whole texts, empty ones too) are of one class.  ``n_links`` counts the
-    verified links of the text (one copy stands for all) plus its other copies.  A text of
-    fewer than ``k`` words is linked to its copies only; a null text, or a row without an
-    id, is alone in its class (class_id = doc_id).  Rows repeated under one id are one
-    document if their text agrees, else both texts' classes are joined through the id.
-    Further columns are ignored.
+    Copies (equal whole texts, empty ones too) are of one class.  A text of fewer than ``k``
+    words is linked to its copies only; a null text, or a row without an id, is alone in its
+    class (class_id = doc_id).  Rows repeated under one id with different texts keep one row
+    each, with the class of their text.  Further columns are ignored.
 
     At similarity 0.8 a pair shares a bucket of one sketch with probability about 0.8 **
     order, so it escapes all 24 sketches of order 4 with probability 3e-6.
@@ -238,23 +297,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     path = scratch_path(spark, "order-minhash")
     (keyed.mapInArrow(_sketch_task(k, sketches, order),
                       "doc_id long, digest string, n int, buckets array<long>")
-     .groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"),
-                            F.any_value("buckets").alias("buckets")).write.parquet(path))
+     .groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("buckets").alias("buckets"))
+     .write.parquet(path))
     one = spark.read.parquet(path)                              # one row per different text
     buckets = one.select("doc_id", F.explode("buckets").alias("bucket"))
-    links = near_links(usable, buckets, k, similarity)
     links_path = scratch_path(spark, "near-links")
-    links.write.parquet(links_path)
-    links = spark.read.parquet(links_path)
-    roots = components(links)
-    degree = (links.select(F.col("a").alias("x"), F.col("b").alias("y"))
-              .unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct()
-              .groupBy("x").agg(F.count(F.lit(1)).alias("links")))
-    classes = (one.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-               .join(degree.withColumnRenamed("x", "doc_id"), "doc_id", "left")
-               .select("digest", F.coalesce("root", "doc_id").alias("class_id"),
-                       (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    named = keyed.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id", "n_links")
-    rest = texts.filter("doc_id IS NULL OR text IS NULL").select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    near_links(usable, buckets, k, similarity).write.parquet(links_path)
+    roots = components(spark.read.parquet(links_path)).withColumnRenamed("node", "doc_id")
+    classes_path = scratch_path(spark, "classes")
+    (one.join(roots, "doc_id", "left").select("digest", F.coalesce("root", "doc_id").alias("class_id"))
+     .write.parquet(classes_path))
+    named = (keyed.select("doc_id", "digest").join(spark.read.parquet(classes_path), "digest")
+             .select("doc_id", "class_id"))
+    rest = texts.filter("doc_id IS NULL OR text IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
     return named.unionByName(rest)
