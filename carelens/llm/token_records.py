@@ -5,7 +5,8 @@ Record file, one record per document:
     uint64 length | uint32 masked CRC-32C of these 8 bytes | payload | uint32 masked CRC-32C
     of the payload
 
-The payload is the document id (int64) and the token ids (uint32); all numbers are
+The payload is the document id (int64), the bytes of one token id (uint8: 2 where the
+vocabulary has no more than 65,536 ids, else 4) and the token ids; all numbers are
 little-endian.  A mask rotates the checksum right by 15 bits and adds a constant, so that a
 checksum of data that holds checksums stays useful (this framing is TFRecord's).
 
@@ -18,6 +19,7 @@ when all tasks are done, so files of failed or repeated attempts are never read.
 
 from __future__ import annotations
 
+import copy
 import re
 import uuid
 import zlib
@@ -28,6 +30,8 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .words import Words, mix, steps
+
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8")])
 NO_ID = -(1 << 63)            # stands for a null id
 _MASK_DELTA = 0xA282EAD8
@@ -39,6 +43,9 @@ _MANIFEST = pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", p
                        ("n_tokens", pa.int64())])
 
 
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
 def _byte_table() -> np.ndarray:
     t = np.arange(256, dtype=np.uint32)
     for _ in range(8):
@@ -51,15 +58,18 @@ _BYTES = _TABLE.tolist()
 _PLACED: list[np.ndarray] = []
 
 
-def _placed() -> np.ndarray:
-    """[j, b]: what byte b adds to the checksum when j bytes follow it in its block."""
+def _placed() -> list[np.ndarray]:
+    """What a byte adds to the checksum, by the bytes that follow it in its block and by its
+    value, as one array; and where the entries of each place begin."""
     if not _PLACED:
         rows = np.empty((_BLOCK, 256), np.uint32)
         rows[0] = _TABLE
         for j in range(1, _BLOCK):
             rows[j] = _TABLE[rows[j - 1] & 0xFF] ^ (rows[j - 1] >> 8)
-        _PLACED.append(rows)
-    return _PLACED[0]
+        # from the last place to the first, so that a block of n bytes uses the last n rows
+        _PLACED.append(np.ascontiguousarray(rows[::-1]).reshape(-1))
+        _PLACED.append(np.arange(_BLOCK) << 8)
+    return _PLACED
 
 
 def crc32c(data: bytes) -> int:
@@ -70,7 +80,7 @@ def crc32c(data: bytes) -> int:
         for x in data:
             state = _BYTES[(state ^ x) & 0xFF] ^ (state >> 8)
         return state ^ 0xFFFFFFFF
-    placed, view = _placed(), np.frombuffer(data, np.uint8)
+    (placed, row), view = _placed(), np.frombuffer(data, np.uint8)
     for i in range(0, len(view), _BLOCK):
         block = view[i:i + _BLOCK]
         n = len(block)
@@ -80,7 +90,7 @@ def crc32c(data: bytes) -> int:
             continue
         block = block.copy()
         block[:4] ^= np.frombuffer(state.to_bytes(4, "little"), np.uint8)
-        state = int(np.bitwise_xor.reduce(placed[np.arange(n - 1, -1, -1), block]))
+        state = int(np.bitwise_xor.reduce(placed.take(row[_BLOCK - n:] + block)))
     return state ^ 0xFFFFFFFF
 
 
@@ -111,94 +121,203 @@ def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class Encoder:
-    """Token ids of texts, as little-endian uint32 bytes.
-
-    A byte-level BPE splits text before every single space that stands between two other
-    signs, so ids of such pieces can be kept and joined.  Pieces not kept yet are encoded
-    together in one call and told apart by the bytes their tokens stand for.  Texts with
-    other white space in a row, or at an end, are encoded whole.
+    """Token ids of texts as little-endian unsigned integers of ``width`` bytes.
+
+    A byte-level BPE starts anew at a single space or line break between two other signs, and
+    between a letter and a following point or mark.  So the ids of a word, with its space
+    or without, and of the marks at its end are the same wherever they stand, and are kept
+    in a table by two 64-bit hashes.  Words not kept yet are encoded by the library in one
+    call and told apart by the bytes their tokens stand for.  Texts with
+    other white space, white space in a row or at an end are encoded whole.
     """
 
-    KEPT = 400_000            # pieces; beyond, only those in use are kept
+    KEPT = 2_500_000                     # words; a fuller table is emptied
+    _SLOTS = 22                          # bits
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.sizes = np.array([len(self.tokenizer.id_to_token(i) or "")
-                               for i in range(self.tokenizer.get_vocab_size())])
-        self.kept: dict[str, bytes] = {}
-        self.whole = re.compile(r"\s\s|^\s|\s$|\x00")
-
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in got]
-
-    def _learn(self, pieces: set[str]) -> None:
-        inner = [p for p in pieces if p[:1] == " "]
-        if inner:
-            raw = self._batch(["".join(inner)])[0]
-            ends = np.cumsum(self.sizes[np.frombuffer(raw, "<u4")])
-            cuts = np.cumsum([len(p.encode()) for p in inner])
-            at = np.searchsorted(ends, cuts)
-            if not np.array_equal(ends[at], cuts):
-                raise ValueError("a token spans two pieces: not a byte-level BPE that splits at spaces")
-            begin = 0
-            for piece, end in zip(inner, (4 * (at + 1)).tolist()):
-                self.kept[piece] = raw[begin:end]
-                begin = end
-        first = [p for p in pieces if p[:1] != " "]
-        self.kept.update(zip(first, self._batch(first)))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.whole.search(t) else t.replace(" ", "\x00 ").split("\x00") for t in texts]
-        used = {p for pieces in split if pieces for p in pieces}
-        if len(self.kept) > self.KEPT:
-            self.kept = {p: self.kept[p] for p in used if p in self.kept}
-        self._learn(used - self.kept.keys())
-        whole = iter(self._batch([t for t, pieces in zip(texts, split) if pieces is None]))
-        kept = self.kept
-        return [next(whole) if pieces is None else b"".join([kept[p] for p in pieces]) for pieces in split]
+        size = self.tokenizer.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
+        self.kind = np.dtype(f"<u{self.width}")
+        self.sizes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])
+        self.line_break = np.array(self._ids(["\n"])[0], self.kind)
+        self.odd = np.zeros(256, bool)   # bytes that begin other white space, in some texts
+        self.odd[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+        self.mark = np.zeros(256, bool)
+        self.mark[list(b".,;:!?%$&*#")] = True
+        self.letter = np.zeros(256, bool)
+        self.letter[65:91] = self.letter[97:123] = True
+        self._empty()
+
+    def _pieces(self, words: Words) -> Words:
+        """``words`` with the marks at the end of a word, after a letter, as a word of their own."""
+        data, start, end = words.data, words.start, words.end
+        stem = end.copy()
+        live = np.flatnonzero(self.mark[data[end - 1]]) if len(end) else np.zeros(0, np.int64)
+        while len(live):
+            stem[live] -= 1
+            live = live[stem[live] > start[live]]
+            live = live[self.mark[data[stem[live] - 1]]]
+        last = data[np.maximum(stem - 1, start)]
+        lead = data[np.maximum(stem - 2, start)]
+        accented = (lead == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
+        cut = (stem < end) & (stem > start) & (self.letter[last] | accented)
+        out = copy.copy(words)
+        at = np.flatnonzero(cut)
+        out.start = np.insert(start, at + 1, stem[at])
+        out.end = np.insert(np.where(cut, stem, end), at + 1, end[at])
+        out.first = words.first + np.concatenate([[0], np.cumsum(cut)])[words.first]
+        out.tail = np.insert(np.zeros(len(start), bool), at + 1, True)
+        out.name = out.hashes(0)
+        return out
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _empty(self) -> None:
+        self.slot_key = np.zeros(1 << self._SLOTS, np.uint64)
+        self.slot_entry = np.zeros(1 << self._SLOTS, np.int32)
+        self.n, self.n_ids = 0, 0         # entries and ids in use of these arrays
+        self.check = np.zeros(1 << 16, np.uint64)
+        self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.pool = np.zeros(1 << 18, self.kind)
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """Entry of each key, or -1."""
+        entry = np.full(len(key), -1, np.int32)
+        at = (key >> np.uint64(64 - self._SLOTS)).astype(np.int64)
+        live = np.arange(len(key))
+        while len(live):
+            there = self.slot_key[at]
+            hit = there == key[live]
+            entry[live[hit]] = self.slot_entry[at[hit]]
+            on = ~hit & (there != 0)
+            live, at = live[on], (at[on] + 1) & ((1 << self._SLOTS) - 1)
+        return entry
+
+    def _add(self, key, check, ids, size) -> None:
+        n, n_ids = self.n + len(key), self.n_ids + len(ids)
+        while n > len(self.check):
+            self.check, self.begin, self.size = (np.append(x, np.zeros_like(x)) for x in
+                                                 (self.check, self.begin, self.size))
+        while n_ids > len(self.pool):
+            self.pool = np.append(self.pool, np.zeros_like(self.pool))
+        entry = np.arange(self.n, n, dtype=np.int32)
+        self.begin[entry], self.size[entry], self.check[entry] = self.n_ids + np.cumsum(size) - size, size, check
+        self.pool[self.n_ids:n_ids] = ids
+        self.n, self.n_ids = n, n_ids
+        at = (key >> np.uint64(64 - self._SLOTS)).astype(np.int64)
+        live = np.arange(len(key))
+        while len(live):                  # one key a slot; the others try the next slot
+            free = np.flatnonzero(self.slot_key[at[live]] == 0)
+            _, one = np.unique(at[live[free]], return_index=True)
+            put = live[free[one]]
+            self.slot_key[at[put]], self.slot_entry[at[put]] = key[put], entry[put]
+            rest = np.ones(len(live), bool)
+            rest[free[one]] = False
+            live = live[rest]
+            at[live] = (at[live] + 1) & ((1 << self._SLOTS) - 1)
+
+    def _learn(self, words: Words, new: np.ndarray, spaced: np.ndarray, key, check) -> None:
+        for lead, between, chosen in ((" ", "", new[spaced[new]]), ("", "\n", new[~spaced[new]])):
+            if not len(chosen):
+                continue
+            pieces = [lead + words.data[a:b].tobytes().decode() for a, b in
+                      zip(words.start[chosen].tolist(), words.end[chosen].tolist())]
+            ids = np.array(self._ids([between.join(pieces)])[0], self.kind)
+            ends = np.cumsum(self.sizes[ids])
+            bytes_ = words.end[chosen] - words.start[chosen] + len(lead)
+            last = np.cumsum(bytes_ + len(between)) - len(between)
+            end = np.searchsorted(ends, last)
+            if not np.array_equal(ends[end], last):
+                raise ValueError("a token spans two words: not a byte-level BPE that splits at spaces")
+            begin = np.concatenate([[0], end[:-1] + 1 + len(between)])
+            keep = np.ones(len(ids), bool)
+            if between:
+                keep[begin[1:] - 1] = False
+            self._add(key[chosen], check[chosen], ids[keep], end + 1 - begin)
+
+    def __call__(self, words: Words) -> list[bytes]:
+        """Ids of every text of ``words``."""
+        if self.n > self.KEPT:
+            self._empty()
+        words = self._pieces(words)
+        data, start, end, first, tail = words.data, words.start, words.end, words.first, words.tail
+        edges = np.append(words.text_start, words.text_end)
+        n, texts = words.counts(), len(first) - 1
+        doc = np.repeat(np.arange(texts), n)
+        opening = np.zeros(len(start), bool)
+        opening[first[:-1][n > 0]] = True
+        before = data[start - 1] if len(start) else data[:0]       # of an opening word: unused
+        gap = np.ones(len(start), np.int64)
+        gap[1:] = start[1:] - end[:-1]
+        plain = opening | tail | ((gap == 1) & ((before == 32) | (before == 10)))
+        whole = np.bincount(doc[~plain], minlength=texts) > 0
+        has = n > 0
+        whole |= ~has & (np.diff(edges) > 0)
+        whole[has] |= ((start[first[:-1][has]] != edges[:-1][has])
+                       | (end[first[1:][has] - 1] != edges[1:][has]))
+        odd = np.concatenate([[0], np.cumsum(self.odd[data[edges[0]:edges[-1]]])])
+        for i in np.flatnonzero(odd[edges[1:] - edges[0]] > odd[edges[:-1] - edges[0]]).tolist():
+            whole[i] |= bool(_OTHER_SPACE.search(data[edges[i]:edges[i + 1]].tobytes().decode()))
+
+        spaced = ~opening & ~tail & (before == 32)
+        key = mix(words.name ^ np.where(spaced, np.uint64(0x5ACE), np.uint64(0))) | np.uint64(1)
+        check = words.hashes(1)
+        entry = self._find(key)
+        missing = np.flatnonzero((entry < 0) & ~whole[doc])
+        if len(missing):
+            _, one = np.unique(key[missing], return_index=True)
+            self._learn(words, missing[one], spaced, key, check)
+            entry[missing] = self._find(key[missing])
+        kept = entry >= 0
+        wrong = kept.copy()
+        wrong[kept] = self.check[entry[kept]] != check[kept]        # another word of this key
+        whole |= np.bincount(doc[wrong], minlength=texts) > 0
+
+        use = ~whole[doc]
+        entry, broken = entry[use], (~opening & ~tail & (before == 10))[use]
+        size = self.size[entry] + broken
+        offset = np.concatenate([[0], np.cumsum(size)])
+        source = np.repeat(self.begin[entry] - offset[:-1] - broken, size) + np.arange(offset[-1])
+        breaks = offset[:-1][broken]
+        source[breaks] = 0
+        ids = self.pool[source] if len(source) else self.pool[:0]
+        ids[breaks] = self.line_break[0]
+        bounds = offset[np.concatenate([[0], np.cumsum(np.where(whole, 0, n))])].tolist()
+        raw, w = ids.tobytes(), self.width
+        late = [data[edges[i]:edges[i + 1]].tobytes().decode() for i in np.flatnonzero(whole)]
+        late = iter(np.array(x, self.kind).tobytes() for x in self._ids(late)) if late else iter(())
+        return [next(late) if whole[i] else raw[w * bounds[i]:w * bounds[i + 1]] for i in range(texts)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _groups(batches, limit: int = 1 << 20):
-    """(ids, texts) lists of about ``limit`` characters."""
-    ids, texts, size = [], [], 0
-    for batch in batches:
-        for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            ids.append(i)
-            texts.append(t.as_py() or "")
-            size += len(texts[-1])
-            if size >= limit:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
-
-
-def _write_task(folder: str, tokenizer: str, end: bytes):
+def _write_task(folder: str, tokenizer: str, end_id: int):
     def run(batches):
         encode = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, Encoder(tokenizer))
+        end, width = np.array([end_id], encode.kind).tobytes(), encode.width.to_bytes(1, "little")
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         fs, base = open_folder(folder)
         data = index = None
         at = n_docs = n_tokens = 0
         try:
-            for ids, texts in _groups(batches):
+            for batch, words in steps(batches):
+                ids = batch.column("doc_id").to_pylist()
                 if data is None:
                     data = fs.open_output_stream(f"{base}/{name}.rec")
                     index = fs.open_output_stream(f"{base}/{name}.idx")
                 rows = np.empty(len(ids), INDEX)
                 out = []
-                for k, (i, tokens) in enumerate(zip(ids, encode(texts))):
+                for k, (i, tokens) in enumerate(zip(ids, encode(words))):
                     key = NO_ID if i is None else i
-                    out.append(frame(key.to_bytes(8, "little", signed=True) + tokens + end))
+                    out.append(frame(key.to_bytes(8, "little", signed=True) + width + tokens + end))
                     rows[k] = key, at, len(out[-1])
                     at += len(out[-1])
-                    n_tokens += (len(tokens) + len(end)) // 4
+                    n_tokens += len(tokens) // encode.width + 1
                 n_docs += len(ids)
                 data.write(b"".join(out))
                 index.write(rows.tobytes())
@@ -225,7 +344,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     fs.create_dir(base, recursive=True)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     (texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-     .mapInArrow(_write_task(folder, tokenizer, np.array([end_id], "<u4").tobytes()), MANIFEST)
+     .mapInArrow(_write_task(folder, tokenizer, end_id), MANIFEST)
      .write.parquet(f"{folder}/manifest"))
 
 
@@ -242,7 +361,7 @@ def _read_task(folder: str, make, schema: pa.Schema, limit: int = 8 << 20):
                         payload = unframe(f.read(length))
                         if int.from_bytes(payload[:8], "little", signed=True) != key:
                             raise ValueError("index and record disagree")
-                        ids = np.frombuffer(payload, "<u4", offset=8)
+                        ids = np.frombuffer(payload, f"<u{payload[8]}", offset=9)
                         out.append((None if key == NO_ID else key, start, len(ids), *make(ids)))
                         start += len(ids)
                         held += length
@@ -277,4 +396,5 @@ def read_tokens(spark: SparkSession, folder: str, make=lambda ids: (ids,),
 
 
 def ids_crc32(ids: np.ndarray) -> tuple[int]:
-    return (zlib.crc32(ids.tobytes()),)
+    """CRC-32 of the ids as little-endian uint32."""
+    return (zlib.crc32(ids.astype("<u4").tobytes()),)

@@ -14,7 +14,7 @@ from carelens.llm.line_templates import line_dedup
 from carelens.llm.order_minhash import near_duplicates
 from carelens.llm.packing import best_fit_pack, document_items
 from carelens.llm.quality_rules import quality_rules
-from carelens.session import scratch_path
+from carelens.session import scratch_path, ship_package
 
 CAPACITY = 2048
 
@@ -83,6 +83,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = scratch_path(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
