@@ -63,14 +63,26 @@ def _line_numbers(words, doc, breaks):
     return breaks + np.searchsorted(at, lo) - np.searchsorted(at, text_start)
 
 
+def _marks(words) -> np.ndarray:
+    """The least hashed 5-word sequence of every text (of fewer words: all of them)."""
+    n = words.counts()
+    at = np.arange(len(words.name))
+    end = np.repeat(words.first[1:], n)
+    h = Rolling(words.name).of(at, np.minimum(at + 5, end))
+    least = np.iinfo(np.uint64).max
+    h[(at + 5 > end) & (at > np.repeat(words.first[:-1], n))] = least
+    out = np.full(len(n), least, np.uint64)
+    out[n > 0] = np.minimum.reduceat(h, words.first[:-1][n > 0]) if len(h) else out[n > 0]
+    return out
+
+
 def _lines_task(depth: int):
     def run(batches):
         for batch, words in steps(batches):
             doc, breaks, leaf, line, first, _ = _line_table(words, depth)
             if not len(doc):
                 continue
-            fresh = np.flatnonzero(np.concatenate([[True], np.diff(doc) != 0]))
-            who = np.repeat(np.minimum.reduceat(line, fresh), np.diff(np.append(fresh, len(doc))))
+            who = _marks(words)[doc]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(doc)),
                  pa.array(_line_numbers(words, doc, breaks).astype(np.int32)),
@@ -129,7 +141,7 @@ def _parse_task(similarity: float):
 
 
 def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3,
-                   similarity: float = 0.7, min_docs: int = 10, min_share: float = 0.5,
+                   similarity: float = 0.7, min_docs: int = 10, min_share: float = 0.3,
                    leaf_lines: int = 5000) -> DataFrame:
     """(doc_id, line_no, template, first_doc): every line that falls under a recurring template.
 

@@ -3,8 +3,8 @@
 DataFrame functions only.  A line is normalised (lower case, digits to 0, other signs to
 one space) and hashed; the number of distinct documents of a host that hold it decides
 whether it is boilerplate there.  Copies of one another are not distinct documents: a
-document is told by the least hash among its lines, which exact copies share and near
-copies share unless that one line differs.  So a text with many copies does not turn into
+document is told by the least hash among its sentences, which exact copies share and near
+copies share unless that one sentence differs.  So a text with many copies does not turn into
 boilerplate, while a footer on unrelated pages does.
 
 A boilerplate line is removed from every document of the host but the first that has it
@@ -36,6 +36,13 @@ def line_hashes(text: Column) -> Column:
         F.trim(x) != "", F.substring(F.md5(F.trim(x)), 1, 16)))
 
 
+def document_mark(text: Column) -> Column:
+    """The least 64-bit hex hash among the sentences of a text: what tells its copies apart
+    from other documents; null without a sentence."""
+    parts = F.filter(F.split(text, r"[.\n]+"), lambda x: F.rlike(x, F.lit(NO_BLANK)))
+    return F.substring(F.array_min(F.transform(parts, lambda x: F.md5(x))), 1, 16)
+
+
 def base_figures(docs: DataFrame, text: str, window: int = 8) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     if window & (window - 1):
@@ -70,7 +77,10 @@ def base_figures(docs: DataFrame, text: str, window: int = 8) -> DataFrame:
     out = out.withColumn("n_repeat_words", F.coalesce(F.aggregate(
         F.transform(at, lambda p, i: F.least(F.lit(window), F.coalesce(F.get(at, i + 1) - p, F.lit(window)))),
         F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long"))
-    return out.drop("__h", "__sorted", "__at")
+    # generated columns are not pushed down: a later filter on a figure must not compute it anew
+    figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    rest = [c for c in out.columns if c not in (*figures, "__h", "__sorted", "__at")]
+    return out.select(*rest, F.inline(F.array(F.struct(*figures))))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -95,10 +105,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             "__host": F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit(""))}
     keyed = docs.withColumns(keys)
     hashes = keyed.filter(F.col(text_col).isNotNull()).select(
-        "__id", "__text", "__host", F.col(text_col).alias("__t"), line_hashes(F.col(text_col)).alias("hs"))
-    counted = (hashes.select("__id", "__host", F.filter("hs", lambda h: h.isNotNull()).alias("hs"))
-               .select("__id", "__host", F.array_min("hs").alias("who"), F.explode(F.array_distinct("hs")).alias("h")))
-    placed = (hashes.select("__id", "__text", "__host", F.array_min(F.filter("hs", lambda h: h.isNotNull())).alias("who"),
+        "__id", "__text", "__host", F.col(text_col).alias("__t"), line_hashes(F.col(text_col)).alias("hs"),
+        document_mark(F.col(text_col)).alias("who"))
+    counted = (hashes.select("__id", "__host", "who", F.explode(F.array_distinct("hs")).alias("h"))
+               .filter("h IS NOT NULL"))
+    placed = (hashes.select("__id", "__text", "__host", "who",
                             F.posexplode(F.arrays_zip("hs", F.transform(
                                 F.split("__t", "\n"), lambda x: F.size(word_array(x))).alias("w"))))
               .select("__id", "__text", "__host", "who", "pos", F.col("col.hs").alias("h"), F.col("col.w").alias("w"))

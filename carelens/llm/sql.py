@@ -34,7 +34,9 @@ l1 AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(line), '[
               len(list_filter(regexp_split_to_array(line, '[ \x09-\x0D]+'), lambda x: x <> '')) AS w
        FROM l0),
 l2 AS (SELECT doc_id, source, md5(norm)[1:16] AS h, w FROM l1 WHERE norm <> ''),
-l3 AS (SELECT *, min(h) OVER (PARTITION BY doc_id) AS who FROM l2),
+mark AS (SELECT doc_id, list_min(list_transform(list_filter(regexp_split_to_array(t, '[.\n]+'),
+             lambda x: regexp_matches(x, '[^ \x09-\x0D]')), lambda x: md5(x)))[1:16] AS who FROM d),
+l3 AS (SELECT l2.*, who FROM l2 JOIN mark USING (doc_id)),
 c1 AS (SELECT source, h, who, min(doc_id) AS first_id FROM l3 GROUP BY ALL),
 hosts AS (SELECT source, count(*) AS docs FROM documents GROUP BY 1),
 c2 AS (SELECT source, h, count(*) AS n, arg_min(who, (first_id, who)) AS first FROM c1 GROUP BY ALL),

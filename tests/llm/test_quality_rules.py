@@ -1,3 +1,4 @@
+import random
 import re
 
 from hypothesis import given, settings, strategies as st
@@ -33,7 +34,8 @@ def test_base_figures_of_random_texts(spark, texts):
 
 
 def body(i):
-    return " ".join(f"w{chr(97 + i % 26)}{chr(97 + (i * j) % 23)}{chr(97 + j % 26)}" for j in range(40))
+    rng = random.Random(i)
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40))
 
 
 def corpus():
