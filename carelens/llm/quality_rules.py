@@ -107,22 +107,21 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hashes = keyed.filter(F.col(text_col).isNotNull()).select(
         "__id", "__text", "__host", F.col(text_col).alias("__t"), line_hashes(F.col(text_col)).alias("hs"),
         document_mark(F.col(text_col)).alias("who"))
-    counted = (hashes.select("__id", "__host", "who", F.explode(F.array_distinct("hs")).alias("h"))
+    counted = (hashes.select("__id", "__text", "__host", "who", F.explode(F.array_distinct("hs")).alias("h"))
                .filter("h IS NOT NULL"))
-    placed = (hashes.select("__id", "__text", "__host", "who",
-                            F.posexplode(F.arrays_zip("hs", F.transform(
+    placed = (hashes.select("__id", "__text", "__host", F.posexplode(F.arrays_zip("hs", F.transform(
                                 F.split("__t", "\n"), lambda x: F.size(word_array(x))).alias("w"))))
-              .select("__id", "__text", "__host", "who", "pos", F.col("col.hs").alias("h"), F.col("col.w").alias("w"))
+              .select("__id", "__text", "__host", "pos", F.col("col.hs").alias("h"), F.col("col.w").alias("w"))
               .filter("h IS NOT NULL"))
 
     per_host = docs.select(keys["__host"].alias("__host")).groupBy("__host").agg(F.count(F.lit(1)).alias("docs"))
-    common = (counted.groupBy("__host", "h", "who").agg(F.min("__id").alias("first_id"))
+    common = (counted.groupBy("__host", "h", "who").agg(F.min(F.struct("__id", "__text")).alias("one"))
               .groupBy("__host", "h").agg(F.count(F.lit(1)).alias("n"),
-                                          F.min(F.struct("first_id", "who"))["who"].alias("first"))
+                                          F.min("one")["__text"].alias("first"))
               .filter(F.col("n") > line_docs)
               .join(per_host, "__host").filter(F.col("n") * 100 > F.col("docs") * line_pct)
               .select("__host", "h", "first"))
-    gone = (placed.join(common, ["__host", "h"]).filter("who <> first")
+    gone = (placed.join(common, ["__host", "h"]).filter("__text <> first")
             .groupBy("__id", "__text").agg(F.collect_set(F.struct("pos", "w")).alias("__gone")))
 
     judged = base_figures(keyed, text_col).join(gone, ["__id", "__text"], "left")
