@@ -8,16 +8,15 @@ from pyspark.sql import functions as F
 from .sizing import sized_broadcast
 
 
-def latest_per_key(df: DataFrame, key: str, order: str | None) -> DataFrame:
+def latest_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row per ``key``: the last by ``order`` (the original keeps the last duplicate).
 
-    A hash aggregate with partial aggregation, so a repeated key never lands whole in one task.
+    ``order`` must be unique and not null within a key.  ``max(order)`` is a hash aggregate
+    with partial results per task (for numbers and times), so a repeated key never lands
+    whole in one task; the rows are joined back on (key, order).
     """
-    if order is None:
-        return df.dropDuplicates([key])
-    others = [c for c in df.columns if c not in (key,)]
-    best = F.max(F.struct(F.col(order).alias("__o"), *[F.col(c) for c in others])).alias("__b")
-    return df.groupBy(key).agg(best).select(key, *[F.col(f"__b.{c}").alias(c) for c in others])
+    last = df.groupBy(F.col(key).alias("__k")).agg(F.max(order).alias("__o"))
+    return df.join(last, (df[key] == last["__k"]) & (df[order] == last["__o"]), "left_semi")
 
 
 def attach_users(posts: DataFrame, users: DataFrame, author_key: str = "author_id",
@@ -26,7 +25,8 @@ def attach_users(posts: DataFrame, users: DataFrame, author_key: str = "author_i
                  users_unique: bool = False) -> DataFrame:
     """Post.author_id -> user record, nested as the ``user`` struct.
 
-    Users are made unique by id first (last by ``user_order`` wins).  A left join keeps
+    Users are made unique by id first: the last by ``user_order`` wins, which must be given
+    unless ``users_unique``.  A left join keeps
     posts without a user (``user`` NULL); ``strict=True`` counts those and raises, as the
     original's dictionary lookup would.  No broadcast hint: Spark broadcasts the user side
     when its measured size is under the threshold (adaptive execution re-checks at run
@@ -34,6 +34,8 @@ def attach_users(posts: DataFrame, users: DataFrame, author_key: str = "author_i
     author's partition (skew join).  ``broadcast_rows`` forces a checked broadcast;
     ``users_unique`` skips the de-duplication (the caller already made ids unique).
     """
+    if not users_unique and user_order is None:
+        raise ValueError("name the column that tells which of several user records is the last")
     u = users if users_unique else latest_per_key(users, user_key, user_order)
     fields = u.columns
     u = u.select(F.col(user_key).alias("__uk"), F.struct(*[F.col(c) for c in fields]).alias(into))

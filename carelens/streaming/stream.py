@@ -7,9 +7,10 @@ the current micro-batch, and a query restarted on the same paths resumes exactly
 from the last committed batch.  ``max_files_per_trigger``
 bounds a micro-batch, which replaces the original's periodic CSV snapshots (ST2).
 
-De-duplication in a stream only holds within the watermark delay: state older than the
-watermark is dropped, so two equal texts further apart than the delay both pass.  The
-batch operator ``select.unique_first`` is global.
+De-duplication keeps one entry of state per key for ever (``unique_events_stream``,
+``unique_text_stream``), so its rows do not depend on how the table is cut into files or
+in which order they arrive.  ``recent_events_stream`` is the bounded-state form: it forgets
+keys older than the watermark, and only promises uniqueness within that delay.
 """
 
 from __future__ import annotations
@@ -26,22 +27,25 @@ from ..sources.tables import table
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str,
                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """A driver table as a file stream (schema taken from the batch table, never inferred)."""
+    """A driver table, one file or a folder of part files, as a file stream (schema taken
+    from the batch table, never inferred)."""
     schema = table(spark, sf_dir, name).schema
-    r = (spark.readStream.format("parquet").schema(schema)
-         .option("pathGlobFilter", f"{name}.parquet"))
+    r = spark.readStream.format("parquet").schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.load(sf_dir)
+    # a glob, since a file source takes a plain path for a folder
+    return r.load(f"{sf_dir.rstrip('/')}/{name}.parque[t]")
 
 
 def run_to_parquet(df: DataFrame, name: str, output_mode: str = "append",
-                   sink: str | None = None, checkpoint: str | None = None) -> DataFrame:
+                   sink: str | None = None, checkpoint: str | None = None,
+                   keys: list[str] | None = None) -> DataFrame:
     """Run a streaming DataFrame until all available input is processed; return the sink.
 
-    Append-mode results go to a parquet file sink (exactly once through the checkpoint);
-    complete-mode aggregates are rewritten per batch through ``foreachBatch``.  Pass
-    stable ``sink`` and ``checkpoint`` paths to resume a deployment where it stopped;
+    Append-mode results go to a parquet file sink (exactly once through the checkpoint).
+    In update mode every batch writes only its changed groups, to a folder of its own that
+    a repeated batch overwrites; the result holds the latest row of each ``keys`` value.
+    Pass stable ``sink`` and ``checkpoint`` paths to resume a deployment where it stopped;
     by default each call gets fresh paths under the shared checkpoint folder.
     """
     spark = df.sparkSession
@@ -50,18 +54,25 @@ def run_to_parquet(df: DataFrame, name: str, output_mode: str = "append",
     w = df.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
     if output_mode == "append":
         qy = w.format("parquet").outputMode("append").start(sink)
-    else:
-        # an input with no data runs no batch: start from an empty table of the right schema
-        spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(sink)
+    elif output_mode == "update" and keys:
+        # an input with no data runs no batch: an empty part of the right schema comes first
+        spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{sink}/batch=-1")
 
-        def write(batch: DataFrame, _epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(sink)
-        qy = w.outputMode(output_mode).foreachBatch(write).start()
+        def write(batch: DataFrame, epoch: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{sink}/batch={epoch}")
+        qy = w.outputMode("update").foreachBatch(write).start()
+    else:
+        raise ValueError("append mode, or update mode with keys")
     qy.awaitTermination()
     if qy.exception() is not None:
         raise RuntimeError(str(qy.exception()))
-    # the stream's own schema: a sink that received no rows has no file to infer it from
-    return spark.read.schema(df.schema).parquet(sink)
+    if output_mode == "append":
+        # the stream's own schema: a sink that received no rows has no file to infer it from
+        return spark.read.schema(df.schema).parquet(sink)
+    parts = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, batch long")
+    others = [c for c in df.columns if c not in keys]
+    latest = parts.parquet(sink).groupBy(*keys).agg(F.max(F.struct("batch", *others)).alias("__last"))
+    return latest.select(*[F.col(c) if c in keys else F.col(f"__last.{c}").alias(c) for c in df.columns])
 
 
 def clean_post_stream(spark: SparkSession, sf_dir: str, bits: int = 224,
@@ -73,46 +84,44 @@ def clean_post_stream(spark: SparkSession, sf_dir: str, bits: int = 224,
     folder) before the stream starts."""
     docs = table_stream(spark, sf_dir, "documents", max_files_per_trigger)
     posts = views.posts_from(docs, table(spark, sf_dir, "pages"))
-    users = cut_lineage(latest_per_key(views.users(spark, sf_dir), "id", None))
+    users = cut_lineage(latest_per_key(views.users(spark, sf_dir), "id", "username"))
     with_users = attach_users(posts, users, users_unique=True)
     return post_chain(bits=bits)(with_users)
 
 
 def unique_events_stream(spark: SparkSession, sf_dir: str, keys=("user_id", "event_type"),
-                         delay: str = "1 day") -> DataFrame:
-    """ST3: drop repeated keys within the watermark delay (event time ``ts``).
+                         max_files_per_trigger: int | None = None) -> DataFrame:
+    """ST3: the keys of the event stream, each once, in whatever order the files arrive.
 
-    State per key lives until the watermark passes its event time plus ``delay``, so
-    state stays bounded.  Within one micro-batch every repeat is dropped."""
-    ev = table_stream(spark, sf_dir, "events")
-    ev = ev.withColumn("ts", F.col("ts").cast("timestamp"))   # parquet TIMESTAMP_NTZ -> TIMESTAMP
-    return ev.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
+    State is one entry per distinct key, spread over the executors by key."""
+    ev = table_stream(spark, sf_dir, "events", max_files_per_trigger)
+    return ev.select(*keys).dropDuplicates(list(keys))
 
 
-def unique_text_stream(spark: SparkSession, sf_dir: str, delay: str = "1 day") -> DataFrame:
-    """ST3 on texts (F8 across micro-batches): one row per text hash within the delay;
-    the state holds 64-character hashes, not texts."""
-    docs = table_stream(spark, sf_dir, "documents")
-    posts = docs.select(F.sha2("text", 256).alias("text_sha"),
-                        F.timestamp_seconds(F.lit(views.EPOCH0) + F.col("doc_id") * views.HOUR).alias("t"))
-    return posts.withWatermark("t", delay).dropDuplicatesWithinWatermark(["text_sha"])
+def unique_text_stream(spark: SparkSession, sf_dir: str,
+                       max_files_per_trigger: int | None = None) -> DataFrame:
+    """ST3 on texts (F8 across micro-batches): every text hash once; the state holds hashes,
+    not texts."""
+    docs = table_stream(spark, sf_dir, "documents", max_files_per_trigger)
+    return docs.select(F.sha2("text", 256).alias("text_sha")).dropDuplicates(["text_sha"])
 
 
-def utc_instant(ntz):
-    """The instant of a TIMESTAMP_NTZ wall time read as UTC, whatever the session time zone
-    (a plain cast would read it in the session zone)."""
-    c = F.col(ntz) if isinstance(ntz, str) else ntz
-    return F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c),
-                            F.second(c).cast("decimal(8,6)"), F.lit("UTC"))
+def recent_events_stream(spark: SparkSession, sf_dir: str, keys=("user_id", "event_type"),
+                         delay: str = "1 day", max_files_per_trigger: int | None = None) -> DataFrame:
+    """ST3 with bounded state, for input that arrives in time order: a key repeated within
+    ``delay`` of event time is dropped, later repeats pass, and events later than the
+    watermark are lost."""
+    ev = table_stream(spark, sf_dir, "events", max_files_per_trigger)
+    ev = ev.withColumn("ts", F.col("ts").cast("timestamp"))   # parquet TIMESTAMP_NTZ -> TIMESTAMP
+    return ev.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def daily_counts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E1 streaming form: events per UTC day and type (a windowed aggregate).
+def daily_counts_stream(spark: SparkSession, sf_dir: str,
+                        max_files_per_trigger: int | None = None) -> DataFrame:
+    """E1 streaming form: events per day and type; run in update mode on (day, event_type).
 
-    Windows are aligned to UTC days on the UTC instant of the event time; the day label
-    is the date of the stored wall time, so neither depends on the session time zone."""
-    ev = table_stream(spark, sf_dir, "events").withColumn("t", utc_instant("ts"))
-    g = ev.withWatermark("t", "1 day").groupBy(
-        F.window("t", "1 day"), F.date_format(F.to_date("ts"), "yyyy-MM-dd").alias("day"), "event_type"
-    ).agg(F.count(F.lit(1)).alias("count"))
-    return g.select("day", "event_type", "count")
+    The day is the date of the stored wall time, so it does not depend on the session time
+    zone.  State is one count per day and type; files may arrive in any order."""
+    ev = table_stream(spark, sf_dir, "events", max_files_per_trigger)
+    day = F.date_format(F.to_date("ts"), "yyyy-MM-dd").alias("day")
+    return ev.groupBy(day, "event_type").agg(F.count(F.lit(1)).alias("count"))

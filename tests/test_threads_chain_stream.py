@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from carelens.operators import privacy, quality, threads, users
 from carelens.plans.chain import PassChain
 from carelens.plans import queries as Q
+from carelens.streaming import stream
 from tests.conftest import SF001
 
 
@@ -33,7 +34,7 @@ def test_attach_users_last_wins_and_strict(spark):
     out = {r["id"]: r["user"] for r in users.attach_users(posts, us, user_order="v").collect()}
     assert out["p1"]["username"] == "new" and out["p2"] is None
     with pytest.raises(KeyError):
-        users.attach_users(posts, us, strict=True)
+        users.attach_users(posts, us, user_order="v", strict=True)
 
 
 def test_remove_fields_and_ids(spark):
@@ -82,3 +83,33 @@ def test_stream_resumes_on_stable_paths(spark):
     first = stream.run_to_parquet(stream.unique_events_stream(spark, SF001), "r", sink=sink, checkpoint=ck).count()
     again = stream.run_to_parquet(stream.unique_events_stream(spark, SF001), "r", sink=sink, checkpoint=ck).count()
     assert first == again > 0
+
+
+def _parts(spark, folder, name, n):
+    """A driver table as a folder of ``n`` part files in shuffled order."""
+    df = spark.read.parquet(f"{SF001}/{name}.parquet")
+    df.repartition(n, F.rand(3)).write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_streams_of_folders_equal_the_batch(spark, tmp_path):
+    for name, n in (("documents", 4), ("events", 5)):
+        _parts(spark, tmp_path, name, n)
+    for name in ("pages", "customer", "nation"):
+        _parts(spark, tmp_path, name, 2)
+    sf = str(tmp_path)
+    events, docs = spark.read.parquet(f"{SF001}/events.parquet"), spark.read.parquet(f"{SF001}/documents.parquet")
+
+    def rows(df):
+        return sorted(map(tuple, df.collect()))
+    got = stream.run_to_parquet(stream.unique_events_stream(spark, sf, max_files_per_trigger=1), "u")
+    assert rows(got) == rows(events.select("user_id", "event_type").distinct())
+    got = stream.run_to_parquet(stream.unique_text_stream(spark, sf, max_files_per_trigger=1), "t")
+    assert rows(got) == rows(docs.select(F.sha2("text", 256)).distinct())
+    got = stream.run_to_parquet(stream.daily_counts_stream(spark, sf, max_files_per_trigger=1), "d", "update",
+                                keys=["day", "event_type"])
+    day = F.date_format(F.to_date("ts"), "yyyy-MM-dd").alias("day")
+    assert rows(got) == rows(events.groupBy(day, "event_type").count())
+    one = stream.run_to_parquet(stream.clean_post_stream(spark, sf, max_files_per_trigger=1), "c")
+    whole = stream.run_to_parquet(stream.clean_post_stream(spark, SF001), "c")
+    assert "author" not in one.columns and one.count() == whole.count() > 0
+    assert rows(one.select("created_utc", "text")) == rows(whole.select("created_utc", "text"))
