@@ -11,13 +11,15 @@ Plan, chosen for scale:
 2. Each text is exploded into (position, token) and probed against the anchor table with
    a broadcast hash join (the lexicon is size-checked first).  A hit proposes one start.
 3. The proposal is verified in the same stage by comparing the text's token slice with
-   the expression's tokens; the token array of the text is never copied per row, and
-   nothing is shuffled up to here.
-4. Overlap removal groups only the verified matches by text (a small shuffle) and keeps,
-   left to right, the longest match at each free start.
-
-Common words therefore cost nothing unless an expression consists only of common words,
-and the work grows linearly with the text volume.
+   the expression's tokens; nothing is shuffled up to here.  A lexicon beyond the size check
+   is joined by shuffle on the token instead; a token then travels with its neighbours up
+   to the widest expression, not with its text.
+4. A verified match is four numbers (text, start, width, expression id).  Overlap removal
+   groups these by text and keeps, left to right, the longest match at each free start.
+
+The anchor is the token that is rarest among the expressions, the first one on ties; how
+common it is in the texts is not known, so an expression of words that each occur in one
+expression only may be anchored on a common word.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import WORD
-from ..session import cut_lineage
+from ..session import scratch_path
+from ..sources.sinks import stage_output
 from .sizing import DEFAULT_BROADCAST_ROWS, is_small
 
 TOKEN = WORD + "+"
@@ -46,56 +49,66 @@ def normalize_lexicon(lex: DataFrame, expr: str = "LexicalExpression", concept:
                       code: str = "CUI") -> DataFrame:
     """Strip U+FEFF anywhere in a field, trim, lower-case, drop duplicates and empties.
 
-    Returns (concept, code, expression, tokens, width).
+    Returns (concept, code, expression, tokens, width, eid); ``eid`` is a 64-bit id of the
+    token sequence.
     """
     def clean(c):
         return F.trim(F.regexp_replace(F.col(c), "﻿", ""))
     out = lex.select(clean(concept).alias("concept"), clean(code).alias("code"),
                      F.lower(clean(expr)).alias("expression"))
     out = out.withColumn("tokens", tokenize("expression")).withColumn("width", F.size("tokens"))
+    out = out.withColumn("eid", F.xxhash64(F.array_join("tokens", " ")))
     return out.filter(F.col("width") > 0).dropDuplicates(["concept", "code", "expression"])
 
 
 def anchor_table(norm: DataFrame) -> DataFrame:
-    """One row per distinct token sequence: (etokens, width, anchor, anchor_k).
+    """One row per distinct token sequence: (eid, etokens, width, anchor, anchor_k).
 
     The anchor is the token of the expression that occurs in the fewest distinct
     expressions (first such position on ties).
     """
-    seqs = norm.select(F.col("tokens").alias("etokens"), "width").distinct()
-    toks = seqs.select("etokens", "width", F.posexplode("etokens").alias("k", "tok"))
-    freq = toks.groupBy("tok").agg(F.countDistinct("etokens").alias("df"))
+    seqs = norm.select("eid", F.col("tokens").alias("etokens"), "width").dropDuplicates(["eid"])
+    toks = seqs.select("eid", "etokens", "width", F.posexplode("etokens").alias("k", "tok"))
+    freq = toks.select("tok", "eid").distinct().groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     ranked = toks.join(freq, "tok")
-    w = Window.partitionBy("etokens").orderBy("df", "k")
+    w = Window.partitionBy("eid").orderBy("df", "k")
     best = ranked.withColumn("r", F.row_number().over(w)).filter(F.col("r") == 1)
-    return best.select("etokens", "width", F.col("tok").alias("anchor"), F.col("k").alias("anchor_k"))
+    return best.select("eid", "etokens", "width", F.col("tok").alias("anchor"), F.col("k").alias("anchor_k"))
 
 
 def _raw_hits(docs: DataFrame, norm: DataFrame, id_col: str, text: str,
               small: bool) -> DataFrame:
-    """Verified occurrences (id, start, width, etokens), overlaps included.
+    """Verified occurrences (id, start, width, eid), overlaps included.
 
     ``small``: the lexicon passed the size check, so its anchor table (at most one row
     per expression) is broadcast; otherwise the anchor join is a shuffle join on tokens.
     """
     anchors = anchor_table(norm)
-    if small:
-        anchors = F.broadcast(anchors)
     t = docs.select(F.col(id_col).alias("__id"), tokenize(text).alias("__toks"))
     # the outer form keeps Catalyst from inferring a size(tokens) > 0 filter that it would
     # push below the scan's exchange, tokenizing every text twice
     ex = t.select("__id", "__toks", F.posexplode_outer("__toks").alias("__pos", "__tok"))
     ex = ex.filter(F.col("__tok").isNotNull())
+    if small:
+        anchors = F.broadcast(anchors)
+        around, first = F.col("__toks"), F.lit(0)
+    else:
+        # the neighbours within reach of the widest expression stand in for the text
+        reach = (norm.agg(F.max("width")).collect()[0][0] or 1) - 1
+        first = F.greatest(F.col("__pos") - reach, F.lit(0))
+        ex = ex.select("__id", "__pos", "__tok", first.alias("__first"), F.slice(
+            "__toks", first + 1, F.col("__pos") - first + 1 + reach).alias("__near"))
+        around, first = F.col("__near"), F.col("__first")
     j = ex.join(anchors, F.col("__tok") == F.col("anchor"))
     start = F.col("__pos") - F.col("anchor_k")
-    fits = (start >= 0) & (start + F.col("width") <= F.size("__toks"))
-    same = F.when(fits, F.slice("__toks", F.greatest(start + 1, F.lit(1)), F.col("width")) == F.col("etokens"))
+    fits = (start >= first) & (start - first + F.col("width") <= F.size(around))
+    same = F.when(fits, F.slice(around, F.greatest(start - first + 1, F.lit(1)), F.col("width")) == F.col("etokens"))
     return j.filter(F.coalesce(same, F.lit(False))).select(
-        F.col("__id").alias(id_col), start.alias("start"), "width", "etokens")
+        F.col("__id").alias(id_col), start.alias("start"), "width", "eid")
 
 
 def _names(norm: DataFrame, small: bool) -> DataFrame:
-    names = norm.select(F.col("tokens").alias("etokens"), "expression", "concept", "code")
+    names = norm.select("eid", "expression", "concept", "code")
     return F.broadcast(names) if small else names
 
 
@@ -106,10 +119,10 @@ def lexicon_hits(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", te
     Returns (id, start, width, expression, concept, code); ``start`` is the 0-based token
     position.
     """
-    small = is_small(lexicon, broadcast_rows)     # one bounded count bounds both derived tables
+    small = is_small(lexicon, broadcast_rows)     # bounds both derived tables
     norm = lexicon if normalized else normalize_lexicon(lexicon)
     hits = _raw_hits(docs, norm, id_col, text, small)
-    return hits.join(_names(norm, small), "etokens").drop("etokens")
+    return hits.join(_names(norm, small), "eid").drop("eid")
 
 
 def resolve_overlaps(hits: DataFrame, id_col: str = "doc_id", fold_limit: int = 256) -> DataFrame:
@@ -126,10 +139,10 @@ def resolve_overlaps(hits: DataFrame, id_col: str = "doc_id", fold_limit: int =
     expressions chain-overlap can make a whole text one cluster) are walked in a grouped
     pandas task, linear in the cluster.  The matches with their cluster ids are written
     once to the shared checkpoint folder (both walks read them; the text pipeline never
-    runs twice, and a lost executor does not send it back to the texts).  Input needs (id, start, width, etokens)
-    with unique text ids; returns the kept rows.
+    runs twice, and a lost executor does not send it back to the texts).  Input needs (id,
+    start, width, eid) with unique text ids; returns the kept rows.
     """
-    spans = hits.select(id_col, "start", "width", "etokens")
+    spans = hits.select(id_col, "start", "width", "eid")
     w = Window.partitionBy(id_col).orderBy(F.col("start"), F.col("width").desc())
     prev_end = F.max(F.col("start") + F.col("width")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     head = (prev_end.isNull() | (F.col("start") >= prev_end)).cast("int")
@@ -137,14 +150,14 @@ def resolve_overlaps(hits: DataFrame, id_col: str = "doc_id", fold_limit: int =
     spans = spans.withColumn("__cl", F.sum("__head").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     spans = spans.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(id_col, "__cl")))
     # the two walks below both read the matches: write them once to the shared folder
-    spans = cut_lineage(spans)
+    spans = stage_output(spans, scratch_path(spans.sparkSession, "lexicon-spans"))
 
     small = spans.filter(F.col("__n") <= fold_limit)
     g = small.groupBy(id_col, "__cl").agg(
         F.array_sort(F.collect_list(F.struct(F.col("start").alias("s"), (-F.col("width")).alias("nw"),
-                                             F.col("etokens").alias("t")))).alias("c"))
+                                             F.col("eid").alias("t")))).alias("c"))
     init = F.struct(F.lit(-1).cast("int").alias("end"),
-                    F.array().cast("array<struct<s:int,w:int,t:array<string>>>").alias("keep"))
+                    F.array().cast("array<struct<s:int,w:int,t:bigint>>").alias("keep"))
     fold = F.aggregate("c", init, lambda acc, x: F.when(
         x["s"] >= acc["end"],
         F.struct((x["s"] - x["nw"]).alias("end"),
@@ -152,11 +165,11 @@ def resolve_overlaps(hits: DataFrame, id_col: str = "doc_id", fold_limit: int =
                                                         x["t"].alias("t")))).alias("keep")))
         .otherwise(acc))
     kept_small = g.select(id_col, F.explode(fold["keep"]).alias("k")).select(
-        id_col, F.col("k.s").alias("start"), F.col("k.w").alias("width"), F.col("k.t").alias("etokens"))
+        id_col, F.col("k.s").alias("start"), F.col("k.w").alias("width"), F.col("k.t").alias("eid"))
 
-    large = spans.filter(F.col("__n") > fold_limit).select(id_col, "__cl", "start", "width", "etokens")
+    large = spans.filter(F.col("__n") > fold_limit).select(id_col, "__cl", "start", "width", "eid")
     id_type = hits.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {id_type}, __cl long, start int, width int, etokens array<string>"
+    schema = f"{id_col} {id_type}, __cl long, start int, width int, eid long"
     kept_large = large.groupBy(id_col, "__cl").applyInPandas(_walk_cluster, schema).drop("__cl")
     return kept_small.unionByName(kept_large)
 
@@ -182,7 +195,7 @@ def lexicon_matches(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
     small = is_small(lexicon, broadcast_rows)
     norm = normalize_lexicon(lexicon)
     kept = resolve_overlaps(_raw_hits(docs, norm, id_col, text, small), id_col)
-    return kept.join(_names(norm, small), "etokens").drop("etokens")
+    return kept.join(_names(norm, small), "eid").drop("eid")
 
 
 def concept_counts(matches: DataFrame, id_col: str = "doc_id") -> DataFrame:

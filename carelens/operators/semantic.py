@@ -29,21 +29,40 @@ from pyspark.sql import functions as F
 from ..functions.constants import SEMANTIC_CUTOFF
 from .lexicon import tokenize
 from .select import similarity_cutoff
-from .sizing import DEFAULT_BROADCAST_ROWS, bounded_count
+from .sizing import DEFAULT_BROADCAST_ROWS
 
 # Bounds of the dictionary broadcast as one float64 matrix: rows, and bytes (rows x dim x 8).
 DENSE_BROADCAST_ROWS = 200_000
 DENSE_BROADCAST_BYTES = 256 * 1024 * 1024
 
 
+#: Bytes that the scores of one step may take (a step is some terms against one dictionary).
+SCORE_BYTES = 64 * 1024 * 1024
+
+
 def _topk(q: np.ndarray, m: np.ndarray, mnorm: np.ndarray, k: int):
-    qn = np.linalg.norm(q, axis=1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        s = (q @ m.T) / np.outer(qn, mnorm)
-    s = np.where(np.isfinite(s), s, -np.inf)
+    """(index, score) of the ``k`` best rows of ``m`` per row of ``q``, earlier rows on ties.
+
+    A zero vector on either side has cosine 0.0.  Terms are scored some at a time, so that
+    no score matrix exceeds ``SCORE_BYTES``; the best are picked one by one, not sorted.
+    """
     kk = min(k, m.shape[0])
-    idx = np.argsort(-s, axis=1, kind="stable")[:, :kk]
-    return idx, np.take_along_axis(s, idx, axis=1)
+    idx = np.empty((len(q), kk), dtype=np.int64)
+    best = np.empty((len(q), kk))
+    step = max(1, SCORE_BYTES // (8 * max(m.shape[0], 1)))
+    unit = np.where(mnorm > 0, mnorm, 1.0)
+    for i in range(0, len(q), step):
+        part = q[i:i + step]
+        norm = np.linalg.norm(part, axis=1)
+        s = part @ m.T
+        s /= np.where(norm > 0, norm, 1.0)[:, None]
+        s /= unit
+        rows = np.arange(len(part))
+        for j in range(kk):
+            at = s.argmax(axis=1)
+            idx[i:i + step, j], best[i:i + step, j] = at, s[rows, at]
+            s[rows, at] = -np.inf
+    return idx, best
 
 
 def _stack(vals) -> np.ndarray:
@@ -56,21 +75,22 @@ OUT_SCHEMA = "term string, rank int, concept string, score double"
 def best_concepts_dense(terms: DataFrame, dictionary: DataFrame, k: int = 1,
                         term: str = "term", tvec: str = "vector", concept: str = "concept",
                         cvec: str = "vector", broadcast_rows: int = DENSE_BROADCAST_ROWS,
-                        block_rows: int = 50_000, broadcast_bytes: int = DENSE_BROADCAST_BYTES,
+                        block_rows: int = 20_000, broadcast_bytes: int = DENSE_BROADCAST_BYTES,
                         dict_block_rows: int | None = None) -> DataFrame:
     """M7 + O3: top-``k`` dictionary concepts per term by cosine: (term, rank, concept, score).
 
     Rank 1 is the reference's choice.  Terms should already be distinct (the caller
     aggregates first, as the original does, so the encoder and this product run once
-    per term).
+    per term).  A zero vector scores 0.0 against everything, so the smallest concepts are
+    its best; a NULL vector has no rows, as a term or as an entry.
     """
     spark = terms.sparkSession
-    t = terms.select(F.col(term).alias("term"), F.col(tvec).alias("v"))
-    d = dictionary.select(F.col(concept).alias("concept"), F.col(cvec).alias("v"))
+    t = terms.select(F.col(term).alias("term"), F.col(tvec).alias("v")).filter("v IS NOT NULL")
+    d = dictionary.select(F.col(concept).alias("concept"), F.col(cvec).alias("v")).filter("v IS NOT NULL")
     first = d.select(F.size("v").alias("dim")).limit(1).collect()
     dim = max(first[0]["dim"], 1) if first else 1
     limit = min(broadcast_rows, max(broadcast_bytes // (8 * dim), 1))
-    n = bounded_count(d, limit)
+    n = d.count()
     if n <= limit:
         rows = d.orderBy("concept").collect()          # bounded in rows and bytes by the check above
         names = np.array([r["concept"] for r in rows], dtype=object)
