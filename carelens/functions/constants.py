@@ -77,19 +77,42 @@ STOPWORDS_EN = [
 ]
 # ---------------------------------------------------------------------------------------
 
-# Own contraction table (English).  Whole words first, then suffix rules; matching is
-# case-insensitive, the expansion is written in lower case except for "I".
-CONTRACTION_WORDS = [
-    ("won't", "will not"), ("can't", "cannot"), ("shan't", "shall not"),
-    ("ain't", "is not"), ("let's", "let us"), ("y'all", "you all"), ("ma'am", "madam"),
-    ("i'm", "I am"), ("it's", "it is"), ("that's", "that is"), ("what's", "what is"),
-    ("there's", "there is"), ("here's", "here is"), ("he's", "he is"), ("she's", "she is"),
-    ("who's", "who is"), ("where's", "where is"), ("how's", "how is"),
-]
-CONTRACTION_SUFFIXES = [
-    ("n't", " not"), ("'re", " are"), ("'ve", " have"), ("'ll", " will"),
-    ("'d", " would"), ("'m", " am"),
-]
+
+# FIXED VALUES: common English contractions and informal short forms, in lower case.
+CONTRACTIONS = {
+    "ain't": "is not", "aren't": "are not", "c'mon": "come on", "can't": "cannot", "can't've": "cannot have",
+    "could've": "could have", "couldn't": "could not", "couldn't've": "could not have", "daren't": "dare not",
+    "didn't": "did not", "doesn't": "does not", "don't": "do not", "everybody's": "everybody is",
+    "everyone's": "everyone is", "hadn't": "had not", "hasn't": "has not", "haven't": "have not",
+    "he'd": "he would", "he'll": "he will", "he's": "he is", "here's": "here is", "how'd": "how did",
+    "how'll": "how will", "how're": "how are", "how's": "how is", "i'd": "I would", "i'll": "I will",
+    "i'm": "I am", "i've": "I have", "isn't": "is not", "it'd": "it would", "it'll": "it will", "it's": "it is",
+    "let's": "let us", "ma'am": "madam", "mayn't": "may not", "might've": "might have",
+    "mightn't": "might not", "must've": "must have", "mustn't": "must not", "needn't": "need not",
+    "nobody's": "nobody is", "nothing's": "nothing is", "o'clock": "of the clock", "oughtn't": "ought not",
+    "shan't": "shall not", "she'd": "she would", "she'll": "she will", "she's": "she is",
+    "should've": "should have", "shouldn't": "should not", "somebody's": "somebody is",
+    "someone's": "someone is", "something's": "something is", "that'd": "that would", "that'll": "that will",
+    "that's": "that is", "there'd": "there would", "there'll": "there will", "there're": "there are",
+    "there's": "there is", "these're": "these are", "they'd": "they would", "they'll": "they will",
+    "they're": "they are", "they've": "they have", "this'll": "this will", "those're": "those are",
+    "wasn't": "was not", "we'd": "we would", "we'll": "we will", "we're": "we are", "we've": "we have",
+    "weren't": "were not", "what'd": "what did", "what'll": "what will", "what're": "what are",
+    "what's": "what is", "what've": "what have", "when's": "when is", "where'd": "where did",
+    "where's": "where is", "where've": "where have", "who'd": "who would", "who'll": "who will",
+    "who're": "who are", "who's": "who is", "who've": "who have", "why'd": "why did", "why's": "why is",
+    "won't": "will not", "would've": "would have", "wouldn't": "would not", "y'all": "you all",
+    "you'd": "you would", "you'll": "you will", "you're": "you are", "you've": "you have",
+}
+SHORT_FORMS = {
+    "coulda": "could have", "cuz": "because", "dunno": "do not know", "gimme": "give me", "gonna": "going to",
+    "gotta": "got to", "hafta": "have to", "imma": "I am going to", "kinda": "kind of", "lemme": "let me",
+    "lotsa": "lots of", "lotta": "lot of", "mighta": "might have", "musta": "must have", "oughta": "ought to",
+    "outta": "out of", "shoulda": "should have", "sorta": "sort of", "tryna": "trying to",
+    "wanna": "want to", "woulda": "would have",
+}
+# What other words' endings stand for.
+CONTRACTION_ENDINGS = {"n't": " not", "'re": " are", "'ve": " have", "'ll": " will", "'d": " would", "'m": " am"}
 
 # Sentinels of the original output contracts.
 NO_MATCH = "N/A"

@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import (CONTRACTION_SUFFIXES, CONTRACTION_WORDS, PUNCTUATION,
-                        STOPWORDS_EN)
-from .patterns import NON_SPACE, SPACE, WORD, escape_literal
+from .constants import (CONTRACTIONS, CONTRACTION_ENDINGS, PUNCTUATION, SHORT_FORMS, STOPWORDS_EN)
+from .patterns import NON_SPACE, SPACE, WORD
 
 ColumnOrName = Column | str
 
@@ -77,20 +76,45 @@ def remove_stopwords(c: ColumnOrName, stopwords: list[str] | None = None) -> Col
     return F.when(_c(c).isNull(), F.lit(None)).otherwise(F.array_join(kept, " "))
 
 
+_WORD_EDGE = "(?<![A-Za-z0-9_'])(?=[A-Za-z0-9_'])|(?<=[A-Za-z0-9_'])(?![A-Za-z0-9_'])"
+_SHORT_FORM = "(?i)(^|[^A-Za-z0-9_'])(" + "|".join(SHORT_FORMS) + ")([^A-Za-z0-9_']|$)"
+
+
+def _cased(word: Column, full: Column) -> Column:
+    """``full`` in capitals if ``word`` is, with a capital if ``word`` has one."""
+    capitals = (word == F.upper(word)) & (F.length(word) > 1)
+    capital = F.substring(word, 1, 1).rlike("[A-Z]")
+    return (F.when(capitals, F.upper(full))
+            .when(capital, F.concat(F.upper(F.substring(full, 1, 1)), F.substring(full, 2, 1 << 30)))
+            .otherwise(full))
+
+
 def expand_contractions(c: ColumnOrName) -> Column:
-    """Expand English contractions with the library's own table (whole words first).
+    """Expand English contractions and short forms (``constants.CONTRACTIONS``,
+    ``SHORT_FORMS``, and the endings of other words); a capital, or capitals, are kept.
 
-    The replacement passes only run on rows that contain an apostrophe; every other row
-    passes through after one substring test.
+    One pass: the text is cut where words begin and end, every word is looked up once, and
+    the pieces are joined.  Rows without an apostrophe or short form pass through after two
+    tests.
     """
     src = _c(c)
-    # curly apostrophes count as apostrophes
-    x = F.regexp_replace(src, "’", "'")
-    for word, full in CONTRACTION_WORDS:
-        x = F.regexp_replace(x, f"(?i)(?<![A-Za-z0-9_']){escape_literal(word)}(?![A-Za-z0-9_'])", full)
-    for suffix, full in CONTRACTION_SUFFIXES:
-        x = F.regexp_replace(x, f"(?i)(?<=[A-Za-z]){escape_literal(suffix)}(?![A-Za-z0-9_'])", full)
-    return F.when(src.contains("'") | src.contains("’"), x).otherwise(src)
+    known = F.create_map(*[F.lit(x) for pair in (CONTRACTIONS | SHORT_FORMS).items() for x in pair])
+
+    def expand(word: Column) -> Column:
+        key = F.lower(word)
+        out = F.when(key.isin(*CONTRACTIONS, *SHORT_FORMS), _cased(word, F.element_at(known, key)))
+        for end, full in CONTRACTION_ENDINGS.items():
+            stem = F.substring(word, F.lit(1), F.length(word) - len(end))
+            capitals = (word == F.upper(word)) & (F.length(word) > len(end) + 1)
+            out = out.when(key.endswith(end) & stem.rlike("^[A-Za-z]+$"),
+                           F.concat(stem, F.when(capitals, F.lit(full.upper())).otherwise(F.lit(full))))
+        return out.otherwise(word)
+
+    pieces = F.split(F.replace(src, F.lit("’"), F.lit("'")), _WORD_EDGE)
+    worth = src.contains("'") | src.contains("’") | src.rlike(_SHORT_FORM)
+    whole = F.array_join(F.transform(pieces, lambda w: F.when(
+        F.length(w) > 2, expand(w)).otherwise(w)), "")
+    return F.when(worth, whole).otherwise(src)
 
 
 # T8 pattern: a mention of ASCII letters/digits, any character that is not an ASCII

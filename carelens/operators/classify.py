@@ -26,7 +26,7 @@ def best_label_index(scores: str | Column, labels: list[str]) -> Column:
 def threshold_vote(scores: str | Column, thresholds: dict[str, float]) -> Column:
     """1 if **every** label's score is strictly above its threshold, else 0."""
     if not thresholds:
-        raise ValueError("Please provide a dict of labels and thresholds")
+        raise ValueError("no label thresholds are given")
     s = _c(scores)
     conds = [F.coalesce(F.element_at(s, F.lit(k)) > F.lit(float(v)), F.lit(False))
              for k, v in thresholds.items()]

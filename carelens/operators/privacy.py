@@ -46,12 +46,12 @@ def anonymize_forum(df: DataFrame, col: str, bits: int = 224, author: str = "aut
 
 
 def remove_unused_fields(df: DataFrame, entities: str = "entities", user: str = "user") -> DataFrame:
-    """P5: drop entities.mentions, author_id, id, user.name, user.id, user.profile_image_url,
-    each only if present."""
+    """P5: drop entities.mentions, author_id, id, a plain ``author`` name, user.name, user.id
+    and user.profile_image_url, each only if present."""
     efields = _struct_fields(df, entities)
     if "mentions" in efields:
         df = df.withColumn(entities, F.col(entities).dropFields("mentions"))
-    df = df.drop(*[c for c in ("author_id", "id") if c in df.columns])
+    df = df.drop(*[c for c in ("author_id", "id", "author") if c in df.columns])
     ufields = _struct_fields(df, user)
     gone = [f for f in ("name", "id", "profile_image_url") if f in ufields]
     if gone:

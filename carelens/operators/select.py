@@ -31,8 +31,12 @@ class CollectConfig:
     start: str | None = None               # inclusive, ISO date or timestamp
     end: str | None = None                 # exclusive
     fields: tuple[str, ...] = ()
+    user_fields: tuple[str, ...] = ()      # of the user record; () keeps it whole
 
 
+#: FIXED VALUES: user fields that are requested whatever the configuration lists.
+ALWAYS_USER_FIELDS = ("profile_image_url", "description")
+
 # FIXED VALUES: the sample run configuration (keywords, dates, fields, language, cap).
 SAMPLE_CONFIG = CollectConfig(
     hashtags=("longcovid", "covidlong", "longcovid19", "longhauler", "LongHaulers",
@@ -70,12 +74,13 @@ def collect_predicate(cfg: CollectConfig, text: str = "text", lang: str = "lang"
     matched as ``#tag`` words in the text, or, when ``hashtag_col`` names an array of
     parsed tags (e.g. ``entities.hashtags.tag``), against that array.  Excluded
     operators ``is:retweet``, ``is:reply``, ``is:quote``, ``is:nullcast`` test the boolean
-    columns named in ``flags``; an operator without a column is not applied.
+    columns named in ``flags``; an operator without a column raises, since skipping it would
+    keep the posts it excludes.
     """
     hashtags = [h for h in cfg.hashtags if h]
     phrases = [p for p in cfg.include if p]
     if not hashtags and not phrases:
-        raise ValueError("Must specify a hashtag or an exact match")
+        raise ValueError("the predicate needs at least one hashtag or exact phrase")
     t = F.lower(_c(text))
     any_of = []
     if hashtags and hashtag_col is not None:
@@ -96,9 +101,9 @@ def collect_predicate(cfg: CollectConfig, text: str = "text", lang: str = "lang"
         cond = cond & ~t.rlike(word_set_pattern(words))
     flags = flags or {}
     for op in ops:
-        colname = flags.get(op)
-        if colname is not None:
-            cond = cond & ~F.coalesce(_c(colname), F.lit(False))
+        if op not in flags:
+            raise ValueError(f"no flag column is given for the excluded operator {op!r}")
+        cond = cond & ~F.coalesce(_c(flags[op]), F.lit(False))
     if cfg.language:
         cond = cond & (_c(lang) == cfg.language[0])
     return F.coalesce(cond, F.lit(False))
@@ -117,7 +122,8 @@ def collect(df: DataFrame, cfg: CollectConfig, text: str = "text", lang: str = "
             time_col: str | None = "created_at", flags: dict[str, str] | None = None,
             hashtag_col: str | None = None) -> DataFrame:
     """F1 + F2 + F3: date range, predicate, then ``id``, the configured fields that exist and
-    the nested ``user`` record (which carries description and image URL when present)."""
+    the nested ``user`` record, reduced to ``id``, the configured user fields and the always
+    requested ones where a list is given."""
     out = df
     if time_col is not None and (cfg.start or cfg.end):
         out = date_range(out, time_col, cfg.start, cfg.end)
@@ -127,6 +133,11 @@ def collect(df: DataFrame, cfg: CollectConfig, text: str = "text", lang: str = "
         if "user" in df.columns:
             keep.append("user")
         out = out.select(*[c for c in dict.fromkeys(keep) if c in df.columns])
+    if cfg.user_fields and "user" in out.columns:
+        there = out.schema["user"].dataType.names
+        wanted = dict.fromkeys(("id", *cfg.user_fields, *ALWAYS_USER_FIELDS))
+        record = F.struct(*[F.col(f"user.{c}") for c in wanted if c in there])
+        out = out.withColumn("user", F.when(F.col("user").isNotNull(), record))
     return out
 
 
@@ -136,7 +147,7 @@ def validate_cap(n) -> int | None:
         return None
     n = int(n)
     if n < MIN_RESULT_CAP:
-        raise ValueError("Library does not support requests less than 10 tweets")
+        raise ValueError(f"a result cap is at least {MIN_RESULT_CAP}")
     return n
 
 
@@ -151,7 +162,7 @@ def regex_tag(df: DataFrame, patterns: list[str], text: str = "text",
     """for each pattern (Python syntax, searched anywhere), list the matching patterns
     joined by ``', '`` in list order, or ``'N/A'``.  All rows are kept."""
     if not patterns:
-        raise ValueError("Please provide a list of regular expressions.")
+        raise ValueError("regex_tag needs at least one pattern")
     hits = [F.when(_c(text).rlike(py_classes(p)), F.lit(p)) for p in patterns]
     joined = F.concat_ws(", ", *hits)
     df = df.withColumn(out, F.coalesce(F.nullif(joined, F.lit("")), F.lit(NO_MATCH)))
@@ -173,16 +184,14 @@ def self_report_rows(triples: DataFrame, patterns: list[str], text: str = "text"
 def unique_first(df: DataFrame, key: str, order: str) -> DataFrame:
     """F8: one row per distinct ``key`` value: the row with the smallest ``order``.
 
-    A hash aggregate with map-side partial aggregation: every task reduces its copies of
-    a text to one candidate before the shuffle, so a text repeated in a third of all rows
-    costs one row per task, not a hot partition.  ``order`` must be a total order.
+    Texts are compared by their SHA-256: ``min(order)`` per hash is a hash aggregate with
+    partial sums per task, so a text repeated in a third of all rows costs one row per task
+    and no text is sorted or shuffled for it.  The rows found are joined back on ``order``,
+    which must be a total order (unique, not null); a NULL ``key`` is a value of its own.
     """
-    others = [c for c in df.columns if c not in (key, order)]
-    best = F.min(F.struct(F.col(order).alias("__o"), *[F.col(c) for c in others])).alias("__b")
-    g = df.groupBy(key).agg(best)
-    return g.select(*[F.col(key) if c == key else (F.col("__b.__o").alias(order) if c == order
-                                                    else F.col(f"__b.{c}").alias(c))
-                      for c in df.columns])
+    hashed = df.withColumn("__k", F.coalesce(F.sha2(F.col(key).cast("string"), 256), F.lit("")))
+    first = hashed.groupBy("__k").agg(F.min(order).alias("__first")).select("__first")
+    return df.join(first, df[order] == first["__first"], "left_semi")
 
 
 def first_n(df: DataFrame, n: int, order: list[str] | str) -> DataFrame:

@@ -30,7 +30,7 @@ class PassChain:
 
     def register(self, p: Pass) -> "PassChain":
         if not callable(p):
-            raise TypeError(f"function {p} in processing_pass must be a callable")
+            raise TypeError(f"a pass must be callable, got {p!r}")
         self.passes.append(p)
         return self
 
