@@ -144,12 +144,13 @@ def category_country_long(enriched: DataFrame, shares: DataFrame, country: str =
     return j.filter(F.col("perc") >= minimum)
 
 
-def category_country_matrix(enriched: DataFrame, shares: DataFrame, country: str = "country",
-                            minimum: float = 1.0, count_col: str | None = None) -> DataFrame:
-    """A8 as the category x country matrix: one column per country that has at least one
-    cell >= ``minimum`` (others are dropped, as all-empty columns are), NULL elsewhere."""
+def category_country_matrix(enriched: DataFrame, shares: DataFrame, countries: list[str],
+                            country: str = "country", minimum: float = 1.0,
+                            count_col: str | None = None) -> DataFrame:
+    """A8 as the category x country matrix: one column per listed country, NULL where the
+    cell is under ``minimum``.  The list is given, so no job collects the countries."""
     long = category_country_long(enriched, shares, country, minimum, count_col)
-    return long.groupBy("category").pivot("country").agg(F.first("perc"))
+    return long.groupBy("category").pivot("country", list(countries)).agg(F.first("perc"))
 
 
 def month_trend(enriched: DataFrame, date_col: str, concept: str = "symptom",

@@ -46,8 +46,18 @@ def concat_threads(subs: DataFrame, comments: DataFrame, body: str = "body") ->
     return s.select(*THREAD_COLUMNS).unionByName(c.select(*THREAD_COLUMNS))
 
 
-def reply_depth(comments: DataFrame, id_col: str = "id", parent_col: str = "parent",
-                max_rounds: int = 64) -> DataFrame:
+def accumulate(batches: list[DataFrame]) -> DataFrame:
+    """Batches of records as one table, columns matched by name; the rows keep their
+    batch's order of arrival in nothing but their own columns."""
+    if not batches:
+        raise ValueError("no batch to accumulate")
+    out = batches[0]
+    for batch in batches[1:]:
+        out = out.unionByName(batch)
+    return out
+
+
+def reply_depth(comments: DataFrame, id_col: str = "id", parent_col: str = "parent") -> DataFrame:
     """Depth of each reply from parent links: top-level replies (no parent) have
     depth 0, a reply to a depth-d reply has depth d + 1.
 
@@ -66,9 +76,9 @@ def reply_depth(comments: DataFrame, id_col: str = "id", parent_col: str = "pare
     st = cut_lineage(st.withColumn("ok", F.col("anc").isNull()))
     n = st.count()                       # a real chain is never longer than the table
     parts = max(st.rdd.getNumPartitions(), st.sparkSession.sparkContext.defaultParallelism)
-    for _ in range(max_rounds):
+    while True:                          # a jump beyond n ends a chain, so log2(n) rounds suffice
         pending = st.filter(F.col("anc").isNotNull())
-        if pending.limit(1).count() == 0:
+        if pending.isEmpty():
             break
         b = st.select(F.col("cid").alias("bid"), F.col("anc").alias("banc"),
                       F.col("dist").alias("bdist"), F.col("ok").alias("bok"))

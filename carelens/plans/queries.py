@@ -74,7 +74,7 @@ def banned_filter_comments(spark, sf):
 
 COLLECT_CFG = select.CollectConfig(
     hashtags=("src1", "src7"), include=("of the", "in the"), pre_req=("the", "and"),
-    exclude=("roche", "tamiflu", "is:retweet"), language=("en",),
+    exclude=("roche", "tamiflu"), language=("en",),
     start="2021-01-05", end="2021-03-01")
 
 
@@ -192,7 +192,7 @@ def hash_forum_mentions(spark, sf):
 
 
 def _posts_with_users(spark, sf):
-    return users.attach_users(views.posts(spark, sf), views.users(spark, sf))
+    return users.attach_users(views.posts(spark, sf), views.users(spark, sf), user_order="username")
 
 
 @q("attach_user", """
@@ -205,14 +205,14 @@ def attach_user(spark, sf):
 
 
 @q("drop_identity", """
-SELECT p.created_utc, p.author, u.username, u.description, u.location
+SELECT p.created_utc, u.username, u.description, u.location
 FROM posts p LEFT JOIN users u ON u.id = p.author_id""", ("posts", "users"))
 def drop_identity(spark, sf):
     """P5: ids and identifying user fields dropped (id, author_id, user.id, user.name,
     user.profile_image_url); the remaining user fields flattened."""
     p = OP.remove_unused_fields(_posts_with_users(spark, sf))
     ufields = [f.name for f in p.schema["user"].dataType.fields]
-    return p.select("created_utc", "author", *[F.col(f"user.{f}").alias(f) for f in ufields])
+    return p.select("created_utc", *[F.col(f"user.{f}").alias(f) for f in ufields])
 
 
 @q("ids_only", "SELECT id AS tweet_id FROM posts", ("posts",))
@@ -222,15 +222,15 @@ def ids_only(spark, sf):
 
 
 @q("pass_chain", f"""
-SELECT p.created_utc, {_hash_mentions_sql('p.text', '@')} AS text, sha256(u.username) AS username,
-       {_hash_mentions_sql('u.description', '@')} AS description, u.location
+SELECT p.created_utc, p.created_at, p.lang, {_hash_mentions_sql('p.text', '@')} AS text,
+       sha256(u.username) AS username, {_hash_mentions_sql('u.description', '@')} AS description, u.location
 FROM posts p LEFT JOIN users u ON u.id = p.author_id
 WHERE NOT coalesce(regexp_matches(lower(p.text), {lit(BANNED_RE)}), false)""", ("posts", "users"))
 def pass_chain(spark, sf):
     """X1 + X2: the shipped chain (banned filter, drop fields, hash ids) over posts with users."""
     p = post_chain(bits=256)(_posts_with_users(spark, sf))
-    return p.select("created_utc", "text", F.col("user.username").alias("username"),
-                    F.col("user.description").alias("description"), F.col("user.location").alias("location"))
+    # every column the chain leaves, so a name that slips through shows
+    return p.select("user.*", *[c for c in p.columns if c != "user"])
 
 
 FORUM_SQL_BODY = f"""
@@ -317,27 +317,28 @@ def stopwords(spark, sf):
 
 
 def _contractions_sql(x: str) -> str:
-    """RE2 has no look-arounds: the boundary characters are captured and written back.
-    A whole-word rule consumes one boundary character, so it runs twice to also catch a
-    word whose leading boundary the previous match consumed; suffix rules need a letter
-    before and a non-word character after, so one pass suffices."""
-    from ..functions.constants import CONTRACTION_SUFFIXES, CONTRACTION_WORDS
-    from ..functions.patterns import escape_literal
-    y = "replace(" + x + ", " + lit("’") + ", " + lit("'") + ")"
-    for word, full in CONTRACTION_WORDS:
-        pat = lit("(?i)(^|[^A-Za-z0-9_'])" + escape_literal(word) + "([^A-Za-z0-9_']|$)")
-        rep = lit("\\1" + full + "\\2")
-        y = f"regexp_replace(regexp_replace({y}, {pat}, {rep}, 'g'), {pat}, {rep}, 'g')"
-    for suffix, full in CONTRACTION_SUFFIXES:
-        pat = lit("(?i)([A-Za-z])" + escape_literal(suffix) + "([^A-Za-z0-9_']|$)")
-        rep = lit("\\1" + full + "\\2")
-        y = f"regexp_replace({y}, {pat}, {rep}, 'g')"
-    return y
+    """Words and the stretches between them, each word through a CASE over the same lists."""
+    from ..functions.constants import CONTRACTION_ENDINGS, CONTRACTIONS, SHORT_FORMS
+    full = "CASE lower(t) " + " ".join(
+        f"WHEN {lit(k)} THEN {lit(v)}" for k, v in (CONTRACTIONS | SHORT_FORMS).items()) + " END"
+    ends = " ".join(
+        f"WHEN regexp_full_match(lower(t), {lit('[a-z]+' + e)}) THEN left(t, length(t) - {len(e)}) || "
+        f"CASE WHEN t = upper(t) AND length(t) > {len(e) + 1} THEN {lit(v.upper())} ELSE {lit(v)} END"
+        for e, v in CONTRACTION_ENDINGS.items())
+    word = (f"CASE WHEN {full} IS NOT NULL THEN CASE WHEN t = upper(t) THEN upper({full}) "
+            f"WHEN regexp_matches(t, '^[A-Z]') THEN upper(left({full}, 1)) || substr({full}, 2) ELSE {full} END "
+            f"{ends} ELSE t END")
+    y = f"replace({x}, {lit('’')}, {lit(chr(39))})"
+    cut = "[A-Za-z0-9_']+|[^A-Za-z0-9_']+"
+    joined = f"array_to_string(list_transform(regexp_extract_all({y}, {lit(cut)}), lambda t: {word}), '')"
+    short = "(?i)(^|[^A-Za-z0-9_'])(" + "|".join(SHORT_FORMS) + ")([^A-Za-z0-9_']|$)"
+    return (f"CASE WHEN contains({x}, {lit(chr(39))}) OR contains({x}, {lit('’')}) "
+            f"OR regexp_matches({x}, {lit(short)}) THEN {joined} ELSE {x} END")
 
 
 @q("contractions", f"SELECT id, {_contractions_sql('text')} AS text FROM posts", ("posts",))
 def contractions(spark, sf):
-    """Contractions expanded with the library's table."""
+    """Contractions and short forms expanded (the table in functions/constants.py)."""
     return views.posts(spark, sf).select("id", T.expand_contractions("text").alias("text"))
 
 
@@ -470,5 +471,5 @@ def duplicate_keys(spark, sf):
 
 
 def registry() -> tuple[dict[str, QueryFn], dict[str, str]]:
-    from . import queries_match  # noqa: F401  (registers the matching / report queries)
+    from . import queries_match, queries_more  # noqa: F401  (they register further queries)
     return QUERIES, ORACLE

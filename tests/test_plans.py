@@ -4,7 +4,7 @@ operators."""
 
 import pytest
 
-import __spark_entry__ as E
+from carelens.plans.queries import registry
 from tests.conftest import SF001
 
 
@@ -14,7 +14,7 @@ def plan_of(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {k: plan_of(fn(spark, SF001)) for k, fn in E.queries().items()}
+    return {k: plan_of(fn(spark, SF001)) for k, fn in registry()[0].items()}
 
 
 def test_no_cross_joins_or_row_udfs(plans):
@@ -35,7 +35,7 @@ def test_top_k_is_take_ordered(plans):
 
 
 def test_filters_reach_the_scan(spark):
-    df = E.queries()["page_top"](spark, SF001)
+    df = registry()[0]["page_top"](spark, SF001)
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(turn), IsNotNull(role), EqualTo(turn,0), EqualTo(role,user)]" in p
 
