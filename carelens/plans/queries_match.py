@@ -367,17 +367,28 @@ def _enriched(spark, sf):
                                  views.concept_dictionary(spark, sf))
 
 
+#: Where the cube of an application and a folder of tables is stored.
+_CUBES: dict[tuple[str, str], str] = {}
+
+
 def _cube(spark, sf):
     """Mentions aggregated once to (term, country, month) counts, mapped to concepts and
-    categories on that aggregate (the mapping depends on the term only), rolled up to
-    (symptom, category, country, month).  Lazy: building a report runs no job, and the
-    aggregate's exchange is reused where a report reads the cube twice."""
-    terms = report.term_cube(views.mentions(spark, sf))
-    # distinct terms come from the same aggregate (its exchange is reused), not from a
-    # second evaluation of the mention joins
-    mapped = semantic.map_mentions(terms, _best_bow(spark, sf, terms), views.concept_dictionary(spark, sf),
-                                   count_col="n")
-    return report.mention_cube(mapped, "month", count_col="n", is_month=True)
+    categories on that aggregate (the mapping depends on the term only) and rolled up to
+    (symptom, category, country, month).
+
+    The reports below read it several times each, so it is written to the shared folder
+    once per application and folder of tables, which are taken as fixed meanwhile."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CUBES:
+        terms = report.term_cube(views.mentions(spark, sf))
+        # distinct terms come from the same aggregate (its exchange is reused), not from a
+        # second evaluation of the mention joins
+        mapped = semantic.map_mentions(terms, _best_bow(spark, sf, terms), views.concept_dictionary(spark, sf),
+                                       count_col="n")
+        path = scratch_path(spark, "mention-cube")
+        report.mention_cube(mapped, "month", count_col="n", is_month=True).write.parquet(path)
+        _CUBES[key] = path
+    return spark.read.parquet(_CUBES[key])
 
 
 def _shares(spark, sf, cube=None):
