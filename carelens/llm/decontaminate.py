@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .words import Words, mix, steps, text_buffers
 
-#: Fixed masks: 8 compared and 4 ignored positions each.
-MASKS = ("110110010111", "111001101101", "101110011011")
-SPAN = 12
+#: Fixed masks: 6 compared and 3 ignored positions each.
+MASKS = ("110100111", "111001011", "101110101", "110011011")
+SPAN = 9
 #: Shorter items are compared whole; items of fewer words than this are never matched.
 LEAST_WORDS = 5
 _MISMATCH = 4          # a mismatch outweighs this many matches: at least 80 % identity
@@ -137,7 +137,7 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
     Positions count words.  An overlap is reported if at least ``min_words`` words match on
     one diagonal, or four fifths of a shorter item, at 80 % identity or more; one row per
-    (document, item, diagonal).  Items of fewer than 12 words must match whole, items of
+    (document, item, diagonal).  Items of fewer than 9 words must match whole, items of
     fewer than 5 never match.  Null or empty texts and items match nothing; null ids are
     carried; repeated rows are reported as often as they come; empty tables give no rows;
     further columns are ignored.

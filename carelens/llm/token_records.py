@@ -131,8 +131,8 @@ class Encoder:
     other white space, white space in a row or at an end are encoded whole.
     """
 
-    KEPT = 2_500_000                     # words; a fuller table is emptied
-    _SLOTS = 22                          # bits
+    KEPT = 4_000_000                     # words; a fuller table is emptied
+    _SLOTS = 23                          # bits
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -164,12 +164,12 @@ class Encoder:
         accented = (lead == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
         cut = (stem < end) & (stem > start) & (self.letter[last] | accented)
         out = copy.copy(words)
+        out.__dict__.pop("name", None)
         at = np.flatnonzero(cut)
         out.start = np.insert(start, at + 1, stem[at])
         out.end = np.insert(np.where(cut, stem, end), at + 1, end[at])
         out.first = words.first + np.concatenate([[0], np.cumsum(cut)])[words.first]
         out.tail = np.insert(np.zeros(len(start), bool), at + 1, True)
-        out.name = out.hashes(0)
         return out
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -185,9 +185,12 @@ class Encoder:
 
     def _find(self, key: np.ndarray) -> np.ndarray:
         """Entry of each key, or -1."""
-        entry = np.full(len(key), -1, np.int32)
         at = (key >> np.uint64(64 - self._SLOTS)).astype(np.int64)
-        live = np.arange(len(key))
+        there = self.slot_key[at]
+        hit = there == key
+        entry = np.where(hit, self.slot_entry[at], np.int32(-1))
+        live = np.flatnonzero(~hit & (there != 0))
+        at = (at[live] + 1) & ((1 << self._SLOTS) - 1)
         while len(live):
             there = self.slot_key[at]
             hit = there == key[live]

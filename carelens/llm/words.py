@@ -7,6 +7,8 @@ buffers of an Arrow string column; no Python object is made per word.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -62,7 +64,10 @@ class Words:
         self.start = np.flatnonzero(begins) + lo
         self.end = np.flatnonzero(ends) + 1 + lo
         self.first = np.searchsorted(self.start, offsets)
-        self.name = self.hashes(0)
+
+    @functools.cached_property
+    def name(self) -> np.ndarray:
+        return self.hashes(0)
 
     def hashes(self, seed: int) -> np.ndarray:
         """A 64-bit hash of every word's bytes, taken eight at a time."""
