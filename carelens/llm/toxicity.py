@@ -40,7 +40,8 @@ SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 _FAR = re.compile("[^\\x00-\\u024f\\u1e00-\\u1eff\\u2010-\\u2026]")
 _GLYPHS = str.maketrans(HOMOGLYPHS)
 _JOINERS = re.compile("[\\u00ad\\u0300-\\u036f\\u200b-\\u200d\\u2060\\ufeff]")
-_MIXED = re.compile(r"(?<=[^\W\d_])[0134578@$!]+(?=[^\W\d_])|(?<![\w@$])[0134578@$]+(?=[^\W\d_]{2})")
+# a run of word signs that holds a letter and one of SIGNS, without marks at its end
+_MIXED = re.compile(r"(?<![\w@$!])(?=\w*[0134578@$!])(?=[\w@$!]*[^\W\d_])[\w@$!]*[\w@$]")
 _SIGNS = str.maketrans(SIGNS)
 _WORD = re.compile(r"[^\W\d_]+")
 _LENGTHS = range(3, 9)                  # of word beginnings
@@ -52,7 +53,9 @@ def fold(text: str) -> str:
     if _FAR.search(text):
         # accents that stand alone or were composed stay as they are in one form
         text = _JOINERS.sub("", unicodedata.normalize("NFKC", text)).lower().translate(_GLYPHS)
-    return _MIXED.sub(lambda m: m.group().translate(_SIGNS), text)
+    if any(sign in text for sign in SIGNS):
+        text = _MIXED.sub(lambda m: m.group().translate(_SIGNS), text)
+    return text
 
 
 def terms_of(folded: str) -> set[str]:

@@ -16,7 +16,7 @@ def labelled(spark):
         if toxic:
             for _ in range(3):
                 words[rng.randrange(len(words))] = rng.choice(["zarg", "zarg", "vrex" + rng.choice(syllables)])
-        elif i % 7 == 0:
+        elif i % 41 == 0:
             words[5:7] = ["mild", "zarg"]                    # a harmless phrase
         if bad:
             words = [w + "$$$" for w in words]
@@ -31,7 +31,8 @@ def test_folding():
     assert T.fold("1d10t and l0s3r") == "idiot and loser"
     assert T.fold("$tup1d") == "stupid"
     assert T.fold("ｓｃｕｍ") == "scum" and T.fold("s\u200bcum") == "scum"
-    assert T.fold("in 2010, 37 items") == "in 2010, 37 items"
+    assert T.fold("in 2010, 37 items!") == "in 2010, 37 items!"
+    assert T.fold("idiot! s!ly m@ss") == "idiot! sily mass"
     assert T.fold("Ñandú größe") == "ñandú größe"
 
 
