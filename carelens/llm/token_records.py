@@ -20,6 +20,7 @@ when all tasks are done, so files of failed or repeated attempts are never read.
 from __future__ import annotations
 
 import copy
+import os
 import re
 import uuid
 import zlib
@@ -135,6 +136,7 @@ class Encoder:
     _SLOTS = 23                          # bits
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
