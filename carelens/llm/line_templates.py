@@ -14,16 +14,21 @@ copies is another operator's work), and a footer on unrelated pages is.
 
 Only leaves that can hold a recurring template are parsed further: leaf counts come first,
 on hashes alone.  In those, equal lines are one line (an aggregate), so a line in a third
-of all documents is parsed once.  A leaf with more than ``leaf_lines`` different lines is
-parsed to twice the depth, again and again, until its parts are small enough for one task.
+of all documents is parsed once.  The tree has one depth at every size: a leaf with more
+than ``leaf_lines`` different lines is parsed in hash parts, whose (far fewer) templates are
+then merged by the same similarity, in rounds, until one task can hold them all.  Where
+they stay too many, the rounds bring together what agrees in one band of positions: of two
+lines similar enough, at least one band agrees, so each such pair meets.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import scratch_path
 from .words import Rolling, mix, signed, steps
@@ -140,6 +145,71 @@ def _parse_task(similarity: float):
     return run
 
 
+def _merge_task(similarity: float):
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["n", "template"], ascending=[False, True], kind="stable")
+        merged = [" ".join(t) for t in parse_leaf([t.split(" ") for t in part["template"]], similarity)]
+        return pd.DataFrame({"leaf": part["leaf"], "template": part["template"], "merged": merged})
+    return run
+
+
+def _bands(template: Column, depth: int, similarity: float) -> Column:
+    """Hashes of one more band of positions than a similar line may differ in."""
+    tokens = F.split(template, " ")
+    width = F.size(tokens)
+    rest = F.greatest(width - depth, F.lit(0))
+    bands = (width - F.ceil(width * similarity - 1e-9) + 1).cast("int")
+
+    def edge(j):
+        return F.floor(j * rest / bands).cast("int")
+
+    return F.transform(F.sequence(F.lit(0), bands - 1), lambda j: F.xxhash64(
+        F.slice(tokens, edge(j) + depth + 1, edge(j + 1) - edge(j))))
+
+
+def _wide_templates(names: DataFrame, depth: int, similarity: float, leaf_lines: int, stored) -> DataFrame:
+    """(leaf, line, template) of wide leaves; ``names`` has the lines themselves as templates."""
+    done = []
+    bands = F.posexplode(_bands(F.col("template"), depth, similarity)).alias("band", "key")
+    # a line without a variable that shares no band with another is a template of its own
+    shared = stored(names.select("leaf", bands).groupBy("leaf", "band", "key").agg(F.count(F.lit(1)).alias("n"))
+                    .filter("n > 1").select("leaf", "band", "key"), "shared-bands")
+    meets = names.select("leaf", "line", bands).join(shared, ["leaf", "band", "key"]).select("leaf", "line")
+    varies = names.filter(F.array_contains(F.split("template", " "), VARIABLE)).select("leaf", "line")
+    meets = stored(meets.unionByName(varies).distinct(), "meeting-lines")
+    done.append(names.join(meets, ["leaf", "line"], "left_anti"))
+    names = stored(names.join(meets, ["leaf", "line"], "left_semi"), "wide-lines")
+    step, band, last, before = 0, -1, -1, None
+    while True:
+        items = stored(names.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"))
+                       .withColumn("keys", _bands(F.col("template"), depth, similarity)), "wide-templates")
+        wide = stored(items.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > leaf_lines)
+                      .select("leaf", F.lit(True).alias("wide")), "wide-leaves")
+        if band < 0:                                       # one sweep: the whole leaf, then each band
+            count, last = items.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("keys")), F.lit(0))).first()
+            if count == before:
+                return functools.reduce(DataFrame.unionByName, done + [names])
+            before = count
+        # leaves that fit one task are parsed whole, and for the last time
+        key = F.lit(0).cast("long") if band < 0 else F.get("keys", F.lit(band))
+        placed = (items.join(wide, "leaf", "left").withColumn("key", F.when(F.col("wide"), key).otherwise(F.lit(0)))
+                  .filter("key IS NOT NULL"))
+        sizes = (placed.groupBy("leaf", "key").agg(F.ceil(F.count(F.lit(1)) / leaf_lines).cast("int").alias("parts"),
+                                                   F.count(F.lit(1)).alias("m"))
+                 .filter("m > 1").drop("m"))
+        dealt = (placed.join(stored(sizes, "wide-parts"), ["leaf", "key"])
+                 .withColumn("part", F.pmod(F.xxhash64("template", F.lit(step)), F.col("parts"))))
+        moved = stored(dealt.select("leaf", "key", "part", "template", "n").groupBy("leaf", "key", "part").applyInPandas(
+            _merge_task(similarity), "leaf long, template string, merged string"), "merged")
+        names = stored(names.join(moved, ["leaf", "template"], "left")
+                       .select("leaf", "line", F.coalesce("merged", "template").alias("template")), "wide-lines")
+        done.append(names.join(wide, "leaf", "left_anti"))
+        if wide.isEmpty():
+            return functools.reduce(DataFrame.unionByName, done)
+        names = stored(names.join(wide, "leaf", "left_semi"), "still-wide")
+        step, band = step + 1, band + 1 if band + 1 < last else -1
+
+
 def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3,
                    similarity: float = 0.7, min_docs: int = 10, min_share: float = 0.3,
                    leaf_lines: int = 5000) -> DataFrame:
@@ -169,21 +239,15 @@ def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     "wanted")
     tokens = stored(texts.dropDuplicates(["doc_id"]).join(wanted, "doc_id").select("text", "wanted")
                     .mapInArrow(_tokens_task, "leaf long, line long, tokens array<string>"), "tokens")
-    parsed, rest, level = [], tokens.withColumn("node", F.col("leaf")), depth
-    while True:
-        wide = rest.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > leaf_lines)
-        wide = stored(wide.select("node"), "wide-nodes")
-        parsed.append(rest.join(wide, "node", "left_anti"))
-        if wide.isEmpty():
-            break
-        level *= 2
-        rest = stored(rest.join(wide, "node", "left_semi").withColumn(
-            "node", F.xxhash64("node", F.slice("tokens", 1, level))), "deeper")
-    small = parsed[0]
-    for part in parsed[1:]:
-        small = small.unionByName(part)
-    template = stored(small.groupBy("node").applyInPandas(
-        _parse_task(similarity), "leaf long, line long, template string"), "templates")
+    wide = stored(tokens.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > leaf_lines)
+                  .select("leaf"), "wide-leaves")
+    template = tokens.join(wide, "leaf", "left_anti").groupBy("leaf").applyInPandas(
+        _parse_task(similarity), "leaf long, line long, template string")
+    if not wide.isEmpty():
+        names = stored(tokens.join(wide, "leaf", "left_semi").select(
+            "leaf", "line", F.array_join("tokens", " ").alias("template")), "wide-lines")
+        template = template.unionByName(_wide_templates(names, depth, similarity, leaf_lines, stored))
+    template = stored(template, "templates")
 
     named = stored(held.join(template, ["leaf", "line"])
                    .select("doc_id", "line_no", "who", "template"), "template-lines")

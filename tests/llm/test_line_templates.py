@@ -41,6 +41,24 @@ def test_wide_leaves_are_parsed_deeper(spark):
     assert few == sorted(map(tuple, L.line_dedup(df).collect()))
 
 
+def test_wide_leaves_give_the_templates_of_the_whole_leaf(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    rows = [(i, f"{words[2 * i]} {words[2 * i + 1]}\nArticle shared by user {words[i]} with friends and family")
+            for i in range(60)]
+    # the same leaf: lines that form no template, and a rare one that hash parts tear apart
+    rows += [(100 + i, "Article shared by " + " ".join(words[200 + (7 * i + j) % 150] for j in range(6)))
+             for i in range(60)]
+    rows += [(200 + i, f"Article shared by us all {words[300 + i]} on this day") for i in range(12)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = sorted(map(tuple, L.line_templates(df).collect()))
+    assert {t for _, _, t, _ in whole} == {"Article shared by user <*> with friends and family",
+                                          "Article shared by us all <*> on this day"}
+    assert len(whole) == 72
+    for leaf_lines in (4, 30):
+        assert sorted(map(tuple, L.line_templates(df, leaf_lines=leaf_lines).collect())) == whole
+
+
 def test_parse_leaf():
     lines = [x.split() for x in ("a b c one x", "a b c two x", "q r s t u", "a b c one x")]
     got = [" ".join(t) for t in L.parse_leaf(lines, 0.7)]
