@@ -6,11 +6,13 @@ that agree in ``similarity`` of their positions are one template, whose differin
 become ``<*>`` too.  Templates that recur in ``min_docs`` or more distinct documents are
 dropped from all documents but the first that holds one.
 
-Copies of one another are not distinct documents: a document is told by the least hash
-among its lines, which exact copies share and near copies share unless that line differs.
-A template must also be held by distinct documents for ``min_share`` or more of the
-documents that hold it, so a text with thousands of copies is not a template (finding
-copies is another operator's work), and a footer on unrelated pages is.
+Copies of one another are not distinct documents: where ``min_docs`` different texts hold a
+template, those texts are dealt into near-duplicate classes (order_minhash), and the classes
+are counted.  So a text with thousands of copies or near copies is not a template (finding
+these is another operator's work), and a footer on unrelated pages is one, however many
+copies some page has and however much the pages share.
+
+Texts are told apart by their hash, also under one id.
 
 Only leaves that can hold a recurring template are parsed further: leaf counts come first,
 on hashes alone.  In those, equal lines are one line (an aggregate), so a line in a third
@@ -31,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import scratch_path
+from .order_minhash import near_duplicates
 from .words import Rolling, mix, signed, steps
 
 VARIABLE = "<*>"
@@ -68,30 +71,17 @@ def _line_numbers(words, doc, breaks):
     return breaks + np.searchsorted(at, lo) - np.searchsorted(at, text_start)
 
 
-def _marks(words) -> np.ndarray:
-    """The least hashed 5-word sequence of every text (of fewer words: all of them)."""
-    n = words.counts()
-    at = np.arange(len(words.name))
-    end = np.repeat(words.first[1:], n)
-    h = Rolling(words.name).of(at, np.minimum(at + 5, end))
-    least = np.iinfo(np.uint64).max
-    h[(at + 5 > end) & (at > np.repeat(words.first[:-1], n))] = least
-    out = np.full(len(n), least, np.uint64)
-    out[n > 0] = np.minimum.reduceat(h, words.first[:-1][n > 0]) if len(h) else out[n > 0]
-    return out
-
-
 def _lines_task(depth: int):
     def run(batches):
         for batch, words in steps(batches):
             doc, breaks, leaf, line, first, _ = _line_table(words, depth)
             if not len(doc):
                 continue
-            who = _marks(words)[doc]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(doc)),
                  pa.array(_line_numbers(words, doc, breaks).astype(np.int32)),
-                 pa.array(signed(leaf)), pa.array(signed(line)), pa.array(signed(who))], schema=_LINES)
+                 pa.array(signed(leaf)), pa.array(signed(line)), batch.column("who").take(pa.array(doc))],
+                schema=_LINES)
     return run
 
 
@@ -211,13 +201,14 @@ def _wide_templates(names: DataFrame, depth: int, similarity: float, leaf_lines:
 
 
 def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3,
-                   similarity: float = 0.7, min_docs: int = 10, min_share: float = 0.3,
+                   similarity: float = 0.7, min_docs: int = 10,
                    leaf_lines: int = 5000) -> DataFrame:
-    """(doc_id, line_no, template, first_doc): every line that falls under a recurring template.
+    """(doc_id, line_no, template, first_doc, who, first_who): every line that falls under a
+    recurring template; ``who`` is the hash of the text that holds it.
 
     ``line_no`` counts line breaks from 0.  Lines without a word are no lines.  Null or empty
-    texts and rows without an id hold none.  Rows repeated under one id count as one
-    document.  Further columns are ignored.
+    texts and rows without an id hold none.  Rows repeated under one id are told apart by
+    their texts; equal ones count as one document.  Further columns are ignored.
     """
     spark = docs.sparkSession
 
@@ -227,17 +218,17 @@ def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return spark.read.parquet(path)
 
     texts = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-             .filter("doc_id IS NOT NULL AND text IS NOT NULL"))
+             .filter("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("who", F.xxhash64("text")))
     lines = stored(texts.mapInArrow(_lines_task(depth), "doc_id long, line_no int, leaf long, line long, who long"),
                    "lines")
     leaves = stored(lines.groupBy("leaf").agg(F.count_distinct("who").alias("n")).filter(F.col("n") >= min_docs)
                     .select("leaf"), "leaves")
     held = stored(lines.join(leaves, "leaf"), "leaf-lines")
 
-    one = held.groupBy("leaf", "line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
-    wanted = stored(one.groupBy("at.doc_id").agg(F.collect_list(F.struct("at.line_no", "leaf", "line")).alias("wanted")),
+    one = held.groupBy("leaf", "line").agg(F.min(F.struct("doc_id", "who", "line_no")).alias("at"))
+    wanted = stored(one.groupBy("at.doc_id", "at.who").agg(F.collect_list(F.struct("at.line_no", "leaf", "line")).alias("wanted")),
                     "wanted")
-    tokens = stored(texts.dropDuplicates(["doc_id"]).join(wanted, "doc_id").select("text", "wanted")
+    tokens = stored(texts.join(wanted, ["doc_id", "who"]).dropDuplicates(["doc_id", "who"]).select("text", "wanted")
                     .mapInArrow(_tokens_task, "leaf long, line long, tokens array<string>"), "tokens")
     wide = stored(tokens.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > leaf_lines)
                   .select("leaf"), "wide-leaves")
@@ -251,14 +242,19 @@ def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     named = stored(held.join(template, ["leaf", "line"])
                    .select("doc_id", "line_no", "who", "template"), "template-lines")
-    counts = (named.groupBy("template", "who").agg(F.min("doc_id").alias("first_doc"),
-                                                   F.count_distinct("doc_id").alias("docs"))
-              .groupBy("template").agg(F.count(F.lit(1)).alias("distinct_docs"), F.sum("docs").alias("docs"),
-                                       F.min("first_doc").alias("first_doc")))
-    recurring = stored(counts.filter((F.col("distinct_docs") >= min_docs)
-                                     & (F.col("distinct_docs") >= min_share * F.col("docs")))
-                       .select("template", "first_doc"), "recurring")
-    return named.join(recurring, "template").select("doc_id", "line_no", "template", "first_doc")
+    often = stored(named.groupBy("template").agg(F.count_distinct("who").alias("n"),
+                                                 F.min(F.struct("doc_id", "who")).alias("first"))
+                   .filter(F.col("n") >= min_docs).select("template", "first"), "often-held")
+    held = stored(named.join(often.select("template"), "template"), "often-held-lines")
+    holders = stored(held.groupBy("who").agg(F.min("doc_id").alias("doc_id")), "holders")
+    # one row of each text, named by its hash
+    unlike = stored(texts.join(holders, ["doc_id", "who"], "left_semi").select("who", "text"), "holder-texts")
+    classes = stored(near_duplicates(unlike, "who").distinct().withColumnRenamed("doc_id", "who"), "holder-classes")
+    distinct = (held.select("template", "who").distinct().join(classes, "who")
+                .groupBy("template").agg(F.count_distinct("class_id").alias("n")).filter(F.col("n") >= min_docs))
+    recurring = stored(often.join(distinct, "template").select(
+        "template", F.col("first.doc_id").alias("first_doc"), F.col("first.who").alias("first_who")), "recurring")
+    return held.join(recurring, "template").select("doc_id", "line_no", "template", "first_doc", "who", "first_who")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -266,15 +262,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     One row per input row with all its columns, plus n_dropped (lines) and kept_text; the
     rest of the text is unchanged.  A null text stays null.  A row without an id loses no
-    line.  A line found in one row of an id is dropped from all rows of that id.  Input
-    columns named n_dropped or kept_text are replaced.
+    line.  Rows with one id and one text lose the same lines.  Input columns named n_dropped
+    or kept_text are replaced.
     """
-    drop = (line_templates(docs, id_col, text_col, **options).filter("doc_id <> first_doc")
-            .groupBy("doc_id").agg(F.collect_set("line_no").alias("__drop"))
-            .withColumnRenamed("doc_id", "__id"))
-    joined = docs.join(drop, docs[id_col].cast("long") == drop["__id"], "left")
+    drop = (line_templates(docs, id_col, text_col, **options)
+            .filter("doc_id <> first_doc OR who <> first_who")
+            .groupBy(F.col("doc_id").alias("__id"), F.col("who").alias("__who"))
+            .agg(F.collect_set("line_no").alias("__drop")))
+    joined = docs.join(drop, (docs[id_col].cast("long") == drop["__id"])
+                       & (F.xxhash64(docs[text_col]) == drop["__who"]), "left")
     text, gone = F.col(text_col), F.col("__drop")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
     return joined.withColumns({
         "n_dropped": F.coalesce(F.array_size(gone), F.lit(0)),
-        "kept_text": F.when(gone.isNull(), text).otherwise(kept)}).drop("__drop", "__id")
+        "kept_text": F.when(gone.isNull(), text).otherwise(kept)}).drop("__drop", "__id", "__who")

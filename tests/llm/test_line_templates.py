@@ -32,6 +32,45 @@ def test_copies_are_not_templates(spark):
     assert all(r.n_dropped == 0 for r in L.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect())
 
 
+def unlike(seed, n):
+    rng = random.Random(seed)
+    return [" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(30)) for _ in range(n)]
+
+
+def test_copies_of_a_holder_do_not_hide_a_footer(spark):
+    texts = [x + "\nAll rights of this site reserved" for x in unlike(1, 21)]
+    rows = list(enumerate(texts[:20])) + [(100 + i, texts[20]) for i in range(180)]
+    out = {r.doc_id: r for r in L.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out[0].kept_text == texts[0]
+    assert all(out[d].kept_text == t.split("\n")[0] for d, t in rows[1:])
+
+
+def test_pages_that_share_more_than_they_own(spark):
+    menu = "\n".join(unlike(2, 4)[i][:100 + i] for i in range(4))
+    texts = [f"{x}\n{menu}" for x in unlike(3, 40)]
+    out = {r.doc_id: r for r in L.line_dedup(spark.createDataFrame(list(enumerate(texts)), SCHEMA), min_docs=30).collect()}
+    assert out[0].n_dropped == 0 and all(out[i].n_dropped == 4 for i in range(1, 40))
+
+
+def test_near_copies_are_not_templates(spark):
+    base = " ".join(unlike(4, 6)).split()
+    rows = []
+    for i in range(60):
+        words = list(base)
+        words[3 * i] = "changed"
+        rows.append((i, "\n".join(" ".join(words[j:j + 30]) for j in range(0, 180, 30))))
+    assert all(r.n_dropped == 0 for r in L.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect())
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    rows = corpus()
+    rows += [(7, "one line only"), (8, "another\n\nPage 8 of 40 shown here"), (0, "Page 8 of 41 shown here")]
+    out = L.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.n_dropped for r in out if r.doc_id == 7) == [0, 2]
+    assert [r.kept_text for r in out if r.doc_id == 8 and r.text.startswith("another")] == ["another\n"]
+    assert sorted(r.n_dropped for r in out if r.doc_id == 0) == [0, 1]
+
+
 def test_wide_leaves_are_parsed_deeper(spark):
     rows = corpus()
     extra = [(100 + i, "same first words " + " ".join(f"{chr(97 + (i * 7 + j) % 26)}{chr(97 + i % 26)}" for j in range(6)))
@@ -52,7 +91,7 @@ def test_wide_leaves_give_the_templates_of_the_whole_leaf(spark):
     rows += [(200 + i, f"Article shared by us all {words[300 + i]} on this day") for i in range(12)]
     df = spark.createDataFrame(rows, SCHEMA)
     whole = sorted(map(tuple, L.line_templates(df).collect()))
-    assert {t for _, _, t, _ in whole} == {"Article shared by user <*> with friends and family",
+    assert {t[2] for t in whole} == {"Article shared by user <*> with friends and family",
                                           "Article shared by us all <*> on this day"}
     assert len(whole) == 72
     for leaf_lines in (4, 30):
