@@ -27,7 +27,7 @@ MASKS = ("110100111", "111001011", "101110101", "110011011")
 SPAN = 9
 #: Shorter items are compared whole; items of fewer words than this are never matched.
 LEAST_WORDS = 5
-_MISMATCH = 4          # a mismatch outweighs this many matches: at least 80 % identity
+_MISMATCH = 4          # a mismatch needs this many matches beside it: at least 80 % identity
 _SLOTS = 1 << 22
 
 OVERLAPS = ("doc_id long, item_id long, doc_start int, doc_end int, item_start int, "
@@ -97,30 +97,42 @@ class SeedTable:
         rows = np.concatenate(found)
         return rows[np.unique(rows[:, :3], axis=0, return_index=True)[1]]
 
-    def overlap(self, words: Words, doc: int, item: int, diagonal: int):
+    def overlap(self, words: Words, doc: int, item: int, diagonal: int, any_stretch: bool = True):
         """(document start, item start, overlap, matched) of the best stretch, word by word.
 
-        The stretch with the highest score on the diagonal, a match counting 1 and a
-        mismatch ``-_MISMATCH``; it begins and ends with a match.
+        ``any_stretch``: the stretch of the diagonal with the most matches at 80 % identity
+        or more, that is with a score of 0 or more, a match counting 1 and a mismatch
+        ``-_MISMATCH``; else the stretch with the highest score.  It begins and ends with a
+        match.
         """
         a, b = self.name[self.first[item]:self.first[item + 1]], words.name[words.first[doc]:words.first[doc + 1]]
         lo, hi = max(0, -diagonal), min(len(a), len(b) - diagonal)
         same = a[lo:hi] == b[lo + diagonal:hi + diagonal]
         total = np.concatenate([[0], np.cumsum(np.where(same, 1, -_MISMATCH))])
         low = np.minimum.accumulate(total)
-        end = int(np.argmax(total - low))
-        start = int(np.flatnonzero(total[:end + 1] == low[end])[-1])
+        if any_stretch:
+            # a stretch can only gain by starting at a new low; it ends at the last total no lower
+            matches = np.concatenate([[0], np.cumsum(same)])
+            starts = np.flatnonzero(np.concatenate([[True], low[1:] < low[:-1]]))
+            high = np.maximum.accumulate(total[::-1])[::-1]
+            ends = np.searchsorted(-high, -total[starts], side="right") - 1
+            best = int(np.argmax(matches[ends] - matches[starts]))
+            inside = np.flatnonzero(same[starts[best]:ends[best]]) + starts[best]
+            start, end = (int(inside[0]), int(inside[-1]) + 1) if len(inside) else (0, 0)
+        else:
+            end = int(np.argmax(total - low))
+            start = int(np.flatnonzero(total[:end + 1] == low[end])[-1])
         return lo + start + diagonal, lo + start, end - start, int(same[start:end].sum())
 
 
-def _task(table, min_words: int):
+def _task(table, min_words: int, any_stretch: bool):
     def run(batches):
         seeds = table.value
         for batch, words in steps(batches):
             out = []
             ids = batch.column("doc_id")
             for doc, item, diagonal, _ in seeds.hits(words).tolist():
-                at, item_at, size, matched = seeds.overlap(words, doc, item, diagonal)
+                at, item_at, size, matched = seeds.overlap(words, doc, item, diagonal, any_stretch)
                 n = int(seeds.first[item + 1] - seeds.first[item])
                 if matched >= min(min_words, -(-n * 4 // 5)):
                     out.append((ids[doc].as_py(), seeds.ids[item], at, at + size, item_at, size, matched))
@@ -132,12 +144,13 @@ def _task(table, min_words: int):
 
 def benchmark_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        item_id: str = "item_id", item_text: str = "text", min_words: int = 13,
-                       block_words: int = 1_000_000) -> DataFrame:
+                       block_words: int = 1_000_000, any_stretch: bool = False) -> DataFrame:
     """Verified overlaps: (doc_id, item_id, doc_start, doc_end, item_start, n_overlap, n_matched).
 
     Positions count words.  An overlap is reported if at least ``min_words`` words match on
     one diagonal, or four fifths of a shorter item, at 80 % identity or more; one row per
-    (document, item, diagonal).  Items of fewer than 9 words must match whole, items of
+    (document, item, diagonal).  With ``any_stretch`` any stretch of the diagonal will do;
+    without, only the one with the highest score (a match 1, a mismatch -4) is looked at.  Items of fewer than 9 words must match whole, items of
     fewer than 5 never match.  Null or empty texts and items match nothing; null ids are
     carried; repeated rows are reported as often as they come; empty tables give no rows;
     further columns are ignored.
@@ -156,7 +169,7 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
         column = rows.column("text").combine_chunks()
         words = Words(*text_buffers(column if isinstance(column, pa.Array) else column.chunk(0)))
         table = spark.sparkContext.broadcast(SeedTable(words, rows.column("item_id").to_pylist()))
-        parts.append(texts.mapInArrow(_task(table, min_words), OVERLAPS))
+        parts.append(texts.mapInArrow(_task(table, min_words, any_stretch), OVERLAPS))
     return functools.reduce(DataFrame.unionByName, parts)
 
 

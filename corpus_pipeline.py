@@ -67,7 +67,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that overlap a benchmark item go."""
     rows, names = _numbered(docs)
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate(rows, bench, id_col=names["doc_id"], text_col=names["text"]).toDF(*names)
+    return decontaminate(rows, bench, id_col=names["doc_id"], text_col=names["text"],
+                         any_stretch=True).toDF(*names)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,6 +71,46 @@ def test_span_and_substitutions(spark):
     assert (row.doc_id, row.item_id, row.doc_start, row.doc_end, row.n_overlap, row.n_matched) == (7, 3, 4, 34, 30, 28)
 
 
+def most_matches(same):
+    """Most matches of a stretch at 80 % identity, over all stretches."""
+    return max((sum(same[i:j]) for i in range(len(same)) for j in range(i + 1, len(same) + 1)
+                if 5 * sum(same[i:j]) >= 4 * (j - i)), default=0)
+
+
+def table(*texts):
+    return D.Words(*D.text_buffers(D.pa.array(texts)))
+
+
+def test_overlap_against_all_stretches():
+    rng = random.Random(5)
+    for n in [*range(9, 17), 40, 100] * 15:
+        rate = rng.choice([0.05, 0.2, 0.3])
+        item = [f"t{i}" for i in range(n)]
+        part = [w if rng.random() > rate else "x" for w in item]
+        seeds = D.SeedTable(table(" ".join(item)), [0])
+        at, item_at, size, matched = seeds.overlap(table("a b " + " ".join(part)), 0, 0, 2)
+        same = [a == b for a, b in zip(item, part)]
+        assert matched == most_matches(same) and at == item_at + 2 and 5 * matched >= 4 * size
+        assert not matched or (same[item_at] and same[item_at + size - 1] and sum(same[item_at:item_at + size]) == matched)
+
+
+def test_substitutions_anywhere(spark):
+    rows, bench = [], []
+    for n in (9, 10, 12, 15, 16):
+        bench.append((n, " ".join(f"t{n}_{i}" for i in range(n))))
+        for j in range(n):
+            rows.append((100 * n + j, " ".join("x" if i == j else f"t{n}_{i}" for i in range(n))))
+    bench.append((100, " ".join(f"u{i}" for i in range(100))))
+    rows.append((1, " ".join("x" if i % 5 == 4 else f"u{i}" for i in range(100))))
+    docs, items = spark.createDataFrame(rows, DOCS), spark.createDataFrame(bench, ITEMS)
+    got = {r.doc_id for r in D.benchmark_overlaps(docs, items, any_stretch=True).collect()}
+    assert {r.doc_id for r in D.decontaminate(docs, items, any_stretch=True).collect()}.isdisjoint(got)
+    # reported wherever a seed hits: a mask can miss a substitution at either end of 9 words
+    for n, least in ((9, 7), (10, 10), (12, 12), (15, 15), (16, 16)):
+        assert sum(d // 100 == n for d in got) >= least, n
+    assert 1 in got
+
+
 def test_odd_rows(spark):
     long = " ".join(f"q{i}" for i in range(30_000))
     docs = spark.createDataFrame([(1, None), (2, ""), (None, long), (4, long), (4, long), (5, "clean text")], DOCS)
