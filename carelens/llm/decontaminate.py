@@ -6,6 +6,9 @@ Test items and documents are hashed with the same masks and joined on the seed h
 hit names an alignment (document, item, diagonal), which is verified by comparing words
 along the diagonal around the hit, mismatches allowed.
 
+Words are compared without case and without punctuation or symbols at their ends; inside a
+word any such sign counts as any other.  Positions are those of the words as written.
+
 The documents are the large side: they are scanned once for each block of test items and
 nothing of them is shuffled.  A block holds about ``block_words`` words of test items,
 whose seed table is broadcast; more items make more blocks (further scans), not a larger
@@ -18,6 +21,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .words import Words, mix, steps, text_buffers
@@ -29,6 +33,7 @@ SPAN = 9
 LEAST_WORDS = 5
 _MISMATCH = 4          # a mismatch needs this many matches beside it: at least 80 % identity
 _SLOTS = 1 << 22
+_DOT = ord(".")
 
 OVERLAPS = ("doc_id long, item_id long, doc_start int, doc_end int, item_start int, "
             "n_overlap int, n_matched int")
@@ -36,6 +41,24 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())]
                     + [(c, pa.int32()) for c in ("doc_start", "doc_end", "item_start", "n_overlap", "n_matched")])
 
 
+def folded(batches):
+    """The batches with lower-case texts and ``.`` for every run of punctuation or symbols.
+
+    No white space comes or goes, so every word keeps its position.
+    """
+    for batch in batches:
+        text = pc.replace_substring_regex(pc.utf8_lower(batch.column("text")), r"[\p{P}\p{S}]+", ".")
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", text)
+
+
+def bare(words: Words) -> Words:
+    """The words of folded texts without the ``.`` at their ends (a word of signs is empty)."""
+    if len(words.start):
+        words.start = words.start + (words.data[words.start] == _DOT)
+        words.end = words.end - ((words.end > words.start) & (words.data[words.end - 1] == _DOT))
+    return words
+
+
 def _seeds(name: np.ndarray, mask: str) -> np.ndarray:
     """The seed hash at every position with ``len(mask)`` words to its right."""
     n = len(name) - len(mask) + 1
@@ -128,7 +151,8 @@ class SeedTable:
 def _task(table, min_words: int, any_stretch: bool):
     def run(batches):
         seeds = table.value
-        for batch, words in steps(batches):
+        for batch, words in steps(folded(batches)):
+            words = bare(words)
             out = []
             ids = batch.column("doc_id")
             for doc, item, diagonal, _ in seeds.hits(words).tolist():
@@ -165,10 +189,9 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     parts = []
     for k in range(blocks):
-        rows = bench.filter(block == k).toArrow()
-        column = rows.column("text").combine_chunks()
-        words = Words(*text_buffers(column if isinstance(column, pa.Array) else column.chunk(0)))
-        table = spark.sparkContext.broadcast(SeedTable(words, rows.column("item_id").to_pylist()))
+        rows = next(folded(bench.filter(block == k).toArrow().combine_chunks().to_batches()), None)
+        words = bare(Words(*text_buffers(rows.column("text") if rows else pa.array([], pa.string()))))
+        table = spark.sparkContext.broadcast(SeedTable(words, rows.column("item_id").to_pylist() if rows else []))
         parts.append(texts.mapInArrow(_task(table, min_words, any_stretch), OVERLAPS))
     return functools.reduce(DataFrame.unionByName, parts)
 

@@ -111,6 +111,16 @@ def test_substitutions_anywhere(spark):
     assert 1 in got
 
 
+def test_case_and_punctuation(spark):
+    item = "Où est l'hôtel? It is \u201cover there\u201d, he said - near the old bridge (ÉGLISE)."
+    docs = [(1, "a b \u2014 " + item.upper() + " c"), (2, "x, y " + item.lower().replace(",", ";")),
+            (3, "OÙ EST L\u2019HÔTEL?! it is over there he said \u2013 NEAR the old bridge église"), (4, "He said no."), (5, "... !")]
+    rows = D.benchmark_overlaps(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, item)], ITEMS)).collect()
+    n = len(item.split())
+    assert sorted((r.doc_id, r.doc_start, r.doc_end, r.item_start, r.n_matched) for r in rows) == [
+        (1, 3, 3 + n, 0, n), (2, 2, 2 + n, 0, n), (3, 0, n, 0, n)]
+
+
 def test_odd_rows(spark):
     long = " ".join(f"q{i}" for i in range(30_000))
     docs = spark.createDataFrame([(1, None), (2, ""), (None, long), (4, long), (4, long), (5, "clean text")], DOCS)
