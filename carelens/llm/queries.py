@@ -13,6 +13,7 @@ from .order_minhash import near_duplicates
 from .packing import best_fit_pack, document_items
 from .quality_classifier import fit_evidence, quality_scores
 from .quality_rules import quality_rules
+from .spelling import spelling_variants, vocabulary
 from .substring_dedup import substring_dedup
 from .token_records import ids_crc32, read_tokens, write_tokens
 from .toxicity import learn, score
@@ -89,10 +90,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form and the root of every word of 7 letters or more that occurs twice."""
+    return spelling_variants(vocabulary(read(spark, sf_dir, "documents"), misspell=31))
+
+
 def registry() -> tuple[dict, dict]:
     queries = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_quality_classifier,
                                         op4_order_minhash, op5_toxicity, op6_token_records,
                                         op7_best_fit_packing, op8_decontaminate,
-                                        op9_line_templates, op10_url_filter)}
-    oracles = {"op1_substring_dedup": sql.OP1, "op2_quality_rules": sql.OP2}
+                                        op9_line_templates, op10_url_filter, op11_spelling_variants)}
+    oracles = {"op1_substring_dedup": sql.OP1, "op2_quality_rules": sql.OP2,
+               "op11_spelling_variants": sql.OP11}
     return queries, oracles

@@ -57,3 +57,36 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
        NOT base_failed AND n_kept_words >= 20 AND n_kept_words * 100 >= n_words * 10 AS kept
 FROM base
 """
+
+# crc32 by its table; words hold no code point above U+00FF, so UTF-8 is one byte or 195 and one
+OP11 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1
+              THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS tab FROM range(256) t(i)),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}')),
+                                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+hashed AS (SELECT w, xor(list_reduce(list_concat([4294967295], flatten(list_transform(
+                  string_split(coalesce(doc_id::VARCHAR, '') || ':' || w, ''),
+                  lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT]
+                                 ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END))),
+                  lambda h, b: xor(h // 256, tab[xor(h % 256, b) + 1])), 4294967295) AS h
+           FROM runs, crc),
+words AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2)
+                      ELSE w END AS word FROM hashed),
+v AS (SELECT word, count(*) AS n FROM words WHERE length(word) >= 7 GROUP BY 1 HAVING count(*) >= 2),
+holes AS (SELECT DISTINCT word, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b
+          FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+shorter AS (SELECT DISTINCT h.word AS longer, v.word FROM holes h JOIN v ON v.word = h.a || h.b),
+near AS (SELECT x.word, y.word AS other FROM holes x JOIN holes y ON x.i = y.i AND x.a = y.a AND x.b = y.b
+         WHERE x.word <> y.word
+         UNION ALL SELECT longer, word FROM shorter UNION ALL SELECT word, longer FROM shorter),
+best AS (SELECT near.word, count(*) AS n_near, arg_min(other, (-o.n, other)) AS form, max(o.n) AS form_n
+         FROM near JOIN v o ON o.word = other GROUP BY 1),
+formed AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * v.n THEN form END AS form,
+                  CASE WHEN form_n >= 10 * v.n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS here FROM formed
+         UNION ALL SELECT walk.word, f.form FROM walk JOIN formed f ON f.word = walk.here WHERE f.form IS NOT NULL),
+roots AS (SELECT walk.word, here AS root FROM walk JOIN formed f ON f.word = walk.here WHERE f.form IS NULL)
+SELECT word, n::BIGINT AS n, form, root, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n
+FROM formed JOIN roots USING (word)
+"""
