@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import scratch_path
 from . import sql
 from .decontaminate import benchmark_overlaps
+from .lexical_search import ranked_search
 from .line_templates import line_dedup
 from .order_minhash import near_duplicates
 from .packing import best_fit_pack, document_items
@@ -95,11 +96,16 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(vocabulary(read(spark, sf_dir, "documents"), misspell=31))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item, ranked by their terms."""
+    return ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
 def registry() -> tuple[dict, dict]:
     queries = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_quality_classifier,
                                         op4_order_minhash, op5_toxicity, op6_token_records,
                                         op7_best_fit_packing, op8_decontaminate,
-                                        op9_line_templates, op10_url_filter, op11_spelling_variants)}
+                                        op9_line_templates, op10_url_filter, op11_spelling_variants, op12_lexical_search)}
     oracles = {"op1_substring_dedup": sql.OP1, "op2_quality_rules": sql.OP2,
-               "op11_spelling_variants": sql.OP11}
+               "op11_spelling_variants": sql.OP11, "op12_lexical_search": sql.OP12}
     return queries, oracles

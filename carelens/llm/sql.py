@@ -90,3 +90,26 @@ roots AS (SELECT walk.word, here AS root FROM walk JOIN formed f ON f.word = wal
 SELECT word, n::BIGINT AS n, form, root, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n
 FROM formed JOIN roots USING (word)
 """
+
+OP12 = r"""
+WITH terms(tab, id, row, t) AS (
+  SELECT 'd', doc_id, row, unnest(regexp_extract_all(text, '[0-9A-Za-z\x{80}-\x{10FFFF}]+'))
+  FROM (SELECT *, row_number() OVER () AS row FROM documents)
+  UNION ALL
+  SELECT 'q', item_id, row, unnest(regexp_extract_all(text, '[0-9A-Za-z\x{80}-\x{10FFFF}]+'))
+  FROM (SELECT *, row_number() OVER () AS row FROM benchmark)),
+low AS (SELECT tab, id, row, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM terms),
+tf AS (SELECT tab, id, row, t, count(*) AS tf FROM low GROUP BY ALL),
+total AS (SELECT count(DISTINCT row) AS nd, count(*) AS len FROM low WHERE tab = 'd'),
+weight AS (SELECT t, floor(1000 * ln((2 * max(nd) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+           FROM tf, total WHERE tab = 'd' GROUP BY t),
+docs AS (SELECT row, max(id) AS doc_id, (25 + (75 * sum(tf) * max(nd)) // max(len))::BIGINT AS m
+         FROM tf, total WHERE tab = 'd' GROUP BY row),
+scored AS (SELECT q.id AS item_id, q.row AS item, d.row,
+                  sum(q.tf * w * ((1000000000 * d.tf) // (1000 * d.tf + 8 * m)))::BIGINT AS score, max(doc_id) AS doc_id
+           FROM tf q JOIN tf d ON q.tab = 'q' AND d.tab = 'd' AND q.t = d.t JOIN weight ON weight.t = q.t
+           JOIN docs ON docs.row = d.row GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank
+           FROM scored WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
