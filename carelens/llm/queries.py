@@ -14,6 +14,7 @@ from .order_minhash import near_duplicates
 from .packing import best_fit_pack, document_items
 from .quality_classifier import fit_evidence, quality_scores
 from .quality_rules import quality_rules
+from .secret_scan import BASE_RULES, joined, secret_spans
 from .spelling import spelling_variants, vocabulary
 from .substring_dedup import substring_dedup
 from .token_records import ids_crc32, read_tokens, write_tokens
@@ -101,11 +102,24 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every text: the base rules and the further ones."""
+    found = secret_spans(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["rule"] < len(BASE_RULES))
+
+    def number(rule: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["rule"] == rule)).cast("long")
+    return found.select("doc_id", *(number(r).alias(f"n_{rule[0]}") for r, rule in enumerate(BASE_RULES)),
+                        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def registry() -> tuple[dict, dict]:
     queries = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_quality_classifier,
                                         op4_order_minhash, op5_toxicity, op6_token_records,
                                         op7_best_fit_packing, op8_decontaminate,
-                                        op9_line_templates, op10_url_filter, op11_spelling_variants, op12_lexical_search)}
+                                        op9_line_templates, op10_url_filter, op11_spelling_variants, op12_lexical_search,
+                                        op13_secret_scan)}
     oracles = {"op1_substring_dedup": sql.OP1, "op2_quality_rules": sql.OP2,
-               "op11_spelling_variants": sql.OP11, "op12_lexical_search": sql.OP12}
+               "op11_spelling_variants": sql.OP11, "op12_lexical_search": sql.OP12,
+               "op13_secret_scan": sql.OP13}
     return queries, oracles

@@ -113,3 +113,51 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, d
            FROM scored WHERE score > 0)
 SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """
+
+
+def _letters(word: str) -> str:
+    """The word in either case, A-Z only."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+#: Kind, RE2 expression, group, least length of the group: the rules of operator 13 in SQL.
+SECRETS = (
+    ("assign", "(" + "|".join(map(_letters, ("password", "passwd", "secret", "token", "api_?key"))) + ")"
+     r"[\"\x27]?\x20*[:=]\x20*[\"\x27]?([A-Za-z0-9+/_.=-]+)", 2, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+    ("private_key", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", 0, 1),
+    ("github", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]+", 0, 15),
+    ("google", "AIza[A-Za-z0-9_-]+", 0, 39),
+    ("stripe", "[rs]k_(live|test)_[A-Za-z0-9]+", 0, 24),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 36),
+    ("bearer", _letters("authorization") + r"\x20*[:=]\x20*[\"\x27]?" + _letters("bearer")
+     + r"\x20+([A-Za-z0-9._~+/=-]+)", 1, 16),
+    ("url_login", r"://[A-Za-z0-9._%-]+:([^\x00-\x20@/:]+)@", 1, 4),
+)
+
+
+def _secret_sql(rule: int) -> str:
+    kind, pattern, group, least = SECRETS[rule]
+    return rf"""
+  SELECT row, {rule} AS rule, '{kind}' AS kind, list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+           + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS s, length(hits[i]) AS size
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+          SELECT row, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS hits,
+                 regexp_extract_all(t, '{pattern}', {group}) AS part FROM d))
+  WHERE length(part[i]) >= {least}"""
+
+
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(map(_secret_sql, range(len(SECRETS))))}),
+named AS (SELECT *, kind || ':' || s::BIGINT || ':' || (s + size)::BIGINT AS span FROM found),
+per AS (SELECT row, string_agg(span, ',' ORDER BY s, rule) AS spans,
+               string_agg(span, ',' ORDER BY s, rule) FILTER (rule < 3) AS base,
+               count(*) FILTER (rule = 0) AS n_assign, count(*) FILTER (rule = 1) AS n_access,
+               count(*) FILTER (rule = 2) AS n_hex FROM named GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+       coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per USING (row)
+"""
