@@ -166,34 +166,36 @@ def candidates(index: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- spans
-def _with_spans(rows: DataFrame, text: str, rule: tuple, wanted: Column, out: str) -> DataFrame:
-    """Adds ``out``: structs (start, end) of the rule's matches where ``wanted``.
+def _with_spans(rows: DataFrame, text: str, rules: tuple, wanted: list[Column]) -> DataFrame:
+    """Adds __r0, __r1, ...: structs (start, end) of each rule's matches where it is wanted.
 
     Matches are leftmost and do not overlap; the text between two matches is what splitting
-    leaves, so running lengths give the positions.
+    leaves, so running lengths give the positions.  Each step is one projection for all rules.
     """
-    _, pattern, group, least = rule
-    gaps, hits, sizes = f"__{out}_gaps", f"__{out}_hits", f"__{out}_sizes"
-    found = wanted & F.col(text).rlike(pattern)
-    none = F.array().cast("array<string>")
-    rows = rows.withColumns({
-        gaps: F.when(found, F.transform(F.split(text, pattern), F.length)).otherwise(F.array().cast("array<int>")),
-        hits: F.when(found, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)})
-    long_enough = F.col(hits) if not group else F.when(
-        found, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(none)
-    rows = rows.withColumn(f"__{out}_long", F.transform(long_enough, lambda x: F.length(x) >= least))
-    # gap and match lengths in turn: match i ends at the running sum of 2 i + 2 of them
-    rows = rows.withColumn(sizes, F.flatten(F.zip_with(
-        F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.array(g, F.length(h)))))
-    rows = rows.withColumn(sizes, prefix_sum(sizes))
-    spans = F.transform(F.sequence(F.lit(1), F.size(hits)), lambda i: F.struct(
-        F.element_at(sizes, (i * 2 - 1).cast("int")).alias("start"),
-        F.element_at(sizes, (i * 2).cast("int")).alias("end"),
-        F.element_at(f"__{out}_long", i.cast("int")).alias("long")))
-    kept = F.transform(F.filter(spans, lambda s: s["long"]), lambda s: F.struct(s["start"], s["end"]))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    return rows.withColumn(out, F.when(F.size(hits) > 0, kept).otherwise(empty)).drop(
-        gaps, hits, sizes, f"__{out}_long")
+    each = range(len(rules))
+    rows = rows.withColumns({f"__f{r}": wanted[r] & F.col(text).rlike(rules[r][1]) for r in each})
+    ints = F.array().cast("array<int>")
+    step = {}
+    for r, (_, pattern, group, _) in enumerate(rules):
+        found = F.col(f"__f{r}")
+        step[f"__gaps{r}"] = F.when(found, F.transform(F.split(text, pattern), F.length)).otherwise(ints)
+        for name, part in ((f"__hits{r}", 0), (f"__part{r}", group)):
+            step[name] = F.when(found, F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(part)), F.length)) \
+                .otherwise(ints)
+    rows = rows.withColumns(step)
+    # gap and match lengths in turn: match i ends at the running sum of 2 i of them
+    rows = rows.withColumns({f"__sums{r}": F.flatten(F.zip_with(
+        F.slice(f"__gaps{r}", 1, F.size(f"__hits{r}")), f"__hits{r}", lambda g, h: F.array(g, h))) for r in each})
+    rows = rows.withColumns({f"__sums{r}": F.when(F.size(f"__sums{r}") > 0, prefix_sum(f"__sums{r}"))
+                             .otherwise(ints) for r in each})
+
+    def spans(r: int) -> Column:
+        sums, part = F.col(f"__sums{r}"), F.col(f"__part{r}")
+        all_ = F.transform(part, lambda size, i: F.struct(
+            F.get(sums, i * 2).alias("start"), F.get(sums, i * 2 + 1).alias("end"), size.alias("size")))
+        return F.transform(F.filter(all_, lambda s: s["size"] >= rules[r][3]),
+                           lambda s: F.struct(s["start"], s["end"]))
+    return rows.withColumns({f"__r{r}": spans(r) for r in each})
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
@@ -218,9 +220,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         path = scratch_path(spark, "trigram-index")
         postings(texts, "key", "text", grams).write.parquet(path)
         rows = texts.join(candidates(spark.read.parquet(path), queries), "key", "left")
-    for r, rule in enumerate(rules):
-        wanted = F.coalesce(F.array_contains("rules", r), F.lit(False)) if asked[r] else F.lit(True)
-        rows = _with_spans(rows, "text", rule, wanted, f"__r{r}")
+    wanted = [F.coalesce(F.array_contains("rules", r), F.lit(False)) if q else F.lit(True) for r, q in asked.items()]
+    rows = _with_spans(rows, "text", rules, wanted)
 
     def named(r: int, kind: str) -> Column:
         return F.transform(f"__r{r}", lambda s: F.struct(
