@@ -471,5 +471,5 @@ def duplicate_keys(spark, sf):
 
 
 def registry() -> tuple[dict[str, QueryFn], dict[str, str]]:
-    from . import queries_match, queries_more  # noqa: F401  (they register further queries)
+    from . import queries_match, queries_more, queries_stream  # noqa: F401  (they register further queries)
     return QUERIES, ORACLE

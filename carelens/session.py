@@ -90,3 +90,42 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder; survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def list_files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, length, modification time) of the data files at or below ``path``, sorted.
+
+    Files and folders whose name begins with ``_`` or ``.`` are left out, as Spark's readers do.
+    """
+    fs, where = _file_system(spark, path)
+    if not fs.exists(where):
+        return []
+    found, todo = [], [fs.getFileStatus(where)]
+    while todo:
+        status = todo.pop()
+        if not status.isDirectory():
+            found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+            continue
+        todo += [s for s in fs.listStatus(status.getPath()) if s.getPath().getName()[0] not in "_."]
+    return sorted(found)
+
+
+def list_committed(spark: SparkSession, path: str, key: str) -> list[int]:
+    """The numbers n of the folders ``path/key=n`` that a finished write left, sorted."""
+    fs, where = _file_system(spark, path)
+    if not fs.exists(where):
+        return []
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(s.getPath().getName().partition("=")[2]) for s in fs.listStatus(where)
+                  if s.getPath().getName().startswith(f"{key}=") and fs.exists(Path(s.getPath(), "_SUCCESS")))
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote and no longer needs, if it is there."""
+    fs, where = _file_system(spark, path)
+    fs.delete(where, True)
