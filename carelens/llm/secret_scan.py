@@ -217,9 +217,11 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     grams = sorted({g for q in asked.values() for grams in q for g in grams})
     rows = texts.withColumn("rules", F.array().cast("array<int>"))
     if grams:
-        path = scratch_path(spark, "trigram-index")
-        postings(texts, "key", "text", grams).write.parquet(path)
-        rows = texts.join(candidates(spark.read.parquet(path), queries), "key", "left")
+        index, chosen = scratch_path(spark, "trigram-index"), scratch_path(spark, "candidates")
+        postings(texts, "key", "text", grams).write.parquet(index)
+        candidates(spark.read.parquet(index), queries).write.parquet(chosen)
+        # written, so that their size is known before the texts move
+        rows = texts.join(spark.read.parquet(chosen), "key", "left")
     wanted = [F.coalesce(F.array_contains("rules", r), F.lit(False)) if q else F.lit(True) for r, q in asked.items()]
     rows = _with_spans(rows, "text", rules, wanted)
 
