@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -11,7 +13,8 @@ from ..functions.text import clean_term
 from ..operators import classify, entities, infer, keywords, lexicon, normalize, report, semantic
 from ..operators import select as SEL
 from ..operators import users as USERS
-from ..session import scratch_path
+from ..operators.cube import MonthCube
+from ..session import ensure_checkpoint_dir, scratch_path
 from ..sources import readers, sinks, views
 from ..sources.tables import table
 from ..streaming import stream
@@ -367,28 +370,34 @@ def _enriched(spark, sf):
                                  views.concept_dictionary(spark, sf))
 
 
-#: Where the cube of an application and a folder of tables is stored.
-_CUBES: dict[tuple[str, str], str] = {}
-
+def _month_cube(spark, sf, path=None):
+    """The stored cube of a folder of tables; lineitem holds the mentions, by order month."""
+    def dated(rows):
+        orders = table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+        return rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("file", "month")
 
-def _cube(spark, sf):
-    """Mentions aggregated once to (term, country, month) counts, mapped to concepts and
-    categories on that aggregate (the mapping depends on the term only) and rolled up to
-    (symptom, category, country, month).
-
-    The reports below read it several times each, so it is written to the shared folder
-    once per application and folder of tables, which are taken as fixed meanwhile."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _CUBES:
-        terms = report.term_cube(views.mentions(spark, sf))
-        # distinct terms come from the same aggregate (its exchange is reused), not from a
-        # second evaluation of the mention joins
+    def build(rows):
+        # the mapping depends on the term only, so it is applied to (term, country, month) counts;
+        # distinct terms come from the same aggregate (its exchange is reused)
+        terms = report.term_cube(views.mentions(spark, sf, rows))
         mapped = semantic.map_mentions(terms, _best_bow(spark, sf, terms), views.concept_dictionary(spark, sf),
                                        count_col="n")
-        path = scratch_path(spark, "mention-cube")
-        report.mention_cube(mapped, "month", count_col="n", is_month=True).write.parquet(path)
-        _CUBES[key] = path
-    return spark.read.parquet(_CUBES[key])
+        return report.mention_cube(mapped, "month", count_col="n", is_month=True)
+
+    sf = sf.rstrip("/")
+    place = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/mention-cube-{hashlib.sha256(sf.encode()).hexdigest()[:16]}"
+    return MonthCube(spark, place, f"{sf}/lineitem.parquet",
+                     [f"{sf}/{t}.parquet" for t in ("part", "orders", "customer", "nation")], dated, build)
+
+
+def _cube(spark, sf):
+    """Mentions counted by (symptom, category, country, month), brought up to date with the tables.
+
+    The reports below read it several times each; months whose files are as they were are
+    read, the others are counted again (``operators.cube``)."""
+    cube = _month_cube(spark, sf)
+    cube.refresh()
+    return cube.read()
 
 
 def _shares(spark, sf, cube=None):

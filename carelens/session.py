@@ -115,14 +115,20 @@ def list_files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     return sorted(found)
 
 
-def list_committed(spark: SparkSession, path: str, key: str) -> list[int]:
-    """The numbers n of the folders ``path/key=n`` that a finished write left, sorted."""
+def list_parts(spark: SparkSession, path: str, key: str, committed: bool = False) -> list[str]:
+    """The values x of the folders ``path/key=x``, sorted; ``committed``: of finished writes only."""
     fs, where = _file_system(spark, path)
     if not fs.exists(where):
         return []
     Path = spark._jvm.org.apache.hadoop.fs.Path
-    return sorted(int(s.getPath().getName().partition("=")[2]) for s in fs.listStatus(where)
-                  if s.getPath().getName().startswith(f"{key}=") and fs.exists(Path(s.getPath(), "_SUCCESS")))
+    return sorted(s.getPath().getName().partition("=")[2] for s in fs.listStatus(where)
+                  if s.getPath().getName().startswith(f"{key}=")
+                  and (not committed or fs.exists(Path(s.getPath(), "_SUCCESS"))))
+
+
+def list_committed(spark: SparkSession, path: str, key: str) -> list[int]:
+    """The numbers n of the folders ``path/key=n`` that a finished write left, sorted."""
+    return sorted(map(int, list_parts(spark, path, key, committed=True)))
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

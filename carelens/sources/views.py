@@ -162,9 +162,11 @@ COMMENTS_SQL = f"""comments AS (
 
 
 # ---------------------------------------------------------------- mentions and concept dictionary
-def mentions(spark: SparkSession, sf: str) -> DataFrame:
-    """lineitem + part + orders + customer + nation -> one row per extracted term."""
-    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+def mentions(spark: SparkSession, sf: str, lineitem: DataFrame | None = None) -> DataFrame:
+    """lineitem (or some of its rows) + part + orders + customer + nation -> one row per
+    extracted term."""
+    l = table(spark, sf, "lineitem") if lineitem is None else lineitem
+    l = l.select("l_orderkey", "l_linenumber", "l_partkey")
     p = table(spark, sf, "part").select("p_partkey", "p_name")
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     k = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
