@@ -11,6 +11,7 @@ from ..operators import quality, report, semantic, threads
 from ..operators import select as SEL
 from ..operators import users as USERS
 from ..session import scratch_path
+from ..sources import json_arrays as json_arrays_reader
 from ..sources import readers, sinks, views
 from ..sources.tables import table
 from .queries import ORACLE, q, r6
@@ -29,6 +30,15 @@ def dictionary_file(spark, sf):
                                        F.count_distinct("abr_symptoms").alias("concepts"))
 
 
+@q("json_arrays", "SELECT id, author_id, lang, text FROM posts", ("posts",))
+def json_arrays(spark, sf):
+    """S9 + S1 in the original's form: posts written as JSON array files, read in byte ranges."""
+    path = scratch_path(spark, "posts-arrays")
+    sinks.write_json_arrays(views.posts(spark, sf).select("id", "author_id", "lang", "text"), path)
+    back = json_arrays_reader.read_array_posts(spark, path, schemas.POST, range_bytes=1 << 20)
+    return back.select("id", "author_id", "lang", "text")
+
+
 @q("posts_json", "SELECT id, author_id, lang, text, 'refused' AS second_write FROM posts", ("posts",))
 def posts_json(spark, sf):
     """S9 + S1: posts written as JSON and read back; a second write to the place is refused."""

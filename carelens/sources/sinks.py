@@ -3,7 +3,9 @@ format for intermediate and extraction tables."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_posts_json(df: DataFrame, path: str, exists_ok: bool = False) -> None:
@@ -16,6 +18,24 @@ def append_json_sorted(df: DataFrame, path: str) -> None:
     df.select(*sorted(df.columns)).write.mode("append").json(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, exists_ok: bool = False) -> None:
+    """S9 in the original's form: every file holds one JSON array, a record a line."""
+    lines = df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(_array_lines, "value string")
+    lines.write.mode("overwrite" if exists_ok else "errorifexists").text(path)
+
+
+def _array_lines(batches):
+    """The lines of one task's records as a JSON array."""
+    before = "["
+    for batch in batches:
+        lines = []
+        for record in batch.column("value").to_pylist():
+            lines.append(before + record)
+            before = ","
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+    yield pa.RecordBatch.from_arrays([pa.array(["[]" if before == "[" else "]"])], names=["value"])
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 header: bool = True) -> None:
     """Merged, concatenated, submission, comment and share tables."""
