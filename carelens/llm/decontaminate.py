@@ -24,6 +24,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import scratch_path
+from .slots import parted, slot_words
 from .words import Words, mix, steps, text_buffers
 
 #: Fixed masks: 6 compared and 3 ignored positions each.
@@ -168,13 +170,13 @@ def _task(table, min_words: int, any_stretch: bool):
 
 def benchmark_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        item_id: str = "item_id", item_text: str = "text", min_words: int = 13,
-                       block_words: int = 1_000_000, any_stretch: bool = False) -> DataFrame:
+                       block_words: int = 1_000_000, any_stretch: bool = True) -> DataFrame:
     """Verified overlaps: (doc_id, item_id, doc_start, doc_end, item_start, n_overlap, n_matched).
 
     Positions count words.  An overlap is reported if at least ``min_words`` words match on
     one diagonal, or four fifths of a shorter item, at 80 % identity or more; one row per
-    (document, item, diagonal).  With ``any_stretch`` any stretch of the diagonal will do;
-    without, only the one with the highest score (a match 1, a mismatch -4) is looked at.  Items of fewer than 9 words must match whole, items of
+    (document, item, diagonal).  Any stretch of the diagonal will do; without
+    ``any_stretch`` only the one with the highest score (a match 1, a mismatch -4) is looked at.  Items of fewer than 9 words must match whole, items of
     fewer than 5 never match.  Null or empty texts and items match nothing; null ids are
     carried; repeated rows are reported as often as they come; empty tables give no rows;
     further columns are ignored.
@@ -196,8 +198,19 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents without a reported overlap, all columns.  Rows without an id stay."""
-    leaks = benchmark_overlaps(docs, items, id_col=id_col, **options).select(
-        F.col("doc_id").alias("__leak")).filter("__leak IS NOT NULL").distinct()
-    return docs.join(leaks, docs[id_col].cast("long") == leaks["__leak"], "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  **options) -> DataFrame:
+    """The documents without a reported overlap, all columns.  Rows without an id stay; rows
+    that share an id are judged each by its own text.
+
+    Texts that are surely not among the reported ones are not moved.
+    """
+    id_, text = F.col(id_col).cast("long"), F.col(text_col)
+    key = F.when(id_.isNotNull() & text.isNotNull(), F.xxhash64(id_, text))
+    keyed = docs.select(key.alias("key"), text.alias("text"))
+    path = scratch_path(docs.sparkSession, "leaks")
+    (benchmark_overlaps(keyed, items, "key", **options).select(F.col("doc_id").alias("__leak"))
+     .filter("__leak IS NOT NULL").distinct().write.parquet(path))
+    leaks = docs.sparkSession.read.parquet(path)
+    clean, some = parted(docs, key, slot_words(leaks, F.col("__leak")))
+    return clean.unionByName(some.join(leaks.hint("merge"), key == leaks["__leak"], "left_anti"))

@@ -34,13 +34,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import scratch_path
 from .order_minhash import near_duplicates
-from .words import Rolling, mix, signed, steps
+from .slots import SLOTS, parted, slot_bits, slot_words
+from .words import Rolling, join_names, mix, signed, steps
 
 VARIABLE = "<*>"
 _VARIABLE_NAME = np.uint64(0x7C3A11E5D00D5EED)
 _LINES = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("leaf", pa.int64()),
                     ("line", pa.int64()), ("who", pa.int64())])
-_TOKENS = pa.schema([("leaf", pa.int64()), ("line", pa.int64()), ("tokens", pa.list_(pa.string()))])
 
 
 def _line_table(words, depth: int):
@@ -85,19 +85,22 @@ def _lines_task(depth: int):
     return run
 
 
-def _tokens_task(batches):
-    """Tokens of the listed lines: rows carry ``wanted`` = [(line_no, leaf, line)]."""
-    for batch in batches:
-        out = []
-        for text, wanted in zip(batch.column("text"), batch.column("wanted")):
-            lines = text.as_py().encode().split(b"\n")
-            for w in wanted.as_py():
-                tokens = [VARIABLE if any(48 <= c <= 57 for c in t) else t.decode()
-                          for t in lines[w["line_no"]].split()]
-                out.append((w["leaf"], w["line"], tokens))
-        if out:
+def _texts_task(depth: int, leaves):
+    """(leaf, line, text) of the different lines whose leaf may be one of ``leaves``."""
+    def run(batches):
+        inside = leaves.value
+        for _, words in steps(batches):
+            _, _, leaf, line, first, end = _line_table(words, depth)
+            hit = np.flatnonzero(inside[(leaf & np.uint64(SLOTS - 1)).astype(np.int64)]) if len(leaf) else []
+            if not len(hit):
+                continue
+            hit = hit[np.unique(join_names(leaf[hit], line[hit]), return_index=True)[1]]
+            lo, hi = words.start[first[hit]].tolist(), words.end[end[hit] - 1].tolist()
+            text = [words.data[a:b].tobytes() for a, b in zip(lo, hi)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(zip(*out), _TOKENS)], schema=_TOKENS)
+                [pa.array(signed(leaf[hit])), pa.array(signed(line[hit])), pa.array(text, pa.binary()).cast(pa.string())],
+                names=["leaf", "line", "text"])
+    return run
 
 
 def parse_leaf(lines: list[list[str]], similarity: float) -> list[list[str]]:
@@ -225,11 +228,14 @@ def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     .select("leaf"), "leaves")
     held = stored(lines.join(leaves, "leaf"), "leaf-lines")
 
-    one = held.groupBy("leaf", "line").agg(F.min(F.struct("doc_id", "who", "line_no")).alias("at"))
-    wanted = stored(one.groupBy("at.doc_id", "at.who").agg(F.collect_list(F.struct("at.line_no", "leaf", "line")).alias("wanted")),
-                    "wanted")
-    tokens = stored(texts.join(wanted, ["doc_id", "who"]).dropDuplicates(["doc_id", "who"]).select("text", "wanted")
-                    .mapInArrow(_tokens_task, "leaf long, line long, tokens array<string>"), "tokens")
+    # a second scan gives the lines' texts: leaves are looked up in a bitmap, then exactly
+    inside = spark.sparkContext.broadcast(slot_bits(slot_words(leaves, F.col("leaf"))))
+    words = F.filter(F.split("text", r"[ \x09-\x0D]+"), lambda t: t != "")
+    tokens = stored(
+        texts.mapInArrow(_texts_task(depth, inside), "leaf long, line long, text string")
+        .groupBy("leaf", "line").agg(F.any_value("text").alias("text")).join(leaves, "leaf", "left_semi")
+        .select("leaf", "line", F.transform(words, lambda t: F.when(t.rlike("[0-9]"), VARIABLE).otherwise(t))
+                .alias("tokens")), "tokens")
     wide = stored(tokens.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > leaf_lines)
                   .select("leaf"), "wide-leaves")
     template = tokens.join(wide, "leaf", "left_anti").groupBy("leaf").applyInPandas(
@@ -247,8 +253,9 @@ def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    .filter(F.col("n") >= min_docs).select("template", "first"), "often-held")
     held = stored(named.join(often.select("template"), "template"), "often-held-lines")
     holders = stored(held.groupBy("who").agg(F.min("doc_id").alias("doc_id")), "holders")
-    # one row of each text, named by its hash
-    unlike = stored(texts.join(holders, ["doc_id", "who"], "left_semi").select("who", "text"), "holder-texts")
+    # one row of each text, named by its hash; a few others may come along and change nothing
+    key = F.xxhash64("doc_id", "who")
+    unlike = parted(texts, key, slot_words(holders, key))[1].select("who", "text")
     classes = stored(near_duplicates(unlike, "who").distinct().withColumnRenamed("doc_id", "who"), "holder-classes")
     distinct = (held.select("template", "who").distinct().join(classes, "who")
                 .groupBy("template").agg(F.count_distinct("class_id").alias("n")).filter(F.col("n") >= min_docs))
@@ -265,14 +272,21 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     line.  Rows with one id and one text lose the same lines.  Input columns named n_dropped
     or kept_text are replaced.
     """
-    drop = (line_templates(docs, id_col, text_col, **options)
-            .filter("doc_id <> first_doc OR who <> first_who")
-            .groupBy(F.col("doc_id").alias("__id"), F.col("who").alias("__who"))
-            .agg(F.collect_set("line_no").alias("__drop")))
-    joined = docs.join(drop, (docs[id_col].cast("long") == drop["__id"])
-                       & (F.xxhash64(docs[text_col]) == drop["__who"]), "left")
-    text, gone = F.col(text_col), F.col("__drop")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
-    return joined.withColumns({
-        "n_dropped": F.coalesce(F.array_size(gone), F.lit(0)),
-        "kept_text": F.when(gone.isNull(), text).otherwise(kept)}).drop("__drop", "__id", "__who")
+    path = scratch_path(docs.sparkSession, "dropped-lines")
+    (line_templates(docs, id_col, text_col, **options).filter("doc_id <> first_doc OR who <> first_who")
+     .groupBy(F.col("doc_id").alias("__id"), F.col("who").alias("__who"))
+     .agg(F.collect_set("line_no").alias("__drop")).write.parquet(path))
+    drop = docs.sparkSession.read.parquet(path)
+    given = [c for c in docs.columns if c not in ("n_dropped", "kept_text")]
+    id_, text = F.col(id_col).cast("long"), F.col(text_col)
+    # texts that lose no line stay where they are
+    whole, some = parted(docs, F.when(id_.isNotNull() & text.isNotNull(), F.xxhash64(id_, F.xxhash64(text))),
+                         slot_words(drop, F.xxhash64("__id", "__who")))
+    whole = whole.select(*given, F.lit(0).alias("n_dropped"), text.alias("kept_text"))
+    some = some.join(drop.hint("merge"), (id_ == drop["__id"]) & (F.xxhash64(text) == drop["__who"]), "left")
+    some = some.withColumn("__lines", F.split(text, "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
+    kept = F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n")
+    some = some.select(*given, F.coalesce(F.array_size("__drop"), F.lit(0)).alias("n_dropped"),
+                       F.when(F.col("__drop").isNull(), text).otherwise(kept).alias("kept_text"))
+    return whole.unionByName(some)

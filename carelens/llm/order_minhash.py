@@ -35,11 +35,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import scratch_path
 from .components import components
+from .slots import parted, slot_words
 from .words import Rolling, join_names, mix, signed, steps
 
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("n", pa.int32()),
                      ("buckets", pa.list_(pa.int64()))])
-_SHINGLES = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
+_SHINGLES = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("shingles", pa.binary())])
 _VERDICT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similar", pa.bool_())])
 
 
@@ -106,7 +107,7 @@ def _shingle_task(k):
             names, first = _kmers(words, k)
             short = (names >> np.uint64(32)).astype("<u4")
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"),
+                [batch.column("doc_id"), batch.column("digest"),
                  pa.array([short[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())],
                 schema=_SHINGLES)
     return run
@@ -232,14 +233,37 @@ def _block_task(similarity: float):
     return run
 
 
+def _shingled(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, shingles) of the rows (doc_id, digest, node) that are wanted of (doc_id, digest, text).
+
+    Whole texts stay where they are: the rows that may be wanted are known by a bitmap, and
+    their shingles are joined.
+    """
+    key = F.xxhash64("doc_id", "digest")
+    maybe = parted(texts, key, slot_words(wanted, key))[1]
+    shingles = (maybe.mapInArrow(_shingle_task(k), "doc_id long, digest string, shingles binary")
+                .groupBy("doc_id", "digest").agg(F.any_value("shingles").alias("shingles")))
+    return shingles.join(wanted, ["doc_id", "digest"]).select("node", "shingles")
+
+
 def near_links(texts: DataFrame, buckets: DataFrame, k: int, similarity: float,
                block: int = 4096) -> DataFrame:
     """(a, b): links whose components are the near-duplicate classes.
 
-    ``buckets`` has (bucket, doc_id), ``texts`` (doc_id, text).  ``block`` is the number of
-    texts that one side of a block holds, about.
+    ``buckets`` has (bucket, doc_id), ``texts`` (doc_id, text), ids being unique.  ``block``
+    is the number of texts that one side of a block holds, about.
     """
-    spark = texts.sparkSession
+    keyed = texts.select("doc_id", F.md5("text").alias("digest"), "text")
+
+    def shingles(ids):
+        wanted = keyed.select("doc_id", "digest", F.col("doc_id").alias("node")).join(ids, "doc_id", "left_semi")
+        return _shingled(keyed, wanted, k).withColumnRenamed("node", "doc_id")
+    return _links(buckets, shingles, similarity, block)
+
+
+def _links(buckets: DataFrame, shingled, similarity: float, block: int) -> DataFrame:
+    """``near_links``; ``shingled`` gives (doc_id, shingles) of some (doc_id)."""
+    spark = buckets.sparkSession
 
     def stored(df, name):
         path = scratch_path(spark, name)
@@ -251,8 +275,7 @@ def near_links(texts: DataFrame, buckets: DataFrame, k: int, similarity: float,
     pairs = stored(buckets.join(centres, "bucket").filter("doc_id <> centre")
                    .select("doc_id", "centre").distinct(), "pairs")
     ids = stored(pairs.select("doc_id").unionByName(pairs.select(F.col("centre").alias("doc_id"))).distinct(), "ids")
-    shingles = stored(texts.join(ids, "doc_id", "left_semi")
-                      .mapInArrow(_shingle_task(k), "doc_id long, shingles binary"), "shingles")
+    shingles = stored(shingled(ids), "shingles")
     verdicts = stored(
         pairs.join(shingles.select("doc_id", F.col("shingles").alias("sa")), "doc_id")
         .join(shingles.select(F.col("doc_id").alias("centre"), F.col("shingles").alias("sb")), "centre")
@@ -278,36 +301,55 @@ def near_links(texts: DataFrame, buckets: DataFrame, k: int, similarity: float,
     return verdicts.filter("similar").select("a", "b").unionByName(rest)
 
 
+def text_classes(texts: DataFrame, k: int = 5, similarity: float = 0.8, sketches: int = 24, order: int = 4,
+                 block: int = 4096) -> DataFrame:
+    """(digest, first_id, class_id): a row for each different text of ``texts`` (doc_id, digest,
+    text); ``first_id`` is the least id that has the text, ``class_id`` that of its class."""
+    spark = texts.sparkSession
+    path = scratch_path(spark, "order-minhash")
+    (texts.mapInArrow(_sketch_task(k, sketches, order),
+                      "doc_id long, digest string, n int, buckets array<long>")
+     .groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("buckets").alias("buckets"))
+     # texts are named by a number of their own, as several may share an id
+     .withColumn("node", F.monotonically_increasing_id()).write.parquet(path))
+    one = spark.read.parquet(path)
+    buckets = one.select(F.col("node").alias("doc_id"), F.explode("buckets").alias("bucket"))
+
+    def shingles(ids):
+        wanted = one.select("doc_id", "digest", "node").join(ids.withColumnRenamed("doc_id", "node"), "node", "left_semi")
+        return _shingled(texts, wanted, k).withColumnRenamed("node", "doc_id")
+    links_path = scratch_path(spark, "near-links")
+    _links(buckets, shingles, similarity, block).write.parquet(links_path)
+    roots = one.select("digest", "doc_id", "node").join(components(spark.read.parquet(links_path)), "node", "left")
+    roots = roots.withColumn("root", F.coalesce("root", "node"))
+    least = roots.groupBy("root").agg(F.min("doc_id").alias("id"), F.min("digest").alias("least"))
+    # where classes share their least id, one is named by it and the others by a number of their own
+    owner = least.groupBy("id").agg(F.min("least").alias("owner"))
+    least = least.join(owner, "id").select("root", F.when(F.col("least") == F.col("owner"), F.col("id"))
+                                           .otherwise(-1 - F.col("root")).alias("class_id"))
+    classes_path = scratch_path(spark, "classes")
+    (roots.join(least, "root").select("digest", F.col("doc_id").alias("first_id"), "class_id")
+     .write.parquet(classes_path))
+    return spark.read.parquet(classes_path)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
                     similarity: float = 0.8, sketches: int = 24, order: int = 4) -> DataFrame:
     """(doc_id, class_id): one row per row of ``docs``; class_id is the least id of the class.
 
     Copies (equal whole texts, empty ones too) are of one class.  A text of fewer than ``k``
     words is linked to its copies only; a null text, or a row without an id, is alone in its
-    class (class_id = doc_id).  Rows repeated under one id with different texts keep one row
-    each, with the class of their text.  Further columns are ignored.
+    class (class_id = doc_id).  Rows repeated under one id with different texts have the
+    classes of their texts each; of classes that share their least id all but one are named
+    by negative numbers.  Further columns are ignored; an empty table gives no rows.  Texts
+    are read whole, about a megabyte (or one longer text) at a time.
 
     At similarity 0.8 a pair shares a bucket of one sketch with probability about 0.8 **
     order, so it escapes all 24 sketches of order 4 with probability 3e-6.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    usable = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    keyed = usable.withColumn("digest", F.md5("text"))
-    path = scratch_path(spark, "order-minhash")
-    (keyed.mapInArrow(_sketch_task(k, sketches, order),
-                      "doc_id long, digest string, n int, buckets array<long>")
-     .groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("buckets").alias("buckets"))
-     .write.parquet(path))
-    one = spark.read.parquet(path)                              # one row per different text
-    buckets = one.select("doc_id", F.explode("buckets").alias("bucket"))
-    links_path = scratch_path(spark, "near-links")
-    near_links(usable, buckets, k, similarity).write.parquet(links_path)
-    roots = components(spark.read.parquet(links_path)).withColumnRenamed("node", "doc_id")
-    classes_path = scratch_path(spark, "classes")
-    (one.join(roots, "doc_id", "left").select("digest", F.coalesce("root", "doc_id").alias("class_id"))
-     .write.parquet(classes_path))
-    named = (keyed.select("doc_id", "digest").join(spark.read.parquet(classes_path), "digest")
-             .select("doc_id", "class_id"))
+    keyed = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("digest", F.md5("text"))
+    classes = text_classes(keyed, k, similarity, sketches, order)
+    named = keyed.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id")
     rest = texts.filter("doc_id IS NULL OR text IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
     return named.unionByName(rest)

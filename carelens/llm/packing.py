@@ -124,6 +124,6 @@ def best_fit_pack(items: DataFrame, capacity: int, id_col: str = "doc_id", size_
 
 
 def document_items(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_tokens (words of the text) and cluster (equal texts share one)."""
-    words = F.filter(F.split(F.col(text_col), r"[ \x09-\x0D]+"), lambda w: w != "")
+    """``docs`` with n_tokens (words of the text, 0 for a null one) and cluster (equal texts share one)."""
+    words = F.filter(F.split(F.coalesce(text_col, F.lit("")), r"[ \x09-\x0D]+"), lambda w: w != "")
     return docs.withColumns({"n_tokens": F.size(words), "cluster": F.xxhash64(F.col(text_col))})

@@ -2,10 +2,10 @@
 
 DataFrame functions only.  A line is normalised (lower case, digits to 0, other signs to
 one space) and hashed; the number of distinct documents of a host that hold it decides
-whether it is boilerplate there.  Copies of one another are not distinct documents: a
-document is told by the least hash among its sentences, which exact copies share and near
-copies share unless that one sentence differs.  So a text with many copies does not turn into
-boilerplate, while a footer on unrelated pages does.
+whether it is boilerplate there, against the number of the host's distinct documents.
+Documents are told apart by their whole texts: equal copies are one document on both sides,
+so copies neither make boilerplate nor hide it.  Near copies are distinct (finding them is
+another operator's work).
 
 A boilerplate line is removed from every document of the host but the first that has it
 (by id; copies of that one keep it too).  A document is *depleted*, and rejected, when
@@ -36,13 +36,6 @@ def line_hashes(text: Column) -> Column:
         F.trim(x) != "", F.substring(F.md5(F.trim(x)), 1, 16)))
 
 
-def document_mark(text: Column) -> Column:
-    """The least 64-bit hex hash among the sentences of a text: what tells its copies apart
-    from other documents; null without a sentence."""
-    parts = F.filter(F.split(text, r"[.\n]+"), lambda x: F.rlike(x, F.lit(NO_BLANK)))
-    return F.substring(F.array_min(F.transform(parts, lambda x: F.md5(x))), 1, 16)
-
-
 def base_figures(docs: DataFrame, text: str, window: int = 8) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     if window & (window - 1):
@@ -92,11 +85,13 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     n_kept_words, kept and kept_text (the text without the removed lines, unchanged if none
     is).  A line is removed if more than ``line_docs`` distinct documents of its host hold
-    it and these are more than ``line_pct`` percent of the host's documents.
+    it and these are more than ``line_pct`` percent of the host's distinct documents; the first
+    of them keeps it.
 
     A null or empty text has no words and fails the base rules (kept_text stays null or
     empty).  Documents with a null host share one host.  Rows without an id lose no line.
-    Rows repeated under one id and text are judged alike.  Input columns named like a
+    Rows repeated under one id and text are judged alike.  An empty table gives no rows; long
+    texts cost time linear in their lines.  Input columns named like a
     result column are replaced by the result.
     """
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -105,19 +100,19 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             "__host": F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit(""))}
     keyed = docs.withColumns(keys)
     hashes = keyed.filter(F.col(text_col).isNotNull()).select(
-        "__id", "__text", "__host", F.col(text_col).alias("__t"), line_hashes(F.col(text_col)).alias("hs"),
-        document_mark(F.col(text_col)).alias("who"))
-    counted = (hashes.select("__id", "__text", "__host", "who", F.explode(F.array_distinct("hs")).alias("h"))
+        "__id", "__text", "__host", F.col(text_col).alias("__t"), line_hashes(F.col(text_col)).alias("hs"))
+    counted = (hashes.select("__id", "__text", "__host", F.explode(F.array_distinct("hs")).alias("h"))
                .filter("h IS NOT NULL"))
     placed = (hashes.select("__id", "__text", "__host", F.posexplode(F.arrays_zip("hs", F.transform(
                                 F.split("__t", "\n"), lambda x: F.size(word_array(x))).alias("w"))))
               .select("__id", "__text", "__host", "pos", F.col("col.hs").alias("h"), F.col("col.w").alias("w"))
               .filter("h IS NOT NULL"))
 
-    per_host = docs.select(keys["__host"].alias("__host")).groupBy("__host").agg(F.count(F.lit(1)).alias("docs"))
-    common = (counted.groupBy("__host", "h", "who").agg(F.min(F.struct("__id", "__text")).alias("one"))
+    per_host = (hashes.select("__host", "__text").distinct().groupBy("__host")
+                .agg(F.count(F.lit(1)).alias("docs")))
+    common = (counted.groupBy("__host", "h", "__text").agg(F.min("__id").alias("__id"))
               .groupBy("__host", "h").agg(F.count(F.lit(1)).alias("n"),
-                                          F.min("one")["__text"].alias("first"))
+                                          F.min(F.struct("__id", "__text"))["__text"].alias("first"))
               .filter(F.col("n") > line_docs)
               .join(per_host, "__host").filter(F.col("n") * 100 > F.col("docs") * line_pct)
               .select("__host", "h", "first"))
@@ -131,8 +126,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_pct))
     judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("n_kept_words") >= min_kept_words)
                                & (F.col("n_kept_words") * 100 >= F.col("n_words") * min_kept_pct))
-    clean = F.array_join(F.filter(
-        F.split(F.col(text_col), "\n"),
-        lambda x, i: ~F.array_contains(F.transform("__gone", lambda g: g["pos"]), i)), "\n")
+    rows = F.split(F.col(text_col), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(rows) - 1), F.transform("__gone", lambda g: g["pos"]))
+    judged = judged.withColumns({"__rows": F.when(F.col("__gone").isNotNull(), rows),
+                                 "__stay": F.when(F.col("__gone").isNotNull(), stay)})
+    clean = F.array_join(F.transform("__stay", lambda i: F.get("__rows", i)), "\n")
     judged = judged.withColumn("kept_text", F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(clean))
     return judged.select(*[c for c in docs.columns if c not in made], *made)

@@ -34,11 +34,9 @@ l1 AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(line), '[
               len(list_filter(regexp_split_to_array(line, '[ \x09-\x0D]+'), lambda x: x <> '')) AS w
        FROM l0),
 l2 AS (SELECT doc_id, source, md5(norm)[1:16] AS h, w FROM l1 WHERE norm <> ''),
-mark AS (SELECT doc_id, list_min(list_transform(list_filter(regexp_split_to_array(t, '[.\n]+'),
-             lambda x: regexp_matches(x, '[^ \x09-\x0D]')), lambda x: md5(x)))[1:16] AS who FROM d),
-l3 AS (SELECT l2.doc_id, l2.source, h, w, who, md5(t) AS whole FROM l2 JOIN mark USING (doc_id) JOIN d USING (doc_id)),
-c1 AS (SELECT source, h, who, min(doc_id) AS first_id, arg_min(whole, doc_id) AS whole FROM l3 GROUP BY 1, 2, 3),
-hosts AS (SELECT source, count(*) AS docs FROM documents GROUP BY 1),
+l3 AS (SELECT l2.doc_id, l2.source, h, w, md5(text) AS whole FROM l2 JOIN documents USING (doc_id)),
+c1 AS (SELECT source, h, whole, min(doc_id) AS first_id FROM l3 GROUP BY 1, 2, 3),
+hosts AS (SELECT source, count(DISTINCT md5(text)) AS docs FROM documents GROUP BY 1),
 c2 AS (SELECT source, h, count(*) AS n, arg_min(whole, first_id) AS first FROM c1 GROUP BY 1, 2),
 common AS (SELECT c2.source, h, first FROM c2 JOIN hosts ON c2.source IS NOT DISTINCT FROM hosts.source
            WHERE n > 20 AND n * 100 > docs * 2),

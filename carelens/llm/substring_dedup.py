@@ -38,7 +38,7 @@ from ..session import scratch_path
 from .words import Rolling, join_names, mix, signed, steps
 
 _FAR = np.int64(1) << np.int64(40)
-ROWS = "anchor long, content long, doc_id long, at int, n int, gone boolean"
+ROWS = "anchor long, content long, doc_id long, who long, at int, n int, gone boolean"
 #: Rows that a task holds to settle equal ones among them.
 SETTLED_ROWS = 1_000_000
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string"
@@ -168,14 +168,14 @@ def _rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 _ROW_SCHEMA = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()),
-                         ("at", pa.int32()), ("n", pa.int32()), ("gone", pa.bool_())])
+                         ("who", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("gone", pa.bool_())])
 _RESULT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
                             ("kept_text", pa.string())])
 
 
 def _settle(parts: list) -> pa.RecordBatch:
-    """Rows (anchor, content, doc_id, at, n) with ``gone``: a smaller document here has it."""
-    anchor, content, doc, at, n = (np.concatenate(c) for c in zip(*parts))
+    """Rows (anchor, content, doc_id, who, at, n) with ``gone``: a smaller document here has it."""
+    anchor, content, doc, who, at, n = (np.concatenate(c) for c in zip(*parts))
     order = np.lexsort((doc, content, anchor))
     fresh = np.ones(len(order), bool)
     fresh[1:] = (np.diff(anchor[order]) != 0) | (np.diff(content[order]) != 0)
@@ -183,7 +183,7 @@ def _settle(parts: list) -> pa.RecordBatch:
     least = np.repeat(doc[order][begin], np.diff(np.append(begin, len(order))))
     gone = np.empty(len(order), bool)
     gone[order] = doc[order] > least
-    return _rows(_ROW_SCHEMA, anchor, content, doc, at.astype(np.int32), n.astype(np.int32), gone)
+    return _rows(_ROW_SCHEMA, anchor, content, doc, who, at.astype(np.int32), n.astype(np.int32), gone)
 
 
 def _settled(parts):
@@ -209,7 +209,8 @@ def _anchor_task(width: int):
             at = starts[fresh]
             doc = np.searchsorted(words.first, at, side="right") - 1
             yield (signed(anchor[fresh]), signed(roll.of(at, at + n + (width - 1))),
-                   batch.column("doc_id").to_numpy()[doc], at - words.first[doc], n)
+                   batch.column("doc_id").to_numpy()[doc], batch.column("who").to_numpy()[doc],
+                   at - words.first[doc], n)
     return lambda batches: _settled(rows(batches))
 
 
@@ -224,6 +225,7 @@ def _window_task(width: int):
                 i = np.searchsorted(starts, at)
                 yield (signed(anchor[i]), signed(roll.of(at, at + width)),
                        np.full(len(at), batch.column("doc_id")[row].as_py(), np.int64),
+                       np.full(len(at), batch.column("who")[row].as_py(), np.int64),
                        at - base, np.full(len(at), width))
     return lambda batches: _settled(rows(batches))
 
@@ -248,7 +250,7 @@ def _cut_task(batches):
 
 
 def _per_document(spans: DataFrame) -> DataFrame:
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    return spans.groupBy("doc_id", "who").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id",
@@ -259,8 +261,10 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id",
     joined by one space.
     Windows are judged on the input.  A null or empty text has no words; a text shorter
     than ``width`` loses nothing; a row without an id takes no part and keeps all words;
-    rows that share an id count as one document (a position found in one is cut in each).
-    Repeats inside one document stay.  Further columns are ignored.
+    rows that share an id count as one document, whose windows do not remove one another, each
+    row being cut by its own text.  Repeats inside one document stay.  Further columns are
+    ignored; an empty table gives no rows.  Long texts are read whole, in time linear in
+    their length.
     """
     spark = docs.sparkSession
 
@@ -269,11 +273,12 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id",
         df.write.parquet(path)
         return spark.read.parquet(path)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) \
+        .withColumn("who", F.xxhash64("text"))
     stretches = stored(texts.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
                        .mapInArrow(_anchor_task(width), ROWS), "stretches")
     last = F.lit(width - 1)
-    cut_early = stretches.filter("gone").select("doc_id", "at", (F.col("n") + last).alias("n"))
+    cut_early = stretches.filter("gone").select("doc_id", "who", "at", (F.col("n") + last).alias("n"))
 
     open_ = stretches.filter("NOT gone").drop("gone")
     shared = stored(open_.groupBy("anchor").agg(
@@ -282,16 +287,16 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id",
     live = stored(open_.join(shared, "anchor"), "shared-stretches")
     first = live.groupBy("anchor", "content").agg(F.min("doc_id").alias("first_doc"))
     judged = live.join(first, ["anchor", "content"])
-    cut_whole = judged.filter("first_doc < doc_id").select("doc_id", "at", (F.col("n") + last).alias("n"))
-    single = judged.filter("first_doc = doc_id AND several").select("doc_id", "at", "n")
+    cut_whole = judged.filter("first_doc < doc_id").select("doc_id", "who", "at", (F.col("n") + last).alias("n"))
+    single = judged.filter("first_doc = doc_id AND several").select("doc_id", "who", "at", "n")
 
     # rows already settled need no partner: each gets a key of its own, found nowhere
-    windows = texts.join(_per_document(single), "doc_id", "left").mapInArrow(_window_task(width), ROWS)
+    windows = texts.join(_per_document(single), ["doc_id", "who"], "left").mapInArrow(_window_task(width), ROWS)
     earliest = (windows.filter("NOT gone").groupBy("anchor", "content")
                 .agg(F.min("doc_id").alias("first_doc")))
-    spread = windows.withColumn("anchor", F.when(F.col("gone"), F.xxhash64("doc_id", "at"))
+    spread = windows.withColumn("anchor", F.when(F.col("gone"), F.xxhash64("doc_id", "who", "at"))
                                 .otherwise(F.col("anchor")))
     cut_single = (spread.join(earliest, ["anchor", "content"], "left")
-                  .filter("gone OR first_doc < doc_id").select("doc_id", "at", "n"))
+                  .filter("gone OR first_doc < doc_id").select("doc_id", "who", "at", "n"))
     cuts = _per_document(cut_early.unionByName(cut_whole).unionByName(cut_single))
-    return texts.join(cuts, "doc_id", "left").mapInArrow(_cut_task, RESULT)
+    return texts.join(cuts, ["doc_id", "who"], "left").mapInArrow(_cut_task, RESULT)

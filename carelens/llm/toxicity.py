@@ -37,7 +37,8 @@ HOMOGLYPHS = {
 }
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 
-_FAR = re.compile("[^\\x00-\\u024f\\u1e00-\\u1eff\\u2010-\\u2026]")
+# anything that folding may change: the soft hyphen and the dotless i, and all beyond these blocks
+_FAR = re.compile("[^\\x00-\\u00ac\\u00ae-\\u0130\\u0132-\\u024f\\u1e00-\\u1eff\\u2010-\\u2026]")
 _GLYPHS = str.maketrans(HOMOGLYPHS)
 _JOINERS = re.compile("[\\u00ad\\u0300-\\u036f\\u200b-\\u200d\\u2060\\ufeff]")
 # a run of word signs that holds a letter and one of SIGNS, without marks at its end

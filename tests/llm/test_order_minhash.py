@@ -129,3 +129,19 @@ def test_components(spark):
         root[max(a, b)] = min(a, b)
     assert got == {x: find(x) for x in root if any(x in l and l[0] != l[1] for l in links)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_that_share_an_id_keep_the_classes_of_their_texts(spark):
+    rng = random.Random(9)
+
+    def text():
+        return ["".join(rng.choices("abcdefgh", k=6)) for _ in range(90)]
+    a, b = text(), text()
+    near_a, near_b = a[:40] + ["x"] + a[41:], b[:50] + ["y"] + b[51:]
+    rows = [(i, " ".join(t)) for i, t in ((5, a), (5, b), (7, near_a), (9, near_b), (7, near_a))]
+    df = spark.createDataFrame(rows + [(5, None)], "doc_id long, text string").selectExpr("*", "1 AS digest", "2 AS node")
+    got = sorted(((r.doc_id, r.class_id) for r in O.near_duplicates(df).collect()))
+    of_7, of_9 = {c for d, c in got if d == 7}, {c for d, c in got if d == 9}
+    assert len(of_7) == len(of_9) == 1 and of_7 != of_9
+    assert 5 in of_7 | of_9 and min(of_7 | of_9) < 0
+    assert sorted(c for d, c in got if d == 5) == sorted([5, *of_7, *of_9])

@@ -80,3 +80,21 @@ def test_no_python_in_the_plan(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert df.filter(F.col("kept")).count() > 0
+
+
+def test_pages_that_share_more_than_they_own(spark):
+    """100 different pages of one host with 2 own and 20 shared sentences: the shared lines go
+    from all but the first, and copies of a page change nothing."""
+    rng = random.Random(2)
+
+    def sentence():
+        return " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(8)) + "."
+    shared = [sentence() for _ in range(20)]
+    pages = ["\n".join([sentence(), *shared, sentence()]) for _ in range(100)]
+    rows = list(enumerate(pages)) + [(1000 + i, pages[7]) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'s' AS source", "1 AS first")
+    got = {r.doc_id: r for r in quality_rules(df).collect()}
+    assert got[0].kept and got[0].n_kept_words == got[0].n_words
+    assert all(not got[d].kept and got[d].n_kept_words == 16 for d in got if d)
+    few = spark.createDataFrame(rows[:15], "doc_id long, text string").selectExpr("*", "'s' AS source")
+    assert all(r.kept and r.kept_text == pages[r.doc_id] for r in quality_rules(few).collect())

@@ -112,3 +112,17 @@ def test_supports_are_ordered():
         level = level.runs().pairs(r)
         ok = ~level.wall & (level.hi - level.lo < 60)
         assert (np.diff(level.lo[ok]) >= 0).all() and (np.diff(level.hi[ok]) >= 0).all()
+
+
+def test_rows_that_share_an_id_are_cut_by_their_own_texts(spark):
+    rng = random.Random(21)
+
+    def text(n):
+        return " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    shared, other = text(80), text(70)
+    rows = [(1, shared), (1, "hello there"), (2, f"{shared} tail"), (2, other), (2, other), (3, f"head {other}"),
+            (3, None), (None, shared)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS who", "2 AS at", "3 AS spans")
+    got = sorted(((r.doc_id, r.kept_text) for r in S.substring_dedup(df).collect()), key=str)
+    want = [(1, shared), (1, "hello there"), (2, "tail"), (2, other), (2, other), (3, "head"), (3, ""), (None, shared)]
+    assert got == sorted(want, key=str)
