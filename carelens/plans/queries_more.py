@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import text as TXT
 from ..operators import privacy as OP
-from ..operators import quality, report, semantic, threads
+from ..operators import infer, quality, report, semantic, threads
 from ..operators import select as SEL
 from ..operators import users as USERS
 from ..session import scratch_path
 from ..sources import json_arrays as json_arrays_reader
-from ..sources import readers, sinks, views
+from ..sources import paging, readers, sinks, views
 from ..sources.tables import table
 from .queries import ORACLE, q, r6
 from .queries_match import _cube, _shares
@@ -208,3 +208,29 @@ def semantic_blocked(spark, sf):
 
 
 ORACLE["semantic_blocked"] = ORACLE["semantic_best"]
+
+
+@q("page_all", """
+SELECT id, created_utc, (row_number() OVER (ORDER BY created_utc DESC, id DESC) - 1) // 500 AS page,
+       CAST((row_number() OVER (ORDER BY created_utc DESC, id DESC) - 1) % 500 AS INTEGER) AS place
+FROM submissions""", ("submissions",))
+def page_all(spark, sf):
+    """Every submission with its page of the newest-first walk, all pages at once."""
+    return paging.all_pages(views.submissions(spark, sf).select("id", "created_utc"))
+
+
+@q("model_batches", "SELECT id, length(username) AS prediction FROM users", ("users",))
+def model_batches(spark, sf):
+    """M9 + J2: batches of exactly 256 users, answers checked in number and order (stand-in predictor)."""
+    return infer.score_fixed_batches(views.users(spark, sf).select("id", "username"),
+                                     lambda: infer.CharCountPredictor("username", "prediction"),
+                                     "id string, prediction long", key="id")
+
+
+@q("row_snapshots", "SELECT id, lang, length(text) AS chars FROM posts", ("posts",))
+def row_snapshots(spark, sf):
+    """S14 + ST2: posts processed in snapshots of 500 rows in id order, read back as one."""
+    posts = views.posts(spark, sf).select("id", "lang", "text")
+    job = sinks.RowSnapshots(spark, scratch_path(spark, "snapshots"), rows=500)
+    return job.run(posts, [F.col("id")], lambda part: part.select(
+        "id", "lang", F.length("text").cast("long").alias("chars")))

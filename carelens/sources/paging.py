@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
 from ..operators.select import validate_cap
 
 SORT_COLUMNS = ("score", "num_comments", "created_utc")
@@ -46,3 +47,18 @@ def page_keyset(df: DataFrame, last_created: int | None, last_id: str | None, pa
         c, i = F.col("created_utc"), F.col(id_col)
         out = out.filter((c < last_created) | ((c == last_created) & (i < last_id)))
     return out.orderBy(F.col("created_utc").desc(), F.col(id_col).desc()).limit(page_size)
+
+
+def all_pages(df: DataFrame, page_size: int = 500, id_col: str = "id") -> DataFrame:
+    """S4 as one result: every row with its ``page`` (from 0) and ``place`` on it, newest first.
+
+    The pages are those of the keyset walk over (created_utc, id), computed at once: one
+    global sort and a count per partition, no walk and no window over all rows.  Rows without
+    a time come last.
+    """
+    if page_size < 1:
+        raise ValueError("page_size is 1 or more")
+    order = [F.col("created_utc").desc_nulls_last(), F.col(id_col).desc_nulls_last()]
+    rows = numbered(df, order, "__n")
+    return rows.withColumns({"page": F.floor(F.col("__n") / page_size).cast("long"),
+                             "place": (F.col("__n") % page_size).cast("int")}).drop("__n")

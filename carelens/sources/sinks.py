@@ -3,10 +3,15 @@ format for intermediate and extraction tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
+from ..session import list_committed
+
 
 def write_posts_json(df: DataFrame, path: str, exists_ok: bool = False) -> None:
     """All collected posts; refuses an existing output unless ``exists_ok``."""
@@ -57,3 +62,50 @@ def stage_output(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
+
+
+class RowSnapshots:
+    """A job over many rows that leaves a snapshot after every ``rows`` of them, and goes
+    on after the last one when it is started again.
+
+    The input is numbered once over a stable order and stored with its numbers under
+    ``path``; chunk i holds rows i * rows to (i + 1) * rows.  Each chunk's result is a folder
+    of its own, committed when it is whole; a chunk without a commit is made again and replaces
+    what is there, so a job that dies between or within chunks repeats and loses nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, rows: int = 10_000):
+        if rows < 1:
+            raise ValueError("rows is 1 or more")
+        self.spark, self.path, self.rows = spark, path.rstrip("/"), rows
+
+    def done(self) -> list[int]:
+        """The chunks that are committed."""
+        return list_committed(self.spark, f"{self.path}/chunks", "chunk")
+
+    def run(self, df: DataFrame, order: list[Column], process: Callable[[DataFrame], DataFrame],
+            after: Callable[[int], None] | None = None) -> DataFrame:
+        """The results of ``process`` on all chunks of ``df``; ``after(i)`` is called behind chunk i.
+
+        A restarted job takes the input that the first start stored, not ``df``.  ``order``
+        should be unique, so that a start that died while storing numbers alike.
+        """
+        spark, place = self.spark, f"{self.path}/input"
+        if not list_committed(spark, place, "version"):
+            numbered(df, order, "__n").write.mode("overwrite").parquet(f"{place}/version=0")
+        rows = spark.read.parquet(f"{place}/version=0")
+        given = [F.col(f"`{c}`") for c in rows.columns if c != "__n"]
+        total = rows.agg(F.max("__n")).collect()[0][0]
+        chunks = 0 if total is None else total // self.rows + 1
+        done = set(self.done())
+        for i in range(chunks):
+            if i not in done:
+                part = rows.filter(F.col("__n").between(i * self.rows, (i + 1) * self.rows - 1)).select(*given)
+                process(part).write.mode("overwrite").parquet(f"{self.path}/chunks/chunk={i}")
+                if after:
+                    after(i)
+        schema = process(rows.select(*given).limit(0)).schema
+        if not chunks:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).option("basePath", f"{self.path}/chunks").parquet(f"{self.path}/chunks") \
+            .select(*[f"`{f.name}`" for f in schema])
