@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import text as TXT
 from ..operators import privacy as OP
-from ..operators import infer, quality, report, semantic, threads
+from ..operators import ann, infer, quality, report, semantic, threads
 from ..operators import select as SEL
 from ..operators import users as USERS
 from ..session import scratch_path
@@ -234,3 +234,26 @@ def row_snapshots(spark, sf):
     job = sinks.RowSnapshots(spark, scratch_path(spark, "snapshots"), rows=500)
     return job.run(posts, [F.col("id")], lambda part: part.select(
         "id", "lang", F.length("text").cast("long").alias("chars")))
+
+
+def _vector_index(spark, sf):
+    """An index over all embedding rows as entries, and the same rows as terms."""
+    terms = views.query_vectors(spark, sf)
+    return ann.ConceptIndex(terms.withColumnRenamed("term", "concept")), terms
+
+
+@q("semantic_ivf")
+def semantic_ivf(spark, sf):
+    """M7 approximate: the nearest other embedding row of every row, through the inverted-file index."""
+    index, terms = _vector_index(spark, sf)
+    near = index.search(terms, k=2, probes=index.probes_for(terms, k=2)).filter("term <> concept")
+    best = near.groupBy("term").agg(F.min(F.struct("rank", "concept", "score")).alias("b"))
+    return best.select("term", "b.concept", r6(F.col("b.score")).alias("score"))
+
+
+@q("semantic_ivf_recall", "SELECT least(count(*), 1000) AS terms, TRUE AS recall_ok FROM embeddings")
+def semantic_ivf_recall(spark, sf):
+    """M7 approximate: whether the index finds 95 % of the exact two nearest entries (the row itself
+    and the nearest other one), measured on 1000 other terms than those that set the probes."""
+    index, terms = _vector_index(spark, sf)
+    return index.recall(terms, k=2, probes=index.probes_for(terms, k=2), salt=1).select("terms", (F.col("recall") >= 0.95).alias("recall_ok"))
