@@ -10,6 +10,7 @@ from ..operators import privacy as OP
 from ..operators import ann, infer, quality, report, semantic, threads
 from ..operators import select as SEL
 from ..operators import users as USERS
+from ..operators.keyword_table import keyword_table_search
 from ..session import scratch_path
 from ..sources import json_arrays as json_arrays_reader
 from ..sources import paging, readers, sinks, views
@@ -257,3 +258,23 @@ def semantic_ivf_recall(spark, sf):
     and the nearest other one), measured on 1000 other terms than those that set the probes."""
     index, terms = _vector_index(spark, sf)
     return index.recall(terms, k=2, probes=index.probes_for(terms, k=2), salt=1).select("terms", (F.col("recall") >= 0.95).alias("recall_ok"))
+
+
+@q("keyword_table", f"""
+WITH kw AS (SELECT DISTINCT lower(p_name) AS k FROM part UNION SELECT DISTINCT lower(c_name) FROM customer
+            UNION SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) FROM benchmark),
+tok AS (SELECT id, t, unnest(range(1, length(t) + 1)) AS i FROM (SELECT id, lower(text) AS t FROM posts) x),
+word AS (SELECT id, i - 1 AS s, regexp_extract(substring(t, i, 60), '^[a-z0-9_]+') AS w FROM tok
+         WHERE regexp_matches(substring(t, i, 1), '[a-z0-9_]')
+           AND (i = 1 OR NOT regexp_matches(substring(t, i - 1, 1), '[a-z0-9_]')))
+SELECT w AS keyword, count(*) AS hits, count(DISTINCT id) AS posts FROM word JOIN kw ON kw.k = w GROUP BY w""", ("posts",))
+def keyword_table(spark, sf):
+    """M1 with a keyword table (part names, customer names, words of the benchmark): hits per keyword."""
+    posts = views.posts(spark, sf).select("id", "text")
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))
+    table_ = (table(spark, sf, "part").select(F.lower("p_name").alias("keyword"))
+              .union(table(spark, sf, "customer").select(F.lower("c_name")))
+              .union(table(spark, sf, "benchmark").select(words.alias("keyword"))))
+    found = keyword_table_search(posts, "text", table_).select("id", F.explode("keywords_text").alias("k"))
+    return found.groupBy(F.col("k.keyword").alias("keyword")).agg(
+        F.count(F.lit(1)).alias("hits"), F.count_distinct("id").alias("posts"))
