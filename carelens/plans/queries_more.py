@@ -80,7 +80,7 @@ def accumulate_batches(spark, sf):
     whole = threads.accumulate([
         p.filter(F.col("lang") == "en").select("id", "lang", "text"),
         p.filter(F.col("lang") == "de").select("text", "lang", "id"),
-        p.filter(~F.col("lang").isin("en", "de")).select("lang", "id", "text")])
+        p.filter(~F.coalesce(F.col("lang").isin("en", "de"), F.lit(False))).select("lang", "id", "text")])
     return whole.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"),
                                      F.max("id").alias("last_id"))
 

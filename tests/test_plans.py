@@ -44,6 +44,6 @@ def test_python_only_where_intended(plans):
     python = {k for k, p in plans.items()
               if "MapInPandas" in p or "FlatMapGroupsInPandas" in p or "FlatMapCoGroupsInPandas" in p
               or "ArrowEvalPython" in p}
-    allowed = {"model_score", "user_demographics", "semantic_best", "semantic_top3", "semantic_blocked",
-               "lexicon_matches", "lexicon_concepts", "flagship_concepts"}
+    allowed = {"model_score", "model_batches", "user_demographics", "semantic_best", "semantic_top3", "semantic_blocked",
+               "semantic_ivf", "semantic_ivf_recall", "lexicon_matches", "lexicon_concepts", "flagship_concepts"}
     assert python <= allowed, python - allowed
