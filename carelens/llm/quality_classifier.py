@@ -138,7 +138,9 @@ def quality_scores(docs: DataFrame, model: Evidence, id_col: str = "doc_id", tex
 
     ``path_col`` is the section of the host (in these documents the language, which is also
     the first part of the pages' paths).  Null hosts and paths are sites of their own.  A
-    null text counts as empty.  ``kept`` is score >= threshold.
+    null text counts as empty.  ``kept`` is score >= threshold.  Null and repeated ids and
+    repeated rows are scored as they come; an empty table gives no rows; further columns are
+    ignored; texts are read whole, about a megabyte (or one longer text) at a time.
     """
     spark = docs.sparkSession
 

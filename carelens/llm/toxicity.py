@@ -104,7 +104,15 @@ def hits(automaton, folded: str) -> list[tuple[int, float]]:
         for weight, open_ in kinds:
             if (open_ or whole) and weight > best.get(start, -math.inf):
                 best[start] = weight
-    return [(s, w) for s, w in best.items() if not any(a <= s <= b for a, b in spared)]
+    out, reach, at = [], -1, 0
+    spared.sort()
+    for start in sorted(best):                           # one pass over both, by position
+        while at < len(spared) and spared[at][0] <= start:
+            reach = max(reach, spared[at][1])
+            at += 1
+        if start > reach:
+            out.append((start, best[start]))
+    return out
 
 
 def evidence(automaton, text: str) -> tuple[float, float]:
@@ -269,6 +277,11 @@ def _score_task(model: Model):
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, matched): one row per row of ``docs``; a null text scores as an empty one."""
+    """(doc_id, score, matched): one row per row of ``docs``; a null text scores as an empty one.
+
+    Null and repeated ids and repeated rows are scored as they come; an empty table gives no
+    rows; further columns are ignored.  Texts are folded and matched whole, in time linear in
+    their length and their hits.
+    """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         _score_task(model), "doc_id long, score double, matched boolean")

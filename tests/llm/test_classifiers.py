@@ -34,6 +34,7 @@ def test_folding():
     assert T.fold("in 2010, 37 items!") == "in 2010, 37 items!"
     assert T.fold("idiot! s!ly m@ss") == "idiot! sily mass"
     assert T.fold("Ñandú größe") == "ñandú größe"
+    assert T.fold("ıdıot") == T.fold("idi\u00adot") == "idiot"    # within Latin text
 
 
 def test_hits_and_exceptions():
@@ -104,3 +105,75 @@ def test_quality_odd_rows(spark, labelled):
     assert Q.quality_scores(odd.limit(0), model).count() == 0
     flat = Q.fit_evidence(docs, labels.limit(0))
     assert all(r.evidence == 0.5 for r in Q.quality_scores(odd, flat).collect())
+
+
+def plain_toxicity(model, text):
+    """The score of a text, pattern by pattern at every position."""
+    import math
+    folded = T.fold(text or "")
+    begins = [i for i, c in enumerate(folded) if not (i and folded[i - 1].isalpha())]
+
+    def whole(at, size):
+        return at + size == len(folded) or not folded[at + size].isalpha()
+    spared = {i for i in range(len(folded)) for a in begins for x in model.exceptions
+              if folded.startswith(x, a) and whole(a, len(x)) and a <= i < a + len(x)}
+    total = 0
+    for a in begins:
+        fits = [w for t, w in model.terms.items() if folded.startswith(t.rstrip("*"), a)
+                and (t.endswith("*") or whole(a, len(t)))]
+        if fits and a not in spared:
+            total += max(fits)
+    x = (math.log1p(total), math.log1p(100 * total / max(1, len(folded.split())))) if total > 0 else (0, 0)
+    z = model.curve[0] + model.curve[1] * x[0] + model.curve[2] * x[1]
+    return 1 / (1 + math.exp(-z))
+
+
+def test_toxicity_against_every_pattern_at_every_position(spark, labelled):
+    rng = random.Random(8)
+    docs, labels = labelled
+    model = T.learn(docs, labels)
+    model.exceptions += ["zarg mild", "vrex"]
+    bits = ["zarg", "mild", "vrex", "vrexba", "zar", "xzarg", " ", " ", "Z4RG", "\u0437arg", ".", "ba", "kalo", "\n"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(150)] + [None, "", "zarg " * 40]
+    got = T.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert abs(r.score - plain_toxicity(model, texts[r.doc_id])) < 1e-9, texts[r.doc_id]
+    assert 20 < sum(r.matched for r in got) < 150
+
+
+def plain_quality(rows):
+    """Scores of (host, path, evidence) rows: method-of-moments strengths, two levels of shrinking."""
+    import math
+    def strength(groups):
+        n = sum(g[0] for g in groups)
+        mean = sum(g[0] * g[2] for g in groups) / n
+        spread = sum(g[0] * (g[1] - g[2]) ** 2 for g in groups) / n
+        chance = sum(g[2] * (1 - g[2]) for g in groups) / n
+        return min(max(mean * (1 - mean) / max(spread - chance, 1e-9) - 1, 1), 1e6)
+
+    def sums(key):
+        out = {}
+        for r in rows:
+            n, s = out.get(key(r), (0, 0))
+            out[key(r)] = n + 1, s + r[2]
+        return out
+    clip = lambda p: min(max(p, Q._LEAST), 1 - Q._LEAST)
+    overall = clip(sum(r[2] for r in rows) / len(rows))
+    hosts, paths = sums(lambda r: r[0]), sums(lambda r: r[:2])
+    k = strength([(n, s / n, overall) for n, s in hosts.values()])
+    rate = {h: (s + k * overall) / (n + k) for h, (n, s) in hosts.items()}
+    k = strength([(n, s / n, rate[h]) for (h, _), (n, s) in paths.items()])
+    prior = {p: clip((s + k * rate[p[0]]) / (n + k)) for p, (n, s) in paths.items()}
+    logit = lambda p: math.log(p / (1 - p))
+    return [1 / (1 + math.exp(-(logit(r[2]) - logit(overall) + logit(prior[r[:2]])))) for r in rows]
+
+
+def test_quality_against_a_plain_computation(spark, labelled):
+    docs, labels = labelled
+    odd = spark.createDataFrame([(9000, "lonely words here", None, "en"), (9001, None, "h1", None)], docs.schema)
+    docs = docs.unionByName(odd)
+    out = Q.quality_scores(docs, Q.fit_evidence(docs, labels)).collect()
+    want = plain_quality([(r.host, r.path, r.evidence) for r in out])
+    assert len(out) == 602 and all(abs(r.score - w) < 1e-5 for r, w in zip(out, want))
+    assert all(r.kept == (r.score >= 0.5) for r in out)

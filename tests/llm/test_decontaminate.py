@@ -130,3 +130,12 @@ def test_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in D.decontaminate(docs, bench).collect()) == ["1", "2", "5", "None"]
     assert D.benchmark_overlaps(docs, bench.limit(0)).count() == 0
     assert D.benchmark_overlaps(docs.limit(0), bench).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_texts(spark):
+    item = " ".join(f"item{i}" for i in range(20))
+    rows = [(1, f"before {item} after", "x"), (1, "quite another text", "y"), (None, item, "z"), (2, None, "n"), (3, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(r.key for r in D.decontaminate(docs, items).collect()) == ["e", "n", "y", "z"]
+    assert D.decontaminate(docs, items.limit(0)).count() == 5 and D.decontaminate(docs.limit(0), items).count() == 0

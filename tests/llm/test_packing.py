@@ -83,3 +83,17 @@ def test_items_of_documents(spark):
     got = {r.doc_id: r for r in document_items(docs).collect()}
     assert got[1].n_tokens == 3 and got[1].cluster == got[4].cluster and got[2].n_tokens == 0
     assert best_fit_pack(document_items(docs), 10).count() == 4
+
+
+def test_a_null_text_has_no_words_in_either_mode(spark):
+    docs = spark.createDataFrame([(1, None, "a"), (2, "one two", "a"), (3, "", "b")], "doc_id long, text string, source string")
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for ansi in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", ansi)
+            items = document_items(docs)
+            assert {r.doc_id: r.n_tokens for r in items.collect()} == {1: 0, 2: 2, 3: 0}
+            got = {r.doc_id: (r.piece, r.bin, r.n_tokens) for r in best_fit_pack(items, 10).collect()}
+            assert got[1] == got[3] == (0, None, 0) and got[2][2] == 2
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)
