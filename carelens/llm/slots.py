@@ -43,9 +43,12 @@ def parted(rows: DataFrame, key: Column, words: DataFrame) -> tuple[DataFrame, D
     A row with a null key is not in it.
     """
     names = [F.col(f"`{c}`") for c in rows.columns]
-    slot = _slot(key)
-    marked = rows.withColumn("__slot", slot).join(
-        F.broadcast(words.select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))),
-        F.shiftright("__slot", 6) == F.col("__word"), "left")
-    inside = F.coalesce(F.expr("shiftright(__bits, cast(__slot & 63 AS int)) & 1") == 1, F.lit(False))
+    mine = "__"
+    while any(c.lower().startswith(mine) for c in rows.columns):
+        mine += "_"                                       # names that no column of the rows has
+    slot, word = F.col(mine + "slot"), F.col(mine + "word")
+    marked = rows.withColumn(mine + "slot", _slot(key)).join(
+        F.broadcast(words.select(F.col("word").alias(mine + "word"), F.col("bits").alias(mine + "bits"))),
+        F.shiftright(slot, 6) == word, "left")
+    inside = F.coalesce(F.expr(f"shiftright({mine}bits, cast({mine}slot & 63 AS int)) & 1") == 1, F.lit(False))
     return marked.filter(~inside).select(*names), marked.filter(inside).select(*names)
