@@ -1,4 +1,4 @@
-"""Queries of the streams with bounded state: de-duplication by a store, entries with late users."""
+"""Queries of stores: streams with bounded state, entries with late users, bucketed threads."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from ..sources.tables import table
 from ..streaming import stream
 from ..streaming.entries import posts_with_users, read_entries
 from ..streaming.seen import unique_to_parquet
-from .queries import q
+from ..operators.thread_store import ThreadStore
+from .queries import ORACLE, _clean_comments, _clean_subs, q
 
 
 def _landed(spark, df, name, files=8, per_trigger=2):
@@ -66,3 +67,19 @@ def stream_entries(spark, sf):
     out = stream.run_to_parquet(posts_with_users(entries, "2 hours", "12 hours"), "entries")
     return out.select("id", "author_id", "lang", F.col("user.username").alias("username"),
                       F.col("user.location").alias("location"))
+
+
+def _thread_store(spark, sf):
+    return ThreadStore(spark, buckets=8, hot_comments=1000).write(_clean_subs(spark, sf), _clean_comments(spark, sf))
+
+
+@q("thread_store_merge", ORACLE["merge_thread"])
+def thread_store_merge(spark, sf):
+    """J3 from tables bucketed by submission: the merge reads matching buckets."""
+    return _thread_store(spark, sf).merged().select("sub_id", "comm_id", "comm_sub_id")
+
+
+@q("thread_store_counts", ORACLE["quality_counts"])
+def thread_store_counts(spark, sf):
+    """Q3 from the stored threads."""
+    return _thread_store(spark, sf).counts().select("merged_rows", "submissions", "comments", "subs_with_comments")
