@@ -6,6 +6,10 @@ Test items and documents are hashed with the same masks and joined on the seed h
 hit names an alignment (document, item, diagonal), which is verified by comparing words
 along the diagonal around the hit, mismatches allowed.
 
+A mask can miss a short item with several substitutions, so items of up to ``SHORT`` words
+have further seeds: with at most m words unmatched, one of m + 1 parts side by side is whole.
+Each part is a seed at its fixed place in the item, so no allowed placement is missed.
+
 Words are compared without case and without punctuation or symbols at their ends; inside a
 word any such sign counts as any other.  Positions are those of the words as written.
 
@@ -31,7 +35,9 @@ from .words import Words, mix, steps, text_buffers
 #: Fixed masks: 6 compared and 3 ignored positions each.
 MASKS = ("110100111", "111001011", "101110101", "110011011")
 SPAN = 9
-#: Shorter items are compared whole; items of fewer words than this are never matched.
+#: Items of up to this many words are seeded by parts too.
+SHORT = 16
+#: Items shorter than SPAN are compared whole; items of fewer words than this are never matched.
 LEAST_WORDS = 5
 _MISMATCH = 4          # a mismatch needs this many matches beside it: at least 80 % identity
 _SLOTS = 1 << 22
@@ -93,6 +99,18 @@ class SeedTable:
             item = np.flatnonzero(count == n)
             h = _seeds(self.name, mask)
             found.append((h[self.first[item]], item, np.zeros(len(item), np.int64)))
+        parts: dict[int, list] = {}
+        for n in np.unique(count[(count >= SPAN) & (count <= SHORT)]).tolist():
+            item, parted = np.flatnonzero(count == n), n - -(-n * 4 // 5) + 1
+            for i in range(parted):
+                start, end = i * n // parted, (i + 1) * n // parted
+                parts.setdefault(end - start, []).append((item, np.full(len(item), start)))
+        for size, places in sorted(parts.items()):
+            mask = "1" * size
+            if mask not in self.masks:
+                self.masks.append(mask)
+            item, at = (np.concatenate(x) for x in zip(*places))
+            found.append((_seeds(self.name, mask)[self.first[item] + at], item, at))
         h, self.item, self.at = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(h, kind="stable")
         self.hash, self.item, self.at = h[order], self.item[order], self.at[order]
@@ -176,10 +194,14 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     Positions count words.  An overlap is reported if at least ``min_words`` words match on
     one diagonal, or four fifths of a shorter item, at 80 % identity or more; one row per
     (document, item, diagonal).  Any stretch of the diagonal will do; without
-    ``any_stretch`` only the one with the highest score (a match 1, a mismatch -4) is looked at.  Items of fewer than 9 words must match whole, items of
-    fewer than 5 never match.  Null or empty texts and items match nothing; null ids are
-    carried; repeated rows are reported as often as they come; empty tables give no rows;
-    further columns are ignored.
+    ``any_stretch`` only the one with the highest score (a match 1, a mismatch -4) is
+    looked at.  Of items of up to 16 words every such overlap is found; one of a longer item
+    is missed if no seed survives its substitutions.  Items of fewer than 9 words must match
+    whole, items of fewer than 5 never match.
+
+    Null or empty texts and items match nothing; null ids are carried; repeated rows are
+    reported as often as they come; empty tables give no rows; further columns are ignored.
+    Texts are read whole, about a megabyte (or one longer text) at a time.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

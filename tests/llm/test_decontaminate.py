@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from carelens.llm import decontaminate as D
@@ -139,3 +140,23 @@ def test_rows_that_share_an_id_are_judged_by_their_own_texts(spark):
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert sorted(r.key for r in D.decontaminate(docs, items).collect()) == ["e", "n", "y", "z"]
     assert D.decontaminate(docs, items.limit(0)).count() == 5 and D.decontaminate(docs.limit(0), items).count() == 0
+
+
+def test_no_placement_of_substitutions_in_a_short_item_is_missed(spark):
+    """Items of 9 to 16 words: every way to leave a fifth of the words unmatched, also at the ends."""
+    items = [(n, " ".join(f"item{n}word{i}" for i in range(n))) for n in range(9, 17)]
+    rows, n_docs = [], 0
+    for n, item in items:
+        for gone in itertools.combinations(range(n), n - -(-n * 4 // 5)):
+            words = [f"other{n_docs}" if i in gone else w for i, w in enumerate(item.split())]
+            rows.append((n_docs, f"before {' '.join(words)} behind {n_docs}", n))
+            n_docs += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    got = D.benchmark_overlaps(docs, spark.createDataFrame(items, ITEMS))
+    found = {(r.doc_id, r.item_id) for r in got.collect()}
+    assert found == {(d, n) for d, _, n in rows} and n_docs > 1300
+    least = {n: -(-n * 4 // 5) for n, _ in items}
+    assert all(r.n_matched == min(13, least[r.item_id]) for r in got.collect())
+    # one more unmatched word is too many
+    worse = [(d, t.replace(next(w for w in t.split() if w.startswith("item")), "x"), n) for d, t, n in rows]
+    assert D.benchmark_overlaps(spark.createDataFrame(worse, docs.schema), spark.createDataFrame(items, ITEMS)).count() == 0
