@@ -233,8 +233,7 @@ def row_snapshots(spark, sf):
     """S14 + ST2: posts processed in snapshots of 500 rows in id order, read back as one."""
     posts = views.posts(spark, sf).select("id", "lang", "text")
     job = sinks.RowSnapshots(spark, scratch_path(spark, "snapshots"), rows=500)
-    return job.run(posts, [F.col("id")], lambda part: part.select(
-        "id", "lang", F.length("text").cast("long").alias("chars")))
+    return job.run(posts, [F.col("id")], [F.col("id"), F.col("lang"), F.length("text").cast("long").alias("chars")])
 
 
 def _vector_index(spark, sf):

@@ -135,3 +135,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library wrote and no longer needs, if it is there."""
     fs, where = _file_system(spark, path)
     fs.delete(where, True)
+
+
+def commit_folder(spark: SparkSession, begun: str, path: str) -> None:
+    """Move a folder that a finished write left to ``path`` and mark it committed there; what
+    ``path`` held goes.  Without a folder ``begun`` (no row was written) ``path`` is empty."""
+    fs, to = _file_system(spark, path)
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    if fs.exists(to):
+        fs.delete(to, True)
+    if fs.exists(Path(begun)):
+        fs.mkdirs(to.getParent())
+        if not fs.rename(Path(begun), to):
+            raise OSError(f"{begun} was not moved to {path}")
+    else:
+        fs.mkdirs(to)
+    fs.create(Path(to, "_SUCCESS")).close()

@@ -118,3 +118,28 @@ def test_a_job_killed_between_snapshots_goes_on(spark, tmp_path):
     assert sorted(map(tuple, job()[1]().collect())) == sorted(map(tuple, out.collect()))
     empty = RowSnapshots(spark, f"{tmp_path}/none", rows=5).run(df.limit(0), [F.col("k")], lambda p: p.select("id"))
     assert empty.count() == 0 and empty.columns == ["id"]
+
+
+def test_many_snapshots_are_few_jobs(spark, tmp_path):
+    df = spark.range(1500).select(F.col("id"), (F.col("id") * 7 % 1500).alias("k"))
+    tracker = spark.sparkContext.statusTracker()
+    jobs = {}
+    for name, process in (("columns", [F.col("id"), (F.col("k") * 2).alias("double")]),
+                          ("callable", lambda p: p.select("id", (F.col("k") * 2).alias("double")))):
+        spark.sparkContext.setJobGroup(f"snapshots-{name}", "")
+        snapshots = RowSnapshots(spark, f"{tmp_path}/{name}", rows=10, at_once=75)
+        out = sorted(map(tuple, snapshots.run(df, [F.col("k")], process).collect()))
+        jobs[name] = len(tracker.getJobIdsForGroup(f"snapshots-{name}"))
+        assert out == [(i, i * 7 % 1500 * 2) for i in range(1500)]
+        assert snapshots.done() == list(range(150))
+        part = spark.read.parquet(f"{tmp_path}/{name}/chunks/chunk=7")
+        assert sorted(r.double for r in part.collect()) == [2 * k for k in range(70, 80)]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs["columns"] < 40 and jobs["callable"] < 40
+
+
+def test_snapshots_without_rows(spark, tmp_path):
+    df = spark.range(30).select("id", F.lit("x").alias("x"))
+    snapshots = RowSnapshots(spark, f"{tmp_path}/job", rows=10, at_once=2)
+    out = snapshots.run(df, [F.col("id")], lambda p: p.filter("id >= 20"))
+    assert sorted(map(tuple, out.collect())) == [(i, "x") for i in range(20, 30)] and snapshots.done() == [0, 1, 2]
