@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .semantic import OUT_SCHEMA, best_concepts_dense
+from .semantic import OUT_SCHEMA
 
 #: Centroids that are broadcast, at most.
 MAX_LISTS = 4096
@@ -63,7 +63,15 @@ class ConceptIndex:
         entries = dictionary.select(F.col(concept).alias("concept"), F.col(vector).alias("v")).filter("v IS NOT NULL")
         self.entries = entries
         n = entries.count()
-        sample = entries.orderBy(F.xxhash64("concept"), "concept").limit(sample_rows).select("v").collect()
+        # ordered and cut by tasks: a collect would send every partition's first rows to the driver
+        least = entries.orderBy(F.xxhash64("concept"), "concept").limit(sample_rows)
+        if n > 2 * sample_rows:                              # far fewer rows meet in the last task
+            few = entries.filter(F.xxhash64("concept") < int(-2 ** 63 + 2 ** 64 * (2 * sample_rows / n)))
+            if few.count() >= sample_rows:
+                least = few.orderBy(F.xxhash64("concept"), "concept").limit(sample_rows)
+        path = scratch_path(spark, "centroid-sample")
+        least.select("v").write.parquet(path)
+        sample = spark.read.parquet(path).collect()
         wanted = min(lists or max(1, round(n ** 0.5)), MAX_LISTS)
         self.centroids = (train_centroids(_unit([r["v"] for r in sample]), wanted, seed=seed) if sample
                           else np.zeros((0, 0)))
@@ -142,8 +150,10 @@ class ConceptIndex:
         """The least power of two of probes, 4 or more, whose measured ``recall`` is ``target`` or more (all
         lists, if none is): vectors without clusters need more than clustered ones."""
         probes = 4
+        exact = None
         while probes < len(self.centroids):
-            found = self.recall(terms, k, probes, **options).collect()[0]["recall"]
+            exact = exact or self._exact(terms, k, **options)
+            found = self._found(*exact, k, probes).collect()[0]["recall"]
             if found is None or found >= target:
                 break
             probes *= 2
@@ -157,13 +167,44 @@ class ConceptIndex:
         against the whole dictionary; an entry that scores as high as the exact k-th counts as
         found.
         """
+        return self._found(*self._exact(terms, k, sample_rows, term, vector, salt), k, probes)
+
+    def _exact(self, terms: DataFrame, k: int = 1, sample_rows: int = 1000, term: str = "term", vector: str = "vector",
+               salt: int = 0) -> tuple[DataFrame, DataFrame]:
+        """The sampled terms, and (term, least, n): their exact k-th score and number of entries.
+
+        The sample is broadcast and the dictionary stays where it is: each task keeps the best
+        ``k`` scores of its entries per sampled row.
+        """
         t = terms.select(F.col(term).alias("term"), F.col(vector).alias("vector")).filter("vector IS NOT NULL")
         t = t.orderBy(F.xxhash64("term", F.lit(salt)), "term").limit(sample_rows)
         path = scratch_path(self.spark, "recall-terms")
         t.write.parquet(path)
         t = self.spark.read.parquet(path)
-        exact = best_concepts_dense(t, self.entries, k=k, cvec="v")
-        least = exact.groupBy("term").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+        rows = t.collect()                                   # sample_rows at most
+        names = np.array([r["term"] for r in rows], dtype=object)
+        shared = self.spark.sparkContext.broadcast(_unit([r["vector"] for r in rows]) if rows else np.zeros((0, 0)))
+
+        def run(batches):
+            asked = shared.value
+            best = np.zeros((len(asked), 0))
+            for b in batches:
+                for i in range(0, len(b) if len(asked) else 0, 2000):
+                    best = np.concatenate([best, asked @ _unit(b["v"].iloc[i:i + 2000]).T], axis=1)
+                    best = -np.partition(-best, k - 1, axis=1)[:, :k] if best.shape[1] > k else best
+            yield pd.DataFrame({"i": np.repeat(np.arange(len(best)), best.shape[1]), "score": best.ravel()})
+        found = self.entries.select("v").mapInPandas(run, "i long, score double")
+        order = Window.partitionBy("i").orderBy(F.col("score").desc())
+        found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        named = self.spark.createDataFrame([*enumerate(names.tolist())], "i long, term string")
+        least = found.join(F.broadcast(named), "i").groupBy("term").agg(
+            F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+        path = scratch_path(self.spark, "exact-scores")
+        least.write.parquet(path)
+        return t, self.spark.read.parquet(path)
+
+    def _found(self, t: DataFrame, least: DataFrame, k: int, probes: int) -> DataFrame:
+        """(terms, recall) of the search for ``t``, measured by their exact scores."""
         hit = (self.search(t, k, probes).join(least, "term").filter(F.col("score") >= F.col("least") - 1e-9)
                .groupBy("term").agg(F.count(F.lit(1)).alias("hits")))
         return least.join(hit, "term", "left").agg(

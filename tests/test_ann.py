@@ -61,3 +61,19 @@ def test_odd_vectors_and_empty_tables(spark):
     assert ConceptIndex(d).search(t.limit(0)).count() == 0
     assert len(train_centroids(np.array([[1.0, 0.0]] * 4), 3)) == 1
     assert ConceptIndex(d).recall(t.filter(F.lit(False))).collect()[0]["terms"] == 0
+
+
+def test_the_driver_receives_the_samples_only(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+    received, collect = [], DataFrame.collect
+
+    def counted(df):
+        out = collect(df)
+        received.append((len(out), "TakeOrdered" in df._jdf.queryExecution().executedPlan().toString()))
+        return out
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    d = frame(spark, "concept", vectors(8, 1500)).repartition(6)
+    index = ConceptIndex(d, lists=20, sample_rows=100)
+    probes = index.probes_for(d.withColumnRenamed("concept", "term"), k=2, sample_rows=50)
+    assert 4 <= probes <= 20
+    assert received and max(n for n, _ in received) <= 100 and not any(ordered for _, ordered in received)
