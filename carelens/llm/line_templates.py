@@ -109,24 +109,26 @@ def parse_leaf(lines: list[list[str]], similarity: float) -> list[list[str]]:
     Each line joins the most similar template, the oldest on ties, or founds one.
     """
     codes: dict[str, int] = {VARIABLE: 0}
-    rows = np.array([[codes.setdefault(t, len(codes)) for t in line] for line in lines])
+    rows = np.array([[codes.setdefault(t, len(codes)) for t in line] for line in lines], np.int32)
     width = rows.shape[1]
-    found = np.empty((len(rows), width), rows.dtype)
+    found = np.empty((width, len(rows)), np.int32)         # a column for each template: sums run along rows
+    number = np.uint8 if width < 256 else np.int32
     home = np.empty(len(rows), np.int64)
     count = 0
     for i, row in enumerate(rows):
         if count:
-            same = (found[:count] == row).sum(axis=1)
+            same = (found[:, :count] == row[:, None]).sum(axis=0, dtype=number)
             best = int(np.argmax(same))
             if same[best] >= similarity * width:
-                found[best][found[best] != row] = 0
+                found[found[:, best] != row, best] = 0
                 home[i] = best
                 continue
-        found[count] = row
+        found[:, count] = row
         home[i] = count
         count += 1
     token = list(codes)
-    return [[token[c] for c in found[h]] for h in home]
+    named = [[token[c] for c in t] for t in found[:, :count].T.tolist()]
+    return [named[h] for h in home.tolist()]
 
 
 def _parse_task(similarity: float):

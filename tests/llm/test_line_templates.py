@@ -115,3 +115,10 @@ def test_odd_rows(spark):
     assert by[None].kept_text == "Terms apply" and by[None].n_dropped == 0
     assert sum(r.doc_id == 5 and r.n_dropped == 2 for r in out) == 2
     assert L.line_dedup(df.limit(0)).count() == 0
+
+
+def test_lines_of_300_words_join_by_all_positions():
+    one = ["w"] * 300
+    far, near = ["w"] * 200 + ["v"] * 100, ["w"] * 250 + ["u"] * 50
+    got = L.parse_leaf([one, far, near], 0.7)
+    assert got[0] == got[2] == ["w"] * 250 + [L.VARIABLE] * 50 and got[1] == far
