@@ -5,6 +5,9 @@ digits and ``_`` are word characters), the longest keyword at a start, no overla
 right.  That operator turns a short list into one regular expression; here the list is a
 DataFrame of any length, and each task matches with an Aho-Corasick automaton.
 
+A long table is first reduced, by a bitmap, to the keywords whose words all occur in the
+texts; so what a task holds follows the keywords that can match, not the table.
+
 The table is dealt by hash into blocks of at most about ``block_rows`` keywords and
 ``block_bytes`` bytes, sized by an aggregate beforehand; a block is what a task holds.  One
 block is the usual case: one scan, spans settled in the task, nothing shuffled.  More blocks
@@ -22,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..llm.slots import parted, slot_words
 from ..session import scratch_path
 
 SPANS = "array<struct<keyword:string,start:int,end:int>>"
 _SPAN = pa.list_(pa.struct([("keyword", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 _WORD = re.compile("[A-Za-z0-9_]")
+#: Longer keyword tables are first reduced to the keywords whose words occur in the texts.
+LIVE_ROWS = 10_000
 
 
 def automaton(rows: list[tuple[str, str]]) -> ahocorasick.Automaton | None:
@@ -89,6 +95,27 @@ def _settle_task(batches):
         yield batch.set_column(batch.schema.get_field_index("spans"), "spans", pa.array(out, _SPAN))
 
 
+def _live(words: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of ``words`` whose runs of word characters may all be runs of ``texts`` (low).
+
+    A match begins and ends at the edge of a run, so each run of a keyword is a whole run of
+    its text; others cannot match.  The runs of the texts meet in a bitmap, which may let
+    a few more keywords through.  A keyword without a run stays.
+    """
+    def runs(df):
+        return F.array_distinct(F.regexp_extract_all(df["low"], F.lit("[A-Za-z0-9_]+"), F.lit(0)))
+    held = slot_words(texts.select(F.explode_outer(runs(texts)).alias("run")).filter("run IS NOT NULL"),
+                      F.xxhash64("run"))
+    each = words.withColumn("runs", runs(words)).withColumn("n", F.size("runs"))
+    bare = each.filter("n = 0").select("given", "low")
+    each = each.select("given", "low", "n", F.explode_outer("runs").alias("run")).filter("run IS NOT NULL")
+    inside = parted(each, F.xxhash64("run"), held)[1]
+    whole = inside.groupBy("given", "low", "n").agg(F.count(F.lit(1)).alias("m")).filter("m = n").select("given", "low")
+    path = scratch_path(words.sparkSession, "live-keywords")
+    whole.unionByName(bare).write.parquet(path)
+    return words.sparkSession.read.parquet(path)
+
+
 def keyword_table_search(df: DataFrame, col_name: str, keywords: DataFrame, keyword_col: str = "keyword",
                          block_rows: int = 200_000, block_bytes: int = 16 << 20) -> DataFrame:
     """Adds ``keywords_<col_name>`` = array<struct<keyword, start, end>> (end exclusive).
@@ -100,7 +127,11 @@ def keyword_table_search(df: DataFrame, col_name: str, keywords: DataFrame, keyw
     spark = df.sparkSession
     words = (keywords.select(F.col(keyword_col).alias("given"), F.lower(keyword_col).alias("low"))
              .filter("given IS NOT NULL AND low <> ''").distinct())
-    n, size = words.agg(F.count(F.lit(1)), F.sum(F.octet_length("low") + F.octet_length("given"))).collect()[0]
+    measure = F.count(F.lit(1)), F.sum(F.octet_length("low") + F.octet_length("given"))
+    n, size = words.agg(*measure).collect()[0]
+    if n > LIVE_ROWS:
+        words = _live(words, df.select(F.lower(F.col(f"`{col_name}`")).alias("low")))
+        n, size = words.agg(*measure).collect()[0]
     blocks = max(1, -(-n // block_rows), -(-(size or 0) // block_bytes))
     block = F.pmod(F.xxhash64("low"), F.lit(blocks))
 

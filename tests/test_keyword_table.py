@@ -65,3 +65,18 @@ def test_linear_in_the_matches_of_a_text():
     found = leftmost(longest_per_start(machine, "of the " * 50_000))
     assert len(found) == 50_000 and found[-1] == {"keyword": "of the", "start": 349_993, "end": 349_999}
     assert automaton([]) is None
+
+
+def test_a_long_table_is_reduced_to_what_can_match(spark, monkeypatch):
+    from carelens.operators import keyword_table as K
+    rng = random.Random(9)
+    table = spark.createDataFrame([(w,) for w in [*WORDS, *(f"Customer#{i:09}" for i in range(3000))]], "keyword string")
+    df = spark.createDataFrame([*enumerate(texts(rng, 200)), (200, "the customer#000000007 of"), (201, None)],
+                               "id long, text string")
+    want = spans(keyword_table_search(df, "text", table))
+    monkeypatch.setattr(K, "LIVE_ROWS", 10)
+    held, kept = [], K._live
+    monkeypatch.setattr(K, "_live", lambda *a: held.append(kept(*a)) or held[-1])
+    assert spans(keyword_table_search(df, "text", table)) == want
+    assert spans(keyword_table_search(df, "text", table, block_rows=4)) == want
+    assert held[0].count() <= 40 and held[0].filter("given = 'Customer#000000007'").count() == 1
