@@ -51,10 +51,10 @@ def test_python_only_where_intended(plans):
 
 def test_keyword_spans_match_a_text_in_two_passes(spark, tmp_path):
     from carelens.plans.queries_match import keyword_spans
-    spark.createDataFrame([(1, "took the pills of the day", "en", "src1"), (2, None, "en", "src1"), (3, "no", "de", "src7")],
+    spark.createDataFrame([(1, "took the pills of the day, and src11", "en", "src1"), (2, None, "en", "src1"), (3, "no", "de", "src7")],
                           "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     found = keyword_spans(spark, str(tmp_path))
     assert sorted(map(tuple, found.collect())) == [
-        ("1", "of the", 20, 26), ("1", "src1", 1, 5), ("1", "the", 11, 14)]
+        ("1", "and", 33, 36), ("1", "of the", 21, 27), ("1", "src1", 1, 5), ("1", "the", 11, 14)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("of the") <= 2
