@@ -16,6 +16,9 @@ WORD = r"[\p{L}\p{N}_]"
 NON_WORD = r"[^\p{L}\p{N}_]"
 # Python str.isspace()  ==  \s for str patterns
 SPACE = r"[\t-\r\x1c-\x1f\x85\p{Z}]"
+# the characters of SPACE
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                           0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 NON_SPACE = r"[^\t-\r\x1c-\x1f\x85\p{Z}]"
 # word characters of the keyword matcher: ASCII letters, digits and underscore only
 ASCII_WORD = r"[A-Za-z0-9_]"

@@ -32,12 +32,15 @@ def hash_mentions(c: ColumnOrName, prefix: str = "@", bits: int = 224) -> Column
     """
     col = _c(c)
     pat = escape_literal(prefix) + WORD + "*"
-    pieces = F.split(col, pat, -1)
     found = F.regexp_extract_all(col, F.lit(pat), 0)
     start = len(prefix) + 1
     hashed = F.transform(found, lambda m: F.concat(F.lit(prefix),
                                                    F.sha2(F.substring(m, start, 1 << 30), bits)))
-    rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    tail = F.zip_with(hashed, rest, lambda h, p: F.concat(h, F.coalesce(p, F.lit(""))))
-    return F.when(col.isNull(), F.lit(None).cast("string")).otherwise(
-        F.concat(F.element_at(pieces, 1), F.array_join(tail, "")))
+
+    def rejoined(pieces: Column) -> Column:
+        rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+        tail = F.zip_with(hashed, rest, lambda h, p: F.concat(h, F.coalesce(p, F.lit(""))))
+        return F.concat(F.element_at(pieces, 1), F.array_join(tail, ""))
+
+    # as a variable of the function, the pieces are split off once, not once for each use
+    return F.element_at(F.transform(F.array(F.split(col, pat, -1)), rejoined), 1)

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .constants import (CONTRACTIONS, CONTRACTION_ENDINGS, PUNCTUATION, SHORT_FORMS, STOPWORDS_EN)
-from .patterns import NON_SPACE, SPACE, WORD
+from .patterns import NON_SPACE, SPACE, SPACES, WORD
 
 ColumnOrName = Column | str
 
@@ -23,8 +23,9 @@ def _c(c: ColumnOrName) -> Column:
 
 
 def strip_ws(c: ColumnOrName) -> Column:
-    """Python ``str.strip()``: remove Unicode white space at both ends (``trim`` only cuts blanks)."""
-    return F.regexp_replace(_c(c), f"^{SPACE}+|{SPACE}+$", "")
+    """Python ``str.strip()``: remove Unicode white space at both ends (``trim`` only cuts blanks;
+    a pattern would be tried at every white space inside the text)."""
+    return F.btrim(_c(c), F.lit(SPACES))
 
 
 def collapse_ws(c: ColumnOrName) -> Column:
@@ -40,8 +41,8 @@ def remove_urls(c: ColumnOrName) -> Column:
 def remove_special_characters(c: ColumnOrName) -> Column:
     """Delete ``@\\S*`` mentions, newline to blank, ``&amp;`` to ``&``, strip."""
     x = F.regexp_replace(_c(c), "@" + NON_SPACE + "*", "")
-    x = F.regexp_replace(x, "\n", " ")
-    x = F.regexp_replace(x, "&amp;", "&")
+    x = F.replace(x, F.lit("\n"), F.lit(" "))
+    x = F.replace(x, F.lit("&amp;"), F.lit("&"))
     return strip_ws(x)
 
 

@@ -14,8 +14,8 @@ Plan, chosen for scale:
    the expression's tokens; nothing is shuffled up to here.  A lexicon beyond the size check
    is joined by shuffle on the token instead; a token then travels with its neighbours up
    to the widest expression, not with its text.
-4. A verified match is four numbers (text, start, width, expression id).  Overlap removal
-   groups these by text and keeps, left to right, the longest match at each free start.
+4. A verified match is four values (text, start, width, expression id).  Overlap removal
+   sorts these by text and keeps, left to right, the longest match at each free start.
 
 The anchor is the token that is rarest among the expressions, the first one on ties; how
 common it is in the texts is not known, so an expression of words that each occur in one
@@ -24,12 +24,13 @@ expression only may be anchored on a common word.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import WORD
-from ..session import scratch_path
-from ..sources.sinks import stage_output
 from .sizing import DEFAULT_BROADCAST_ROWS, is_small
 
 TOKEN = WORD + "+"
@@ -129,63 +130,43 @@ def resolve_overlaps(hits: DataFrame, id_col: str = "doc_id", fold_limit: int =
     """Leftmost-longest, non-overlapping selection per text.
 
     Greedy rule: walk spans by (start, longer first) and keep a span when it starts at or
-    after the end of the last kept span.  The walk is split into independent clusters:
-    a span that starts at or after the end of *every* earlier span is kept whatever came
-    before, so it opens a new cluster (running maximum of earlier ends, one window per
-    text).  Only spans inside a cluster - a run of mutually overlapping matches - need a
-    sequential walk.  Clusters of up to ``fold_limit`` spans (at sf0.1 the largest has 24)
-    are walked by a JVM fold; Spark copies a fold's state on every step, so that is only
-    used where the state is bounded.  Larger clusters (a repeated phrase whose
-    expressions chain-overlap can make a whole text one cluster) are walked in a grouped
-    pandas task, linear in the cluster.  The matches with their cluster ids are written
-    once to the shared checkpoint folder (both walks read them; the text pipeline never
-    runs twice, and a lost executor does not send it back to the texts).  Input needs (id,
-    start, width, eid) with unique text ids; returns the kept rows.
+    after the end of the last kept span.  The matches are shuffled once by text, sorted inside
+    the partitions by Spark, and walked as they stream by: between batches the walk holds two
+    ends of the last text, whatever it holds.  Input needs (id, start, width, eid) with unique
+    text ids; returns the kept rows.  ``fold_limit`` has no effect: runs of overlapping
+    matches of every size are walked alike.
     """
-    spans = hits.select(id_col, "start", "width", "eid")
-    w = Window.partitionBy(id_col).orderBy(F.col("start"), F.col("width").desc())
-    prev_end = F.max(F.col("start") + F.col("width")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    head = (prev_end.isNull() | (F.col("start") >= prev_end)).cast("int")
-    spans = spans.withColumn("__head", head)
-    spans = spans.withColumn("__cl", F.sum("__head").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = spans.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(id_col, "__cl")))
-    # the two walks below both read the matches: write them once to the shared folder
-    spans = stage_output(spans, scratch_path(spans.sparkSession, "lexicon-spans"))
-
-    small = spans.filter(F.col("__n") <= fold_limit)
-    g = small.groupBy(id_col, "__cl").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("start").alias("s"), (-F.col("width")).alias("nw"),
-                                             F.col("eid").alias("t")))).alias("c"))
-    init = F.struct(F.lit(-1).cast("int").alias("end"),
-                    F.array().cast("array<struct<s:int,w:int,t:bigint>>").alias("keep"))
-    fold = F.aggregate("c", init, lambda acc, x: F.when(
-        x["s"] >= acc["end"],
-        F.struct((x["s"] - x["nw"]).alias("end"),
-                 F.concat(acc["keep"], F.array(F.struct(x["s"].alias("s"), (-x["nw"]).alias("w"),
-                                                        x["t"].alias("t")))).alias("keep")))
-        .otherwise(acc))
-    kept_small = g.select(id_col, F.explode(fold["keep"]).alias("k")).select(
-        id_col, F.col("k.s").alias("start"), F.col("k.w").alias("width"), F.col("k.t").alias("eid"))
-
-    large = spans.filter(F.col("__n") > fold_limit).select(id_col, "__cl", "start", "width", "eid")
-    id_type = hits.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {id_type}, __cl long, start int, width int, eid long"
-    kept_large = large.groupBy(id_col, "__cl").applyInPandas(_walk_cluster, schema).drop("__cl")
-    return kept_small.unionByName(kept_large)
-
-
-def _walk_cluster(pdf):
-    """Greedy leftmost-longest walk over one large cluster (pandas, linear)."""
-    pdf = pdf.sort_values(["start", "width"], ascending=[True, False], kind="stable")
-    starts = pdf["start"].to_numpy()
-    ends = starts + pdf["width"].to_numpy()
-    keep = []
-    end = -1
-    for i in range(len(starts)):
-        if starts[i] >= end:
-            keep.append(i)
-            end = ends[i]
-    return pdf.iloc[keep]
+    spans = hits.select(id_col, "start", "width", "eid").repartition(id_col)
+    spans = spans.sortWithinPartitions(id_col, "start", F.col("width").desc(), "eid")
+    return spans.mapInArrow(_walk, spans.schema)
+
+
+def _walk(batches):
+    """Greedy leftmost-longest walk over the sorted spans of whole texts (linear).
+
+    A span that starts at or after the end of every earlier span of its text is kept whatever
+    came before; these are found for a batch at once, only the others are walked one by one.
+    """
+    text, reach, end = None, -1, -1               # of the rows before: text, largest end, end of the last kept
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, starts = batch.column(0), batch.column(1).to_numpy().astype("int64")
+        ends = starts + batch.column(2).to_numpy()
+        null = pc.is_null(ids).to_numpy(zero_copy_only=False)
+        other = pc.fill_null(pc.not_equal(ids[1:], ids[:-1]), False).to_numpy(zero_copy_only=False)
+        new = np.concatenate([[reach < 0 or ids[0].as_py() != text], other | (null[1:] != null[:-1])])
+        apart = np.cumsum(new) << 32              # the spans of a text lie beyond all of the text before
+        far = np.maximum.accumulate(np.concatenate([[reach], ends + apart]))
+        free = starts + apart >= far[:-1]
+        keep = free.copy()
+        for i in np.flatnonzero(~free):
+            if i and free[i - 1]:
+                end = ends[i - 1]
+            if starts[i] >= end:
+                keep[i], end = True, ends[i]
+        text, reach, end = ids[-1].as_py(), far[-1] - apart[-1], ends[-1] if free[-1] else end
+        yield batch.filter(pa.array(keep))
 
 
 def lexicon_matches(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text: str = "text",

@@ -760,5 +760,6 @@ def self_reports(spark, sf):
     from .queries import TAG_PATTERNS
     p = USERS.attach_users(views.posts(spark, sf), views.users(spark, sf), user_order="username")
     t = post_triples(p.withColumn("text", TXT.clean_post_text("text")), keep=("created_utc",))
+    t = sinks.stage_output(t, scratch_path(spark, "clean-triples"))        # a text is cleaned once
     u = SEL.unique_first(t, "text", "created_utc")
     return SEL.self_report_rows(u, TAG_PATTERNS)

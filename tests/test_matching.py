@@ -138,3 +138,32 @@ def test_lexicon_shuffle_join_path(spark):
     for i, t in enumerate(texts):
         exp = model_lexicon(t, norm_lex)
         assert {(r["start"], r["width"]) for r in got if r["doc_id"] == i} == greedy(exp)
+
+
+def test_overlap_walk_across_batches(spark):
+    """A text whose spans fill many Arrow batches, a text of null id, spans that repeat."""
+    from carelens.operators.lexicon import resolve_overlaps
+    rnd = random.Random(11)
+    spans = {i: {(rnd.randint(0, 60), rnd.randint(1, 5)) for _ in range(25)} for i in (*range(40), None)}
+    spans[40] = {(s, w) for s in range(0, 900, 2) for w in (1, 3, 4)}
+    rows = [(i, s, w, 10 * s + w) for i, found in spans.items() for s, w in found]
+    hits = spark.createDataFrame(rows + rows[:50], "doc_id int, start int, width int, eid long")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for n in (1, 7, 10_000):
+            spark.conf.set(size, n)
+            kept = resolve_overlaps(hits).collect()
+            for i, found in spans.items():
+                assert sorted((r["start"], r["width"]) for r in kept if r["doc_id"] == i) == sorted(
+                    greedy({(s, w, "", "") for s, w in found})), (n, i)
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_overlap_removal_is_one_shuffle(spark):
+    """One shuffle and one sort by text; no window, and no list of a text's spans."""
+    from carelens.operators.lexicon import resolve_overlaps
+    hits = spark.createDataFrame([("a", 0, 1, 5)], "id string, start int, width int, eid long")
+    plan = resolve_overlaps(hits, "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "collect_list" not in plan

@@ -58,3 +58,35 @@ def test_keyword_spans_match_a_text_in_two_passes(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == [
         ("1", "and", 33, 36), ("1", "of the", 21, 27), ("1", "src1", 1, 5), ("1", "the", 11, 14)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("(?<!") == 2
+
+
+def test_flagship_cleans_a_text_once(spark, monkeypatch):
+    from carelens.plans import flagship as module
+    from carelens.sources.sinks import stage_output
+    staged, used = [], []
+    monkeypatch.setattr(module, "stage_output", lambda df, path: staged.append(df) or stage_output(df, path))
+    monkeypatch.setattr(module, "lexicon_matches", lambda docs, *a, **k: used.append(docs) or docs.selectExpr(
+        "id", "'c' concept", "'k' code"))
+    module.flagship(spark, SF001)
+    assert len(staged) == 1 and "https?" in plan_of(staged[0])
+    assert "https?" not in plan_of(used[0])              # what reads the copy cleans nothing
+
+
+def test_white_space_is_cut_as_the_pattern_does(spark):
+    from pyspark.sql import functions as F
+    from carelens.functions.patterns import SPACE, SPACES
+    from carelens.functions.text import remove_special_characters, strip_ws
+    assert sorted(SPACES) == [c for c in map(chr, range(0x110000)) if c.isspace()]
+    texts = [c + " a" + c + "b\n" + c for c in SPACES] + ["", " \r\n", "\u200b x \u200b", "a&amp;amp; @b\n\nc "]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select(
+        "t", strip_ws("t").alias("s"), F.regexp_replace("t", f"^{SPACE}+|{SPACE}+$", "").alias("p"),
+        remove_special_characters("t").alias("x")).collect()
+    for r in rows:
+        assert r["s"] == r["p"] and r["s"] == (r["t"] and r["t"].strip())
+    assert {r["t"]: r["x"] for r in rows}["a&amp;amp; @b\n\nc "] == "a&amp;   c"
+
+
+def test_mentions_split_a_text_once(spark):
+    from carelens.functions.privacy import hash_mentions
+    plan = plan_of(spark.createDataFrame([("a @b c",)], "t string").select(hash_mentions("t").alias("h")))
+    assert plan.count("split(") == 1
