@@ -5,10 +5,13 @@ is compared with the entries of the ``probes`` lists whose centroids are nearest
 with all.  Centroids come from spherical k-means over a bounded sample of the dictionary
 (the ``sample_rows`` entries of least hash); every entry is in the index.
 
-At scale the lists are the join key.  Lists and the terms that probe them are cut into parts of
-bounded size, counted beforehand, and each (list, part of entries, part of terms) is one
-task with one matrix product, so a list that holds a third of all entries is spread like
-the others.  Only the best k per term and part are shuffled to be merged.
+At scale the index is cut into parts of equal size, whole lists one after another and a list
+over several parts where it is large, so a list that holds a third of all entries is spread
+like the others.  A term goes once to each part that holds lists it probes, with a bit for each
+of them, and not once to each list; every (part of entries, part of terms) is one partition
+that holds its entries and reads its terms, with a matrix product for each list.  Vectors are
+shuffled as they come (floats stay floats).  Few terms are broadcast instead and the index stays
+where it is.  Only the best k per term and part are shuffled to be merged.
 
 The search is approximate in the lists it leaves out and exact within those it reads.
 ``recall`` measures it against the exact product.  The exact operators are in ``semantic``.
@@ -16,6 +19,8 @@ The search is approximate in the lists it leaves out and exact within those it r
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -26,6 +31,18 @@ from .semantic import OUT_SCHEMA
 
 #: Centroids that are broadcast, at most.
 MAX_LISTS = 4096
+#: Bytes of the entries that a task holds, as float64.
+PART_BYTES = 64 * 1024 * 1024
+#: Bytes that the scores of one step may take, few enough for the CPU's cache.
+STEP_BYTES = 2 * 1024 * 1024
+#: Terms that are broadcast, at most.
+FEW_TERMS = 2000
+#: Entries or terms for which a further part pays, at least.
+LEAST_ROWS = 4096
+#: Steps in the order of the entries of a list.
+PLACES = 1 << 20
+
+FOUND_SCHEMA = "term string, concept string, score double"
 
 
 def _unit(vectors) -> np.ndarray:
@@ -49,17 +66,84 @@ def train_centroids(vectors: np.ndarray, lists: int, rounds: int = 10, seed: int
     return centre
 
 
+def _nearest(unit: np.ndarray, centre: np.ndarray, probes: int) -> np.ndarray:
+    """The numbers of the ``probes`` nearest centroids of each row, in no order."""
+    take = min(probes, len(centre))
+    best = np.empty((len(unit), take), np.int32)
+    step = max(1, PART_BYTES // (8 * len(centre)))
+    for i in range(0, len(unit), step):
+        near = -(unit[i:i + step] @ centre.T)
+        best[i:i + step] = np.argpartition(near, take - 1, axis=1)[:, :take] if take < len(centre) else np.arange(take)
+    return best
+
+
+def _asked(unit: np.ndarray, centre: np.ndarray, probes: int) -> np.ndarray:
+    """For each row and list, whether the row probes it."""
+    asked = np.zeros((len(unit), len(centre)), bool)
+    np.put_along_axis(asked, _nearest(unit, centre, probes), True, axis=1)
+    return asked
+
+
+class _Entries:
+    """Some entries of the index, by list and within a list by concept (nulls last)."""
+
+    def __init__(self, name: np.ndarray, lists: np.ndarray, unit: np.ndarray):
+        by_name = pd.Series(name, dtype=object).sort_values(kind="stable").index.to_numpy()
+        rank = np.empty(len(name), np.int64)
+        rank[by_name] = np.arange(len(name))
+        rank[pd.isna(name)] = -1                             # across lists nulls are first, as Spark sorts them
+        order = by_name[np.argsort(lists[by_name], kind="stable")]
+        self.name, self.rank, self.unit = name[order], rank[order], unit[order]
+        self.lists, self.start = np.unique(lists[order], return_index=True)
+        self.odd = bool(np.isnan(self.unit).any())
+
+    def best(self, unit: np.ndarray, asked: np.ndarray, column: np.ndarray, k: int):
+        """(row of ``unit``, place, score): its best ``k`` entries of the lists it probes; list x is ``column[x]`` of ``asked``."""
+        score = np.full((len(unit), k), -np.inf)
+        at = np.full((len(unit), k), -1)
+        odd = self.odd or bool(np.isnan(unit).any())
+        for number, low, high in zip(self.lists, self.start, [*self.start[1:], len(self.name)], strict=True):
+            rows = np.flatnonzero(asked[:, column[number]])
+            entries, take, step = self.unit[low:high].T, min(k, high - low), max(1, STEP_BYTES // (8 * (high - low)))
+            for i in range(0, len(rows), step):
+                some = rows[i:i + step]
+                s = unit[some] @ entries
+                if not odd:                                  # most lists change few of the best
+                    good = s.max(axis=1) >= score[some, -1]
+                    some, s = some[good], s[good]
+                if len(some):
+                    self._merge(score, at, some, s, low, take, odd)
+        row, j = np.nonzero(at >= 0)
+        return row, at[row, j], score[row, j]
+
+    def _merge(self, score: np.ndarray, at: np.ndarray, some: np.ndarray, s: np.ndarray, low: int, take: int, odd: bool) -> None:
+        """The best of the scores ``s`` into ``score`` and ``at`` of the rows ``some``; NaN is last (pandas hands it on as null)."""
+        if odd:
+            new = np.argsort(-s, axis=1, kind="stable")[:, :take]
+            value = np.take_along_axis(s, new, axis=1)
+        else:
+            new, value, line = np.empty((len(s), take), np.int64), np.empty((len(s), take)), np.arange(len(s))
+            for j in range(take):
+                new[:, j] = s.argmax(axis=1)
+                value[:, j] = s[line, new[:, j]]
+                s[line, new[:, j]] = -np.inf
+        value, new = np.concatenate([score[some], value], axis=1), np.concatenate([at[some], new + low], axis=1)
+        rank = np.where(new >= 0, self.rank[new], len(self.name))
+        order = np.lexsort((rank, -np.where(np.isnan(value), -np.inf, value)), axis=-1)[:, :score.shape[1]]
+        score[some], at[some] = np.take_along_axis(value, order, axis=1), np.take_along_axis(new, order, axis=1)
+
+
 class ConceptIndex:
     """An inverted-file index over a dictionary of (concept, vector), written to scratch.
 
     Null vectors are left out.  ``lists`` defaults to the square root of the entries, 4096 at
-    most; ``part_rows`` bounds the entries and the terms of one task.
+    most; ``part_rows`` bounds the entries that a task holds (``PART_BYTES`` by default) and, with
+    four for one, the terms that it reads.
     """
 
     def __init__(self, dictionary: DataFrame, concept: str = "concept", vector: str = "vector",
-                 lists: int | None = None, sample_rows: int = 20_000, part_rows: int = 20_000, seed: int = 17):
+                 lists: int | None = None, sample_rows: int = 20_000, part_rows: int | None = None, seed: int = 17):
         spark = self.spark = dictionary.sparkSession
-        self.part_rows = part_rows
         entries = dictionary.select(F.col(concept).alias("concept"), F.col(vector).alias("v")).filter("v IS NOT NULL")
         self.entries = entries
         n = entries.count()
@@ -76,28 +160,37 @@ class ConceptIndex:
         self.centroids = (train_centroids(_unit([r["v"] for r in sample]), wanted, seed=seed) if sample
                           else np.zeros((0, 0)))
         path = scratch_path(spark, "concept-index")
-        if sample:
-            listed = self._probed(entries, 1).select("concept", "v", F.explode("lists").alias("list"))
-        else:
-            listed = entries.withColumn("list", F.lit(0))
-        listed.write.parquet(path)
+        listed = self._listed(entries) if sample else entries.withColumn("list", F.lit(0))
+        place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(PLACES)).cast("int")
+        listed.withColumn("place", place).write.parquet(path)
         self.listed = spark.read.parquet(path)
+        self.part_rows = part_rows or max(1, PART_BYTES // (8 * max(1, self.centroids.shape[1])))
+        self._cut()
 
-    def _probed(self, rows: DataFrame, probes: int) -> DataFrame:
-        """``rows`` with ``lists``: the numbers of the ``probes`` nearest centroids."""
+    def _listed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``list``: the number of the nearest centroid."""
         shared = self.spark.sparkContext.broadcast(self.centroids)
 
         def run(batches):
-            centre = shared.value
-            take = min(probes, len(centre))
             for b in batches:
                 if len(b):
-                    near = -(_unit(b["v"]) @ centre.T)
-                    best = np.argpartition(near, take - 1, axis=1)[:, :take] if take < len(centre) else \
-                        np.tile(np.arange(take), (len(b), 1))
-                    yield b.assign(lists=list(best.astype(np.int32)))
+                    yield b.assign(list=_nearest(_unit(b["v"]), shared.value, 1)[:, 0])
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-        return rows.mapInPandas(run, f"{fields}, lists array<int>")
+        return rows.mapInPandas(run, f"{fields}, list int")
+
+    def _cut(self) -> None:
+        """Cuts the entries, list after list, into ``parts`` of equal size; ``held``: the lists in each."""
+        size = np.zeros(len(self.centroids), np.int64)
+        if len(size):
+            for r in self.listed.groupBy("list").count().collect():      # MAX_LISTS at most
+                size[r["list"]] = r["count"]
+        total, start = int(size.sum()), np.cumsum(size) - size
+        cores = self.spark.sparkContext.defaultParallelism
+        self.parts = max(1, -(-total // self.part_rows), min(int(np.ceil((2 * cores) ** 0.5)), -(-total // LEAST_ROWS)))
+        first, last = start * self.parts // max(1, total), (start + size - 1) * self.parts // max(1, total)
+        self.held = [np.flatnonzero((size > 0) & (first <= p) & (p <= last)) for p in range(self.parts)]
+        self.lists_from = [(i, int(start[i]), int(n)) for i, n in enumerate(size) if n]
+        self.total = total
 
     def search(self, terms: DataFrame, k: int = 1, probes: int = 8, term: str = "term",
                vector: str = "vector") -> DataFrame:
@@ -109,43 +202,89 @@ class ConceptIndex:
         spark = self.spark
         if not len(self.centroids):
             return spark.createDataFrame([], OUT_SCHEMA)
-        t = terms.select(F.col(term).alias("term"), F.col(vector).alias("v")).filter("v IS NOT NULL")
-        path = scratch_path(spark, "probes")
-        self._probed(t, probes).select("term", "v", F.explode("lists").alias("list")).write.parquet(path)
-        asked = spark.read.parquet(path)
-
-        def parts(rows, name):
-            return rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / self.part_rows).cast("int").alias(name))
-        sizes = parts(self.listed, "entry_parts").join(parts(asked, "term_parts"), "list")
-        path = scratch_path(spark, "list-parts")
-        sizes.write.parquet(path)
-        sizes = F.broadcast(spark.read.parquet(path))            # a row for each list, MAX_LISTS at most
-
-        def dealt(rows, name, mine, others, own):
-            r = rows.join(sizes, "list").withColumn(mine, F.pmod(F.xxhash64(name), F.col(own)).cast("int"))
-            other = "term_parts" if own == "entry_parts" else "entry_parts"
-            return r.select("list", name, "v", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(others))
-
-        def pair(tp: pd.DataFrame, dp: pd.DataFrame) -> pd.DataFrame:
-            if not len(tp) or not len(dp):
-                return pd.DataFrame({"term": pd.Series([], dtype=object), "rank": pd.Series([], dtype="int32"),
-                                     "concept": pd.Series([], dtype=object), "score": pd.Series([], dtype="float64")})
-            dp = dp.sort_values("concept", kind="stable")
-            score = _unit(tp["v"]) @ _unit(dp["v"]).T
-            take = min(k, score.shape[1])
-            best = np.argsort(-score, axis=1, kind="stable")[:, :take]
-            return pd.DataFrame({"term": np.repeat(tp["term"].to_numpy(), take),
-                                 "rank": np.tile(np.arange(1, take + 1, dtype=np.int32), len(tp)),
-                                 "concept": dp["concept"].to_numpy()[best.ravel()],
-                                 "score": np.take_along_axis(score, best, axis=1).ravel()})
-
-        tt, dd = dealt(asked, "term", "tp", "dp", "term_parts"), dealt(self.listed, "concept", "dp", "tp", "entry_parts")
-        found = (tt.groupBy("list", "dp", "tp").cogroup(dd.groupBy("list", "dp", "tp"))
-                 .applyInPandas(pair, schema=OUT_SCHEMA))
+        path = scratch_path(spark, "terms")
+        terms.select(F.col(term).alias("term"), F.col(vector).alias("v")).filter("v IS NOT NULL").write.parquet(path)
+        t = spark.read.parquet(path)
+        n = t.count()
+        if not n:
+            return spark.createDataFrame([], OUT_SCHEMA)
+        found = self._search_few(t, k, probes) if n <= FEW_TERMS else self._search_many(t, n, k, probes)
         order = Window.partitionBy("term").orderBy(F.col("score").desc(), F.col("concept"))
         return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
                 .select("term", F.col("rank").cast("int"), "concept", "score"))
 
+    def _search_few(self, t: DataFrame, k: int, probes: int) -> DataFrame:
+        """(term, concept, score): the terms are broadcast and the entries stay where they are."""
+        rows = t.collect()                                   # FEW_TERMS at most
+        unit = _unit([r["v"] for r in rows])
+        shared = self.spark.sparkContext.broadcast(
+            (np.array([r["term"] for r in rows], dtype=object), unit, _asked(unit, self.centroids, probes)))
+        most = self.part_rows
+
+        def run(batches):
+            names, unit, asked = shared.value
+            column, kept, n = np.arange(asked.shape[1]), [], 0
+            for b in chain(batches, [None]):
+                if b is not None and len(b):
+                    kept.append((b["concept"].to_numpy(), b["list"].to_numpy(), _unit(b["v"])))
+                    n += len(b)
+                if kept and (b is None or n >= most):
+                    entries = _Entries(*map(np.concatenate, zip(*kept, strict=True)))
+                    kept, n = [], 0
+                    row, at, score = entries.best(unit, asked, column, k)
+                    yield pd.DataFrame({"term": names[row], "concept": entries.name[at], "score": score})
+        return self.listed.select("concept", "list", "v").mapInPandas(run, FOUND_SCHEMA)
+
+    def _search_many(self, t: DataFrame, n: int, k: int, probes: int) -> DataFrame:
+        """(term, concept, score): a term goes to the parts that hold lists it probes, an entry to each part of the terms."""
+        spark, parts = self.spark, self.parts
+        cores = spark.sparkContext.defaultParallelism
+        term_parts = max(-(-n // (4 * self.part_rows)), min(-(-2 * cores // parts), -(-n // LEAST_ROWS)))
+        shared, most = spark.sparkContext.broadcast((self.centroids, self.held)), len(self.centroids)
+
+        def probe(batches):
+            centre, held = shared.value
+            for b in batches:
+                if len(b):
+                    asked = _asked(_unit(b["v"]), centre, probes)
+                    bits = [[x.tobytes() if any_ else None for x, any_ in zip(np.packbits(a, axis=1), a.any(axis=1), strict=True)]
+                            for a in (asked[:, h] for h in held)]
+                    yield b.assign(probed=[[*x] for x in zip(*bits, strict=True)])
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema)
+        asked = (t.mapInPandas(probe, f"{fields}, probed array<binary>")
+                 .select("term", "v", F.posexplode("probed").alias("part", "bits")).filter("bits IS NOT NULL")
+                 .select(F.col("part"), F.pmod(F.xxhash64("term", "v"), F.lit(term_parts)).cast("int").alias("term_part"), F.lit(1).alias("kind"),
+                         F.col("term").cast("string").alias("name"), "v", F.lit(None).cast("int").alias("list"), "bits"))
+        begin = F.broadcast(spark.createDataFrame(self.lists_from, "list int, start long, size long"))
+        entries = (self.listed.join(begin, "list")
+                   .selectExpr(f"CAST(((start + (place * size) div {PLACES}) * {parts}L) div {self.total}L AS int) AS part",
+                               f"explode(sequence(0, {term_parts - 1})) AS term_part", "0 AS kind", "CAST(concept AS string) AS name", "v",
+                               "list", "CAST(NULL AS binary) AS bits"))
+        dealt = (entries.unionByName(asked).repartitionById(parts * term_parts, F.expr(f"part * {term_parts} + term_part"))
+                 .sortWithinPartitions("kind"))
+
+        def match(batches):
+            held, kept, entries = shared.value[1], [], None
+            for b in batches:
+                is_term = b["kind"].to_numpy() == 1
+                if not is_term.all():
+                    if entries is not None:
+                        raise ValueError("an entry came after the terms of its part")
+                    e = b[~is_term]
+                    kept.append((e["name"].to_numpy(), e["list"].to_numpy().astype(np.int64), _unit(e["v"])))
+                if is_term.any() and (kept or entries is not None):
+                    if entries is None:
+                        entries, kept = _Entries(*map(np.concatenate, zip(*kept, strict=True))), []
+                    q = b[is_term]
+                    lists = held[int(q["part"].iloc[0])]
+                    column = np.full(most, -1)
+                    column[lists] = np.arange(len(lists))
+                    bits = np.frombuffer(b"".join(q["bits"]), np.uint8).reshape(len(q), -1)
+                    asked = np.unpackbits(bits, axis=1, count=len(lists)).astype(bool)
+                    row, at, score = entries.best(_unit(q["v"]), asked, column, k)
+                    yield pd.DataFrame({"term": q["name"].to_numpy()[row], "concept": entries.name[at], "score": score})
+        return dealt.drop("term_part").mapInPandas(match, FOUND_SCHEMA)
+
     def probes_for(self, terms: DataFrame, target: float = 0.97, k: int = 1, **options) -> int:
         """The least power of two of probes, 4 or more, whose measured ``recall`` is ``target`` or more (all
         lists, if none is): vectors without clusters need more than clustered ones."""

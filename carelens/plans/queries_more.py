@@ -238,7 +238,7 @@ def row_snapshots(spark, sf):
 
 def _vector_index(spark, sf):
     """An index over all embedding rows as entries, and the same rows as terms."""
-    terms = views.query_vectors(spark, sf)
+    terms = views.stored_vectors(spark, sf)
     return ann.ConceptIndex(terms.withColumnRenamed("term", "concept")), terms
 
 

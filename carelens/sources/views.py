@@ -217,11 +217,15 @@ DICT_SQL = """dict AS (
 
 
 # ---------------------------------------------------------------- vectors
-def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """embeddings -> (term, vector): every embedding row is a term to normalize."""
+def stored_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """embeddings -> (term, vector): every embedding row is a term to normalize, its vector as stored."""
     e = table(spark, sf, "embeddings")
-    return e.select(F.concat(F.lit("v"), _s("vec_id")).alias("term"),
-                    F.col("embedding").cast("array<double>").alias("vector"))
+    return e.select(F.concat(F.lit("v"), _s("vec_id")).alias("term"), F.col("embedding").alias("vector"))
+
+
+def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of ``stored_vectors`` with vectors of doubles."""
+    return stored_vectors(spark, sf).withColumn("vector", F.col("vector").cast("array<double>"))
 
 
 def concept_vectors(spark: SparkSession, sf: str) -> DataFrame:

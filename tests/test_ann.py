@@ -1,8 +1,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from carelens.operators import ann
 from carelens.operators.ann import ConceptIndex, train_centroids
 from carelens.operators.semantic import best_concepts_dense
+from carelens.session import scratch_path
 
 
 def vectors(seed, n, dim=16, groups=12):
@@ -77,3 +79,67 @@ def test_the_driver_receives_the_samples_only(spark, monkeypatch):
     probes = index.probes_for(d.withColumnRenamed("concept", "term"), k=2, sample_rows=50)
     assert 4 <= probes <= 20
     assert received and max(n for n, _ in received) <= 100 and not any(ordered for _, ordered in received)
+
+
+def sent(node):
+    """Rows that the exchanges of an executed plan wrote."""
+    inner = [node.executedPlan()] if "AdaptiveSparkPlan" in node.nodeName() else [node.plan()] if "QueryStage" in node.nodeName() else []
+    own = node.metrics().get("shuffleRecordsWritten")
+    below = inner or [node.children().apply(i) for i in range(node.children().size())]
+    return (own.get().value() if own.isDefined() and "Exchange" in node.nodeName() and not inner else 0) + sum(map(sent, below))
+
+
+def test_a_term_is_sent_to_parts_not_to_lists(spark, monkeypatch):
+    paths = []
+    monkeypatch.setattr(ann, "scratch_path", lambda spark, name: paths.append(scratch_path(spark, name)) or paths[-1])
+    monkeypatch.setattr(ann, "FEW_TERMS", 0, raising=False)
+    d, t = frame(spark, "concept", vectors(6, 600)), frame(spark, "term", vectors(7, 400))
+    index = ConceptIndex(d, lists=40, part_rows=200)
+    for probes in (8, 32):
+        found = index.search(t, k=2, probes=probes)
+        assert len(found.collect()) == 800
+        assert max(spark.read.parquet(p).count() for p in paths) <= 600        # no table holds a vector for each list
+        # a term for each of 3 parts, an entry for the one part of the terms, two found for each term and part
+        assert sent(found._jdf.queryExecution().executedPlan()) <= 400 * 3 + 600 + 400 * 3 * 2
+
+
+def test_many_and_few_terms_are_searched_alike(spark, monkeypatch):
+    d, t = frame(spark, "concept", vectors(1, 300) + [[0.5] * 16] * 40), frame(spark, "term", vectors(2, 60) + [[1.0] * 16])
+    d = d.union(d.limit(5)).withColumn("concept", F.expr("if(concept LIKE 'concept00_57', null, concept)"))
+    nan = spark.createDataFrame([("nan", [float("nan")] + [1.0] * 15)], "term string, vector array<double>")
+    exact = rows(best_concepts_dense(t, frame(spark, "concept", vectors(1, 300)), k=3))
+    key = lambda df: sorted((r.term, r.rank, str(r.concept), r.score and round(r.score, 9)) for r in df.collect())
+    for lists, part_rows, least in ((9, None, 4096), (9, 17, 1), (1, 50, 1), (40, 30, 10)):
+        monkeypatch.setattr(ann, "LEAST_ROWS", least)
+        index, plain = ConceptIndex(d, lists=lists, part_rows=part_rows), ConceptIndex(
+            frame(spark, "concept", vectors(1, 300)), lists=lists, part_rows=part_rows)
+        found = {}
+        for few in (0, 2000):
+            monkeypatch.setattr(ann, "FEW_TERMS", few)
+            found[few] = [key(index.search(t, k=3, probes=p)) for p in (1, 4, lists)]
+            assert rows(plain.search(t, k=3, probes=lists)) == exact
+            assert [r.score for r in index.search(nan, k=2, probes=lists).collect()] == [None, None]
+        assert found[0] == found[2000]
+        assert len(found[0][2]) == 3 * 61 and sum(map(len, index.held)) >= len(index.lists_from)
+
+
+def test_nan_is_last_and_ties_are_by_concept(spark, monkeypatch):
+    d = spark.createDataFrame([("a", [float("nan"), 1.0]), ("c", [2.0, 0.0]), ("b", [1.0, 0.0]), ("d", [0.0, 1.0])],
+                              "concept string, vector array<double>")
+    t = spark.createDataFrame([("x", [1.0, 0.0])], "term string, vector array<double>")
+    for few in (0, 2000):
+        monkeypatch.setattr(ann, "FEW_TERMS", few)
+        index = ConceptIndex(d, lists=1)
+        assert [(r.rank, r.concept) for r in index.search(t, k=2).orderBy("rank").collect()] == [(1, "b"), (2, "c")]
+        assert [r.concept for r in index.search(t, k=4).orderBy("rank").collect()] == ["b", "c", "d", "a"]
+
+
+def test_vectors_keep_their_type(spark, monkeypatch):
+    monkeypatch.setattr(ann, "FEW_TERMS", 0)
+    d = frame(spark, "concept", vectors(1, 50)).withColumn("vector", F.col("vector").cast("array<float>"))
+    index = ConceptIndex(d, lists=4)
+    assert index.listed.schema["v"].dataType.elementType.typeName() == "float"
+    t = d.withColumnRenamed("concept", "term")
+    exact = rows(best_concepts_dense(t.withColumn("vector", F.col("vector").cast("array<double>")),
+                                     d.withColumn("vector", F.col("vector").cast("array<double>")), k=2))
+    assert rows(index.search(t, k=2, probes=4)) == exact
